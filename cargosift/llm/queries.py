@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import topk
+from . import html, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int, id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.learn(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return toxicity.score(docs.select("doc_id", "text"), index).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
 
 
-QUERIES = {"op3_topk": op3_topk}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op10_html": op10_html}
 
 ORACLES = {
     "op3_topk": """
