@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, topk, toxicity
+from . import decontam, html, langid, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def remainder(n: int, id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.learn(docs.where(remainder(3) != 1).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", "text"), filters).select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.learn(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
@@ -32,9 +42,21 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op10_html": op10_html}
+QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op10_html": op10_html}
+
+_SHINGLES = r"""
+SELECT {key} AS id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s, len(w) AS n
+FROM (SELECT {key}, regexp_extract_all(lower(text), '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+') AS w FROM {table}) WHERE len(w) > 0"""
 
 ORACLES = {
+    "op4_decontam": f"""
+WITH d AS (SELECT DISTINCT id, s FROM ({_SHINGLES.format(key="doc_id", table="documents")})),
+i AS (SELECT DISTINCT id, s FROM ({_SHINGLES.format(key="item_id", table="benchmark")})),
+n AS (SELECT id, count(*) AS n FROM i GROUP BY id),
+p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found FROM d JOIN i USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, n_found, n_found / CAST(n AS DOUBLE) AS containment
+FROM p JOIN n ON n.id = p.item_id WHERE n_found >= 0.8 * n - 1e-9""",
     "op3_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
