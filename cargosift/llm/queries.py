@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, topk, toxicity
+from . import decontam, html, langid, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), index).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
 
@@ -42,7 +46,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
 
 
-QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op10_html": op10_html}
+QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op9_simhash": op9_simhash, "op10_html": op10_html}
 
 _SHINGLES = r"""
 SELECT {key} AS id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
