@@ -24,6 +24,7 @@ from .common import prepare
 _WORD = re.compile(r"\w+")
 STEM = 6
 BLOCK = 64
+OPENED = 4
 BINS = 50
 EVIDENCE = 5
 
@@ -38,13 +39,11 @@ def terms(text: str | None) -> Counter:
 
 @dataclass
 class Index:
-    """Unit vectors of examples in block order: sparse rows, labels, and each term's greatest weight by block."""
+    """Postings of examples in block order as a table of weights, labels, and each term's greatest weight by block."""
 
     vocab: dict[str, int]
     idf: np.ndarray
-    rows: np.ndarray  # offsets into cols and vals
-    cols: np.ndarray
-    vals: np.ndarray
+    weights: np.ndarray  # terms x examples
     labels: np.ndarray
     ids: np.ndarray
     top: np.ndarray  # terms x blocks
@@ -67,21 +66,28 @@ class Index:
         """The k examples of greatest cosine, ties to the earlier one, and their cosines; skip is left out."""
         bound = v @ self.top[at] + 1e-9
         order = np.argsort(-bound, kind="stable")
-        q = np.zeros(len(self.idf))
-        q[at] = v
-        near, cos, done = np.zeros(0, np.int64), np.zeros(0), 0
-        while done < len(order) and (len(near) < self.k or bound[order[done]] >= cos[-1]):
-            new, own = [near], [cos]
-            for b in order[done : done + 4]:
-                lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.labels))
-                a, z = self.rows[lo], self.rows[hi]
-                flat = np.concatenate([[0.0], np.cumsum(self.vals[a:z] * q[self.cols[a:z]])])
-                own.append(np.round(flat[self.rows[lo + 1 : hi + 1] - a] - flat[self.rows[lo:hi] - a], 12))
-                new.append(np.arange(lo, hi))
-            done += 4
-            near, cos = np.concatenate(new), np.concatenate(own)
+        near, cos = np.zeros(0, np.int64), np.zeros(0)
+        rows, n = self.weights[at], len(self.labels)
+        # The few blocks of greatest bound give a k-th best cosine; then every block that can reach it.
+        for turn in (order[:OPENED], order[OPENED:]):
+            reach = turn[bound[turn] >= cos[-1]] if len(near) >= self.k else turn
+            if not len(reach):
+                break
+            if len(reach) > 0.6 * len(order):
+                new, own = np.arange(n), v @ rows
+                if len(near):
+                    new, own = np.delete(new, seen), np.delete(own, seen)
+            else:
+                new = (reach[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                new = new[new < n]
+                own = v @ rows[:, new]
+            seen = new  # of the first turn, when the second one opens all
+            near, cos = np.concatenate([near, new]), np.concatenate([cos, np.round(own, 12)])
             if skip >= 0:
                 cos, near = cos[near != skip], near[near != skip]
+            if len(near) > 4 * self.k:
+                best = cos >= np.partition(cos, len(cos) - self.k)[len(cos) - self.k]
+                near, cos = near[best], cos[best]
             best = np.lexsort((near, -cos))[: self.k]
             near, cos = near[best], cos[best]
         return near, cos
@@ -117,7 +123,7 @@ def _g2(pos, neg, n1, n0):
     return part(pos, (pos + neg) * n1 / n) + part(neg, (pos + neg) * n0 / n) + part(n1 - pos, (n - pos - neg) * n1 / n) + part(n0 - neg, (n - pos - neg) * n0 / n)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 16384, max_terms: int = 1024, common_terms: int = 64, least_g2: float = 20.0, k: int = 15) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 8192, max_terms: int = 512, common_terms: int = 48, least_g2: float = 20.0, k: int = 15) -> Index:
     """Fits the index on labelled documents.
 
     The fit is bounded by two parameters: about max_examples labelled rows, an even share by hash if there are
@@ -134,19 +140,20 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
         own = own.where(F.pmod(F.xxhash64("doc_id", F.lit("example")), F.lit(1 << 32)) < int(max_examples / n * (1 << 32)))
     rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # at most about max_examples pairs of numbers
 
-    @F.pandas_udf("array<struct<t:string,n:int>>")
-    def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"t": t, "n": n} for t, n in terms(x).items()] for x in texts], dtype=object)
+    @F.pandas_udf("array<string>")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(terms(x)) for x in texts], dtype=object)
 
-    found = rows.select("doc_id", "y", counted("text").alias("terms"))
+    found = rows.select("y", held("text").alias("terms"))
     sizes = rows.agg(F.count("*"), F.sum("y")).first()
     total, n1 = int(sizes[0]), int(sizes[1] or 0)
     if not total:
-        return Index({}, np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 0)), 0.0, 0.0, k)
-    df = found.select("y", F.explode("terms.t").alias("t")).groupBy("t").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("df", F.col("pos") + F.col("neg")).where("df >= 3")
-    df = df.withColumn("g2", _g2(F.col("pos").cast("double"), F.col("neg").cast("double"), float(n1), float(total - n1)))
+        return Index({}, np.zeros(0), np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 0)), 0.0, 0.0, k)
+    df = found.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("df", F.col("pos") + F.col("neg")).where("df >= 3")
+    df = df.withColumn("g2", _g2(F.col("pos").cast("double"), F.col("neg").cast("double"), float(n1), float(total - n1))).persist()
     told = df.where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), "t").limit(max_terms - common_terms).select("t", "df").collect()
     told += [r for r in df.orderBy(F.desc("df"), "t").limit(common_terms).select("t", "df").collect()]
+    df.unpersist()
     chosen = dict(sorted({r.t: r.df for r in told}.items()))
     vocab = {t: i for i, t in enumerate(chosen)}
     idf = np.array([math.log((total + 1) / (d + 1)) + 1 for d in chosen.values()])
@@ -165,13 +172,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
     full.sort(key=lambda i: (int(vecs[i][0][np.argmax(vecs[i][1])]), int(got["y"].iloc[i]), int(got["doc_id"].iloc[i])))  # neighbours share their strongest term
     bare = [int(got["y"].iloc[i]) for i, (at, _) in enumerate(vecs) if not len(at)]
     prior = n1 / total
-    rows_at = np.concatenate([[0], np.cumsum([len(vecs[i][0]) for i in full])]).astype(np.int64)
-    cols = np.concatenate([vecs[i][0] for i in full]) if full else np.zeros(0, np.int64)
-    vals = np.concatenate([vecs[i][1] for i in full]) if full else np.zeros(0)
+    weights = np.zeros((len(idf), len(full)))
+    for place, i in enumerate(full):
+        weights[vecs[i][0], place] = vecs[i][1]
     top = np.zeros((len(idf), max(1, -(-len(full) // BLOCK))))
-    if full:
-        np.maximum.at(top, (cols, np.repeat(np.arange(len(full)), np.diff(rows_at)) // BLOCK), vals)
-    index = Index(vocab, idf, rows_at, cols, vals, got["y"].to_numpy(np.float64)[full], got["doc_id"].to_numpy(np.int64)[full], top, prior, (sum(bare) + prior) / (len(bare) + 1), k)
+    for b in range(-(-len(full) // BLOCK)):
+        top[:, b] = weights[:, b * BLOCK : (b + 1) * BLOCK].max(axis=1, initial=0)
+    index = Index(vocab, idf, weights, got["y"].to_numpy(np.float64)[full], got["doc_id"].to_numpy(np.int64)[full], top, prior, (sum(bare) + prior) / (len(bare) + 1), k)
     if full:
         places = {int(d): i for i, d in enumerate(index.ids)}
         shared = spark.sparkContext.broadcast(index)
