@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, lines, pieces, simhash, topk, toxicity
+from . import decontam, html, langid, lines, paragraphs, pieces, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_pieces", "piece_score", "nbest_scores", F.xxhash64("ids").alias("ids_hash"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same_text"))
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated(table(spark, sf_dir, "documents")).drop("row")
 
@@ -57,7 +61,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
 
 
-QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op6_pieces": op6_pieces, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_html": op10_html}
+QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op6_pieces": op6_pieces, "op7_paragraphs": op7_paragraphs, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_html": op10_html}
 
 _SHINGLES = r"""
 SELECT {key} AS id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
