@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, lines, paragraphs, pieces, simhash, topk, toxicity
+from . import decontam, html, langid, lines, ngrams, paragraphs, pieces, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), index).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngrams.train(docs.where(remainder(5) != 1))
+    return ngrams.score(docs, model).select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes it again and keeps a digest: counts, scores and a hash of the ids."""
     coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -61,7 +67,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
 
 
-QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op6_pieces": op6_pieces, "op7_paragraphs": op7_paragraphs, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_html": op10_html}
+QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op5_ngrams": op5_ngrams, "op6_pieces": op6_pieces, "op7_paragraphs": op7_paragraphs, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_html": op10_html}
 
 _SHINGLES = r"""
 SELECT {key} AS id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
