@@ -158,25 +158,25 @@ def links(prints: DataFrame, budget: int = 3) -> DataFrame:
     return found
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint as a long. Null and empty texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, fp, and columns keep): the fingerprint as a long. Null and empty texts have fingerprint zero."""
     prepare(docs.sparkSession)
     made = F.pandas_udf(lambda s: pd.Series(np.array([fingerprint(x if isinstance(x, str) else None, shingle, seed) for x in s], np.uint64).view(np.int64)), "long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), made(F.col(text)).alias("fp"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), made(F.col(text)).alias("fp"), *keep)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:
-    """Rows (doc_id, fingerprint, component_id) for every row of docs.
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, fingerprint, component_id, and columns keep) for every row of docs.
 
     fingerprint is in 16 hex digits; component_id the smallest doc_id reachable over fingerprints that differ
     in at most budget bits. Rows of one id each appear; null ids keep their fingerprint and never name a
     component unless it has no other id. Empty input gives no rows.
     """
-    marked = stored(fingerprints(docs, id_col, text), "simhash-f")
+    marked = stored(fingerprints(docs, id_col, text, keep=keep), "simhash-f")
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     prints = stored(prints, "simhash-d")
     comp = components(links(prints.select("fp"), budget)).withColumnRenamed("node", "fp")
     named = prints.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of = stored(named.select("fp", "component").join(low, "component").select("fp", "component_id"), "simhash-c")
-    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
