@@ -154,7 +154,7 @@ _TOTAL = " + ".join(f"x_{n} * {PROFILE_WEIGHTS[n]}" for n in _ALL)
 _TOP = "greatest(" + ", ".join(_RANK(f"sev_{n}") for n in _ALL) + ", CASE WHEN len(list_filter(matches, lambda m: m.exact)) > 0 THEN 4 WHEN len(list_filter(matches, lambda m: m.score >= 0.92)) > 0 THEN 3 ELSE 0 END)"
 PROFILE = f"""{_ctes(*_dimension_ctes(_ALL))},
 topped AS (SELECT id, {_TOP} AS top, least(({_TOTAL}) / {sum(PROFILE_WEIGHTS.values())}, 1.0) AS score, len(hits) + len(list_filter(matches, lambda m: m.exact OR m.score >= 0.92)) AS n_flags FROM graded)
-SELECT id, ['none', 'low', 'medium', 'high', 'critical'][top + 1] AS overall_severity, round(round(score, 4), 3) AS overall_score, n_flags,
+SELECT id, ['none', 'low', 'medium', 'high', 'critical'][top + 1] AS overall_severity, round(score, 4) AS overall_score, n_flags,
   CASE WHEN top = 4 THEN 'block' WHEN top >= 2 THEN 'manual_review' ELSE 'approve' END AS advisory_action,
   CAST(CASE top WHEN 4 THEN 0.90 WHEN 3 THEN 0.75 WHEN 2 THEN 0.60 WHEN 1 THEN 0.80 ELSE 0.90 END AS DOUBLE) AS advisory_confidence FROM topped"""
 

@@ -135,7 +135,7 @@ def dimension(name: str, ship: DataFrame) -> DataFrame:
 
 def pr1_profile(ship: DataFrame) -> DataFrame:
     p = D.profile(_enriched(ship), S).select("id", "risk_profile.*")
-    return p.select("id", "overall_severity", F.round("overall_score", 3).alias("overall_score"), F.size("flags").alias("n_flags"), "advisory_action", "advisory_confidence")
+    return p.select("id", "overall_severity", "overall_score", F.size("flags").alias("n_flags"), "advisory_action", "advisory_confidence")
 
 
 def _routed(ship: DataFrame) -> DataFrame:
