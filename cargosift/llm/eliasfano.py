@@ -56,6 +56,16 @@ class EliasFano:
         word = self.high[w]
         return w * 64 + _select_in_word(~word if flip else word, k - directory[w])
 
+    def _next(self, pos: np.ndarray, directory: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of set bit number k, the one after the bit at pos: mostly in the same word."""
+        word = self.high[pos >> 6]
+        rest = ((~word if flip else word) >> (pos & 63).astype(U)) >> _ONE
+        out = pos + 1 + np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            out[far] = self._select(k[far], directory, flip)
+        return out
+
     def low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), U)
@@ -68,6 +78,12 @@ class EliasFano:
         """The values at places i."""
         return ((self._select(i, self.ones, False) - i).astype(U) << U(self.bits)) | self.low(i)
 
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and i + 1."""
+        at = self._select(i, self.ones, False)
+        then = self._next(at, self.ones, i + 1, False)
+        return ((at - i).astype(U) << U(self.bits)) | self.low(i), ((then - i - 1).astype(U) << U(self.bits)) | self.low(i + 1)
+
     def find(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Place of each value of x, between start and end if given; -1 where there is none."""
         if not self.n or not len(x):
@@ -76,8 +92,9 @@ class EliasFano:
         h = (x >> U(self.bits)).astype(np.int64)
         inside = h < int(self.zeros[-1]) - 1
         hh = np.where(inside, h, 0)
-        lo = np.where(hh > 0, self._select(np.maximum(hh - 1, 0), self.zeros, True) - hh + 1, 0)
-        hi = self._select(hh, self.zeros, True) - hh
+        before = self._select(np.maximum(hh - 1, 0), self.zeros, True)
+        lo = np.where(hh > 0, before - hh + 1, 0)
+        hi = np.where(hh > 0, self._next(before, self.zeros, hh, True), before) - hh
         if start is not None:
             lo, hi = np.maximum(lo, start), np.minimum(hi, end)
         hi = np.where(inside, np.minimum(hi, self.n), lo)

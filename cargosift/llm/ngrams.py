@@ -34,7 +34,7 @@ DISCOUNT = 0.75
 LEAST = 2
 _LOWEST = -7.0
 _CODE = 10 ** (_LOWEST * (1 - np.arange(256) / 255))  # share of code c, 1e-7 to 1
-_B2, _B3 = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
+_B2, _B3 = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)  # of shard hashes
 
 
 def _local(path: str) -> str:
@@ -101,6 +101,14 @@ class Model:
             maps[level, shard] = own
         return maps[level, shard]
 
+    def key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """One number for a context and a word, in order of contexts."""
+        return context.astype(U) * U(self.types + 1) + word.astype(U)
+
+    def unkey(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c, w = np.divmod(key, U(self.types + 1))
+        return c.astype(np.int64), w.astype(np.int64)
+
     def words(self, h: np.ndarray) -> np.ndarray:
         """Numbers of words by hash, -1 for unknown ones; h distinct or not."""
         out, owner = np.full(len(h), -1), (h % U(max(1, self.shards[0]))).astype(np.int64)
@@ -146,13 +154,16 @@ class Model:
             if not len(own):
                 continue
             part = self.part(level, s)
-            c = part["contexts"].find(context[own])
-            own, c = own[c >= 0], c[c >= 0]
+            asked = context[own]
+            head = np.concatenate([[True], asked[1:] != asked[:-1]])  # one look-up for each run of a context
+            c = part["contexts"].find(asked[head])
+            start, end = (x.astype(np.int64) for x in part["pointers"].pair(np.maximum(c, 0)))
+            run = np.cumsum(head) - 1
+            known = c[run] >= 0
+            own, run = own[known], run[known]
             if not len(own):
                 continue
-            start = part["pointers"].get(c).astype(np.int64)
-            end = part["pointers"].get(c + 1).astype(np.int64)
-            at = part["entries"].find(c.astype(U) * U(self.types + 1) + word[own].astype(U), start, end)
+            at = part["entries"].find(c[run].astype(U) * U(self.types + 1) + word[own].astype(U), start[run], end[run])
             own, at = own[at >= 0], at[at >= 0]
             out[own] = at + (self.base[1][s] if level == 2 else 0)
             share[own] = _CODE[part["a"]["codes"][at]]
@@ -173,77 +184,107 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, out_off
 
 
-def _distinct(*cols: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of whole-number columns and the place of each row among them."""
-    key = cols[0].astype(U) if len(cols) == 1 else mix(cols[0].astype(U) * _B2 + mix(cols[1].astype(U) + _B3))
-    _, at, back = np.unique(key, return_index=True, return_inverse=True)
-    return [c[at] for c in cols], back
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(key, return_inverse=True)
 
 
 class _Tally:
-    """Counts of rows, folded whenever many have come together."""
+    """Counts of keys, folded whenever many have come together."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.held, self.size = names, [], 0
+    def __init__(self):
+        self.held, self.size = [], 0
 
-    def add(self, *cols: np.ndarray):
-        own, back = _distinct(*cols)
-        self.held.append((*own, np.bincount(back, minlength=len(own[0])).astype(np.int64)))
-        self.size += len(own[0])
+    def add(self, keys: np.ndarray):
+        own, n = np.unique(keys, return_counts=True)
+        self.held.append((own, n))
+        self.size += len(own)
         if self.size > 1 << 21:
             yield self.fold()
 
-    def fold(self) -> pd.DataFrame:
-        cols = [np.concatenate(c) for c in zip(*self.held, strict=True)] if self.held else [np.zeros(0, np.int64)] * (len(self.names) + 1)
-        own, back = _distinct(*cols[:-1]) if len(cols[0]) else (cols[:-1], np.zeros(0, np.int64))
-        n = np.bincount(back, weights=cols[-1], minlength=len(own[0])).astype(np.int64)
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, U), np.zeros(0, np.int64))
+        own, back = _runs(keys)
         self.held, self.size = [], 0
-        return pd.DataFrame({k: c.astype(U).view(np.int64) for k, c in zip(self.names, own, strict=True)} | {"n": n})
+        return own, np.bincount(back, weights=n, minlength=len(own)).astype(np.int64)
 
 
 def _count_words(batches):
-    tally = _Tally(["h"])
+    tally = _Tally()
+    frame = lambda k, n: pd.DataFrame({"h": k.view(np.int64), "n": n})
     for pdf in batches:
-        yield from tally.add(_tokens(pdf["text"].tolist())[0])
-    yield tally.fold()
+        for part in tally.add(_tokens(pdf["text"].tolist())[0]):
+            yield frame(*part)
+    yield frame(*tally.fold())
+
 
+@dataclass
+class _Read:
+    """Texts as word numbers: now, the word before (the start counts as number types), and facts of distinct words by place."""
+
+    now: np.ndarray
+    before: np.ndarray
+    off: np.ndarray
+    back: np.ndarray
+    known: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, model: Model, texts: list[str | None]) -> _Read:
+        h, off = _tokens(texts)
+        own, back = _runs(h)
+        known = model.words(own)
+        counts = model.counts(1, known)
+        number = np.where(counts >= LEAST, known, -1)  # words seen once are in no kept bigram
+        now = number[back]
+        before = np.concatenate([[0], now[:-1]]) if len(now) else now
+        before[off[:-1]] = model.types
+        return cls(now, before, off, back, known, counts)
+
+    def bigrams(self, model: Model):
+        """Distinct bigrams of known words as numbers, shares and the place of each token among them, -1 for none."""
+        ok = np.flatnonzero((self.now >= 0) & (self.before >= 0))
+        key, back = _runs(model.key(self.before[ok], self.now[ok]))
+        place = np.full(len(self.now), -1)
+        place[ok] = back
+        return (*model.search(2, *model.unkey(key)), place)
+
+    def contexts(self, number: np.ndarray) -> np.ndarray:
+        """The number of the bigram before each token of the same text, -1 for none."""
+        context = np.concatenate([[-1], number[:-1]]) if len(number) else number
+        context[self.off[:-1]] = -1
+        return context
 
-def _numbered(model: Model, texts: list[str | None]):
-    """Word numbers, the numbers before them (the start counts as number types) and offsets."""
-    h, off = _tokens(texts)
-    (own,), back = _distinct(h)
-    known = model.words(own)
-    now = known[back]
-    before = np.concatenate([[0], now[:-1]]) if len(now) else now
-    before[off[:-1]] = model.types
-    return now, before, off
+
+def _pairs(model: Model, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    c, w = model.unkey(keys)
+    return pd.DataFrame({"c": c, "w": w, "n": n})
 
 
 def _count_bigrams(batches, shared):
-    model, tally = shared.value, _Tally(["c", "w"])
+    model, tally = shared.value, _Tally()
     for pdf in batches:
-        now, before, _ = _numbered(model, pdf["text"].tolist())
-        ok = (now >= 0) & (before >= 0)
-        yield from tally.add(before[ok], now[ok])
-    yield tally.fold()
+        r = _Read.of(model, pdf["text"].tolist())
+        ok = (r.now >= 0) & (r.before >= 0)
+        for part in tally.add(model.key(r.before[ok], r.now[ok])):
+            yield _pairs(model, *part)
+    yield _pairs(model, *tally.fold())
 
 
-def _bigram_numbers(model: Model, now: np.ndarray, before: np.ndarray):
-    (b, n), back = _distinct(before, now)
-    number, share = model.search(2, b, n)
-    return number[back], share[back]
+def _token_numbers(number: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.append(number, -1)[place]
 
 
 def _count_trigrams(batches, shared):
-    model, tally = shared.value, _Tally(["c", "w"])
+    model, tally = shared.value, _Tally()
     for pdf in batches:
-        now, before, off = _numbered(model, pdf["text"].tolist())
-        number, _ = _bigram_numbers(model, now, before)
-        context = np.concatenate([[-1], number[:-1]]) if len(number) else number
-        context[off[:-1]] = -1
+        r = _Read.of(model, pdf["text"].tolist())
+        number, _, place = r.bigrams(model)
+        number = _token_numbers(number, place)
+        context = r.contexts(number)
         ok = (context >= 0) & (number >= 0)  # a trigram seen twice holds bigrams seen twice
-        yield from tally.add(context[ok], now[ok])
-    yield tally.fold()
+        for part in tally.add(model.key(context[ok], r.now[ok])):
+            yield _pairs(model, *part)
+    yield _pairs(model, *tally.fold())
 
 
 def _write_words(key, pdf, folder):
@@ -362,21 +403,26 @@ def evaluate(model: Model, texts: list[str | None]) -> pd.DataFrame:
         n = np.diff(_tokens(texts)[1])
         base = n * (np.log10(0.5) - np.log10(0.5))
         return pd.DataFrame({"n_tokens": n, "n_known": 0, "base_score": base, "score": base})
-    now, before, off = _numbered(model, texts)
-    (own,), back = _distinct(now + 1)
-    c = model.counts(1, own.astype(np.int64) - 1)[back]
-    p1 = (c + 0.5) / (model.tokens + 0.5 * (model.types + 1))
-    number, share = _bigram_numbers(model, now, before)
-    (b,), back = _distinct(before + 1)
-    p2 = share + model.weights(1, b.astype(np.int64) - 1)[back] * p1
-    context = np.concatenate([[-1], number[:-1]])
-    context[off[:-1]] = -1
+    r = _Read.of(model, texts)
+    c = r.counts[r.back]
+    p1 = (r.counts + 0.5) / (model.tokens + 0.5 * (model.types + 1))
+    left = model.weights(1, np.where(r.counts >= LEAST, r.known, -1))  # what each word as context leaves
+    before = np.concatenate([[0], r.back[:-1]])
+    weight = left[before]
+    weight[r.off[:-1]] = model.first_weight
+    number, share, place = r.bigrams(model)
+    p1 = p1[r.back]
+    p2 = np.append(share, 0.0)[place] + weight * p1
+    context = r.contexts(_token_numbers(number, place))
     p3 = p2.copy()
     has = np.flatnonzero(context >= 0)
-    (x, y), back = _distinct(context[has], now[has])
-    _, share = model.search(3, x, y)
-    (z,), back2 = _distinct(context[has])
-    p3[has] = share[back] + model.weights(2, z)[back2] * p2[has]
+    rest = np.append(model.weights(2, number), 1.0)[place]  # what each bigram as context leaves
+    p3[has] = rest[has - 1] * p2[has]
+    sure = has[r.now[has] >= 0]
+    key, back = _runs(model.key(context[sure], r.now[sure]))
+    _, share = model.search(3, *model.unkey(key))
+    p3[sure] += share[back]
+    off = r.off
     add = lambda v: np.add.reduceat(v, off[:-1])  # noqa: E731  every text has its end token
     return pd.DataFrame({"n_tokens": np.diff(off), "n_known": add((c > 0).astype(np.int64)), "base_score": add(np.log10(p1)), "score": add(np.log10(np.maximum(p3, 1e-300)))})
 
