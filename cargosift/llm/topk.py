@@ -143,13 +143,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1
                 got.append(r | {"low": low.tobytes(), "need": float(need.min()) * (1 - 1e-9)})
             yield pd.DataFrame(got, columns=["dim", "q_blk", "q_ids", "q_vecs", "q_axes", "low", "need"])
 
-    owner = qb.mapInPandas(_owners, "q_blk long, query_id long")
-    known = owner.join(kth, "query_id").groupBy("q_blk").agg(F.collect_list(F.struct("query_id", "kth")).alias("known"))  # at most query_block entries
-    armed = qb.drop("q_norm").join(known, "q_blk", "left").mapInPandas(lows, "dim int, q_blk long, q_ids binary, q_vecs binary, q_axes binary, low binary, need double")
+    owner = qb.mapInPandas(_owners, "dim int, q_blk long, query_id long")
+    known = owner.join(kth, "query_id").groupBy("dim", "q_blk").agg(F.collect_list(F.struct("query_id", "kth")).alias("known"))  # at most query_block entries
+    armed = qb.drop("q_norm").join(known, ["dim", "q_blk"], "left").mapInPandas(lows, "dim int, q_blk long, q_ids binary, q_vecs binary, q_axes binary, low binary, need double")
     armed = stored(armed, "topk-a")
     later = cb.join(first, ["dim", "blk"], "left_anti")
-    meets = armed.select("dim", "q_blk", "need").join(later.select("dim", "blk", "max_norm"), "dim").where("max_norm >= need").select("q_blk", "blk")
-    pairs = meets.join(armed, "q_blk").join(later.drop("dim"), "blk").repartition(4 * partitions(spark), "q_blk", "blk")
+    meets = armed.select("dim", "q_blk", "need").join(later.select("dim", "blk", "max_norm"), "dim").where("max_norm >= need").select("dim", "q_blk", "blk")
+    pairs = meets.join(armed, ["dim", "q_blk"]).join(later, ["dim", "blk"]).repartition(4 * partitions(spark), "q_blk", "blk")
     rest = pairs.mapInPandas(lambda it: _score(it, k, head, out), out)
     every = seed.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
@@ -160,4 +160,4 @@ def _owners(batches):
     for pdf in batches:
         for r in pdf.itertuples():
             ids = np.unique(np.frombuffer(r.q_ids, np.int64))
-            yield pd.DataFrame({"q_blk": r.q_blk, "query_id": ids})
+            yield pd.DataFrame({"dim": r.dim, "q_blk": r.q_blk, "query_id": ids})
