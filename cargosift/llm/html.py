@@ -177,7 +177,7 @@ def render(page: str | None) -> str:
         elif name in ("li", "blockquote", "dd") and kept is not None:
             out[-1].prefix, out[-1].mark = kept, ""
         if name in BLOCK:
-            out[-1].brk(2 if name in WIDE and not (name in ("ul", "ol") and lists) else 1)
+            out[-1].brk(2 if name in WIDE and not ((name in ("ul", "ol") and lists) or (name == "table" and tables)) else 1)
 
     def end(names: set, scope) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -253,7 +253,7 @@ def render(page: str | None) -> str:
         hidden += hid
         if not hidden:
             if name in BLOCK:
-                out[-1].brk(2 if name in WIDE and not (name in ("ul", "ol") and lists) else 1)
+                out[-1].brk(2 if name in WIDE and not ((name in ("ul", "ol") and lists) or (name == "table" and tables)) else 1)
             if name in ("ul", "ol", "menu"):
                 start = attrs.get("start", "1")
                 lists.append([name == "ol", int(start) if start.lstrip("-").isdigit() and len(start) < 10 else 1])
