@@ -19,11 +19,11 @@ from .common import components, partitions, prepare, stored
 from .text import U, mix, shingle_hashes, word_hashes
 
 SIZE = 5
-ROWS = 4
+ROWS = 3
 BUCKET = 128
 
 
-def bands(threshold: float, recall: float = 0.998, rows: int = ROWS) -> int:
+def bands(threshold: float, recall: float = 0.9999, rows: int = ROWS) -> int:
     """Least number of bands of that many rows that find a pair at the threshold with probability recall."""
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 

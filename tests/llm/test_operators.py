@@ -298,7 +298,7 @@ def test_paragraphs(spark):
 
 def test_bands():
     b = paragraphs.bands(0.8)
-    assert 1 - (1 - 0.8**paragraphs.ROWS) ** b >= 0.998 > 1 - (1 - 0.8**paragraphs.ROWS) ** (b - 1)
+    assert 1 - (1 - 0.8**paragraphs.ROWS) ** b >= 0.9999 > 1 - (1 - 0.8**paragraphs.ROWS) ** (b - 1)
 
 
 # 8 lines
@@ -442,7 +442,9 @@ def test_html_rows(spark, sf_dir):
         want = re.sub(r"<[^>]*>", " ", body)
         import html as h
 
-        assert Counter(w for w in h.unescape(want).split()) == Counter(w for w in re.sub(r"(?m)^\s*- ", "", r.text).split() if w != "|")
+        # pages write bars between links themselves, and cells are parted by more of them
+        want, got = Counter(h.unescape(want).split()), Counter(re.sub(r"(?m)^\s*- ", "", r.text).split())
+        assert want.pop("|", 0) <= got.pop("|", 0) and want == got
 
 
 def test_oracles(spark, sf_dir):
