@@ -52,6 +52,17 @@ class Index:
     k: int
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
+    def __getstate__(self) -> dict:
+        """Most weights are zero; only the others travel to the workers."""
+        term, place = np.nonzero(self.weights)
+        return self.__dict__ | {"weights": (self.weights.shape, term.astype(np.int32), place.astype(np.int32), self.weights[term, place])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, term, place, values = state["weights"]
+        weights = np.zeros(shape)
+        weights[term, place] = values
+        self.__dict__.update(state | {"weights": weights})
+
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         at, w = [], []
         for t, n in found.items():
