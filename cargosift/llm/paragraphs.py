@@ -1,9 +1,10 @@
 """Repeated paragraphs by MinHash banding, exact Jaccard similarity and connected components.
 
 Equal paragraphs fold into one row first. Bands are tuned for recall at the threshold; distinct paragraphs
-that share a band meet in its bucket. Buckets are cut into blocks, blocks of one bucket meet pairwise, and a
-task compares the shingle sets of paragraphs it has not joined yet, so that it reports a spanning forest of
-the verified links and not every pair.
+that share a band meet in its bucket. Each is first compared with its buckets' heads, which joins most of a large
+group at a linear price. Buckets that still hold several components are cut into blocks; blocks meet unless
+both are of one component, and a task compares shingle sets of components it has not joined yet, so that it
+reports a spanning forest of the verified links and not every pair.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, partitions, prepare, stored
@@ -72,13 +73,13 @@ def _signed(batches, min_words, n_bands):
 
 
 def _verified(batches, threshold):
-    """Spanning forest of the pairs at the threshold in a block of paragraphs, or between two."""
+    """Pairs of components that a pair at the threshold joins, in a block of paragraphs or between two."""
     for pdf in batches:
         out = []
         for r in pdf.itertuples():
-            left = [(m["key"], frozenset(m["shingles"])) for m in r.m1]
-            right = left if r.c1 == r.c2 else [(m["key"], frozenset(m["shingles"])) for m in r.m2]
-            root = {k: k for k, _ in left} | {k: k for k, _ in right}
+            left = [(m["component"], m["key"], frozenset(m["shingles"])) for m in r.m1]
+            right = left if r.c1 == r.c2 else [(m["component"], m["key"], frozenset(m["shingles"])) for m in r.m2]
+            root = {c: c for c, _, _ in left} | {c: c for c, _, _ in right}
 
             def find(x, root=root):
                 while root[x] != x:
@@ -86,13 +87,13 @@ def _verified(batches, threshold):
                     x = root[x]
                 return x
 
-            for i, (a, s) in enumerate(left):
-                for b, t in right[i + 1 :] if right is left else right:
-                    if min(len(s), len(t)) < threshold * max(len(s), len(t)) or (x := find(a)) == (y := find(b)):
+            for i, (f, _, s) in enumerate(left):
+                for g, _, t in right[i + 1 :] if right is left else right:
+                    if min(len(s), len(t)) < threshold * max(len(s), len(t)) or (x := find(f)) == (y := find(g)):
                         continue
                     both = len(s & t)
                     if both >= threshold * (len(s) + len(t) - both) - 1e-12:
-                        out.append((a, b))
+                        out.append((f, g))
                         root[max(x, y)] = min(x, y)
         yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
@@ -114,10 +115,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
     schema = "row long, doc_id long, paragraph long, n_words long, key long, " + ", ".join(f"{c} long" for c in cols)
     signed = stored(source.mapInPandas(lambda it: _signed(it, min_words, n_bands), schema), "paragraphs-p")
     distinct = signed.groupBy("key").agg(*[F.min(c).alias(c) for c in cols], F.min("row").alias("row"))  # equal keys have equal bands
-    w = Window.partitionBy("bucket").orderBy("key")
     opened = distinct.select("key", F.explode(F.array(*cols)).alias("bucket"))
-    marked = opened.select("bucket", "key", F.row_number().over(w).alias("n"), F.lag("key").over(w).alias("before"), F.lead("key").over(w).alias("after"))
-    met = stored(marked.where("before is not null or after is not null").select("bucket", "key", F.floor((F.col("n") - 1) / BUCKET).cast("long").alias("chunk")), "paragraphs-m")
+    heads = opened.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = stored(opened.join(heads, "bucket"), "paragraphs-m")
     # Shingles of the paragraphs that met: one place of each, then the texts of those places.
     wanted = distinct.select("key", "row").join(met.select("key").distinct(), "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))
 
@@ -133,19 +133,33 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
             yield pd.DataFrame(out, columns=["key", "shingles"])
 
     sets = stored(source.join(wanted, "row").select("text", "keys").mapInPandas(shingled, "key long, shingles array<long>").dropDuplicates(["key"]), "paragraphs-s")
-    blocks = met.join(sets, "key").groupBy("bucket", "chunk").agg(F.collect_list(F.struct("key", "shingles")).alias("m"))  # at most BUCKET paragraphs
+    # First each paragraph against the head of its buckets: what that joins needs no further pairs in a bucket.
+    head_sets = sets.select(F.col("key").alias("head"), F.col("shingles").alias("head_shingles"))
+    stars = met.where("key <> head").select("key", "head").distinct().join(sets, "key").join(head_sets, "head")
+    shared, total = F.size(F.array_intersect("shingles", "head_shingles")), F.size("shingles") + F.size("head_shingles")
+    near = stored(stars.where(shared >= threshold * (total - shared) - 1e-12).select(F.col("key").alias("a"), F.col("head").alias("b")), "paragraphs-n")
+    part = stored(components(near), "paragraphs-c")
+    own = met.join(part.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+    sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("n") <= BUCKET, F.col("n"))).alias("small")).where("parts > 1")
+    # Chunks of about BUCKET paragraphs: large parts have their own, small ones share; chunks of one part do not meet.
+    large = F.when(F.col("n") > BUCKET, F.col("component"))
+    chunk = F.when(large.isNotNull(), F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BUCKET).cast("long"))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / BUCKET).cast("long")))
+    dealt = own.join(sizes.join(mixed, "bucket"), ["bucket", "component"]).select("bucket", "key", "component", large.alias("part"), F.concat_ws(":", large.cast("string"), chunk.cast("string")).alias("chunk"))
+    blocks = dealt.join(sets, "key").groupBy("bucket", "part", "chunk").agg(F.collect_list(F.struct("key", "component", "shingles")).alias("m"))
     blocks = stored(blocks, "paragraphs-b")
-    side = lambda n: blocks.select("bucket", F.col("chunk").alias(f"c{n}"), F.col("m").alias(f"m{n}"))
-    pairs = side(1).select("bucket", "c1", "m1", F.col("c1").alias("c2"), F.slice("m1", 1, 0).alias("m2")).where(F.size("m1") > 1)
-    more = side(1).join(side(2), "bucket").where("c1 < c2").select("bucket", "c1", "m1", "c2", "m2")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    side = lambda n: blocks.select("bucket", F.col("part").alias(f"p{n}"), F.col("chunk").alias(f"c{n}"), F.col("m").alias(f"m{n}"))
+    pairs = side(1).where("p1 is null and size(m1) > 1").select("bucket", "c1", "m1", F.col("c1").alias("c2"), F.slice("m1", 1, 0).alias("m2"))
+    more = side(1).join(side(2), "bucket").where("c1 < c2 and (p1 is null or p2 is null or p1 <> p2)").select("bucket", "c1", "m1", "c2", "m2")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     both = pairs.unionByName(more).repartition(2 * partitions(spark), "bucket", "c1", "c2")
     links = stored(both.mapInPandas(lambda it: _verified(it, threshold), "a long, b long"), "paragraphs-l")
     prepare(spark)
     comp = stored(components(links), "paragraphs-c")
     places = signed.select("key", "row", "doc_id", "paragraph", "n_words").distinct()
     per = places.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph", "row")).alias("first"), F.count("*").alias("n"))
-    named = per.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key"))
+    first_part = per.join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
+    named = first_part.join(comp.withColumnRenamed("node", "part"), "part", "left").withColumn("class", F.coalesce("component", "part"))
     whole = named.groupBy("class").agg(F.min("first").alias("lead"), F.sum("n").alias("n_class")).where("n_class > 1")
     known = named.join(whole, "class").select("key", "lead", "n_class")
     first = (F.col("row") == F.col("lead.row")) & (F.col("paragraph") == F.col("lead.paragraph"))
