@@ -296,6 +296,33 @@ def test_paragraphs(spark):
     assert paragraphs.repeated(none(spark)).count() == 0 and paragraphs.repeated(odd(spark)).count() == 0
 
 
+def test_paragraphs_that_drift_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(paragraphs, "BUCKET", 3)  # large parts, small parts and many chunks on few rows
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for chain in range(4):
+        w = list(base)
+        for i in range(chain * 6):
+            w[5 * i % 60] = f"start{chain}"
+        for step in range(20):
+            w[rng.randrange(60)] = f"x{chain}y{step}"
+            docs.append((len(docs), " ".join(w)))
+    found = [t.split() for _, t in docs]
+    sets, shingle = Sets(), [set(zip(*(w[k:] for k in range(5)))) for w in found]
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        n = len(shingle[a] & shingle[b])
+        if n >= 0.8 * (len(shingle[a]) + len(shingle[b]) - n):
+            sets.join(a, b)
+    sizes = Counter(sets.find(i) for i in range(len(docs)))
+    first = {}
+    for i in range(len(docs)):
+        first.setdefault(sets.find(i), i)
+    want = {i: first[sets.find(i)] for i in range(len(docs)) if sizes[sets.find(i)] > 1}
+    got = {r.doc_id: r.class_doc_id for r in paragraphs.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_bands():
     b = paragraphs.bands(0.8)
     assert 1 - (1 - 0.8**paragraphs.ROWS) ** b >= 0.9999 > 1 - (1 - 0.8**paragraphs.ROWS) ** (b - 1)
