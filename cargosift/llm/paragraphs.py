@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, partitions, prepare, stored
-from .text import U, mix, shingle_hashes, word_hashes
+from .text import U, minima, sequence_keys, shingle_hashes, word_hashes
 
 SIZE = 5
 ROWS = 3
@@ -29,10 +29,6 @@ def bands(threshold: float, recall: float = 0.9999, rows: int = ROWS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def _constants(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-
-
 def paragraphs(texts: list[str | None], min_words: int):
     """For all paragraphs of min_words or more: text number, place, words, key, and shingles with offsets."""
     owner, place, parts = [], [], []
@@ -51,24 +47,18 @@ def paragraphs(texts: list[str | None], min_words: int):
     w, off = w[take.astype(np.int64)], np.concatenate([[0], np.cumsum(n)])
     if not len(n):
         return owner, place, n, np.zeros(0, np.int64), np.zeros(0, U), np.zeros(1, np.int64)
-    at = np.arange(len(w)) - np.repeat(off[:-1], n)
-    key = mix(np.add.reduceat(mix(w + _constants(int(n.max()))[at]), off[:-1]) + n.astype(U))
+    key = sequence_keys(w, off)
     h, so = shingle_hashes(w, off, SIZE)
     return owner, place, n, key.view(np.int64), h, so
 
 
 def _signed(batches, min_words, n_bands):
     """Paragraph rows with one hash for each band."""
-    mul, add = _constants(n_bands * ROWS) | U(1), _constants(2 * n_bands * ROWS)[n_bands * ROWS :]
     for pdf in batches:
         owner, place, n, key, h, so = paragraphs(pdf["text"].tolist(), min_words)
         out = {"row": pdf["row"].to_numpy()[owner], "doc_id": pdf["doc_id"].to_numpy()[owner], "paragraph": place, "n_words": n, "key": key}
-        for b in range(n_bands):
-            total = np.full(len(n), b + 1, U)
-            for r in range(b * ROWS, (b + 1) * ROWS):
-                low = np.minimum.reduceat(mix(h * mul[r] + add[r]), so[:-1]) if len(n) else np.zeros(0, U)
-                total = mix(total * U(0xD6E8FEB86659FD93) + low)
-            out[f"b{b}"] = total.view(np.int64)
+        found = minima(h, so, n_bands, ROWS).view(np.int64) if len(n) else np.zeros((0, n_bands), np.int64)
+        out |= {f"b{b}": found[:, b] for b in range(n_bands)}
         yield pd.DataFrame(out)
 
 
@@ -98,6 +88,42 @@ def _verified(batches, threshold):
         yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
+def joined(opened: DataFrame, sets_of, threshold: float, block: int | None = None, batch: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Components of keys by similarity: first (node, component) of keys, then of those components.
+
+    opened: distinct keys (key, bucket) by band; sets_of gives (key, shingles) of a table of keys. Only pairs whose
+    shingle sets have a Jaccard similarity of at least threshold are linked.
+    """
+    spark, block = opened.sparkSession, block or BUCKET
+    heads = opened.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = stored(opened.join(heads, "bucket"), "paragraphs-m")
+    sets = stored(sets_of(met.select("key").distinct()), "paragraphs-s")
+    # First each paragraph against the head of its buckets: what that joins needs no further pairs in a bucket.
+    head_sets = sets.select(F.col("key").alias("head"), F.col("shingles").alias("head_shingles"))
+    stars = met.where("key <> head").select("key", "head").distinct().join(sets, "key").join(head_sets, "head")
+    shared, total = F.size(F.array_intersect("shingles", "head_shingles")), F.size("shingles") + F.size("head_shingles")
+    near = stored(stars.where(shared >= threshold * (total - shared) - 1e-12).select(F.col("key").alias("a"), F.col("head").alias("b")), "paragraphs-n")
+    part = stored(components(near), "paragraphs-c")
+    own = met.join(part.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+    sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("n") <= block, F.col("n"))).alias("small")).where("parts > 1")
+    # Chunks of about block paragraphs: large parts have their own, small ones share; chunks of one part do not meet.
+    large = F.when(F.col("n") > block, F.col("component"))
+    chunk = F.when(large.isNotNull(), F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / block).cast("long"))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / block).cast("long")))
+    dealt = own.join(sizes.join(mixed, "bucket"), ["bucket", "component"]).select("bucket", "key", "component", large.alias("part"), F.concat_ws(":", large.cast("string"), chunk.cast("string")).alias("chunk"))
+    blocks = dealt.join(sets, "key").groupBy("bucket", "part", "chunk").agg(F.collect_list(F.struct("key", "component", "shingles")).alias("m"))
+    blocks = stored(blocks, "paragraphs-b")
+    side = lambda n: blocks.select("bucket", F.col("part").alias(f"p{n}"), F.col("chunk").alias(f"c{n}"), F.col("m").alias(f"m{n}"))
+    pairs = side(1).where("p1 is null and size(m1) > 1").select("bucket", "c1", "m1", F.col("c1").alias("c2"), F.slice("m1", 1, 0).alias("m2"))
+    more = side(1).join(side(2), "bucket").where("c1 < c2 and (p1 is null or p2 is null or p1 <> p2)").select("bucket", "c1", "m1", "c2", "m2")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    both = pairs.unionByName(more).repartition(2 * partitions(spark), "bucket", "c1", "c2")
+    links = stored(both.mapInPandas(lambda it: _verified(it, threshold), "a long, b long"), "paragraphs-l")
+    prepare(spark)
+    comp = stored(components(links), "paragraphs-c")
+    return part, comp
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, min_words: int = 10) -> DataFrame:
     """Rows (doc_id, row, paragraph, n_words, class_doc_id, class_paragraph, n_class, removed): paragraphs that occur again.
 
@@ -116,10 +142,6 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
     signed = stored(source.mapInPandas(lambda it: _signed(it, min_words, n_bands), schema), "paragraphs-p")
     distinct = signed.groupBy("key").agg(*[F.min(c).alias(c) for c in cols], F.min("row").alias("row"))  # equal keys have equal bands
     opened = distinct.select("key", F.explode(F.array(*cols)).alias("bucket"))
-    heads = opened.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = stored(opened.join(heads, "bucket"), "paragraphs-m")
-    # Shingles of the paragraphs that met: one place of each, then the texts of those places.
-    wanted = distinct.select("key", "row").join(met.select("key").distinct(), "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))
 
     def shingled(batches):
         for pdf in batches:
@@ -132,30 +154,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
                     out.append((k, np.unique(h[so[i] : so[i + 1]]).view(np.int64)))
             yield pd.DataFrame(out, columns=["key", "shingles"])
 
-    sets = stored(source.join(wanted, "row").select("text", "keys").mapInPandas(shingled, "key long, shingles array<long>").dropDuplicates(["key"]), "paragraphs-s")
-    # First each paragraph against the head of its buckets: what that joins needs no further pairs in a bucket.
-    head_sets = sets.select(F.col("key").alias("head"), F.col("shingles").alias("head_shingles"))
-    stars = met.where("key <> head").select("key", "head").distinct().join(sets, "key").join(head_sets, "head")
-    shared, total = F.size(F.array_intersect("shingles", "head_shingles")), F.size("shingles") + F.size("head_shingles")
-    near = stored(stars.where(shared >= threshold * (total - shared) - 1e-12).select(F.col("key").alias("a"), F.col("head").alias("b")), "paragraphs-n")
-    part = stored(components(near), "paragraphs-c")
-    own = met.join(part.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("n") <= BUCKET, F.col("n"))).alias("small")).where("parts > 1")
-    # Chunks of about BUCKET paragraphs: large parts have their own, small ones share; chunks of one part do not meet.
-    large = F.when(F.col("n") > BUCKET, F.col("component"))
-    chunk = F.when(large.isNotNull(), F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BUCKET).cast("long"))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / BUCKET).cast("long")))
-    dealt = own.join(sizes.join(mixed, "bucket"), ["bucket", "component"]).select("bucket", "key", "component", large.alias("part"), F.concat_ws(":", large.cast("string"), chunk.cast("string")).alias("chunk"))
-    blocks = dealt.join(sets, "key").groupBy("bucket", "part", "chunk").agg(F.collect_list(F.struct("key", "component", "shingles")).alias("m"))
-    blocks = stored(blocks, "paragraphs-b")
-    side = lambda n: blocks.select("bucket", F.col("part").alias(f"p{n}"), F.col("chunk").alias(f"c{n}"), F.col("m").alias(f"m{n}"))
-    pairs = side(1).where("p1 is null and size(m1) > 1").select("bucket", "c1", "m1", F.col("c1").alias("c2"), F.slice("m1", 1, 0).alias("m2"))
-    more = side(1).join(side(2), "bucket").where("c1 < c2 and (p1 is null or p2 is null or p1 <> p2)").select("bucket", "c1", "m1", "c2", "m2")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    both = pairs.unionByName(more).repartition(2 * partitions(spark), "bucket", "c1", "c2")
-    links = stored(both.mapInPandas(lambda it: _verified(it, threshold), "a long, b long"), "paragraphs-l")
-    prepare(spark)
-    comp = stored(components(links), "paragraphs-c")
+    def sets_of(met_keys: DataFrame) -> DataFrame:
+        # One place of each paragraph that met, then the texts of those places.
+        wanted = distinct.select("key", "row").join(met_keys, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))
+        return source.join(wanted, "row").select("text", "keys").mapInPandas(shingled, "key long, shingles array<long>").dropDuplicates(["key"])
+
+    part, comp = joined(opened, sets_of, threshold)
     places = signed.select("key", "row", "doc_id", "paragraph", "n_words").distinct()
     per = places.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph", "row")).alias("first"), F.count("*").alias("n"))
     first_part = per.join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")

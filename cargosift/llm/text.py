@@ -101,3 +101,30 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
 def distinct_per_text(h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct hashes of each text."""
     return [np.unique(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def constants(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
+def sequence_keys(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each text's words in order; zero for a text without words."""
+    n = np.diff(offsets)
+    out = np.zeros(len(n), U)
+    some = np.flatnonzero(n)
+    if len(some):
+        at = np.arange(len(words)) - np.repeat(offsets[:-1], n)
+        out[some] = mix(np.add.reduceat(mix(words + constants(int(n.max()))[at]), offsets[:-1][some]) + n[some].astype(U))
+    return out
+
+
+def minima(h: np.ndarray, offsets: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
+    """One hash for each text and band, of the least of rows permutations; no text is empty."""
+    mul, add = constants(n_bands * rows) | U(1), constants(2 * n_bands * rows)[n_bands * rows :]
+    out = np.zeros((len(offsets) - 1, n_bands), U)
+    for b in range(n_bands):
+        total = np.full(len(out), b + 1, U)
+        for r in range(b * rows, (b + 1) * rows):
+            total = mix(total * U(0xD6E8FEB86659FD93) + np.minimum.reduceat(mix(h * mul[r] + add[r]), offsets[:-1]))
+        out[:, b] = total
+    return out

@@ -504,3 +504,38 @@ def test_pipeline(spark, tmp_path):
     assert seen["line_dedup"] == seen["toxicity"] and set(range(60)) <= seen["simhash_near_dedup"]
     assert 101 not in seen["decontamination"] and set(range(60)) <= seen["sentencepiece"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen["sentencepiece"]
+
+
+def five_words(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def test_pipeline_near_copies(spark, tmp_path):
+    """Copies with two to five words replaced, at a similarity of 0.8 or more, go; those below stay."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    docs = []
+    for i in range(40):
+        w = prose(rng, rng.randint(120, 300)).split()
+        docs.append((i, " ".join(w)))
+        for j, n in enumerate((2, 3, 5, 30)):
+            x = list(w)
+            for at in rng.sample(range(len(x)), n):
+                x[at] = f"new{at}"
+            docs.append((1000 + 10 * i + j, " ".join(x)))
+    docs += [(5000, None), (5001, ""), (5002, docs[0][1].upper()), (None, docs[0][1]), docs[1]]
+    sets = Sets()
+    by_id = {d: t for d, t in docs if d is not None and t}
+    for a, b in itertools.combinations(sorted(by_id), 2):
+        x, y = five_words(by_id[a]), five_words(by_id[b])
+        if len(x & y) >= 0.8 * len(x | y):
+            sets.join(a, b)
+    want = sorted({sets.find(d) for d in by_id} | {5000})
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, str(tmp_path)).collect()]
+    assert got.count(None) == 1 and sorted(d for d in got if d is not None) == want
+    assert len(want) < 120
+    assert corpus_pipeline.drop_near_duplicates(spark, none(spark), str(tmp_path)).count() == 0
+    assert corpus_pipeline.drop_near_duplicates(spark, odd(spark), str(tmp_path)).count() == 4  # texts without words are one
