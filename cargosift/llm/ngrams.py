@@ -1,7 +1,7 @@
 """Trigram language model in an Elias-Fano trie of memory-mapped levels.
 
 Level 1 holds the training words in order of their hashes, as one Elias-Fano sequence with their counts as
-another (rising sums). Level 2 holds bigrams and level 3 trigrams, those seen twice or more: contexts, rising
+another (rising sums). Level 2 holds bigrams and level 3 trigrams, those seen least times or more: contexts, rising
 pointers from each context to its successors, and the successors, each an Elias-Fano sequence; a query finds
 its context, then searches the successor among that context's alone. An entry keeps the discounted share of
 its context, floor-quantised on a log scale in one byte; the weight that a context leaves to the lower order
@@ -85,6 +85,7 @@ class Model:
     base: list[list[int]]  # first number of each shard's entries, and the end, of levels 1 and 2
     tokens: int
     types: int
+    least: int = LEAST  # occurrences of the bigrams and trigrams kept
     first_weight: float = 1.0  # what the start of a text leaves to the unigram estimate
 
     def __getstate__(self):
@@ -234,7 +235,7 @@ class _Read:
         own, back = _runs(h)
         known = model.words(own)
         counts = model.counts(1, known)
-        number = np.where(counts >= LEAST, known, -1)  # words seen once are in no kept bigram
+        number = np.where(counts >= model.least, known, -1)  # rarer words are in no kept bigram
         now = number[back]
         before = np.concatenate([[0], now[:-1]]) if len(now) else now
         before[off[:-1]] = model.types
@@ -281,7 +282,7 @@ def _count_trigrams(batches, shared):
         number, _, place = r.bigrams(model)
         number = _token_numbers(number, place)
         context = r.contexts(number)
-        ok = (context >= 0) & (number >= 0)  # a trigram seen twice holds bigrams seen twice
+        ok = (context >= 0) & (number >= 0)  # a kept trigram holds kept bigrams
         for part in tally.add(model.key(context[ok], r.now[ok])):
             yield _pairs(model, *part)
     yield _pairs(model, *tally.fold())
@@ -330,7 +331,7 @@ def _write_weights(key, pdf, level, base, folder):
 def _level(counted: DataFrame, level: int, model: Model, starts: int) -> list[int]:
     """Builds level 2 or 3 from counts (c, w, n) and the weights of the level below; gives the sizes of its shards."""
     spark = counted.sparkSession
-    counted = counted.where(F.col("n") >= LEAST).persist()
+    counted = (counted.where(F.col("n") >= model.least) if model.least > 1 else counted).persist()
     shards = max(1, -(-counted.count() // SHARD))
     model.shards[level - 1] = shards
     shared, folder = spark.sparkContext.broadcast(model), model.folder
@@ -357,11 +358,11 @@ def _level(counted: DataFrame, level: int, model: Model, starts: int) -> list[in
     return [int(sizes.get(s, 0)) for s in range(shards)]
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
+def train(docs: DataFrame, text: str = "text", least: int = LEAST) -> Model:
     """Counts words, bigrams and trigrams of all texts (null as empty) and writes the trie's levels.
 
     Words are maximal runs without white space, A-Z in lower case, and every text ends in one end token. All
-    words are kept; bigrams and trigrams from two occurrences on, whatever the corpus size. Words are told
+    words are kept; bigrams and trigrams from least occurrences on, all of them at 1. Words are told
     apart by 64-bit hashes. Without rows the model has no tokens.
     """
     spark = docs.sparkSession
@@ -373,7 +374,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     words = texts.mapInPandas(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).persist()
     types, tokens, starts = words.agg(F.count("*"), F.sum("n"), F.max(F.when(F.col("h") == int(np.array([END], U).view(np.int64)[0]), F.col("n")))).first()
     shards = max(1, -(-types // SHARD))
-    model = Model(folder, [shards, 1, 1], [[0] * (shards + 1), [0, 0]], int(tokens or 0), int(types))
+    model = Model(folder, [shards, 1, 1], [[0] * (shards + 1), [0, 0]], int(tokens or 0), int(types), least)
 
     @F.pandas_udf("int")
     def placed(h: pd.Series) -> pd.Series:
@@ -406,7 +407,7 @@ def evaluate(model: Model, texts: list[str | None]) -> pd.DataFrame:
     r = _Read.of(model, texts)
     c = r.counts[r.back]
     p1 = (r.counts + 0.5) / (model.tokens + 0.5 * (model.types + 1))
-    left = model.weights(1, np.where(r.counts >= LEAST, r.known, -1))  # what each word as context leaves
+    left = model.weights(1, np.where(r.counts >= model.least, r.known, -1))  # what each word as context leaves
     before = np.concatenate([[0], r.back[:-1]])
     weight = left[before]
     weight[r.off[:-1]] = model.first_weight

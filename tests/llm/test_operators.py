@@ -539,3 +539,35 @@ def test_pipeline_near_copies(spark, tmp_path):
     assert len(want) < 120
     assert corpus_pipeline.drop_near_duplicates(spark, none(spark), str(tmp_path)).count() == 0
     assert corpus_pipeline.drop_near_duplicates(spark, odd(spark), str(tmp_path)).count() == 4  # texts without words are one
+
+
+def test_language_model_keeps_all(spark, tmp_path):
+    """op5 scores bigrams and trigrams that training holds once as the plain model does."""
+    rng = random.Random(32)
+    texts = [prose(rng, 12, "abc") for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op5_ngrams(spark, str(tmp_path)).collect()}
+    toks = {i: [*t.encode().split(), "end"] for i, t in enumerate(texts)}
+    uni, bi, tri, starts = Counter(), Counter(), Counter(), 0
+    for i, w in toks.items():
+        if not got[i].held_out:
+            x, starts = ["start", *w], starts + 1
+            uni.update(w), bi.update(zip(x, x[1:])), tri.update(zip(x, x[1:], x[2:]))
+    n, v = sum(uni.values()), len(uni)
+    floor = lambda s: max(c for c in ngrams._CODE if c <= s * (1 + 1e-12))
+    s2 = {k: floor((c - 0.75) / (starts if k[0] == "start" else uni[k[0]])) for k, c in bi.items()}
+    s3 = {k: floor((c - 0.75) / bi[k[:2]]) for k, c in tri.items()}
+    used2, used3 = Counter(), Counter()
+    for k, s in s2.items():
+        used2[k[0]] += s
+    for k, s in s3.items():
+        used3[k[:2]] += s
+    assert sum(c == 1 for c in tri.values()) > 100
+    for i, w in toks.items():
+        x, total = ["start", *w], 0.0
+        for j, t in enumerate(w):
+            p = s2.get((x[j], t), 0) + (1 - used2[x[j]]) * (uni[t] + 0.5) / (n + 0.5 * (v + 1))
+            if j and (x[j - 1], x[j]) in s2:
+                p = s3.get((x[j - 1], x[j], t), 0) + (1 - used3[x[j - 1], x[j]]) * p
+            total += math.log10(p)
+        assert got[i].score == pytest.approx(total, rel=1e-4)
