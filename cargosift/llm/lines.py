@@ -115,17 +115,18 @@ def edit_links(lines: DataFrame, max_edits: int = 2) -> DataFrame:
     return both.select("a", "b", edit_distance(F.col("p"), F.col("q"), max_edits).alias("edits")).where(F.col("edits") <= max_edits)
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_edits: int = 2, min_chars: int = 20) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_edits: int = 2, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
     """Rows (doc_id, row, line_no, class_doc_id, class_line_no, n_copies, n_links, removed): lines that occur again.
 
     Lines of at least min_chars characters that are equal or within max_edits edits of one another, directly
     or over others, are a class; the class is named by its first line in order of (doc_id, line_no), which
     alone stays (removed is false). n_copies counts the line's equal lines, itself included, n_links the other
-    line texts within max_edits. Only classes of two lines or more are returned. Shorter lines and null texts
-    take no part; repeated rows of one id and text count as one row. Lines are told apart by a 64-bit hash.
+    line texts within max_edits. Only classes of two lines or more are returned. With short_copies shorter lines take
+    part as exact copies, unless blank; without it they take no part, nor do null texts. Repeated rows of one id and text count as one row. Lines are told apart by a 64-bit hash.
     """
-    every = split_lines(docs, id_col, text).where(F.length("line") >= min_chars).withColumn("k", F.xxhash64("line"))
-    links = stored(edit_links(every.select("k", "line"), max_edits), "lines-l")
+    long = F.length("line") >= min_chars  # two edits of a shorter line may make another word of it
+    every = split_lines(docs, id_col, text).where(long | F.col("line").rlike(r"\S") if short_copies else long).withColumn("k", F.xxhash64("line"))
+    links = stored(edit_links(every.where(long).select("k", "line"), max_edits), "lines-l")
     comp = stored(components(links.select("a", "b")), "lines-c")
     places = every.select("k", "row", "doc_id", "line_no").distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links"))
@@ -139,9 +140,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_ed
     return out.select("doc_id", "row", "line_no", F.col("lead.doc_id").alias("class_doc_id"), F.col("lead.line_no").alias("class_line_no"), "n_copies", "n_links", (~first).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_edits: int = 2, min_chars: int = 20) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_edits: int = 2, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
     """docs with repeated lines cut from their texts; every row stays, with its other columns as they were."""
-    gone = repeated(docs, id_col, text, max_edits, min_chars).where("removed").groupBy("row").agg(F.collect_set("line_no").alias("_gone"))
+    gone = repeated(docs, id_col, text, max_edits, min_chars, short_copies).where("removed").groupBy("row").agg(F.collect_set("line_no").alias("_gone"))
     keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text)))
     joined = keyed.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
     lines = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))

@@ -51,7 +51,7 @@ def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated(table(spark, sf_dir, "documents")).drop("row")
+    return lines.repeated(table(spark, sf_dir, "documents"), short_copies=True).drop("row")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -571,3 +571,16 @@ def test_language_model_keeps_all(spark, tmp_path):
                 p = s3.get((x[j - 1], x[j], t), 0) + (1 - used3[x[j - 1], x[j]]) * p
             total += math.log10(p)
         assert got[i].score == pytest.approx(total, rel=1e-4)
+
+
+def test_short_lines(spark, tmp_path):
+    """op8 and the pipeline cut copies of short lines, not their near copies and not blank lines."""
+    import corpus_pipeline
+
+    rows = [(1, "short\n\n  \n漢字の行\none"), (2, "shorx\n\n  \n漢字の行"), (3, "short\nshort")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_copies, r.removed) for r in queries.op8_lines(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (1, 0, 3, False), (3, 0): (1, 0, 3, True), (3, 1): (1, 0, 3, True), (1, 3): (1, 3, 2, False), (2, 3): (1, 3, 2, True)}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}
+    assert kept == {1: rows[0][1], 2: "shorx\n\n  ", 3: ""}
