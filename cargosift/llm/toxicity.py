@@ -101,6 +101,8 @@ class Index:
                 near, cos = near[best], cos[best]
             best = np.lexsort((near, -cos))[: self.k]
             near, cos = near[best], cos[best]
+            if len(reach) > 0.6 * len(order):  # every example is scored
+                break
         return near, cos
 
     def vote(self, text: str | None, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:

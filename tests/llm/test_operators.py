@@ -584,3 +584,16 @@ def test_short_lines(spark, tmp_path):
     assert got == {(1, 0): (1, 0, 3, False), (3, 0): (1, 0, 3, True), (3, 1): (1, 0, 3, True), (1, 3): (1, 3, 2, False), (2, 3): (1, 3, 2, True)}
     kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}
     assert kept == {1: rows[0][1], 2: "shorx\n\n  ", 3: ""}
+
+
+@pytest.mark.parametrize("n", [300, 350])
+def test_nearest_of_five_and_six_blocks(spark, n):
+    """No example is among the nearest twice where the first blocks are most of all blocks."""
+    rng = random.Random(n)
+    docs = spark.createDataFrame([(i, prose(rng, 40, "abc") + (" vile" if i % 4 == 0 else "")) for i in range(n)], "doc_id long, text string")
+    ix = toxicity.learn(docs, docs.selectExpr("doc_id", "int(doc_id % 4 = 0) toxic"), k=15)
+    assert len(ix.labels) == n
+    for r in docs.limit(100).collect():
+        at, v = ix.vector(toxicity.terms(r.text))
+        cos = np.round(v @ ix.weights[at], 12)
+        assert ix.nearest(at, v)[0].tolist() == np.lexsort((np.arange(n), -cos))[:15].tolist()
