@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Examples live in an inverted index over a chosen vocabulary, cut into blocks of neighbours. Each term keeps
-its greatest weight in each block; the sum of a text's weights times those maxima bounds every cosine in a
-block, so blocks are opened in falling order of bound until the k-th best cosine found is above the next.
+Examples live in an inverted index over all their terms, cut into blocks of neighbours. Rarer terms are added
+up from their postings; the most frequent ones lie in a table and keep their greatest weight in each block. What
+a block's best example has of the rarer terms, and the sum of a text's weights times those maxima, bound every
+cosine in it, so blocks are opened in falling order of bound until the k-th best found is above the next.
 The neighbours' labels vote by the square of their cosine, and a monotone map fitted on the examples
 themselves (each without its own vote) turns votes into probabilities.
 """
@@ -27,6 +28,7 @@ BLOCK = 64
 OPENED = 4
 BINS = 50
 EVIDENCE = 5
+DENSE = 512  # most frequent terms whose weights lie in a table
 
 
 def terms(text: str | None) -> Counter:
@@ -37,31 +39,66 @@ def terms(text: str | None) -> Counter:
     return found
 
 
+class Postings:
+    """Weights of each term's examples, by term; postings[at] are the dense rows of terms."""
+
+    def __init__(self, term: np.ndarray, place: np.ndarray, value: np.ndarray, terms: int, examples: int):
+        order = np.lexsort((place, term))
+        self.start = np.searchsorted(term[order], np.arange(terms + 1))
+        self.place, self.value, self.examples = place[order].astype(np.int32), value[order], examples
+
+    def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms' postings, and how many each term has."""
+        n = self.start[at + 1] - self.start[at]
+        return np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        where, n = self._of(at)
+        out = np.zeros((len(at), self.examples))
+        out[np.repeat(np.arange(len(at)), n), self.place[where]] = self.value[where]
+        return out
+
+    def dot(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        where, n = self._of(at)
+        return np.bincount(self.place[where], weights=self.value[where] * np.repeat(v, n), minlength=self.examples)
+
+
 @dataclass
 class Index:
-    """Postings of examples in block order as a table of weights, labels, and each term's greatest weight by block."""
+    """Postings of examples in block order, labels, and the most frequent terms' table and greatest weights by block."""
 
     vocab: dict[str, int]
     idf: np.ndarray
-    weights: np.ndarray  # terms x examples
+    weights: Postings
     labels: np.ndarray
     ids: np.ndarray
-    top: np.ndarray  # terms x blocks
     prior: float
-    bare: float  # share of label 1 among examples without a term of the vocabulary
+    bare: float  # share of label 1 among examples without a term
     k: int
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
+    def __post_init__(self) -> None:
+        """The table is made from the postings, also where the index travelled to."""
+        n = np.diff(self.weights.start)
+        common = np.argsort(-n, kind="stable")[:DENSE]
+        common = common[n[common] * 16 >= self.weights.examples]
+        self._row = np.full(len(n), -1)
+        self._row[common] = np.arange(len(common))
+        self._table = self.weights[common]
+        self._blocks = max(1, -(-self.weights.examples // BLOCK))
+        self._top = self._by_block(self._table)
+
+    def _by_block(self, rows: np.ndarray) -> np.ndarray:
+        padded = np.zeros((len(rows), self._blocks * BLOCK))
+        padded[:, : rows.shape[1]] = rows
+        return padded.reshape(len(rows), self._blocks, BLOCK).max(axis=2)
+
     def __getstate__(self) -> dict:
-        """Most weights are zero; only the others travel to the workers."""
-        term, place = np.nonzero(self.weights)
-        return self.__dict__ | {"weights": (self.weights.shape, term.astype(np.int32), place.astype(np.int32), self.weights[term, place])}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def __setstate__(self, state: dict) -> None:
-        shape, term, place, values = state["weights"]
-        weights = np.zeros(shape)
-        weights[term, place] = values
-        self.__dict__.update(state | {"weights": weights})
+        self.__dict__.update(state)
+        self.__post_init__()
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         at, w = [], []
@@ -75,23 +112,26 @@ class Index:
 
     def nearest(self, at: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine, ties to the earlier one, and their cosines; skip is left out."""
-        bound = v @ self.top[at] + 1e-9
+        row = self._row[at]
+        rare = self.weights.dot(at[row < 0], v[row < 0])
+        row, v = row[row >= 0], v[row >= 0]
+        bound = v @ self._top[row] + self._by_block(rare[None])[0] + 1e-9
         order = np.argsort(-bound, kind="stable")
         near, cos = np.zeros(0, np.int64), np.zeros(0)
-        rows, n = self.weights[at], len(self.labels)
+        n = len(self.labels)
         # The few blocks of greatest bound give a k-th best cosine; then every block that can reach it.
         for turn in (order[:OPENED], order[OPENED:]):
             reach = turn[bound[turn] >= cos[-1]] if len(near) >= self.k else turn
             if not len(reach):
                 break
             if len(reach) > 0.6 * len(order):
-                new, own = np.arange(n), v @ rows
+                new, own = np.arange(n), v @ self._table[row] + rare
                 if len(near):
                     new, own = np.delete(new, seen), np.delete(own, seen)
             else:
                 new = (reach[:, None] * BLOCK + np.arange(BLOCK)).ravel()
                 new = new[new < n]
-                own = v @ rows[:, new]
+                own = v @ self._table[np.ix_(row, new)] + rare[new]
             seen = new  # of the first turn, when the second one opens all
             near, cos = np.concatenate([near, new]), np.concatenate([cos, np.round(own, 12)])
             if skip >= 0:
@@ -136,14 +176,12 @@ def _g2(pos, neg, n1, n0):
     return part(pos, (pos + neg) * n1 / n) + part(neg, (pos + neg) * n0 / n) + part(n1 - pos, (n - pos - neg) * n1 / n) + part(n0 - neg, (n - pos - neg) * n0 / n)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 8192, max_terms: int = 512, common_terms: int = 48, least_g2: float = 20.0, k: int = 15) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 8192, k: int = 15) -> Index:
     """Fits the index on labelled documents.
 
-    The fit is bounded by two parameters: about max_examples labelled rows, an even share by hash if there are
-    more, and max_terms terms, those most associated with the label (G2 at least least_g2, in 3 or more
-    examples) and the common_terms most frequent. Term statistics are of all examples. Rows without label or
-    document do not count; of several labels of one document the greatest holds. Without examples every score
-    is 0.
+    The fit is bounded by max_examples labelled rows, about so many, an even share by hash if there are more. All
+    their terms count; each term's document frequency is of all of docs. Rows without label or document do not
+    count; of several labels of one document the greatest holds. Without examples every score is 0.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -157,41 +195,47 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
     def held(texts: pd.Series) -> pd.Series:
         return pd.Series([list(terms(x)) for x in texts], dtype=object)
 
-    found = rows.select("y", held("text").alias("terms"))
     sizes = rows.agg(F.count("*"), F.sum("y")).first()
     total, n1 = int(sizes[0]), int(sizes[1] or 0)
     if not total:
-        return Index({}, np.zeros(0), np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 0)), 0.0, 0.0, k)
-    df = found.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("df", F.col("pos") + F.col("neg")).where("df >= 3")
-    df = df.withColumn("g2", _g2(F.col("pos").cast("double"), F.col("neg").cast("double"), float(n1), float(total - n1))).persist()
-    told = df.where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), "t").limit(max_terms - common_terms).select("t", "df").collect()
-    told += [r for r in df.orderBy(F.desc("df"), "t").limit(common_terms).select("t", "df").collect()]
-    df.unpersist()
-    chosen = dict(sorted({r.t: r.df for r in told}.items()))
-    vocab = {t: i for i, t in enumerate(chosen)}
-    idf = np.array([math.log((total + 1) / (d + 1)) + 1 for d in chosen.values()])
-
-    @F.pandas_udf("array<struct<i:int,n:int>>")
-    def kept(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"i": vocab[t], "n": n} for t, n in terms(x).items() if t in vocab] for x in texts], dtype=object)
-
-    got = rows.select("doc_id", "y", kept("text").alias("terms")).toPandas()  # the bounded examples over the bounded vocabulary
+        return Index({}, np.zeros(0), Postings(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k)
+    found = [r.t for r in rows.select(F.explode(held("text")).alias("t")).distinct().collect()]  # terms of the bounded examples
+    vocab = {t: i for i, t in enumerate(sorted(found))}
+    words = spark.sparkContext.broadcast(vocab)
+
+    def seen(batches):
+        known, df, n = words.value, np.zeros(len(words.value), np.int64), 0
+        for pdf in batches:
+            for t in pdf["text"]:
+                np.add.at(df, [known[x] for x in terms(t if isinstance(t, str) else None) if x in known], 1)
+            n += len(pdf)
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"i": np.append(at, -1), "n": np.append(df[at], n)})
+
+    counted = docs.select("text").mapInPandas(seen, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # of all documents
+    df = np.zeros(len(vocab) + 1, np.int64)
+    df[counted["i"].to_numpy()] = counted["n"].to_numpy()  # the last is the number of documents
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+
+    @F.pandas_udf("struct<i:array<int>,n:array<int>>")
+    def kept(texts: pd.Series) -> pd.DataFrame:
+        own = [{words.value[t]: n for t, n in terms(x).items()} for x in texts]
+        return pd.DataFrame({"i": [list(x) for x in own], "n": [list(x.values()) for x in own]})
+
+    got = rows.select("doc_id", "y", kept("text").alias("terms")).select("doc_id", "y", "terms.i", "terms.n").toPandas()  # the bounded examples
     vecs = []
-    for r in got.itertuples():
-        at = np.array([x["i"] for x in r.terms], np.int64)
-        v = np.array([(1 + math.log(x["n"])) * idf[x["i"]] for x in r.terms])
+    for i, m in zip(got["i"], got["n"], strict=True):
+        at = np.asarray(i, np.int64)
+        v = (1 + np.log(np.asarray(m, np.float64))) * idf[at]
         vecs.append((at, v / np.linalg.norm(v) if len(v) else v))
     full = [i for i, (at, _) in enumerate(vecs) if len(at)]
     full.sort(key=lambda i: (int(vecs[i][0][np.argmax(vecs[i][1])]), int(got["y"].iloc[i]), int(got["doc_id"].iloc[i])))  # neighbours share their strongest term
     bare = [int(got["y"].iloc[i]) for i, (at, _) in enumerate(vecs) if not len(at)]
     prior = n1 / total
-    weights = np.zeros((len(idf), len(full)))
-    for place, i in enumerate(full):
-        weights[vecs[i][0], place] = vecs[i][1]
-    top = np.zeros((len(idf), max(1, -(-len(full) // BLOCK))))
-    for b in range(-(-len(full) // BLOCK)):
-        top[:, b] = weights[:, b * BLOCK : (b + 1) * BLOCK].max(axis=1, initial=0)
-    index = Index(vocab, idf, weights, got["y"].to_numpy(np.float64)[full], got["doc_id"].to_numpy(np.int64)[full], top, prior, (sum(bare) + prior) / (len(bare) + 1), k)
+    joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    place = np.repeat(np.arange(len(full)), [len(vecs[i][0]) for i in full])
+    weights = Postings(joined([vecs[i][0] for i in full], np.int64), place, joined([vecs[i][1] for i in full], np.float64), len(idf), len(full))
+    index = Index(vocab, idf, weights, got["y"].to_numpy(np.float64)[full], got["doc_id"].to_numpy(np.int64)[full], prior, (sum(bare) + prior) / (len(bare) + 1), k)
     if full:
         places = {int(d): i for i, d in enumerate(index.ids)}
         shared = spark.sparkContext.broadcast(index)
@@ -209,12 +253,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
 def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     """Adds score (0 to 1), predicted (1 if score >= 0.5) and evidence (the nearest examples: doc_id, cosine, label).
 
-    Columns of these names are replaced. Null and empty texts, and texts without a term of the vocabulary, get
+    Columns of these names are replaced. Null and empty texts, and texts without a term of the examples, get
     the share of label 1 among such examples and no evidence.
     """
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(index)  # bounded by max_examples and max_terms
+    shared = spark.sparkContext.broadcast(index)  # bounded by max_examples
 
     @F.pandas_udf("struct<score:double,evidence:array<struct<doc_id:long,cosine:double,label:int>>>")
     def judged(texts: pd.Series) -> pd.DataFrame:

@@ -597,3 +597,17 @@ def test_nearest_of_five_and_six_blocks(spark, n):
         at, v = ix.vector(toxicity.terms(r.text))
         cos = np.round(v @ ix.weights[at], 12)
         assert ix.nearest(at, v)[0].tolist() == np.lexsort((np.arange(n), -cos))[:15].tolist()
+
+
+def test_toxicity_uses_all_terms(spark):
+    """Terms of one example alone find it, and term weights are of all documents, not of the labelled ones."""
+    rng = random.Random(33)
+    rows = [(i, prose(rng, 20, "abcd") + f" only{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ix = toxicity.learn(docs, docs.where("doc_id < 300").selectExpr("doc_id", "int(doc_id % 4 = 0) toxic"))
+    df = Counter(t for _, x in rows for t in toxicity.terms(x))
+    assert set(ix.vocab) == {t for _, x in rows[:300] for t in toxicity.terms(x)}
+    for t, i in ix.vocab.items():
+        assert ix.idf[i] == pytest.approx(math.log(601 / (df[t] + 1)) + 1)
+    got = toxicity.score(spark.createDataFrame([(1, "only7"), (2, "only8 only8")], "doc_id long, text string"), ix).orderBy("doc_id").collect()
+    assert [[e.doc_id for e in r.evidence] for r in got] == [[7], [8]]
