@@ -331,15 +331,17 @@ def x2_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x1_screen(spark: SparkSession, d: str) -> DataFrame:
-    """Shipments screened as a stream, row by row with the batch code (no fuzzy parties, which need a distinct)."""
+    """Shipments screened as a stream: every micro-batch with the batch code, parties included, each batch written in place."""
     src, out = _scratch(spark), _scratch(spark)
     bridge.shipments(spark, d).write.parquet(src)
     stream = streams.parquet_stream(spark, src, spark.read.parquet(src).schema, 8)
-    rows = stream.withColumn("hits", M.keyword_hits(F.col("description"), TAXONOMY)).withColumn("classification", M.classify(F.col("logits"))).withColumn("matches", F.array().cast(f"array<{schemas.MATCH}>")).withColumn("risk", D.legacy_risk(S))
-    branch, action, _ = D.routed(S)
-    q = rows.select("id", branch.alias("branch"), action.alias("action")).writeStream.option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).format("parquet").start(out)
+
+    def each(batch: DataFrame, number: int) -> None:
+        rt1_router(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("id string, branch int, action string").parquet(out)
+    return spark.read.schema("id string, branch int, action string").parquet(f"{out}/batch=*")
 
 
 def f21_parsers(spark: SparkSession, d: str) -> DataFrame:

@@ -209,3 +209,11 @@ def test_gate(spark):
     assert learning.gate(learning.class_metrics(good)).first().passed
     bad = spark.createDataFrame([(0, 0), (1, 0)], "label int, prediction int")
     assert learning.gate(learning.class_metrics(bad)).first().failures == ["allow_precision", "restricted_recall"]
+
+
+def test_stream_screens_as_batch_does(spark, sf_dir):
+    from cargosift.plans import queries
+
+    got = sorted(tuple(r) for r in queries.x1_screen(spark, sf_dir).collect())
+    want = sorted(tuple(r) for r in queries.QUERIES["op_RT1_router"](spark, sf_dir).collect())
+    assert got == want and any(r[1] in (2, 4) for r in got)
