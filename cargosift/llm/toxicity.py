@@ -43,8 +43,9 @@ class Postings:
     """Weights of each term's examples, by term; postings[at] are the dense rows of terms."""
 
     def __init__(self, term: np.ndarray, place: np.ndarray, value: np.ndarray, terms: int, examples: int):
-        order = np.lexsort((place, term))
-        self.start = np.searchsorted(term[order], np.arange(terms + 1))
+        """place in rising order."""
+        order = np.argsort(term, kind="stable")
+        self.start = np.append(0, np.cumsum(np.bincount(term, minlength=terms)))
         self.place, self.value, self.examples = place[order].astype(np.int32), value[order], examples
 
     def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +78,8 @@ class Index:
     k: int
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
-    def __post_init__(self) -> None:
-        """The table is made from the postings, also where the index travelled to."""
+    def _open(self) -> None:
+        """The table is made from the postings where the index is used."""
         n = np.diff(self.weights.start)
         common = np.argsort(-n, kind="stable")[:DENSE]
         common = common[n[common] * 16 >= self.weights.examples]
@@ -96,10 +97,6 @@ class Index:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.__post_init__()
-
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         at, w = [], []
         for t, n in found.items():
@@ -112,6 +109,8 @@ class Index:
 
     def nearest(self, at: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine, ties to the earlier one, and their cosines; skip is left out."""
+        if not hasattr(self, "_table"):
+            self._open()
         row = self._row[at]
         rare = self.weights.dot(at[row < 0], v[row < 0])
         row, v = row[row >= 0], v[row >= 0]
@@ -199,8 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
     total, n1 = int(sizes[0]), int(sizes[1] or 0)
     if not total:
         return Index({}, np.zeros(0), Postings(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k)
-    found = [r.t for r in rows.select(F.explode(held("text")).alias("t")).distinct().collect()]  # terms of the bounded examples
+    found = rows.select(F.explode(held("text")).alias("t")).distinct().toArrow()["t"].to_pylist()  # terms of the bounded examples
     vocab = {t: i for i, t in enumerate(sorted(found))}
+    del found
     words = spark.sparkContext.broadcast(vocab)
 
     def seen(batches):
@@ -222,21 +222,29 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
         own = [{words.value[t]: n for t, n in terms(x).items()} for x in texts]
         return pd.DataFrame({"i": [list(x) for x in own], "n": [list(x.values()) for x in own]})
 
-    got = rows.select("doc_id", "y", kept("text").alias("terms")).select("doc_id", "y", "terms.i", "terms.n").toPandas()  # the bounded examples
-    vecs = []
-    for i, m in zip(got["i"], got["n"], strict=True):
-        at = np.asarray(i, np.int64)
-        v = (1 + np.log(np.asarray(m, np.float64))) * idf[at]
-        vecs.append((at, v / np.linalg.norm(v) if len(v) else v))
-    full = [i for i, (at, _) in enumerate(vecs) if len(at)]
-    full.sort(key=lambda i: (int(vecs[i][0][np.argmax(vecs[i][1])]), int(got["y"].iloc[i]), int(got["doc_id"].iloc[i])))  # neighbours share their strongest term
-    bare = [int(got["y"].iloc[i]) for i, (at, _) in enumerate(vecs) if not len(at)]
+    got = rows.select("doc_id", "y", kept("text").alias("terms")).select("doc_id", "y", "terms.i", "terms.n").toArrow()  # the bounded examples
+    y, ids = got["y"].to_numpy().astype(np.int64), got["doc_id"].to_numpy().astype(np.int64)
+    lists = got["i"].combine_chunks()
+    size, term = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
+    value = np.log(got["n"].combine_chunks().flatten().to_numpy().astype(np.float64))
+    value += 1
+    value *= idf[term]
+    del got
+    off = np.append(0, np.cumsum(size))
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        value[a:b] /= max(np.linalg.norm(value[a:b]), 1e-300)
+    full = np.flatnonzero(size)
+    strongest = np.array([term[off[i] + np.argmax(value[off[i] : off[i + 1]])] for i in full], np.int64)
+    full = full[np.lexsort((ids[full], y[full], strongest))]  # neighbours share their strongest term
+    bare = y[size == 0].tolist()
     prior = n1 / total
-    joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    place = np.repeat(np.arange(len(full)), [len(vecs[i][0]) for i in full])
-    weights = Postings(joined([vecs[i][0] for i in full], np.int64), place, joined([vecs[i][1] for i in full], np.float64), len(idf), len(full))
-    index = Index(vocab, idf, weights, got["y"].to_numpy(np.float64)[full], got["doc_id"].to_numpy(np.int64)[full], prior, (sum(bare) + prior) / (len(bare) + 1), k)
-    if full:
+    place = np.repeat(np.arange(len(full), dtype=np.int32), size[full])
+    take = np.repeat(off[full] - np.append(0, np.cumsum(size[full]))[:-1], size[full]) + np.arange(len(place))
+    weights = Postings(term[take], place, value[take], len(idf), len(full))
+    del term, value, place, take
+    index = Index(vocab, idf, weights, y[full].astype(np.float64), ids[full], prior, (sum(bare) + prior) / (len(bare) + 1), k)
+    words.unpersist()
+    if len(full):
         places = {int(d): i for i, d in enumerate(index.ids)}
         shared = spark.sparkContext.broadcast(index)
 
@@ -245,6 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
             return pd.Series([shared.value.vote(t, places.get(int(d), -1))[0] for d, t in zip(ids, texts, strict=True)])
 
         bins = rows.select("y", without_own("doc_id", "text").alias("v")).groupBy(F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).alias("b")).agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.avg("v").alias("v")).orderBy("v").collect()
+        shared.unpersist()
         x, c = np.array([r.v for r in bins]), np.array([r.n for r in bins], float)
         index.steps = (x, _monotone(x, (np.array([float(r.y) for r in bins]) + prior) / (c + 1), c))
     return index
