@@ -4,7 +4,7 @@ Examples live in an inverted index over all their terms, cut into blocks of neig
 up from their postings; the most frequent ones lie in a table and keep their greatest weight in each block. What
 a block's best example has of the rarer terms, and the sum of a text's weights times those maxima, bound every
 cosine in it, so blocks are opened in falling order of bound until the k-th best found is above the next.
-The neighbours' labels vote by the square of their cosine, and a monotone map fitted on the examples
+The neighbours' labels vote by the square of their cosine over the nearest one's, and a monotone map fitted on the examples
 themselves (each without its own vote) turns votes into probabilities.
 """
 
@@ -149,7 +149,7 @@ class Index:
         if not len(at) or not len(self.labels):
             return self.bare, np.zeros(0, np.int64), np.zeros(0)
         near, cos = self.nearest(at, v, skip)
-        w = cos * cos
+        w = (cos / cos.max(initial=1e-9)) ** 2  # of the nearest: with all terms every cosine of unlike texts is small
         return float((w @ self.labels[near] + self.prior) / (w.sum() + 1)), near, cos
 
     def calibrated(self, vote: float) -> float:
