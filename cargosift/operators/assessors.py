@@ -1,37 +1,83 @@
 """The nine risk dimensions, each a struct column (dimension, severity, score, signals, summary).
 
 A dimension is a list of conditional signals in a fixed order, their weighted mean, and a summary. The wide row
-holds the shipment's columns, hits, classification, matches, ai, and countries (the map of country facts).
+holds the shipment's columns, hits, classification, matches, ai, and places (country facts, see with_places).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargosift.config import DUAL_USE_CHAPTERS, DUAL_USE_KEYWORDS, HS_CHAPTERS, Screening
 from cargosift.functions import expressions as E
 
-Assessor = Callable[[Screening], Column]
 _col, _lit, _cat = F.col, F.lit, F.concat
 
 
-def _result(dimension: str, found: Column, summary: Callable[[Column, Column], Column], force: Callable[[Column], Column] | None = None, score: Callable[[Column], Column] | None = None) -> Column:
-    """Scores the signals once and builds the struct from them."""
+@dataclass(frozen=True)
+class Assessment:
+    """The parts of a dimension: its signals, and what makes score, level and summary of them."""
 
-    def graded(x: Column) -> Column:
-        sig, value = x["signals"], x["score"]
-        level = E.severity(value)
-        if force is not None:
-            level = F.when(force(sig), "critical").otherwise(level)
-        return F.struct(_lit(dimension).alias("dimension"), level.alias("severity"), value.alias("score"), sig.alias("signals"), summary(sig, level).alias("summary"))
+    dimension: str
+    signals: Column
+    summary: Callable[[Column, Column], Column]
+    force: Callable[[Column], Column] | None = None
 
-    def scored(sig: Column) -> Column:
-        return F.struct(sig.alias("signals"), (score(sig) if score else E.combine(sig)).alias("score"))
 
-    return F.element_at(F.transform(F.transform(F.array(found), scored), graded), 1)
+Assessor = Callable[[Screening], Assessment | Column]
+
+
+def assess(rows: DataFrame, settings: Screening, chosen: Mapping[str, Assessor]) -> DataFrame:
+    """Adds a column _d_ and name for each assessor, which gives an Assessment or a whole struct column.
+
+    Signals, scores and levels are columns of three projections one above the other, so that each is computed once a row.
+    """
+    made = {n: f(settings) for n, f in chosen.items()}
+    parts = {n: a for n, a in made.items() if isinstance(a, Assessment)}
+    out = rows.withColumns({f"_d_{n}": a for n, a in made.items() if n not in parts} | {f"_s_{n}": a.signals for n, a in parts.items()})
+    out = out.withColumns({f"_v_{n}": E.combine(_col(f"_s_{n}")) for n in parts})
+    level = lambda n, a: E.severity(_col(f"_v_{n}")) if a.force is None else F.when(a.force(_col(f"_s_{n}")), "critical").otherwise(E.severity(_col(f"_v_{n}")))
+    out = out.withColumns({f"_l_{n}": level(n, a) for n, a in parts.items()})
+    whole = lambda n, a: F.struct(_lit(a.dimension).alias("dimension"), _col(f"_l_{n}").alias("severity"), _col(f"_v_{n}").alias("score"), _col(f"_s_{n}").alias("signals"), a.summary(_col(f"_s_{n}"), _col(f"_l_{n}")).alias("summary"))
+    return out.withColumns({f"_d_{n}": whole(n, a) for n, a in parts.items()}).drop(*[f"_{x}_{n}" for n in parts for x in "svl"])
+
+
+COUNTRIES = 10_000  # rows that a country table may have
+FACTS = ("country_code", "country_name", "overall_risk", "overall_score", "sanctions_status", "fatf_status", "transshipment_hub", "near_sanctioned", "is_sanctioned", "is_fatf_listed", "is_high_risk", "source")
+ROLES = {"origin": "origin_country", "destination": "destination_country", "final": "final_destination", "maker": "country_of_manufacture"}
+
+
+def _code(c: Column) -> Column:
+    return F.upper(E.strip(c))
+
+
+def _stops() -> Column:
+    return F.filter(F.coalesce(_col("transit_countries"), F.array().cast("array<string>")), E.present)
+
+
+def with_places(rows: DataFrame, countries: DataFrame) -> DataFrame:
+    """Adds places: the facts of the countries of origin, destination, final destination and maker, and of the stops.
+
+    Facts are null where a code is unknown. The table is read once and broadcast; one of more than COUNTRIES rows is no table of countries and raises.
+    """
+    spark = rows.sparkSession
+    table = countries.select(*FACTS)
+    listed = table.limit(COUNTRIES + 1).collect()
+    if len(listed) > COUNTRIES:
+        raise ValueError(f"more than {COUNTRIES} countries")
+    facts = F.broadcast(spark.createDataFrame(listed, table.schema).select(_col("country_code").alias("_code"), F.struct(*FACTS).alias("_fact")))
+    out = rows
+    for role, c in ROLES.items():
+        own = facts.select(_col("_code").alias(f"_k_{role}"), _col("_fact").alias(f"_p_{role}"))
+        out = out.join(own, _code(_col(c)) == _col(f"_k_{role}"), "left").drop(f"_k_{role}")
+    whole = facts.agg(F.map_from_entries(F.collect_list(F.struct("_code", "_fact"))).alias("_facts"))
+    out = out.join(F.broadcast(whole))  # one row
+    stops = F.transform(_stops(), lambda c: F.try_element_at(_col("_facts"), _code(c)))
+    return out.withColumn("places", F.struct(*[_col(f"_p_{r}").alias(r) for r in ROLES], stops.alias("stops"))).drop("_facts", *[f"_p_{r}" for r in ROLES])
 
 
 def _sentences(none: str | None, critical: str, high: str, medium: str, other: str, clear: str | None = None):
@@ -51,11 +97,6 @@ def _named(sig: Column, test: Callable[[Column], Column]) -> Column:
     return F.exists(sig, lambda s: test(s["name"]))
 
 
-def country(code: Column) -> Column:
-    """Facts of a country by code, null if unknown."""
-    return F.try_element_at(_col("countries"), F.upper(E.strip(code)))
-
-
 def tier(code: Column, settings: Screening) -> Column:
     """Configured tier of a country code, 0 if none; letters of any case, spaces count."""
     out = _lit(0)
@@ -80,7 +121,7 @@ def goods(settings: Screening) -> Column:
     )
     found = F.concat(F.array_compact(F.transform(_col("hits"), of_hit)), verdicts)
     text = _sentences("No goods-related risk detected.", "Goods classification indicates a prohibited or highly restricted item.", "Goods classification strongly suggests a restricted item.", "Goods classification raises moderate concerns.", "Minor goods-classification signals present.")
-    return _result("goods", found, text, lambda s: _named(s, lambda n: n == "taxonomy_keyword"))
+    return Assessment("goods", found, text, lambda s: _named(s, lambda n: n == "taxonomy_keyword"))
 
 
 def party(settings: Screening) -> Column:
@@ -94,13 +135,13 @@ def party(settings: Screening) -> Column:
 
     none = E.signals(E.signal("no_party_information", _col("consignee").isNull() & _col("shipper").isNull(), 0.3, 0.5, "No consignee or shipper information provided"))
     text = _sentences("No party / denied-list concerns detected.", "Exact denied-party match on a shipment party.", "Close fuzzy match to a denied party.", "Possible denied-party match requiring investigation.", "Low-confidence or secondary party concerns.", "No party concerns.")
-    return _result("party", F.concat(F.transform(_col("matches"), of_match), none), text, lambda s: _named(s, lambda n: n == "denied_party_exact"))
+    return Assessment("party", F.concat(F.transform(_col("matches"), of_match), none), text, lambda s: _named(s, lambda n: n == "denied_party_exact"))
 
 
 def geography(settings: Screening) -> Column:
     def of_role(role: str) -> list[Column]:
         code = _col(f"{role}_country")
-        c, t = country(code), tier(code, settings)
+        c, t = _col("places")[role], tier(code, settings)
         up = F.upper(code)
         name = F.coalesce(c["country_name"], c["country_code"])
         who = _cat(_lit(f"{role.capitalize()} country "), name, _lit(" ("), c["country_code"], _lit(")"))
@@ -116,7 +157,7 @@ def geography(settings: Screening) -> Column:
     o, d = _col("origin_country"), _col("destination_country")
     way = F.array_join(F.array_compact(F.array(F.when(E.present(o), _cat(_lit("from "), F.upper(o))), F.when(E.present(d), _cat(_lit("to "), F.upper(d))))), " ")
     way = F.when(way == "", "route unspecified").otherwise(way)
-    return _result("geography", found, lambda s, level: F.when(F.size(s) == 0, "No geography information available or no elevated country risk.").otherwise(_cat(_lit("Geography risk "), level, _lit(" ("), way, _lit(")."))))
+    return Assessment("geography", found, lambda s, level: F.when(F.size(s) == 0, "No geography information available or no elevated country risk.").otherwise(_cat(_lit("Geography risk "), level, _lit(" ("), way, _lit(")."))))
 
 
 def valuation(settings: Screening) -> Column:
@@ -131,7 +172,7 @@ def valuation(settings: Screening) -> Column:
         E.signal("suspiciously_round_value", E.is_round(v, 0.01, settings.round_base), 0.5, 0.8, _cat(_lit("Declared value "), money(v), _lit(" is suspiciously round (TBML indicator)"))),
         E.signal("missing_currency", v.isNotNull() & _col("declared_currency").isNull(), 0.25, 0.3, "Declared currency not provided"),
     )
-    return _result("valuation", found, _labelled("No valuation concerns.", "Valuation risk"))
+    return Assessment("valuation", found, _labelled("No valuation concerns.", "Valuation risk"))
 
 
 def _title(chapter: Column, missing: str) -> Column:
@@ -157,7 +198,7 @@ def hs_code(settings: Screening) -> Column:
         E.signal("hs_declared_not_in_top_k", absent, F.least(0.5 + gap * 1.5, _lit(1.0)), 2.0, _cat(declared, _lit(" is not in AI top-"), n, _lit(" predictions. AI top-"), n, _lit(": ["), listed, _lit("]. Declared chapter similarity: "), F.coalesce(E.fixed(own, 2), _lit("n/a")))),
         E.signal("hs_low_declared_similarity", judged & ~absent & (own < 0.30), F.least(0.3 + (0.30 - own) * 2, _lit(1.0)), 1.0, _cat(declared, _lit(" has low semantic similarity to description ("), E.fixed(own, 2), _lit(")"))),
     )
-    return _result("hs_code", found, _labelled(_cat(_lit("HS code "), hs, _lit(" presents no elevated concerns.")), "HS code risk"))
+    return Assessment("hs_code", found, _labelled(_cat(_lit("HS code "), hs, _lit(" presents no elevated concerns.")), "HS code risk"))
 
 
 ESSENTIAL = ("origin_country", "destination_country", "consignee", "shipper", "declared_value", "hs_code")
@@ -176,7 +217,7 @@ def data_quality(settings: Screening) -> Column:
         E.signal("origin_equals_destination", E.present(o) & E.present(d) & (F.upper(o) == F.upper(d)), 0.3, 0.5, _cat(_lit("Origin and destination are both "), F.upper(o), _lit(" (possible mislabeling)"))),
         E.signal("description_hs_incoherent", E.present(_col("hs_code")) & (own < 0.35), F.least(0.3 + (0.35 - own) * 2, _lit(1.0)), 1.0, _cat(_lit("Description is semantically incoherent with declared HS chapter "), F.coalesce(chapter, _lit("None")), _lit(" ("), _title(chapter, "unknown"), _lit(") — coherence score "), E.fixed(own, 2))),
     )
-    return _result("data_quality", found, _labelled("Shipment record is complete and coherent.", "Data-quality risk"))
+    return Assessment("data_quality", found, _labelled("Shipment record is complete and coherent.", "Data-quality risk"))
 
 
 def model_uncertainty(settings: Screening) -> Column:
@@ -188,7 +229,7 @@ def model_uncertainty(settings: Screening) -> Column:
         E.signal("classifier_needs_review", c["label"] == "needs_review", 0.7, 1.0, "Classifier explicitly flagged for review"),
     )
     text = _sentences(None, "AI model is highly uncertain about this shipment.", "AI model confidence is low — human judgment recommended.", "AI model confidence is moderate.", "AI model is reasonably confident.", "AI model is highly confident.")
-    return _result("model_uncertainty", found, text)
+    return Assessment("model_uncertainty", found, text)
 
 
 def dual_use(settings: Screening) -> Column:
@@ -201,24 +242,29 @@ def dual_use(settings: Screening) -> Column:
         E.signal("dual_use_hs_chapter", chapter.isin(*DUAL_USE_CHAPTERS), 0.4, 0.8, _cat(_lit("HS chapter "), chapter, _lit(" commonly includes dual-use machinery/electronics"))),
         E.signal("ai_dual_use_match", F.size(near) > 0, F.greatest(F.least(0.5 + (F.get(near, _lit(0))["similarity"] - 0.55) * 3.0, _lit(1.0)), _lit(0.5)), 1.8, _cat(_lit("Description is semantically similar to dual-use concept(s): "), F.array_join(F.transform(three, lambda m: _cat(_lit("'"), m["concept"], _lit("' ("), E.fixed(m["similarity"], 2), _lit(")"))), "; "))),
     )
-    return _result("dual_use", found, _labelled("No dual-use indicators detected.", "Dual-use risk"))
+    return Assessment("dual_use", found, _labelled("No dual-use indicators detected.", "Dual-use risk"))
 
 
-def route() -> Column:
-    """Legs (code, role) in order: origin, transit stops, destination, then a final destination and a maker's country that differ."""
+def _legs(facts: Column | None) -> Column:
     o, d, f, m = (_col(c) for c in ("origin_country", "destination_country", "final_destination", "country_of_manufacture"))
-    leg = lambda c, role: F.struct(c.alias("code"), _lit(role).alias("role"))
-    single = lambda when, c, role: F.when(when, leg(c, role))
-    stops = F.transform(F.filter(F.coalesce(_col("transit_countries"), F.array().cast("array<string>")), E.present), lambda c: leg(c, "transit"))
+    leg = lambda c, role, fact: F.struct(c.alias("code"), _lit(role).alias("role"), *([] if facts is None else [fact.alias("fact")]))
+    of = lambda name: _lit(None) if facts is None else facts[name]
+    single = lambda when, c, role, name: F.when(when, leg(c, role, of(name)))
+    stops = F.transform(_stops(), lambda c: leg(c, "transit", None)) if facts is None else F.zip_with(_stops(), facts["stops"], lambda c, x: leg(c, "transit", x))
     other = lambda c, base: E.present(c) & (~E.present(base) | (F.upper(c) != F.upper(base)))
-    return F.concat(E.signals(single(E.present(o), o, "origin")), stops, E.signals(single(E.present(d), d, "destination"), single(other(f, d), f, "final_destination"), single(other(m, o), m, "manufacture")))
+    return F.concat(E.signals(single(E.present(o), o, "origin", "origin")), stops, E.signals(single(E.present(d), d, "destination", "destination"), single(other(f, d), f, "final_destination", "final"), single(other(m, o), m, "manufacture", "maker")))
+
+
+def route() -> Column:
+    """Legs (code, role) in order: origin, transit stops, destination, then a final destination and a maker's country that differ."""
+    return _legs(None)
 
 
 def cross_border(settings: Screening) -> Column:
     o, d, f, m = (_col(c) for c in ("origin_country", "destination_country", "final_destination", "country_of_manufacture"))
 
     def of_leg(leg: Column) -> Column:
-        c, role, code = country(leg["code"]), leg["role"], leg["code"]
+        c, role, code = leg["fact"], leg["role"], leg["code"]
         name = _cat(F.coalesce(c["country_name"], code), _lit(" ("), code, _lit(") as "), role)
         sanctioned = E.signal(_cat(_lit("sanctioned_"), role), c["is_sanctioned"], 1.0, 2.5, _cat(_lit("Route includes sanctioned country "), name, _lit(" ["), c["sanctions_status"], _lit("]")))
         listed = E.signal(_cat(_lit("fatf_listed_"), role), c["is_fatf_listed"], F.when(c["fatf_status"] == "black", 0.75).otherwise(0.55), 1.5, _cat(_lit("Route includes FATF "), c["fatf_status"], _lit("-listed country "), name))
@@ -226,11 +272,12 @@ def cross_border(settings: Screening) -> Column:
         hub = E.signal(_cat(_lit("transshipment_hub_"), role), c["transshipment_hub"] & role.isin("transit", "destination"), 0.45, 0.8, _cat(_lit("Route uses known transshipment hub "), name))
         return F.array(F.coalesce(sanctioned, listed, high), hub)
 
-    near = country(d)["near_sanctioned"]
+    places = _col("places")
+    near = places["destination"]["near_sanctioned"]
     differs = lambda a, b: E.present(a) & E.present(b) & (F.upper(a) != F.upper(b))
-    end = country(f)
+    end = places["final"]
     stops = F.coalesce(F.size(F.coalesce(_col("transit_countries"), F.array().cast("array<string>"))), _lit(0))
-    legs = F.array_compact(F.flatten(F.transform(route(), of_leg)))
+    legs = F.array_compact(F.flatten(F.transform(_legs(places), of_leg)))
     rest = E.signals(
         E.signal("diversion_risk_sanctioned_neighbor", F.size(near) > 0, 0.75, 1.8, _cat(_lit("Destination "), d, _lit(" borders sanctioned country/ies: "), F.array_join(near, ", "), _lit(" (diversion risk)"))),
         E.signal("manufacture_origin_mismatch", differs(m, o), 0.55, 1.0, _cat(_lit("Country of manufacture ("), F.upper(m), _lit(") differs from country of origin ("), F.upper(o), _lit(") — possible re-export pattern"))),
@@ -240,12 +287,12 @@ def cross_border(settings: Screening) -> Column:
     )
     hops = F.concat(
         E.signals(F.when(E.present(o), F.upper(o))),
-        F.transform(F.filter(F.coalesce(_col("transit_countries"), F.array().cast("array<string>")), E.present), F.upper),
+        F.transform(_stops(), F.upper),
         E.signals(F.when(E.present(d), F.upper(d)), F.when(E.present(f) & (~E.present(d) | (F.upper(f) != F.upper(d))), _cat(_lit("→"), F.upper(f), _lit(" (final)")))),
     )
     way = F.when(F.size(hops) == 0, "route unspecified").otherwise(F.array_join(hops, " → "))
     text = lambda s, level: F.when(F.size(s) == 0, "No cross-border routing concerns detected.").otherwise(_cat(_lit("Cross-border risk "), level, _lit(": "), way, _lit(".")))
-    return _result("cross_border", F.concat(legs, rest), text, lambda s: _named(s, lambda n: n.startswith("sanctioned_") | (n == "final_destination_sanctioned")))
+    return Assessment("cross_border", F.concat(legs, rest), text, lambda s: _named(s, lambda n: n.startswith("sanctioned_") | (n == "final_destination_sanctioned")))
 
 
 ASSESSORS: dict[str, Assessor] = {f.__name__: f for f in (goods, party, geography, valuation, hs_code, data_quality, model_uncertainty, dual_use, cross_border)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cargosift.config import Screening
 from cargosift.functions import expressions as E
-from cargosift.operators.assessors import ASSESSORS, tier
+from cargosift.operators.assessors import ASSESSORS, assess, tier
 from cargosift.operators.matching import best_match
 
 _cat, _lit = F.concat, F.lit
@@ -73,9 +73,7 @@ def flags(hits: Column, matches: Column) -> Column:
 def profile(rows: DataFrame, settings: Screening, assessors: dict | None = None) -> DataFrame:
     """Adds risk_profile: the dimensions, flags, overall score and severity, advice and narrative."""
     chosen = assessors or ASSESSORS
-    out = rows
-    for name, f in chosen.items():
-        out = out.withColumn(f"_d_{name}", f(settings))
+    out = assess(rows, settings, chosen)
     dims = F.array(*[F.col(f"_d_{n}") for n in chosen])
     weights = {n: float(settings.dimension_weights.get(n, 1.0)) for n in chosen}
     total = sum((F.col(f"_d_{n}")["score"] * w for n, w in weights.items()), _lit(0.0))
@@ -156,14 +154,14 @@ def routed(settings: Screening) -> tuple[Column, Column, Column]:
         .when(branch == 5, _cat(_lit("AI classified as restricted with confidence "), n3))
         .when(branch == 6, _cat(_lit("AI classified as allowed with confidence "), n3))
         .when(branch == 7, _cat(_lit("AI allows (conf "), n3, _lit(") but risk tier HIGH — escalated to manual review")))
-        .otherwise(_cat(_lit("Uncertain: AI classified as "), label, _lit(" with confidence "), n3, _lit(" (below threshold)")))
+        .otherwise(F.when(c.isNull() | label.isNull(), "Uncertain: no AI classification").otherwise(_cat(_lit("Uncertain: AI classified as "), label, _lit(" with confidence "), F.coalesce(n3, _lit("n/a")), _lit(" (below threshold)"))))
     )
     return branch, action, reason
 
 
 def rationale(settings: Screening, with_profile: bool = True) -> Column:
     """Text that explains a decision row (id, description, action, reason, and what they rest on)."""
-    head = _cat(_lit("Shipment "), F.col("id"), _lit(' ("'), E.preview(F.col("description")), _lit('") was screened through the hybrid pipeline.'))
+    head = _cat(_lit("Shipment "), F.col("id"), _lit(' ("'), F.coalesce(E.preview(F.col("description")), _lit("")), _lit('") was screened through the hybrid pipeline.'))
     if with_profile:
         p = F.col("risk_profile")
         evidence = lambda d: F.when(F.size(d["signals"]) > 0, _cat(_lit(" Evidence: "), F.array_join(F.transform(d["signals"], lambda s: s["evidence"]), "; "), _lit("."))).otherwise("")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cargosift import schemas
 from cargosift.config import DUAL_USE_CONCEPTS, HS_CHAPTERS, Screening
 from cargosift.functions import expressions as E
+from cargosift.scratch import stored
 
 Embedder = Callable[[Column], Column]
 
@@ -103,6 +104,19 @@ def semantic_signals(vec: Column, groups: list[dict], phrase_vectors: np.ndarray
     return judged(vec, chapter)
 
 
+def common_subsequence(s: str, t: str) -> int:
+    """Length of the longest common subsequence, a whole row of the table at once as the bits of one number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(s):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(s)) - 1
+    row = full
+    for c in t:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(s) - row.bit_count()
+
+
 def token_set_similarity(a: str, b: str) -> float:
     """Similarity of two names as sets of words, 0 to 1: 1 if one set holds the other, else the best indel ratio."""
     x, y = set(a.split()), set(b.split())
@@ -111,50 +125,89 @@ def token_set_similarity(a: str, b: str) -> float:
     both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
     if both and (not left or not right):
         return 1.0
-
-    def ratio(s: str, t: str) -> float:
-        row = [0] * (len(t) + 1)
-        for c in s:
-            last = 0
-            for j, e in enumerate(t, 1):
-                last, row[j] = row[j], last + 1 if c == e else max(row[j], row[j - 1])
-        return 2 * row[-1] / (len(s) + len(t)) if s or t else 1.0
-
+    ratio = lambda s, t: 2 * common_subsequence(s, t) / (len(s) + len(t)) if s or t else 1.0
     common = " ".join(both)
     s, t = (" ".join(both + side) for side in (left, right))
     return max([ratio(s, t)] + ([ratio(common, s), ratio(common, t)] if both else []))
 
 
+LISTED = 20_000  # names of a denied-party list up to which its grams (some 30 short rows a name) are broadcast
+
+
+def _grams(key: Column, threshold: float, listed: bool) -> Column:
+    """Struct (size, repeats, grams) of a normal name; candidates() says what the grams are for.
+
+    size counts the characters of the distinct words with one space between, repeats the letter pairs that come again. Grams: p
+    and each letter pair of the words between spaces, l and w and a word, e and the whole name.
+    """
+    gain, cover = 1.5 * threshold - 1, threshold / (2 - threshold)
+
+    def of_words(words: Column) -> Column:
+        text = F.array_join(words, " ")
+        pairs = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)))))
+        short = F.lit(True) if gain <= 0 else F.length(text) <= 1 / gain
+        letters = F.when(short, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+        upto = lambda i: F.aggregate(F.slice(words, 1, i + 1), F.lit(-1), lambda n, w: n + F.length(w) + 1)
+        leading = F.filter(words, lambda w, i: upto(i) >= cover * F.length(text) - 1e-9)
+        tagged = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
+        own, other = (words, leading) if listed else (leading, words)
+        grams = F.array_distinct(F.concat(tagged("p", pairs), tagged("p", letters), tagged("l", own), tagged("w", other), F.array(F.concat(F.lit("e"), key))))
+        return F.struct(F.length(text).alias("size"), (F.size(pairs) - F.size(F.array_distinct(pairs))).alias("repeats"), grams.alias("grams"))
+
+    words = F.array_sort(F.array_distinct(F.filter(F.split(key, " "), lambda w: w != "")), lambda x, y: F.when(F.length(x) != F.length(y), F.length(x) - F.length(y)).when(x < y, -1).when(x > y, 1).otherwise(0))
+    return F.element_at(F.transform(F.array(words), of_words), 1)
+
+
+def candidates(names: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (key, ord, other, exact) that hold every pair of token-set similarity threshold or more: one join on grams.
+
+    names (key), listed (ord, key), all distinct. A similarity of t comes from one of two things. Either the spaced words
+    of both names, of S characters together, have an indel ratio of t: then all but (1 - t) S characters are matched, each of
+    those parts at most one neighbouring pair, and (1.5 t - 1) S - 1 letter pairs are shared (or a letter, where that is
+    none). Or the words in common cover t / (2 - t) of one name: then they hold one of its longest words, those without
+    which the rest is too short for that.
+    """
+    cut = lambda df, name, is_listed, tag: df.withColumn("_g", _grams(F.col(name), threshold, is_listed)).select(*df.columns, F.col("_g.size").alias(f"{tag}size"), F.col("_g.repeats").alias(f"{tag}repeats"), F.explode("_g.grams").alias("gram"))
+    left, right = cut(names.select("key"), "key", False, ""), cut(listed.select("ord", F.col("key").alias("other")), "other", True, "o_")
+    if listed.count() <= LISTED:
+        right = F.broadcast(right)
+    kind = F.substring("gram", 1, 1)
+    met = left.join(right, "gram").groupBy("key", "ord", "other", "size", "repeats", "o_size", "o_repeats").agg(F.count_if(kind == "p").alias("pairs"), F.count_if(kind.isin("l", "w")).alias("words"), (F.count_if(kind == "e") > 0).alias("exact"))
+    total = F.col("size") + F.col("o_size")
+    need = F.greatest(F.ceil((1.5 * threshold - 1) * total - 1 - 1e-9) - F.least("repeats", "o_repeats"), F.lit(1))
+    alike = (F.col("pairs") >= need) & (2 * F.least("size", "o_size") >= threshold * total - 1e-9)
+    return met.where(F.col("exact") | (F.col("words") > 0) | alike).select("key", "ord", "other", "exact")
+
+
 def match_names(names: DataFrame, denied: DataFrame, threshold: float = 0.80) -> DataFrame:
     """For distinct normal names (key): (key, matched_party, list_name, score, exact_match), exact first, then the best fuzzy one.
 
-    denied (ord, matched_party, key, list_name) is the configured list. Of equal exact keys the last holds, of
-    equal fuzzy scores the first. Names without a match are left out.
+    denied (ord, matched_party, key, list_name) is the configured list, broadcast up to LISTED names and joined by
+    shuffle beyond. Of equal exact keys the last holds, of equal fuzzy scores the first. Names without a match are
+    left out. Names are compared where candidates() pairs them, each pair once.
     """
-    keyed = denied.groupBy("key").agg(F.max_by(F.struct("matched_party", "list_name"), "ord").alias("m"))
-    exact = names.join(keyed, "key").select("key", "m.matched_party", "m.list_name", F.lit(1.0).alias("score"), F.lit(True).alias("exact_match"))
-    rest = names.join(keyed.select("key"), "key", "left_anti")
-    listed = [(r.key, r.matched_party, r.list_name) for r in denied.orderBy("ord").collect()]
+    def compared(keys: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([token_set_similarity(a, b) for a, b in zip(keys, others, strict=True)], dtype=float)
 
-    @F.pandas_udf("struct<matched_party:string,list_name:string,score:double>")
-    def closest(keys: pd.Series) -> pd.DataFrame:
-        out = []
-        for k in keys:
-            best = max(((token_set_similarity(k, n), -i) for i, (n, _, _) in enumerate(listed)), default=(0.0, 0))
-            out.append((*listed[-best[1]][1:], best[0]) if listed and best[0] >= threshold else (None, None, None))
-        return pd.DataFrame(out, columns=["matched_party", "list_name", "score"])
-
-    fuzzy = rest.select("key", closest("key").alias("m")).where("m.score is not null").select("key", "m.matched_party", "m.list_name", "m.score", F.lit(False).alias("exact_match"))
-    return exact.unionByName(fuzzy)
+    scored = F.pandas_udf(compared, "double").asNondeterministic()  # a filter on the score then stays above the joins
+    near = candidates(names, denied, threshold).withColumn("score", scored("key", "other")).where(F.col("exact") | (F.col("score") >= threshold))
+    place = F.when(F.col("exact"), F.col("ord")).otherwise(-F.col("ord"))
+    best = near.groupBy("key").agg(F.max(F.struct("exact", "score", place.alias("place"))).alias("b")).select("key", "b.score", F.col("b.exact").alias("exact_match"), F.abs("b.place").alias("ord"))
+    parties = denied.select("ord", "matched_party", "list_name")
+    return best.join(parties, "ord").select("key", "matched_party", "list_name", "score", "exact_match")
 
 
 def party_matches(rows: DataFrame, denied: DataFrame, threshold: float = 0.80) -> DataFrame:
-    """Adds matches (consignee first, then shipper); empty and null names make none. Each distinct name is compared once."""
+    """Adds matches (consignee first, then shipper); empty and null names make none.
+
+    Each distinct name is compared once, now; the matched names are written to the shared folder, so that their joins to the
+    rows know how large they are and broadcast them only if small.
+    """
     keys = [E.normal_name(F.col(c)) for c in ("consignee", "shipper")]
-    keyed = rows.withColumn("_k0", F.when(keys[0] != "", keys[0])).withColumn("_k1", F.when(keys[1] != "", keys[1]))
-    names = keyed.select(F.explode(F.array("_k0", "_k1")).alias("key")).where("key is not null").distinct()
-    found = match_names(names, denied, threshold).select("key", F.struct("matched_party", "list_name", "score", "exact_match").alias("m"))
-    out = keyed
+    raw = rows.select(F.explode(F.array("consignee", "shipper")).alias("name")).distinct()
+    names = raw.select(E.normal_name(F.col("name")).alias("key")).where("key <> ''").distinct()
+    found = stored(match_names(names, denied, threshold).select("key", F.struct("matched_party", "list_name", "score", "exact_match").alias("m")), "parties")
+    out = rows.withColumn("_k0", F.when(keys[0] != "", keys[0])).withColumn("_k1", F.when(keys[1] != "", keys[1]))
     for i in range(2):
         out = out.join(found.select(F.col("key").alias(f"_k{i}"), F.col("m").alias(f"_m{i}")), f"_k{i}", "left")
     one = lambda i, role: F.when(F.col(f"_m{i}").isNotNull(), F.struct(F.col(f"_m{i}.matched_party").alias("matched_party"), F.col(role).alias("input_party"), F.lit(role).alias("role"), F.col(f"_m{i}.score").alias("score"), F.col(f"_m{i}.list_name").alias("list_name"), F.col(f"_m{i}.exact_match").alias("exact_match")))

@@ -11,8 +11,8 @@ _SHIPMENTS = """
 SELECT id, description,
   CASE WHEN k % 23 = 0 THEN NULL WHEN k % 31 = 0 THEN lower({o}) ELSE {o} END AS origin_country,
   CASE WHEN k % 29 = 0 THEN NULL WHEN k % 97 = 0 THEN {o} ELSE {d} END AS destination_country,
-  CASE WHEN k % 37 = 0 THEN NULL WHEN k % 43 = 0 THEN 'BLOCKED INDUSTRIES, LTD.' WHEN k % 47 = 0 THEN 'Blockd Industries Ltd' ELSE c_name END AS consignee,
-  CASE WHEN k % 37 = 0 OR k % 53 = 0 THEN NULL WHEN k % 59 = 0 THEN 'Sanctioned Holdings' ELSE s_name END AS shipper,
+  CASE WHEN k % 37 = 0 THEN NULL WHEN k % 43 = 0 THEN 'BLOCKED INDUSTRIES, LTD.' WHEN k % 47 = 0 THEN 'Blockd Industries Ltd' WHEN k % 101 = 0 THEN 'Prohibitd Tradng Company ' || CAST(k % 10 AS {text}) WHEN k % 103 = 0 THEN 'Corp. of Holding' ELSE c_name END AS consignee,
+  CASE WHEN k % 37 = 0 OR k % 53 = 0 THEN NULL WHEN k % 59 = 0 THEN 'Sanctioned Holdings' WHEN k % 107 = 0 THEN 'Sanctiond Hldings ' || CAST(k % 1000 AS {text}) WHEN k % 109 = 0 THEN 'Industries, ' || s_name ELSE s_name END AS shipper,
   CASE WHEN k % 61 = 0 THEN NULL WHEN k % 67 = 0 THEN CAST(0 AS DOUBLE) WHEN k % 71 = 0 THEN CAST(50000 AS DOUBLE) WHEN k % 5 = 0 THEN price * 20 ELSE price END AS declared_value,
   CASE WHEN k % 7 = 0 THEN NULL ELSE 'USD' END AS declared_currency,
   CASE WHEN k % 11 = 0 THEN NULL WHEN k % 73 = 0 THEN 'abc' WHEN k % 79 = 0 THEN '84' ELSE lpad(CAST(part % 100 AS {text}), 2, '0') || lpad(CAST(supp % 100 AS {text}), 2, '0') || '.10' END AS hs_code,

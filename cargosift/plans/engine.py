@@ -13,6 +13,7 @@ from cargosift.config import DUAL_USE_CONCEPTS, HS_CHAPTERS, TAXONOMY, Screening
 from cargosift.functions import expressions as E
 from cargosift.operators import decisions as D
 from cargosift.operators import matching as M
+from cargosift.operators.assessors import with_places
 from cargosift.sources import readers
 
 
@@ -38,14 +39,14 @@ class Engine:
 
     def _with_countries(self, rows: DataFrame) -> DataFrame:
         table = self.countries if self.countries is not None else readers.country_risk(self.spark)
-        return rows.join(F.broadcast(readers.country_map(table)))  # one row of a few hundred countries
+        return with_places(rows, table)
 
     def _vectors(self, texts: list[str]) -> np.ndarray:
         rows = self.spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", self.embedder(F.col("t")).alias("v")).collect()
         return np.array([r.v for r in sorted(rows, key=lambda r: r.i)])
 
     def enrich(self, rows: DataFrame) -> DataFrame:
-        """Adds hits (keyword, then semantic), classification (if logits are there), matches, ai, countries and risk."""
+        """Adds hits (keyword, then semantic), classification (if logits are there), matches, ai, places and risk."""
         groups = list(self.groups)
         out = rows.withColumn("hits", M.keyword_hits(F.col("description"), groups))
         if self.embedder is not None:

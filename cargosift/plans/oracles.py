@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cargosift.config import COUNTRIES, COUNTRY_LEVELS, DUAL_USE_CHAPTERS, DUAL_USE_KEYWORDS, PROFILE_WEIGHTS, TIERS
+from cargosift.config import COUNTRIES, COUNTRY_LEVELS, DUAL_USE_CHAPTERS, DUAL_USE_KEYWORDS, PARTIES, PROFILE_WEIGHTS, TIERS
 from cargosift.plans.bridge import DUCK_SQL
 
 _q = lambda s: "'" + str(s).replace("'", "''") + "'"
@@ -46,14 +46,30 @@ def name_of(c: str) -> str:
     return f"trim({PARTS.format(c=c)})"
 
 
-FUZZY = 42.0 / 43  # the one near name among the derived shippers and consignees
-NAMES = {"blocked industries ltd": "Blocked Industries Ltd", "blocked industries": "Blocked Industries Ltd", "blocked industries limited": "Blocked Industries Ltd", "sanctioned holding corp": "Sanctioned Holding Corp", "sanctioned holding": "Sanctioned Holding Corp", "sanctioned holdings": "Sanctioned Holding Corp", "prohibited trading company": "Prohibited Trading Company"}
+def _lcs(s: str, t: str) -> str:
+    """Longest common subsequence of two lists of characters: one row of the table for each character of s."""
+    before = "CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END"
+    cell = f"greatest(acc[j], list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN {t}[i] = x[1] THEN {before} + 1 ELSE 0 END)))"
+    return f"coalesce(list_max(list_reduce(list_transform({s}, lambda c: [c]), lambda acc, x: list_transform(range(1, len({t}) + 1), lambda j: {cell}), list_transform({t}, lambda c: CAST(0 AS BIGINT)))), 0)"
 
 
-def match(c: str, role: str) -> str:
-    k = name_of(c)
-    exact = f"{k} IN ({', '.join(map(_q, NAMES))})"
-    return f"CASE WHEN {exact} THEN {{'role': {_q(role)}, 'score': CAST(1 AS DOUBLE), 'exact': true}} WHEN {k} = 'blockd industries ltd' THEN {{'role': {_q(role)}, 'score': CAST({FUZZY!r} AS DOUBLE), 'exact': false}} END"
+_LISTED = ", ".join(f"({1000 * i + n}, {_q(p['name'])}, {_q(alias)})" for i, p in enumerate(PARTIES) for n, alias in enumerate([p["name"], *p["aliases"]]))
+_words = lambda c: f"list_sort(list_distinct(string_split({c}, ' ')))"
+MATCHED_CTE = f"""listed AS (SELECT ord, party, {name_of('alias')} AS lkey FROM (VALUES {_LISTED}) AS v(ord, party, alias)),
+names AS (SELECT DISTINCT key FROM (SELECT {name_of('consignee')} AS key FROM ship UNION ALL SELECT {name_of('shipper')} FROM ship) WHERE key <> ''),
+worded AS (SELECT *, {_words('key')} AS a, {_words('lkey')} AS b FROM names, listed),
+split AS (SELECT *, list_filter(a, lambda x: list_contains(b, x)) AS c, list_filter(a, lambda x: NOT list_contains(b, x)) AS l, list_filter(b, lambda x: NOT list_contains(a, x)) AS r FROM worded),
+spaced AS (SELECT *, array_to_string(list_concat(c, l), ' ') AS s, array_to_string(list_concat(c, r), ' ') AS t, length(array_to_string(c, ' ')) AS m FROM split),
+comparable AS MATERIALIZED (SELECT key, ord, string_split(s, '') AS cs, string_split(t, '') AS ct FROM spaced WHERE 2 * least(length(s), length(t)) >= 0.8 * (length(s) + length(t))),
+ratios AS (SELECT key, ord, 2.0 * CAST({_lcs('cs', 'ct')} AS DOUBLE) / (len(cs) + len(ct)) AS ratio FROM comparable),
+scored_names AS (SELECT spaced.key, spaced.ord, party, spaced.key = lkey AS exact, CASE WHEN len(c) > 0 AND (len(l) = 0 OR len(r) = 0) THEN 1.0
+  ELSE greatest(coalesce(ratio, 0), CASE WHEN m > 0 THEN greatest(2.0 * m / (m + length(s)), 2.0 * m / (m + length(t))) ELSE 0 END) END AS score FROM spaced LEFT JOIN ratios ON ratios.key = spaced.key AND ratios.ord = spaced.ord),
+matched AS MATERIALIZED (SELECT key, party, exact, CASE WHEN exact THEN 1.0 ELSE score END AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY key ORDER BY exact DESC, score DESC, CASE WHEN exact THEN -ord ELSE ord END) AS n FROM scored_names WHERE exact OR score >= 0.8) WHERE n = 1)"""
+
+
+def match(m: str, role: str) -> str:
+    return f"CASE WHEN {m}.key IS NOT NULL THEN {{'role': {_q(role)}, 'score': CAST({m}.score AS DOUBLE), 'exact': {m}.exact}} END"
 
 
 _ESC = [k.replace("-", "\\-") for k in DUAL_USE_KEYWORDS]
@@ -67,10 +83,11 @@ wide AS (
   SELECT s.*, greatest(p0, p1, p2) AS conf, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'allowed' WHEN p1 >= p2 THEN 'restricted' ELSE 'needs_review' END AS label,
     {{'c': o.code, 'lv': o.lv, 'score': o.score, 'sanctioned': o.sanctioned, 'listed': o.listed, 'fatf': o.fatf}} AS oc,
     {{'c': d.code, 'lv': d.lv, 'score': d.score, 'sanctioned': d.sanctioned, 'listed': d.listed, 'fatf': d.fatf, 'near': d.near}} AS dc, coalesce(e.sanctioned, false) AS end_sanctioned,
-    {listed(match('consignee', 'consignee'), match('shipper', 'shipper'))} AS matches, {WORDS} AS words,
+    {listed(match('mc', 'consignee'), match('ms', 'shipper'))} AS matches, {WORDS} AS words,
     {listed("CASE WHEN contains(lower(description), 'ak47') THEN 'ak47' END", "CASE WHEN contains(lower(description), 'ivory') THEN 'ivory' END")} AS hits,
     CASE WHEN regexp_matches(replace({clean('hs_code')}, ' ', ''), '^[0-9]{{2}}') THEN left(replace({clean('hs_code')}, ' ', ''), 2) END AS chapter
-  FROM wide0 s LEFT JOIN facts o ON o.code = upper(trim(s.origin_country)) LEFT JOIN facts d ON d.code = upper(trim(s.destination_country)) LEFT JOIN facts e ON e.code = upper(trim(s.final_destination)))"""
+  FROM wide0 s LEFT JOIN facts o ON o.code = upper(trim(s.origin_country)) LEFT JOIN facts d ON d.code = upper(trim(s.destination_country)) LEFT JOIN facts e ON e.code = upper(trim(s.final_destination))
+    LEFT JOIN matched mc ON mc.key = {name_of('consignee')} LEFT JOIN matched ms ON ms.key = {name_of('shipper')})"""
 
 ROUND = "(declared_value > 0 AND (declared_value % 10000 < 0.01 * declared_value OR declared_value % 10000 > 0.99 * 10000))"
 
@@ -124,7 +141,7 @@ def score_of(s: str) -> str:
 
 
 def _ctes(*more: str) -> str:
-    return "WITH " + ",\n".join([SHIP, COUNTRY_CTE, FACTS_CTE, WIDE, LEGS, *more])
+    return "WITH " + ",\n".join([SHIP, COUNTRY_CTE, FACTS_CTE, MATCHED_CTE, WIDE, LEGS, *more])
 
 
 def _dimension_ctes(names) -> list[str]:

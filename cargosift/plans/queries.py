@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import partial
 
@@ -15,9 +14,10 @@ from cargosift.functions import expressions as E
 from cargosift.operators import decisions as D
 from cargosift.operators import drift, learning
 from cargosift.operators import matching as M
-from cargosift.operators.assessors import ASSESSORS, ESSENTIAL, route
+from cargosift.operators.assessors import ASSESSORS, ESSENTIAL, assess, route
 from cargosift.plans import bridge
 from cargosift.plans.engine import Engine
+from cargosift.scratch import new_path
 from cargosift.sources import readers
 from cargosift.streaming import streams
 
@@ -129,7 +129,7 @@ def dimension(name: str, ship: DataFrame) -> DataFrame:
     if name in ("geography", "cross_border"):
         rows = Engine(spark)._with_countries(rows)
     rows = rows.withColumn("classification", M.classify(F.col("logits")))
-    d = rows.select("id", ASSESSORS[name](S).alias("d"))
+    d = assess(rows, S, {name: ASSESSORS[name]}).select("id", F.col(f"_d_{name}").alias("d"))
     return d.select("id", "d.severity", F.round("d.score", 6).alias("score"), F.array_join(F.transform("d.signals", lambda s: s["name"]), ",").alias("signals"))
 
 
@@ -314,32 +314,27 @@ def a14_gate(spark: SparkSession, d: str) -> DataFrame:
     return learning.gate(learning.class_metrics(_metric_rows(spark, d)))
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cargosift-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def x2_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts of an event stream, written out batch by batch and read back."""
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"x2_{uuid.uuid4().hex}"
-    q = streams.action_counts(events, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start()
+    q = streams.action_counts(events, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
 
 def x1_screen(spark: SparkSession, d: str) -> DataFrame:
     """Shipments screened as a stream: every micro-batch with the batch code, parties included, each batch written in place."""
-    src, out = _scratch(spark), _scratch(spark)
+    src, out = new_path(spark, "stream"), new_path(spark, "stream")
     bridge.shipments(spark, d).write.parquet(src)
     stream = streams.parquet_stream(spark, src, spark.read.parquet(src).schema, 8)
 
     def each(batch: DataFrame, number: int) -> None:
         rt1_router(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("id string, branch int, action string").parquet(f"{out}/batch=*")
 

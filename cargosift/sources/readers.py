@@ -153,12 +153,6 @@ def _country_csv(spark: SparkSession, path: str, columns: CsvColumns) -> DataFra
     return out.where(F.coalesce(F.col("country_code") != "", F.lit(False)))
 
 
-def country_map(countries: DataFrame) -> DataFrame:
-    """One row: a map from code to the country's facts (a few hundred entries at most, one for each country code)."""
-    facts = F.struct("country_code", "country_name", "overall_risk", "overall_score", "sanctions_status", "fatf_status", "transshipment_hub", "near_sanctioned", "is_sanctioned", "is_fatf_listed", "is_high_risk", "source")
-    return countries.agg(F.map_from_entries(F.collect_list(F.struct("country_code", facts.alias("f")))).alias("countries"))
-
-
 def decision_csv(decisions: DataFrame) -> DataFrame:
     """The six columns of the CSV form of decisions."""
     return decisions.select("shipment_id", "action", "reason", F.size("taxonomy_hits").alias("taxonomy_hits_count"), F.col("classification.label").alias("classification_label"), E.fixed(F.col("classification.confidence"), 4).alias("classification_confidence"))

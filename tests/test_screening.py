@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -114,6 +115,63 @@ def test_token_set():
     assert M.token_set_similarity("blockd industries ltd", "blocked industries ltd") == pytest.approx(42 / 43)
 
 
+def plain_similarity(a, b):
+    """Token-set similarity with the whole table of common subsequences."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
+    if both and not (left and right):
+        return 1.0
+
+    def ratio(s, t):
+        rows = [[0] * (len(t) + 1) for _ in range(len(s) + 1)]
+        for i, c in enumerate(s):
+            for j, e in enumerate(t):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if c == e else max(rows[i][j + 1], rows[i + 1][j])
+        return 2 * rows[-1][-1] / (len(s) + len(t))
+
+    s, t, common = " ".join(both + left), " ".join(both + right), " ".join(both)
+    return max([ratio(s, t)] + ([ratio(common, s), ratio(common, t)] if both else []))
+
+
+@pytest.mark.parametrize("threshold,listed", [(0.8, 20_000), (0.6, 20_000), (0.9, 0)])
+def test_names_against_every_pair(spark, monkeypatch, threshold, listed):
+    """The gram join loses no pair that comparing all names with the whole list finds."""
+    monkeypatch.setattr(M, "LISTED", listed)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdé1") for _ in range(rng.randint(1, 7)))
+
+    def near(name):
+        t = list(name)
+        for _ in range(rng.randint(1, 4)):
+            i = rng.randrange(len(t) + 1)
+            t[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "a", " "])
+        w = "".join(t).split()
+        rng.shuffle(w)
+        return " ".join(w)
+
+    base = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    keys = [k for k in dict.fromkeys(base[:40] + [near(rng.choice(base)) for _ in range(25)]) if k]
+    names = sorted({k for k in base + [near(rng.choice(keys)) for _ in range(250)] + [" ".join(word() for _ in range(3)) for _ in range(50)] if k})
+    denied = spark.createDataFrame([(i, f"P{i}", k, "l") for i, k in enumerate([*keys, keys[0]])], "ord int, matched_party string, key string, list_name string")
+    got = {r.key: (r.matched_party, r.exact_match, r.score) for r in M.match_names(spark.createDataFrame([(n,) for n in names], "key string"), denied, threshold).collect()}
+    want = {}
+    for n in names:
+        if n in keys:
+            want[n] = (f"P{len(keys) if n == keys[0] else keys.index(n)}", True, 1.0)
+        else:
+            score, i = max((plain_similarity(n, k), -i) for i, k in enumerate(keys))
+            if score >= threshold:
+                want[n] = (f"P{-i}", False, score)
+    assert got == want and sum(not e for _, e, _ in want.values()) > 50
+
+
+def test_decision_without_classifier_or_description(spark):
+    got = Engine(spark).screen(ship(spark, **CLEAN | {"description": None})).first()
+    assert got.reason == "Uncertain: no AI classification" and 'Shipment a ("") was screened' in got.rationale and got.rationale.endswith("Reason: Uncertain: no AI classification")
+
+
 def test_classify_and_entailment(spark):
     r = spark.createDataFrame([([1.0, 5.0, 2.0], [[0.1, 0.2, 3.0], [0.4, 0.7]])], "x array<double>, s array<array<double>>").select(M.classify(F.col("x")).alias("c"), M.entailment(F.col("s")).alias("e")).first()
     assert r.c.label == "restricted" and r.c.confidence == pytest.approx(math.exp(5) / (math.e + math.exp(5) + math.exp(2))) and r.e == [3.0, 0.7]
