@@ -1,9 +1,12 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Examples live in an inverted index over all their terms, cut into blocks of neighbours. Rarer terms are added
-up from their postings; the most frequent ones lie in a table and keep their greatest weight in each block. What
-a block's best example has of the rarer terms, and the sum of a text's weights times those maxima, bound every
-cosine in it, so blocks are opened in falling order of bound until the k-th best found is above the next.
+up from their postings; the postings of the most frequent ones, full or nearly so, lie block by block in a table and keep
+their greatest weight in each block. What a block's best example has of the rarer terms, and the sum of a text's weights
+times those maxima, bound every cosine in it. A few hundred texts are read at once: each opens its blocks of greatest bound,
+then every block whose bound reaches its k-th best cosine, and texts that open one block share its product.
+A term's weight is (1 + log tf) idf times its bearing on the label among the examples, a tenth where it has none: by plain
+TF-IDF the few words that make a text toxic drown among hundreds of others.
 The neighbours' labels vote by the square of their cosine over the nearest one's, and a monotone map fitted on the examples
 themselves (each without its own vote) turns votes into probabilities.
 """
@@ -14,6 +17,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,9 @@ OPENED = 4
 BINS = 50
 EVIDENCE = 5
 DENSE = 512  # most frequent terms whose weights lie in a table
+TEXTS = 128  # read at once
+CHANCE = 10.8  # log-likelihood ratio that one of a thousand terms without bearing reaches
+FLOOR = 0.1  # weight of a term without bearing on the label
 
 
 def terms(text: str | None) -> Counter:
@@ -39,6 +46,26 @@ def terms(text: str | None) -> Counter:
     return found
 
 
+class Reader:
+    """Counts of a vocabulary's terms in many texts."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.words = {t: i for t, i in vocab.items() if t[-1] != "*"}
+        self.stems = {t[:-1]: i for t, i in vocab.items() if t[-1] == "*"}
+        self.size = len(vocab)
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text number, term and count, in order of texts and terms; the counts of terms() that the vocabulary knows."""
+        keys = [np.zeros(0, np.int64)]
+        for i, t in enumerate(texts):
+            found = _WORD.findall(t.lower()) if t else []
+            for known, own in ((self.words, found), (self.stems, [w[:STEM] for w in found if len(w) > STEM])):
+                at = np.fromiter(map(known.get, own, repeat(-1)), np.int64, len(own))
+                keys.append(at[at >= 0] + i * self.size)
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        return *np.divmod(key, max(self.size, 1)), n
+
+
 class Postings:
     """Weights of each term's examples, by term; postings[at] are the dense rows of terms."""
 
@@ -59,9 +86,10 @@ class Postings:
         out[np.repeat(np.arange(len(at)), n), self.place[where]] = self.value[where]
         return out
 
-    def dot(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def dots(self, texts: int, text: np.ndarray, at: np.ndarray, v: np.ndarray, wide: int) -> np.ndarray:
+        """Sums of products of texts' weights v with the examples', wide numbers for each text."""
         where, n = self._of(at)
-        return np.bincount(self.place[where], weights=self.value[where] * np.repeat(v, n), minlength=self.examples)
+        return np.bincount(np.repeat(text * wide, n) + self.place[where], weights=self.value[where] * np.repeat(v, n), minlength=texts * wide)
 
 
 @dataclass
@@ -70,6 +98,7 @@ class Index:
 
     vocab: dict[str, int]
     idf: np.ndarray
+    bearing: np.ndarray  # of each term on the label, see relevance()
     weights: Postings
     labels: np.ndarray
     ids: np.ndarray
@@ -85,77 +114,92 @@ class Index:
         common = common[n[common] * 16 >= self.weights.examples]
         self._row = np.full(len(n), -1)
         self._row[common] = np.arange(len(common))
-        self._table = self.weights[common]
         self._blocks = max(1, -(-self.weights.examples // BLOCK))
-        self._top = self._by_block(self._table)
-
-    def _by_block(self, rows: np.ndarray) -> np.ndarray:
-        padded = np.zeros((len(rows), self._blocks * BLOCK))
-        padded[:, : rows.shape[1]] = rows
-        return padded.reshape(len(rows), self._blocks, BLOCK).max(axis=2)
+        table = np.zeros((len(common), self._blocks * BLOCK))
+        table[:, : self.weights.examples] = self.weights[common]
+        self._table = np.ascontiguousarray(table.reshape(len(common), self._blocks, BLOCK).transpose(1, 0, 2))
+        self._top = np.ascontiguousarray(self._table.max(axis=2).T)
+        self._reader = Reader(self.vocab)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
-        at, w = [], []
-        for t, n in found.items():
-            i = self.vocab.get(t)
-            if i is not None:
-                at.append(i)
-                w.append((1 + math.log(n)) * self.idf[i])
-        v = np.asarray(w, np.float64)
-        return np.asarray(at, np.int64), v / np.linalg.norm(v) if len(v) else v
+        """Terms and weights of one text, of length 1 over the terms that some example holds."""
+        known = [(self.vocab[t], n) for t, n in found.items() if t in self.vocab]
+        at, n = (np.array(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0))
+        v = (1 + np.log(n)) * self.idf[at] * self.bearing[at]
+        return at, v / np.linalg.norm(v) if len(v) else v
+
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text number, term and weight of many texts, as vector() weighs one."""
+        if not hasattr(self, "_table"):
+            self._open()
+        text, at, n = self._reader.counts(texts)
+        v = (1 + np.log(n)) * self.idf[at] * self.bearing[at]
+        return text, at, v / np.sqrt(np.bincount(text, v * v, len(texts)))[text]
 
     def nearest(self, at: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine, ties to the earlier one, and their cosines; skip is left out."""
+        near, cos = self.nearest_of(1, np.zeros(len(at), np.int64), at, v, np.array([skip]))
+        return near[0][near[0] >= 0], cos[0][near[0] >= 0]
+
+    def nearest_of(self, texts: int, text: np.ndarray, at: np.ndarray, v: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """nearest() of many texts, a row for each: examples and cosines, -1 and 0 where there are fewer than k."""
         if not hasattr(self, "_table"):
             self._open()
-        row = self._row[at]
-        rare = self.weights.dot(at[row < 0], v[row < 0])
-        row, v = row[row >= 0], v[row >= 0]
-        bound = v @ self._top[row] + self._by_block(rare[None])[0] + 1e-9
-        order = np.argsort(-bound, kind="stable")
-        near, cos = np.zeros(0, np.int64), np.zeros(0)
-        n = len(self.labels)
-        # The few blocks of greatest bound give a k-th best cosine; then every block that can reach it.
-        for turn in (order[:OPENED], order[OPENED:]):
-            reach = turn[bound[turn] >= cos[-1]] if len(near) >= self.k else turn
-            if not len(reach):
-                break
-            if len(reach) > 0.6 * len(order):
-                new, own = np.arange(n), v @ self._table[row] + rare
-                if len(near):
-                    new, own = np.delete(new, seen), np.delete(own, seen)
-            else:
-                new = (reach[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                new = new[new < n]
-                own = v @ self._table[np.ix_(row, new)] + rare[new]
-            seen = new  # of the first turn, when the second one opens all
-            near, cos = np.concatenate([near, new]), np.concatenate([cos, np.round(own, 12)])
-            if skip >= 0:
-                cos, near = cos[near != skip], near[near != skip]
-            if len(near) > 4 * self.k:
-                best = cos >= np.partition(cos, len(cos) - self.k)[len(cos) - self.k]
-                near, cos = near[best], cos[best]
-            best = np.lexsort((near, -cos))[: self.k]
-            near, cos = near[best], cos[best]
-            if len(reach) > 0.6 * len(order):  # every example is scored
-                break
-        return near, cos
-
-    def vote(self, text: str | None, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, v = self.vector(terms(text))
-        if not len(at) or not len(self.labels):
-            return self.bare, np.zeros(0, np.int64), np.zeros(0)
-        near, cos = self.nearest(at, v, skip)
-        w = (cos / cos.max(initial=1e-9)) ** 2  # of the nearest: with all terms every cosine of unlike texts is small
-        return float((w @ self.labels[near] + self.prior) / (w.sum() + 1)), near, cos
-
-    def calibrated(self, vote: float) -> float:
-        if self.steps is None:
-            return min(max(vote, 0.0), 1.0)
-        return float(np.interp(vote, *self.steps))
+        n, wide = len(self.labels), self._blocks * BLOCK
+        row, dense = self._row[at], np.zeros((texts, self._table.shape[1]))
+        common = row >= 0
+        dense[text[common], row[common]] = v[common]
+        rare = self.weights.dots(texts, text[~common], at[~common], v[~common], wide).reshape(texts, self._blocks, BLOCK)
+        bound = dense @ self._top + rare.max(axis=2) + 1e-9
+        cos = np.full((texts, self._blocks, BLOCK), -1.0)
+        shut = np.ones((texts, self._blocks), bool)
+        whole = cos.reshape(texts, wide)
+
+        def open_(these: np.ndarray) -> None:
+            for b in np.flatnonzero(these.any(axis=0)).tolist():
+                who = np.flatnonzero(these[:, b])
+                cos[who, b] = np.round(dense[who] @ self._table[b] + rare[who, b], 12)
+            shut[these] = False
+            whole[:, n:] = -1.0
+            left_out = np.flatnonzero(skip >= 0)
+            whole[left_out, skip[left_out]] = -1.0
+
+        first = np.zeros_like(shut)
+        np.put_along_axis(first, np.argpartition(-bound, min(OPENED, self._blocks) - 1, axis=1)[:, :OPENED], True, axis=1)
+        open_(first)
+        k = min(self.k, wide)
+        opened = cos[first].reshape(texts, -1)
+        least = np.partition(opened, -min(k, opened.shape[1]), axis=1)[:, -min(k, opened.shape[1])] if opened.shape[1] >= k else np.full(texts, -1.0)
+        open_(shut & (bound >= least[:, None]))
+        near, best = np.full((texts, self.k), -1), np.zeros((texts, self.k))
+        who, place = np.nonzero((whole >= least[:, None]) & (whole >= 0))
+        order = np.lexsort((place, -whole[who, place], who))
+        who, place = who[order], place[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        kept = rank < self.k
+        near[who[kept], rank[kept]] = place[kept]
+        best[who[kept], rank[kept]] = whole[who[kept], place[kept]]
+        return near, best
+
+    def votes(self, texts: list[str | None], skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The share of label 1 that each text's neighbours vote for, the neighbours (-1 for none) and their cosines."""
+        near, cos, votes = np.full((len(texts), self.k), -1), np.zeros((len(texts), self.k)), np.full(len(texts), self.bare)
+        if not len(self.labels):
+            return votes, near, cos
+        text, at, v = self.vectors(texts)
+        held = np.unique(text)  # texts with a term of the examples
+        if len(held):
+            near[held], cos[held] = self.nearest_of(len(held), np.searchsorted(held, text), at, v, np.full(len(held), -1) if skip is None else skip[held])
+            w = (cos[held] / np.maximum(cos[held].max(axis=1), 1e-9)[:, None]) ** 2  # of the nearest: with all terms every cosine of unlike texts is small
+            w[near[held] < 0] = 0
+            votes[held] = ((w * self.labels[near[held]]).sum(axis=1) + self.prior) / (w.sum(axis=1) + 1)
+        return votes, near, cos
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        return np.clip(votes, 0.0, 1.0) if self.steps is None else np.interp(votes, *self.steps)
 
 
 def _monotone(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -169,17 +213,52 @@ def _monotone(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.array([v for v, _, m in out for _ in range(int(m))])
 
 
-def _g2(pos, neg, n1, n0):
-    n = n1 + n0
-    part = lambda o, e: F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0)
-    return part(pos, (pos + neg) * n1 / n) + part(neg, (pos + neg) * n0 / n) + part(n1 - pos, (n - pos - neg) * n1 / n) + part(n0 - neg, (n - pos - neg) * n0 / n)
+def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Factor of each term's weight: FLOOR where examples of both labels hold it alike, near 1 where the label decides.
+
+    It follows the log-likelihood ratio of term and label, above what one term of a thousand reaches by chance.
+    """
+    n = max(n1 + n0, 1)
+    total = np.zeros(len(with_1))
+    for seen, rows, size in ((with_1, with_1 + with_0, n1), (with_0, with_1 + with_0, n0), (n1 - with_1, n - with_1 - with_0, n1), (n0 - with_0, n - with_1 - with_0, n0)):
+        total += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1) * n / np.maximum(rows * size, 1)), 0)
+    return FLOOR + (1 - FLOOR) * np.maximum(0, 1 - CHANCE / np.maximum(total, 1e-9))
+
+
+def built(vocab: dict[str, int], df: np.ndarray, size: np.ndarray, term: np.ndarray, counts: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> Index:
+    """The index of examples with size terms each, one after another; df by term, the last the number of documents."""
+    owner, n1 = np.repeat(np.arange(len(size)), size), int(y.sum())
+    with_1 = np.bincount(term, y[owner], len(vocab))
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+    bearing = relevance(with_1, np.bincount(term, minlength=len(vocab)) - with_1, n1, len(y) - n1)
+    value = np.log(counts.astype(np.float64))
+    value += 1
+    value *= (idf * bearing)[term]
+    value /= np.sqrt(np.bincount(owner, value * value, len(size)))[owner]
+    del owner
+    off = np.append(0, np.cumsum(size))
+    full = np.flatnonzero(size)
+    strongest = np.array([term[off[i] + np.argmax(value[off[i] : off[i + 1]])] for i in full], np.int64)
+    full = full[np.lexsort((ids[full], y[full], strongest))]  # neighbours share their strongest term
+    bare = y[size == 0].tolist()
+    prior = n1 / max(len(y), 1)
+    place = np.repeat(np.arange(len(full), dtype=np.int32), size[full])
+    take = np.repeat(off[full] - np.append(0, np.cumsum(size[full]))[:-1], size[full]) + np.arange(len(place))
+    weights = Postings(term[take], place, value[take], len(idf), len(full))
+    return Index(vocab, idf, bearing, weights, y[full].astype(np.float64), ids[full], prior, (sum(bare) + prior) / (len(bare) + 1), k)
+
+
+def _dealt(texts: pd.Series):
+    """Lists of at most TEXTS texts, null for what is no text."""
+    for a in range(0, len(texts), TEXTS):
+        yield [t if isinstance(t, str) else None for t in texts.iloc[a : a + TEXTS]]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 8192, k: int = 15) -> Index:
     """Fits the index on labelled documents.
 
     The fit is bounded by max_examples labelled rows, about so many, an even share by hash if there are more. All
-    their terms count; each term's document frequency is of all of docs. Rows without label or document do not
+    their terms count; each term's document frequency is of all of docs, its bearing of the examples. Rows without label or document do not
     count; of several labels of one document the greatest holds. Without examples every score is 0.
     """
     spark = docs.sparkSession
@@ -194,20 +273,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
     def held(texts: pd.Series) -> pd.Series:
         return pd.Series([list(terms(x)) for x in texts], dtype=object)
 
-    sizes = rows.agg(F.count("*"), F.sum("y")).first()
-    total, n1 = int(sizes[0]), int(sizes[1] or 0)
-    if not total:
-        return Index({}, np.zeros(0), Postings(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k)
+    if rows.isEmpty():
+        return Index({}, np.zeros(0), np.zeros(0), Postings(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k)
     found = rows.select(F.explode(held("text")).alias("t")).distinct().toArrow()["t"].to_pylist()  # terms of the bounded examples
     vocab = {t: i for i, t in enumerate(sorted(found))}
     del found
     words = spark.sparkContext.broadcast(vocab)
 
     def seen(batches):
-        known, df, n = words.value, np.zeros(len(words.value), np.int64), 0
+        reader, df, n = Reader(words.value), np.zeros(len(words.value), np.int64), 0
         for pdf in batches:
-            for t in pdf["text"]:
-                np.add.at(df, [known[x] for x in terms(t if isinstance(t, str) else None) if x in known], 1)
+            for texts in _dealt(pdf["text"]):
+                df += np.bincount(reader.counts(texts)[1], minlength=len(df))
             n += len(pdf)
         at = np.flatnonzero(df)
         yield pd.DataFrame({"i": np.append(at, -1), "n": np.append(df[at], n)})
@@ -215,47 +292,39 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
     counted = docs.select("text").mapInPandas(seen, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # of all documents
     df = np.zeros(len(vocab) + 1, np.int64)
     df[counted["i"].to_numpy()] = counted["n"].to_numpy()  # the last is the number of documents
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
-
     @F.pandas_udf("struct<i:array<int>,n:array<int>>")
     def kept(texts: pd.Series) -> pd.DataFrame:
-        own = [{words.value[t]: n for t, n in terms(x).items()} for x in texts]
-        return pd.DataFrame({"i": [list(x) for x in own], "n": [list(x.values()) for x in own]})
+        reader, i, n = Reader(words.value), [], []
+        for part in _dealt(texts):
+            text, at, count = reader.counts(part)
+            edge = np.searchsorted(text, np.arange(1, len(part)))
+            i += np.split(at.astype(np.int32), edge)
+            n += np.split(count.astype(np.int32), edge)
+        return pd.DataFrame({"i": i, "n": n})
 
     got = rows.select("doc_id", "y", kept("text").alias("terms")).select("doc_id", "y", "terms.i", "terms.n").toArrow()  # the bounded examples
     y, ids = got["y"].to_numpy().astype(np.int64), got["doc_id"].to_numpy().astype(np.int64)
     lists = got["i"].combine_chunks()
     size, term = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
-    value = np.log(got["n"].combine_chunks().flatten().to_numpy().astype(np.float64))
-    value += 1
-    value *= idf[term]
+    counts = got["n"].combine_chunks().flatten().to_numpy()
     del got
-    off = np.append(0, np.cumsum(size))
-    for a, b in zip(off[:-1], off[1:], strict=True):
-        value[a:b] /= max(np.linalg.norm(value[a:b]), 1e-300)
-    full = np.flatnonzero(size)
-    strongest = np.array([term[off[i] + np.argmax(value[off[i] : off[i + 1]])] for i in full], np.int64)
-    full = full[np.lexsort((ids[full], y[full], strongest))]  # neighbours share their strongest term
-    bare = y[size == 0].tolist()
-    prior = n1 / total
-    place = np.repeat(np.arange(len(full), dtype=np.int32), size[full])
-    take = np.repeat(off[full] - np.append(0, np.cumsum(size[full]))[:-1], size[full]) + np.arange(len(place))
-    weights = Postings(term[take], place, value[take], len(idf), len(full))
-    del term, value, place, take
-    index = Index(vocab, idf, weights, y[full].astype(np.float64), ids[full], prior, (sum(bare) + prior) / (len(bare) + 1), k)
+    index = built(vocab, df, size, term, counts, y, ids, k)
+    del size, term, counts
     words.unpersist()
-    if len(full):
+    if len(index.labels):
         places = {int(d): i for i, d in enumerate(index.ids)}
         shared = spark.sparkContext.broadcast(index)
 
         @F.pandas_udf("double")
         def without_own(ids: pd.Series, texts: pd.Series) -> pd.Series:
-            return pd.Series([shared.value.vote(t, places.get(int(d), -1))[0] for d, t in zip(ids, texts, strict=True)])
+            own = np.array([places.get(int(d), -1) for d in ids], np.int64)
+            parts = [shared.value.votes(part, own[i * TEXTS : i * TEXTS + len(part)])[0] for i, part in enumerate(_dealt(texts))]
+            return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
         bins = rows.select("y", without_own("doc_id", "text").alias("v")).groupBy(F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).alias("b")).agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.avg("v").alias("v")).orderBy("v").collect()
         shared.unpersist()
         x, c = np.array([r.v for r in bins]), np.array([r.n for r in bins], float)
-        index.steps = (x, _monotone(x, (np.array([float(r.y) for r in bins]) + prior) / (c + 1), c))
+        index.steps = (x, _monotone(x, (np.array([float(r.y) for r in bins]) + index.prior) / (c + 1), c))
     return index
 
 
@@ -273,11 +342,13 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     def judged(texts: pd.Series) -> pd.DataFrame:
         ix = shared.value
         scores, why = [], []
-        for t in texts:
-            vote, near, cos = ix.vote(t)
-            scores.append(ix.calibrated(vote))
-            why.append([{"doc_id": int(ix.ids[i]), "cosine": float(c), "label": int(ix.labels[i])} for i, c in zip(near[:EVIDENCE], cos[:EVIDENCE], strict=True) if c > 0])
-        return pd.DataFrame({"score": scores, "evidence": why})
+        for part in _dealt(texts):
+            votes, near, cos = ix.votes(part)
+            scores.append(ix.calibrated(votes))
+            ids, labels = (x[near[:, :EVIDENCE]].tolist() if len(x) else [[]] * len(part) for x in (ix.ids, ix.labels.astype(np.int64)))
+            for d, c, y in zip(ids, cos[:, :EVIDENCE].tolist(), labels, strict=True):
+                why.append([{"doc_id": a, "cosine": b, "label": z} for a, b, z in zip(d, c, y, strict=False) if b > 0])
+        return pd.DataFrame({"score": np.concatenate(scores) if scores else [], "evidence": why})
 
     kept = [c for c in docs.columns if c not in ("score", "predicted", "evidence", "_tox")]
     out = docs.select(*kept, judged(F.col(text)).alias("_tox"))

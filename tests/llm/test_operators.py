@@ -611,3 +611,58 @@ def test_toxicity_uses_all_terms(spark):
         assert ix.idf[i] == pytest.approx(math.log(601 / (df[t] + 1)) + 1)
     got = toxicity.score(spark.createDataFrame([(1, "only7"), (2, "only8 only8")], "doc_id long, text string"), ix).orderBy("doc_id").collect()
     assert [[e.doc_id for e in r.evidence] for r in got] == [[7], [8]]
+
+
+def test_toxicity_against_plain_lists(spark):
+    """Weights, cosines, votes and calibrated scores from word counts in dictionaries, without the index."""
+    rng = random.Random(34)
+    rows = [(i, prose(rng, rng.randint(3, 50), "abcd") + rng.choice(["", " vile beastly", " vilest"]) * (i % 3 == 0)) for i in range(260)] + [(900, None), (901, "!"), (902, "zzz unheard")]
+    labels = {i: int(i % 3 == 0) for i in range(0, 200)} | {901: 0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ix = toxicity.learn(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), k=9)
+    got = {r.doc_id: r for r in toxicity.score(docs, ix).collect()}
+    counts = {d: toxicity.terms(t) for d, t in rows}
+    df = Counter(t for c in counts.values() for t in c)
+    examples = [d for d in labels if counts[d]]
+    n1, n = sum(labels.values()), len(labels)
+
+    def weight(t):
+        table = [[sum(1 for d in labels if labels[d] == y and (t in counts[d]) == held) for held in (1, 0)] for y in (1, 0)]
+        g2 = sum(2 * o * math.log(o * n / (sum(row) * sum(r[j] for r in table))) for row in table for j, o in enumerate(row) if o)
+        return (math.log((len(rows) + 1) / (df[t] + 1)) + 1) * (0.1 + 0.9 * max(0, 1 - 10.8 / max(g2, 1e-9)))
+
+    weights = {t: weight(t) for t in {t for d in labels for t in counts[d]}}
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * weights[t] for t, k in c.items() if t in weights}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    held = {d: vector(counts[d]) for d in examples}
+
+    def vote(c, skip=None):
+        v = vector(c)
+        if not v:
+            return (0 + n1 / n) / 2, []
+        cos = sorted(((sum(x * held[d].get(t, 0) for t, x in v.items()), d) for d in examples if d != skip), reverse=True)[:9]
+        w = [(c / cos[0][0]) ** 2 for c, _ in cos]
+        return (sum(a * labels[d] for a, (_, d) in zip(w, cos)) + n1 / n) / (sum(w) + 1), cos
+
+    bins = defaultdict(list)
+    for d in labels:
+        own = vote(counts[d], d)[0]
+        bins[min(49, math.floor(own * 50))].append((own, labels[d]))
+    steps = [[[(sum(y for _, y in b) + n1 / n) / (len(b) + 1), len(b)] for b in [bins[k]]] for k in sorted(bins)]
+    means = []
+    for (value, size), *_ in steps:
+        means.append([value, size, 1])
+        while len(means) > 1 and means[-2][0] >= means[-1][0]:
+            b, a = means.pop(), means.pop()
+            means.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    y = [v for v, _, m in means for _ in range(m)]
+    x = [sum(v for v, _ in bins[k]) / len(bins[k]) for k in sorted(bins)]
+    for d, c in counts.items():
+        own, cos = vote(c)
+        assert got[d].score == pytest.approx(float(np.interp(own, x, y)), abs=1e-6)
+        assert [e.cosine for e in got[d].evidence] == pytest.approx([v for v, _ in cos[:5] if v > 0])
+    assert sum(got[d].predicted == int(d % 3 == 0 and "vil" in t) for d, t in rows[200:260]) >= 58
