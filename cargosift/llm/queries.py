@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, lines, ngrams, paragraphs, pieces, simhash, topk, toxicity
+from . import decontam, html, langid, lines, ngrams, paragraphs, passages, pieces, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,11 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated(table(spark, sf_dir, "documents")).drop("row")
+    """Paragraphs of 50 words or more that occur again, alike or nearly, and passages of about 50 that differing paragraphs share."""
+    docs = table(spark, sf_dir, "documents")
+    whole = paragraphs.repeated(docs, min_words=50).select("doc_id", F.lit("paragraph").alias("kind"), F.col("paragraph").alias("place"), "n_words", "class_doc_id", F.col("class_paragraph").alias("class_place"), "n_class", "removed")
+    parts = passages.repeated(docs).select("doc_id", F.lit("passage").alias("kind"), F.col("start").cast("long").alias("place"), F.col("n_words").cast("long").alias("n_words"), "class_doc_id", F.col("class_start").cast("long").alias("class_place"), "n_class", "removed")
+    return whole.unionByName(parts)
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

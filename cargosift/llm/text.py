@@ -23,7 +23,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("p", ())) < n:
         for key, base in (("p", _P), ("i", _PI)):
             t = np.full(max(n, _CHUNK + 4096), base, U)
@@ -37,7 +37,7 @@ def _hash_chunk(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     inside = table[buf]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    p, inv = _powers(len(buf) + 1)
+    p, inv = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U)
     np.cumsum((buf.astype(U) + U(1)) * p[: len(buf)], out=total[1:])
     return starts, mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(U))

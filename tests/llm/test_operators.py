@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cargosift.llm import decontam, html, langid, lines, ngrams, paragraphs, pieces, queries, simhash, topk, toxicity
+from cargosift.llm import decontam, html, langid, lines, ngrams, paragraphs, passages, pieces, queries, simhash, topk, toxicity
 from cargosift.llm.common import components
 from cargosift.llm.eliasfano import EliasFano
 from cargosift.llm.text import shingle_hashes, word_hashes
@@ -666,3 +666,73 @@ def test_toxicity_against_plain_lists(spark):
         assert got[d].score == pytest.approx(float(np.interp(own, x, y)), abs=1e-6)
         assert [e.cosine for e in got[d].evidence] == pytest.approx([v for v, _ in cos[:5] if v > 0])
     assert sum(got[d].predicted == int(d % 3 == 0 and "vil" in t) for d, t in rows[200:260]) >= 58
+
+
+# 7 passages inside paragraphs
+def test_passages(spark):
+    """Runs of 51 words and more that documents share are in passages of both, wherever lines end; nothing else is."""
+    rng = random.Random(35)
+    pasted = [prose(rng, n, "abcdefgh").split() for n in (51, 52, 60, 90, 200, 39)]
+    docs = []
+    for d in range(60):
+        w = prose(rng, rng.randint(0, 80), "abcdefgh").split()
+        for p in rng.sample(pasted, rng.choice([0, 1, 1, 2])):
+            at = rng.randint(0, len(w))
+            w[at:at] = p
+        docs.append((d, "".join(x.upper() + rng.choice([" ", " ", ", ", "\n"]) if d % 2 else x + " " for x in w)))
+    docs += [(100, docs[3][1]), docs[4], (101, None), (102, ""), (103, "same " * 300), (104, "x " + "same " * 250)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit(0)).withColumn("row", F.lit("r")).withColumn("start", F.lit(1))
+    words = {d: re.findall(r"\w+", (t or "").lower()) for d, t in docs}
+    held = lambda n: {k: {d for d, _ in v} for k, v in runs(n).items()}
+
+    def runs(n):
+        out = defaultdict(set)
+        for d, w in words.items():
+            for i in range(len(w) - n + 1):
+                out[tuple(w[i : i + n])].add((d, i))
+        return out
+
+    got = passages.repeated(df).collect()
+    spans, forty = defaultdict(list), held(40)
+    for r in got:
+        spans[r.doc_id].append((r.start, r.start + r.n_words))
+        assert r.n_words >= 40 and r.n_class >= 2
+        w = words[r.doc_id]
+        for i in (r.start, r.start + r.n_words - 40):
+            assert len(forty[tuple(w[i : i + 40])]) > 1
+    places = 0
+    for each in runs(51).values():
+        if len({d for d, _ in each}) > 1:
+            for d, i in each:
+                places += 1
+                assert any(a < i + 51 and i < b and min(b, i + 51) - max(a, i) >= 40 for a, b in spans[d])
+    assert places > 500
+    # classes: passages that share a window, over others too
+    by_class = defaultdict(set)
+    for r in got:
+        by_class[r.class_doc_id, r.class_start].add((r.doc_id, r.start))
+    assert all(k == min(v) for k, v in by_class.items()) and sum(len(v) for v in by_class.values()) == len({(r.doc_id, r.start) for r in got})
+    kept = {r.doc_id: r.text for r in passages.without_repeats(df).collect()}
+    assert kept[101] is None and kept[102] == "" and len(kept) == len(words)
+    for d, w in words.items():
+        if not spans[d]:
+            assert kept[d] == dict(docs)[d]
+    every = " | ".join(" ".join(re.findall(r"\w+", (t or "").lower())) for t in kept.values())
+    for p in pasted:
+        n = sum(" ".join(p) in " ".join(w) for w in words.values())
+        left = sum(" ".join(p[5:-5]) in " ".join(re.findall(r"\w+", (t or "").lower())) for t in kept.values())
+        assert left <= 1 < n or len(p) < 40
+        for a in range(0, len(p) - 10, 5):
+            assert n == 0 or " ".join(p[a : a + 5]) in every
+    assert passages.repeated(none(spark)).count() == 0 and passages.repeated(odd(spark)).count() == 0
+    assert passages.without_repeats(odd(spark)).count() == 7
+
+
+def test_windows_are_guaranteed():
+    """Two texts with a run of SIZE + GAP - 1 equal words keep a window in common, for every place of the run."""
+    rng = random.Random(36)
+    for _ in range(200):
+        run = prose(rng, 51, "abc").split()
+        a, b = (" ".join([*prose(rng, rng.randint(0, 40), "xyz").split(), *run, *prose(rng, rng.randint(0, 40), "xyz").split()]) for _ in range(2))
+        owner, start, key = passages.windows([a, None, b, "short"])
+        assert set(key[owner == 0]) & set(key[owner == 2]) and not (owner % 2).any()
