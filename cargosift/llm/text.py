@@ -9,6 +9,7 @@ _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
 _PI = pow(_P, -1, 1 << 64)
 _CHUNK = 1 << 19
+STEM = U(0x5851F42D4C957F2D)  # tells the hash of a stem from that of the word
 _SPACE = np.ones(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = False
 _ALNUM = np.zeros(256, bool)
@@ -32,15 +33,59 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["p"], _tables["i"]
 
 
-def _hash_chunk(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word starts and word hashes of a byte buffer."""
+def _hash_chunk(buf: np.ndarray, table: np.ndarray, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, word hashes and hashes of stems (words of more than stem characters cut there; else zero) of a byte buffer."""
     inside = table[buf]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     p, inv = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U)
     np.cumsum((buf.astype(U) + U(1)) * p[: len(buf)], out=total[1:])
-    return starts, mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(U))
+    whole = mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(U))
+    cut = np.zeros(0, U)
+    if stem:
+        first = (buf & 0xC0) != 0x80  # bytes that begin a character
+        number, place = np.cumsum(first), np.flatnonzero(first)
+        cut = np.zeros(len(starts), U)
+        long = np.flatnonzero(number[ends - 1] - number[starts] + 1 > stem)
+        a = starts[long]
+        b = place[number[a] - 1 + stem]
+        cut[long] = mix(mix((total[b] - total[a]) * inv[a] + (b - a).astype(U)) ^ STEM)
+    return starts, whole, cut
+
+
+class Slots:
+    """Places of distinct hashes in an array, by a few tables of their bits."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables, left = keys, [], np.arange(len(keys))
+        while len(left):  # a key whose slot is taken lies in a later table, by other bits
+            slot = self._slot(keys[left], len(self.tables))
+            table = np.full(1 << self.BITS, -1, np.int32)
+            table[slot] = left
+            self.tables.append(table)
+            left = left[table[slot] != left]
+
+    def _slot(self, h: np.ndarray, n: int) -> np.ndarray:
+        return (h >> U(self.BITS * n % 44) & U((1 << self.BITS) - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of hashes, -1 for those that are no key."""
+        if not self.tables:
+            return np.full(len(h), -1)
+        at = self.tables[0][self._slot(h, 0)]
+        wrong = self.keys[at] != h
+        ask = np.flatnonzero(wrong & (at >= 0))
+        at[wrong] = -1
+        for n, table in enumerate(self.tables[1:], 1):
+            if len(ask):
+                k = table[self._slot(h[ask], n)]
+                hit = self.keys[k] == h[ask]
+                at[ask[hit]] = k[hit]
+                ask = ask[~hit & (k >= 0)]
+        return at
 
 
 def word_hashes(texts: list[str | None], punctuation: bool = True, ascii_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -49,9 +94,15 @@ def word_hashes(texts: list[str | None], punctuation: bool = True, ascii_case: b
     punctuation: words run from white space to white space; else over letters, digits, _ and all of
     non-ASCII. ascii_case: only A-Z go to lower case. Long texts are hashed in pieces cut at word ends.
     """
+    return word_and_stem_hashes(texts, 0, punctuation, ascii_case)[::2]
+
+
+def word_and_stem_hashes(texts: list[str | None], stem: int, punctuation: bool = True, ascii_case: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes() with the hash of each word's first stem characters between, zero where it has no more (none at all if stem is 0)."""
     table = _SPACE if punctuation else _ALNUM
     enc = [b"" if t is None else (t.encode("utf-8", "surrogatepass").lower() if ascii_case else t.lower().encode("utf-8", "surrogatepass")) for t in texts]
     found: list[np.ndarray] = []
+    cuts: list[np.ndarray] = []
     counts = np.zeros(len(enc), np.int64)
     i = 0
     while i < len(enc):
@@ -70,17 +121,20 @@ def word_hashes(texts: list[str | None], punctuation: bool = True, ascii_case: b
                         end = min(len(raw), at + _CHUNK)
                         while end < len(raw) and table[raw[end]]:
                             end += 1
-                h = _hash_chunk(raw[at:end], table)[1]
+                _, h, cut = _hash_chunk(raw[at:end], table, stem)
                 found.append(h)
+                cuts.append(cut)
                 counts[i] += len(h)
                 at = end
         else:
-            starts, h = _hash_chunk(np.frombuffer(b" ".join(enc[i:j]) + b" ", np.uint8), table)
+            starts, h, cut = _hash_chunk(np.frombuffer(b" ".join(enc[i:j]) + b" ", np.uint8), table, stem)
             begin = np.cumsum([0, *(len(e) + 1 for e in enc[i:j])])
             found.append(h)
+            cuts.append(cut)
             counts[i:j] = np.diff(np.searchsorted(starts, begin))
         i = j
-    return (np.concatenate(found) if found else np.zeros(0, U)), np.concatenate([[0], np.cumsum(counts)])
+    whole, cut = (np.concatenate(x) if x else np.zeros(0, U) for x in (found, cuts))
+    return whole, cut, np.concatenate([[0], np.cumsum(counts)])
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,16 +17,17 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import drop_stored, prepare, stored
+from .text import STEM as STEM_MARK
+from .text import Slots, U, mix, word_and_stem_hashes, word_hashes
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[0-9a-z_\x80-\U0010FFFF]+")
 STEM = 6
 BLOCK = 64
 OPENED = 4
@@ -46,23 +47,26 @@ def terms(text: str | None) -> Counter:
     return found
 
 
+def term_hashes(vocab: list[str]) -> np.ndarray:
+    """Hashes of terms, as Reader finds them in texts."""
+    h = word_hashes([t.removesuffix("*") for t in vocab], punctuation=False)[0]
+    return np.where([t[-1] == "*" for t in vocab], mix(h ^ STEM_MARK), h)
+
+
 class Reader:
-    """Counts of a vocabulary's terms in many texts."""
+    """Counts in many texts of the terms of these hashes."""
 
-    def __init__(self, vocab: dict[str, int]):
-        self.words = {t: i for t, i in vocab.items() if t[-1] != "*"}
-        self.stems = {t[:-1]: i for t, i in vocab.items() if t[-1] == "*"}
-        self.size = len(vocab)
+    def __init__(self, hashes: np.ndarray):
+        self.slots, self.size = Slots(hashes), len(hashes)
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, term and count, in order of texts and terms; the counts of terms() that the vocabulary knows."""
-        keys = [np.zeros(0, np.int64)]
-        for i, t in enumerate(texts):
-            found = _WORD.findall(t.lower()) if t else []
-            for known, own in ((self.words, found), (self.stems, [w[:STEM] for w in found if len(w) > STEM])):
-                at = np.fromiter(map(known.get, own, repeat(-1)), np.int64, len(own))
-                keys.append(at[at >= 0] + i * self.size)
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        """Text number, term and count, in order of texts and terms; the counts of terms() that are known."""
+        words, stems, off = word_and_stem_hashes(texts, STEM, punctuation=False)
+        owner = np.repeat(np.arange(len(texts)) * self.size, np.diff(off))
+        long = np.flatnonzero(stems)
+        at, owner = self.slots.find(np.concatenate([words, stems[long]])), np.concatenate([owner, owner[long]])
+        known = at >= 0
+        key, n = np.unique(owner[known] + at[known], return_counts=True)
         return *np.divmod(key, max(self.size, 1)), n
 
 
@@ -88,8 +92,12 @@ class Postings:
 
     def dots(self, texts: int, text: np.ndarray, at: np.ndarray, v: np.ndarray, wide: int) -> np.ndarray:
         """Sums of products of texts' weights v with the examples', wide numbers for each text."""
-        where, n = self._of(at)
-        return np.bincount(np.repeat(text * wide, n) + self.place[where], weights=self.value[where] * np.repeat(v, n), minlength=texts * wide)
+        out, edge = np.zeros((texts, wide)), np.searchsorted(text, np.arange(texts + 1))
+        for i in range(texts):  # a text's postings stay in cache
+            own = slice(edge[i], edge[i + 1])
+            where, n = self._of(at[own])
+            out[i] = np.bincount(self.place[where], self.value[where] * np.repeat(v[own], n), wide)
+        return out
 
 
 @dataclass
@@ -105,6 +113,7 @@ class Index:
     prior: float
     bare: float  # share of label 1 among examples without a term
     k: int
+    hashes: np.ndarray  # of the terms, in order of their numbers
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
     def _open(self) -> None:
@@ -119,10 +128,10 @@ class Index:
         table[:, : self.weights.examples] = self.weights[common]
         self._table = np.ascontiguousarray(table.reshape(len(common), self._blocks, BLOCK).transpose(1, 0, 2))
         self._top = np.ascontiguousarray(self._table.max(axis=2).T)
-        self._reader = Reader(self.vocab)
+        self._reader = Reader(self.hashes)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"vocab": {}}  # texts are read by hash
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of one text, of length 1 over the terms that some example holds."""
@@ -225,7 +234,7 @@ def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.nd
     return FLOOR + (1 - FLOOR) * np.maximum(0, 1 - CHANCE / np.maximum(total, 1e-9))
 
 
-def built(vocab: dict[str, int], df: np.ndarray, size: np.ndarray, term: np.ndarray, counts: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> Index:
+def built(vocab: dict[str, int], hashes: np.ndarray, df: np.ndarray, size: np.ndarray, term: np.ndarray, counts: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> Index:
     """The index of examples with size terms each, one after another; df by term, the last the number of documents."""
     owner, n1 = np.repeat(np.arange(len(size)), size), int(y.sum())
     with_1 = np.bincount(term, y[owner], len(vocab))
@@ -245,7 +254,7 @@ def built(vocab: dict[str, int], df: np.ndarray, size: np.ndarray, term: np.ndar
     place = np.repeat(np.arange(len(full), dtype=np.int32), size[full])
     take = np.repeat(off[full] - np.append(0, np.cumsum(size[full]))[:-1], size[full]) + np.arange(len(place))
     weights = Postings(term[take], place, value[take], len(idf), len(full))
-    return Index(vocab, idf, bearing, weights, y[full].astype(np.float64), ids[full], prior, (sum(bare) + prior) / (len(bare) + 1), k)
+    return Index(vocab, idf, bearing, weights, y[full].astype(np.float64), ids[full], prior, (sum(bare) + prior) / (len(bare) + 1), k, hashes)
 
 
 def _dealt(texts: pd.Series):
@@ -267,18 +276,20 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
     n = own.count()
     if n > max_examples:
         own = own.where(F.pmod(F.xxhash64("doc_id", F.lit("example")), F.lit(1 << 32)) < int(max_examples / n * (1 << 32)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # at most about max_examples pairs of numbers
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"), "toxicity-e")  # at most about max_examples pairs of numbers
 
     @F.pandas_udf("array<string>")
     def held(texts: pd.Series) -> pd.Series:
         return pd.Series([list(terms(x)) for x in texts], dtype=object)
 
     if rows.isEmpty():
-        return Index({}, np.zeros(0), np.zeros(0), Postings(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k)
+        return Index({}, np.zeros(0), np.zeros(0), Postings(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k, np.zeros(0, U))
     found = rows.select(F.explode(held("text")).alias("t")).distinct().toArrow()["t"].to_pylist()  # terms of the bounded examples
-    vocab = {t: i for i, t in enumerate(sorted(found))}
+    found.sort()
+    hashes = term_hashes(found)
+    vocab = dict(zip(found, range(len(found)), strict=True))
     del found
-    words = spark.sparkContext.broadcast(vocab)
+    words = spark.sparkContext.broadcast(hashes)
 
     def seen(batches):
         reader, df, n = Reader(words.value), np.zeros(len(words.value), np.int64), 0
@@ -308,7 +319,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
     size, term = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
     counts = got["n"].combine_chunks().flatten().to_numpy()
     del got
-    index = built(vocab, df, size, term, counts, y, ids, k)
+    index = built(vocab, hashes, df, size, term, counts, y, ids, k)
     del size, term, counts
     words.unpersist()
     if len(index.labels):
@@ -325,6 +336,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
         shared.unpersist()
         x, c = np.array([r.v for r in bins]), np.array([r.n for r in bins], float)
         index.steps = (x, _monotone(x, (np.array([float(r.y) for r in bins]) + index.prior) / (c + 1), c))
+    drop_stored(rows)
     return index
 
 
