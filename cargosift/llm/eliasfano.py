@@ -49,12 +49,14 @@ class EliasFano:
         np.bitwise_or.at(high, (pos >> U(6)).astype(np.int64), _ONE << (pos & U(63)))
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
         zeros = np.arange(len(high) + 1) * 64 - ones
+        if len(high) < 1 << 25:
+            ones, zeros = ones.astype(np.uint32), zeros.astype(np.uint32)
         return cls({"meta": np.array([n, bits], np.int64), "lows": lows, "high": high, "ones": ones, "zeros": zeros})
 
     def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
-        w = np.searchsorted(directory, k, "right") - 1
+        w = np.searchsorted(directory, k.astype(directory.dtype), "right") - 1
         word = self.high[w]
-        return w * 64 + _select_in_word(~word if flip else word, k - directory[w])
+        return w * 64 + _select_in_word(~word if flip else word, k - directory[w].astype(np.int64))
 
     def _next(self, pos: np.ndarray, directory: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
         """Place of set bit number k, the one after the bit at pos: mostly in the same word."""

@@ -8,16 +8,18 @@ its context, floor-quantised on a log scale in one byte; the weight that a conte
 is one minus the sum of those very shares, so that every context's probabilities add up to one. The lowest
 order is the add-half unigram estimate.
 
-Levels are cut into shards by hash, also inside one context, built by one task each and written to the shared
-folder, where scoring tasks map them. A frequent word's successors therefore spread over all shards.
+Counts travel to their shard once, folded in each task and packed. A shard holds whole contexts, found by hash; only
+the contexts that hold more than a part of a shard are split over several by the hash of the successor, and their weights, some for
+each shard at most, are kept with the model. One task builds each shard and writes it to the shared folder, where scoring tasks map it.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,9 @@ from .eliasfano import EliasFano
 from .text import U, mix, word_hashes
 
 END = int(mix(np.array([1], U))[0])  # the end token among word hashes
-SHARD = 1 << 20
+SHARD = 1 << 20  # tokens for each shard
+PART = SHARD // 8  # tokens of a context from which it is split
+TEXTS = 1000  # read at once
 DISCOUNT = 0.75
 LEAST = 2
 _LOWEST = -7.0
@@ -76,6 +80,29 @@ def _sequence(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
     return EliasFano({k: arrays[f"{name}.{k}"] for k in EliasFano.FIELDS})
 
 
+@dataclass
+class Split:
+    """Contexts split over several shards, in rising order: in how many parts, and the weights that they leave."""
+
+    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    parts: np.ndarray = field(default_factory=lambda: np.ones(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.ones(0))
+
+    @classmethod
+    def of(cls, contexts, counts, limit: int) -> Split:
+        order = np.argsort(np.asarray(contexts, np.int64))
+        parts = -(-np.asarray(counts, np.int64)[order] // limit)
+        return cls(np.asarray(contexts, np.int64)[order], parts, np.ones(len(order)))
+
+    def find(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the given are split, and where they stand here."""
+        if not len(self.contexts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        own = np.flatnonzero(self.contexts[at] == context)
+        return own, at[own]
+
+
 @dataclass
 class Model:
     """Where the levels lie, and the few numbers needed to read them. Maps are opened on first use in each process."""
@@ -85,25 +112,31 @@ class Model:
     base: list[list[int]]  # first number of each shard's entries, and the end, of levels 1 and 2
     tokens: int
     types: int
+    starts: int  # texts
     least: int = LEAST  # occurrences of the bigrams and trigrams kept
-    first_weight: float = 1.0  # what the start of a text leaves to the unigram estimate
+    split: dict[int, Split] = field(default_factory=lambda: {2: Split(), 3: Split()})
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def part(self, level: int, shard: int) -> dict:
+    @property
+    def limit(self) -> int:
+        """Occurrences above which a context is split; so large that a million contexts reach it at most."""
+        return max(PART, self.tokens >> 20)
+
+    def part(self, level: int, shard: int) -> dict | None:
+        """The arrays of a shard, None if nothing is in it."""
         maps = self.__dict__.setdefault("_maps", {})
         if (level, shard) not in maps:
-            a = _load(f"{self.folder}/level{level}-{shard}")
-            own = {"a": a} | {name: _sequence(a, name) for name in ({"words", "sums"} if level == 1 else {"contexts", "pointers", "entries", "sums"}) if f"{name}.meta" in a}
-            weights = f"{self.folder}/weights{level}-{shard}"
-            if os.path.exists(weights):
-                own["weights"] = _load(weights)["weights"]
+            path, own = f"{self.folder}/level{level}-{shard}", None
+            if os.path.exists(path):
+                a = _load(path)
+                own = {"a": a} | {name: _sequence(a, name) for name in ({"words", "sums"} if level == 1 else {"contexts", "pointers", "entries", "sums"}) if f"{name}.meta" in a}
             maps[level, shard] = own
         return maps[level, shard]
 
     def key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """One number for a context and a word, in order of contexts."""
+        """One number for a context and a word, in order of contexts; word number types stands for every word unknown."""
         return context.astype(U) * U(self.types + 1) + word.astype(U)
 
     def unkey(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,66 +146,64 @@ class Model:
     def words(self, h: np.ndarray) -> np.ndarray:
         """Numbers of words by hash, -1 for unknown ones; h distinct or not."""
         out, owner = np.full(len(h), -1), (h % U(max(1, self.shards[0]))).astype(np.int64)
-        for s in range(self.shards[0]):
-            own = np.flatnonzero(owner == s)
-            at = self.part(1, s)["words"].find(h[own])
+        for s, own in _by(owner):
+            at = self.part(1, s)["words"].find(h[own]) if self.part(1, s) else np.full(len(own), -1)
             out[own] = np.where(at >= 0, at + self.base[0][s], -1)
         return out
 
-    def _each(self, level: int, number: np.ndarray):
-        edges = np.array(self.base[level - 1])
-        owner = np.searchsorted(edges, number, "right") - 1
-        for s in range(self.shards[level - 1]):
-            own = np.flatnonzero(owner == s)
-            if len(own):
-                yield self.part(level, s), own, number[own] - edges[s]
-
     def counts(self, level: int, number: np.ndarray) -> np.ndarray:
         """Counts of words (level 1) or bigrams (2) by number, 0 for -1."""
-        out = np.zeros(len(number), np.int64)
-        for part, own, at in self._each(level, number):
-            upper = part["sums"].get(at).astype(np.int64)
-            out[own] = upper - np.where(at > 0, part["sums"].get(np.maximum(at - 1, 0)).astype(np.int64), 0)
+        out, edges = np.zeros(len(number), np.int64), np.array(self.base[level - 1])
+        for s, own in _by(np.where(number >= 0, np.searchsorted(edges, number, "right") - 1, -1)):
+            if s >= 0:
+                sums, at = self.part(level, s)["sums"], number[own] - edges[s]
+                out[own] = sums.get(at).astype(np.int64) - np.where(at > 0, sums.get(np.maximum(at - 1, 0)).astype(np.int64), 0)
         return out
 
-    def weights(self, level: int, number: np.ndarray) -> np.ndarray:
-        """What a context leaves to the lower order; 1 for -1."""
-        out = np.ones(len(number))
-        for part, own, at in self._each(level, number):
-            if "weights" in part:
-                out[own] = part["weights"][at]
-        if level == 1:
-            out[number == self.types] = self.first_weight
-        return out
+    def shard_of(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        h = context.astype(U) * _B2
+        own, at = self.split[level].find(context)
+        h[own] += (mix(word[own].astype(U) * _B3) % self.split[level].parts[at].astype(U) + U(1)) * _B3
+        return (mix(h) % U(max(1, self.shards[level - 1]))).astype(np.int64)
 
-    def search(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (level 2) or places (3) of successors of contexts, -1 where there is none, and their shares."""
-        out, share = np.full(len(word), -1), np.zeros(len(word))
-        ask = np.flatnonzero((context >= 0) & (word >= 0))
-        owner = shard_of(context[ask], word[ask], self.shards[level - 1])
-        for s in range(self.shards[level - 1]):
-            own = ask[owner == s]
-            if not len(own):
-                continue
+    def search(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers (level 2) or places (3) of successors of known contexts, -1 where there is none; their shares; what the contexts leave.
+
+        Equal contexts stand together.
+        """
+        out, share, left = np.full(len(word), -1), np.zeros(len(word)), np.ones(len(word))
+        for s, own in _by(self.shard_of(level, context, word)):
             part = self.part(level, s)
+            if part is None:
+                continue
             asked = context[own]
             head = np.concatenate([[True], asked[1:] != asked[:-1]])  # one look-up for each run of a context
             c = part["contexts"].find(asked[head])
             start, end = (x.astype(np.int64) for x in part["pointers"].pair(np.maximum(c, 0)))
-            run = np.cumsum(head) - 1
+            rest = 1 - _CODE[part["a"]["codes"][np.minimum(start, len(part["a"]["codes"]) - 1)]]
+            many, run = part["a"]["many"], np.cumsum(head) - 1
+            if len(many):
+                at = np.minimum(np.searchsorted(many, c.astype(many.dtype)), len(many) - 1)
+                rest = np.where(many[at] == c, part["a"]["rest"][at], rest)
             known = c[run] >= 0
             own, run = own[known], run[known]
             if not len(own):
                 continue
+            left[own] = rest[run]
             at = part["entries"].find(c[run].astype(U) * U(self.types + 1) + word[own].astype(U), start[run], end[run])
             own, at = own[at >= 0], at[at >= 0]
             out[own] = at + (self.base[1][s] if level == 2 else 0)
             share[own] = _CODE[part["a"]["codes"][at]]
-        return out, share
+        own, at = self.split[level].find(context)
+        left[own] = self.split[level].weights[at]
+        return out, share, left
 
 
-def shard_of(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(context.astype(U) * _B2 + word.astype(U) * _B3) % U(max(1, shards))).astype(np.int64)
+def _by(owner: np.ndarray):
+    """Each owner and its places in rising order."""
+    order = np.argsort(owner, kind="stable")
+    found, first = np.unique(owner[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, first[1:]), strict=False)
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +257,6 @@ class _Read:
     before: np.ndarray
     off: np.ndarray
     back: np.ndarray
-    known: np.ndarray
     counts: np.ndarray
 
     @classmethod
@@ -239,15 +269,15 @@ class _Read:
         now = number[back]
         before = np.concatenate([[0], now[:-1]]) if len(now) else now
         before[off[:-1]] = model.types
-        return cls(now, before, off, back, known, counts)
+        return cls(now, before, off, back, counts)
 
-    def bigrams(self, model: Model):
-        """Distinct bigrams of known words as numbers, shares and the place of each token among them, -1 for none."""
-        ok = np.flatnonzero((self.now >= 0) & (self.before >= 0))
-        key, back = _runs(model.key(self.before[ok], self.now[ok]))
-        place = np.full(len(self.now), -1)
-        place[ok] = back
-        return (*model.search(2, *model.unkey(key)), place)
+    def search(self, model: Model, level: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """model.search() of every token, each pair of context and word once; unknown contexts (-1) have no successors."""
+        number, share, left = np.full(len(context), -1), np.zeros(len(context)), np.ones(len(context))
+        ok = np.flatnonzero(context >= 0)
+        key, back = _runs(model.key(context[ok], np.where(self.now[ok] >= 0, self.now[ok], model.types)))
+        number[ok], share[ok], left[ok] = (x[back] for x in model.search(level, *model.unkey(key)))
+        return number, share, left
 
     def contexts(self, number: np.ndarray) -> np.ndarray:
         """The number of the bigram before each token of the same text, -1 for none."""
@@ -256,36 +286,64 @@ class _Read:
         return context
 
 
-def _pairs(model: Model, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    c, w = model.unkey(keys)
-    return pd.DataFrame({"c": c, "w": w, "n": n})
+def _pack(c: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts in order of (c, w), byte by byte of their numbers, compressed."""
+    import zstandard
 
+    head, body = [len(c)], []
+    for x in (np.diff(c, prepend=0), w, n):
+        width = max(1, (int(x.max()).bit_length() + 7) // 8)
+        head.append(width)
+        body.append(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return struct.pack("<QBBB", *head) + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
-def _count_bigrams(batches, shared):
-    model, tally = shared.value, _Tally()
-    for pdf in batches:
-        r = _Read.of(model, pdf["text"].tolist())
-        ok = (r.now >= 0) & (r.before >= 0)
-        for part in tally.add(model.key(r.before[ok], r.now[ok])):
-            yield _pairs(model, *part)
-    yield _pairs(model, *tally.fold())
 
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    import zstandard
 
-def _token_numbers(number: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return np.append(number, -1)[place]
+    size, *widths = struct.unpack_from("<QBBB", blob)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[11:]), np.uint8)
+    out, at = [], 0
+    for width in widths:
+        x = np.zeros((size, 8), np.uint8)
+        x[:, :width] = raw[at : at + size * width].reshape(width, size).T
+        out.append(x.view("<u8")[:, 0].astype(np.int64))
+        at += size * width
+    out[0] = np.cumsum(out[0])
+    return out
 
 
-def _count_trigrams(batches, shared):
-    model, tally = shared.value, _Tally()
+def _packed(model: Model, level: int, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """One row (shard, blob) for each shard that the counts of sorted keys belong to."""
+    c, w = model.unkey(keys)
+    rows = [(s, _pack(c[own], w[own], n[own])) for s, own in _by(model.shard_of(level, c, w))]
+    return pd.DataFrame(rows, columns=["shard", "blob"])
+
+
+def _gathered(batches):
+    """Lists of about TEXTS texts."""
+    held: list[str | None] = []
     for pdf in batches:
-        r = _Read.of(model, pdf["text"].tolist())
-        number, _, place = r.bigrams(model)
-        number = _token_numbers(number, place)
-        context = r.contexts(number)
-        ok = (context >= 0) & (number >= 0)  # a kept trigram holds kept bigrams
+        held += pdf["text"].tolist()
+        if len(held) >= TEXTS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _count_level(level: int, batches, shared):
+    model, tally = shared.value, _Tally()
+    for texts in _gathered(batches):
+        r = _Read.of(model, texts)
+        context = r.before
+        if level == 3:
+            number = r.search(model, 2, r.before)[0]
+            context = np.where(number >= 0, r.contexts(number), -1)  # a kept trigram holds kept bigrams
+        ok = (context >= 0) & (r.now >= 0)
         for part in tally.add(model.key(context[ok], r.now[ok])):
-            yield _pairs(model, *part)
-    yield _pairs(model, *tally.fold())
+            yield _packed(model, level, *part)
+    yield _packed(model, level, *tally.fold())
 
 
 def _write_words(key, pdf, folder):
@@ -296,66 +354,58 @@ def _write_words(key, pdf, folder):
     return pd.DataFrame({"shard": [int(key[0])], "size": [len(h)], "total": [int(n.sum())]})
 
 
-def _write_level(level, batches, shared, folder):
-    """Writes one shard from its rows; reports its size, and each context's sum of shares."""
+def _write_level(level, shard, blobs, shared):
+    """Writes one shard from packed counts. Rows (shard, kind, a, n, x): 0 its size, 1 an entry that as a context is split, 2 a split context's sum of shares."""
     model = shared.value
-    for pdf in batches:
-        c, w, n = (pdf[k].to_numpy() for k in ("c", "w", "n"))
-        order = np.lexsort((w, c))
-        c, w, n = c[order], w[order], n[order]
-        contexts, first = np.unique(c, return_index=True)
-        local = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(c))))
-        total = model.counts(level - 1, contexts)
-        if level == 2:
-            total[contexts == model.types] = int(pdf["starts"].iloc[0])
-        share = (n - DISCOUNT) / np.maximum(total[local], n)
-        code = np.clip(np.floor((1 - np.log10(share) / _LOWEST) * 255 + 1e-9), 0, 255).astype(np.uint8)
-        code = np.where(_CODE[code] > share * (1 + 1e-12), np.maximum(code, 1) - 1, code).astype(np.uint8)
-        arrays = _named("contexts", EliasFano.build(contexts, int(contexts[-1]) + 1)) | _named("pointers", EliasFano.build(np.append(first, len(c)), len(c) + 1))
-        arrays |= _named("entries", EliasFano.build(local.astype(U) * U(model.types + 1) + w.astype(U), len(contexts) * (model.types + 1))) | {"codes": code}
-        if level == 2:
-            arrays |= _named("sums", EliasFano.build(np.cumsum(n), int(n.sum()) + 1))
-        shard = int(pdf["shard"].iloc[0])
-        _save(f"{folder}/level{level}-{shard}", arrays)
-        yield pd.DataFrame({"shard": shard, "size": len(c), "c": contexts, "used": np.bincount(local, weights=_CODE[code])})
-
-
-def _write_weights(key, pdf, level, base, folder):
-    shard = int(key[0])
-    weights = np.ones(base[shard + 1] - base[shard], np.float32)
-    weights[pdf["c"].to_numpy() - base[shard]] = 1 - pdf["used"].to_numpy()
-    _save(f"{folder}/weights{level}-{shard}", {"weights": np.maximum(weights, 0)})
-    return pd.DataFrame({"shard": [shard]})
-
-
-def _level(counted: DataFrame, level: int, model: Model, starts: int) -> list[int]:
-    """Builds level 2 or 3 from counts (c, w, n) and the weights of the level below; gives the sizes of its shards."""
-    spark = counted.sparkSession
-    counted = (counted.where(F.col("n") >= model.least) if model.least > 1 else counted).persist()
-    shards = max(1, -(-counted.count() // SHARD))
-    model.shards[level - 1] = shards
-    shared, folder = spark.sparkContext.broadcast(model), model.folder
-
-    @F.pandas_udf("int")
-    def placed(c: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series(shard_of(c.to_numpy(), w.to_numpy(), shards).astype(np.int32))
-
-    rows = counted.select("c", "w", "n", placed("c", "w").alias("shard"), F.lit(starts).alias("starts"))
-    built = rows.groupBy("shard").applyInPandas(lambda p: next(_write_level(level, [p], shared, folder)), "shard int, size long, c long, used double").persist()  # about SHARD rows a group, whatever the contexts
-    sizes = dict(built.groupBy("shard").agg(F.first("size")).collect())
-    used = built.groupBy("c").agg(F.sum("used").alias("used"))
-    below = model.base[level - 2]
-    edges = F.lit(0)
-    for e in below[1:-1]:
-        edges = edges + F.when(F.col("c") >= e, 1).otherwise(0)
-    own = used.where(F.col("c") < below[-1]).withColumn("shard", edges)
-    own.groupBy("shard").applyInPandas(lambda k, p: _write_weights(k, p, level - 1, below, folder), "shard int").collect()
+    c, w, n = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+    order = np.lexsort((w, c))
+    c, w, n = c[order], w[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
+    c, w, n = c[head], w[head], np.add.reduceat(n, head)
+    kept = n >= model.least
+    c, w, n = c[kept], w[kept], n[kept]
+    if not len(c):
+        return pd.DataFrame({"shard": [shard], "kind": 0, "a": 0, "n": 0, "x": 0.0})
+    contexts, first = np.unique(c, return_index=True)
+    size = np.diff(np.append(first, len(c)))
+    local = np.repeat(np.arange(len(contexts)), size)
+    total = np.where(contexts == model.types, model.starts, model.counts(1, np.where(contexts < model.types, contexts, -1))) if level == 2 else model.counts(2, contexts)
+    share = (n - DISCOUNT) / np.maximum(total[local], n)
+    code = np.clip(np.floor((1 - np.log10(share) / _LOWEST) * 255 + 1e-9), 0, 255).astype(np.uint8)
+    code = np.where(_CODE[code] > share * (1 + 1e-12), np.maximum(code, 1) - 1, code).astype(np.uint8)
+    used = np.bincount(local, weights=_CODE[code])
+    many = np.flatnonzero(size > 1)
+    arrays = _named("contexts", EliasFano.build(contexts, int(contexts[-1]) + 1)) | _named("pointers", EliasFano.build(np.append(first, len(c)), len(c) + 1))
+    arrays |= _named("entries", EliasFano.build(local.astype(U) * U(model.types + 1) + w.astype(U), len(contexts) * (model.types + 1)))
+    arrays |= {"codes": code, "many": many.astype(np.uint32), "rest": np.maximum(1 - used[many], 0).astype(np.float32)}
     if level == 2:
-        first = used.where(F.col("c") == model.types).first()
-        model.first_weight = max(0.0, 1 - first.used) if first else 1.0
-    built.unpersist()
-    counted.unpersist()
-    return [int(sizes.get(s, 0)) for s in range(shards)]
+        arrays |= _named("sums", EliasFano.build(np.cumsum(n), int(n.sum()) + 1))
+    _save(f"{model.folder}/level{level}-{shard}", arrays)
+    large = np.flatnonzero(n > model.limit) if level == 2 else np.zeros(0, np.int64)
+    own = model.split[level].find(contexts)[0]
+    return pd.DataFrame({
+        "shard": shard, "kind": np.repeat([0, 1, 2], [1, len(large), len(own)]), "a": np.concatenate([[len(c)], large, contexts[own]]),
+        "n": np.concatenate([[0], n[large], np.zeros(len(own), np.int64)]), "x": np.concatenate([np.zeros(1 + len(large)), used[own]]),
+    })
+
+
+def _level(texts: DataFrame, level: int, model: Model) -> None:
+    """Builds level 2 or 3, and sets what the model knows of it: sizes of its shards, weights of split contexts, contexts to split above."""
+    spark = texts.sparkSession
+    model.shards[level - 1] = max(1, -(-model.tokens // SHARD))
+    shared = spark.sparkContext.broadcast(model)
+    packed = texts.mapInPandas(lambda it: _count_level(level, it, shared), "shard long, blob binary")
+    built = packed.groupBy("shard").applyInPandas(lambda k, p: _write_level(level, int(k[0]), p["blob"], shared), "shard long, kind int, a long, n long, x double")  # about SHARD tokens a group
+    got = built.toPandas()  # a row for each shard and for contexts of over model.limit tokens, a million at most
+    sizes = got[got["kind"] == 0].set_index("shard")["a"].to_dict()
+    split = model.split[level]
+    used = got[got["kind"] == 2].groupby("a")["x"].sum()
+    at = np.searchsorted(split.contexts, used.index.to_numpy(np.int64))
+    split.weights[at] = np.maximum(0.0, 1 - used.to_numpy())
+    if level == 2:
+        model.base[1] = [0, *np.cumsum([sizes.get(s, 0) for s in range(model.shards[1])]).tolist()]
+        large = got[got["kind"] == 1]
+        model.split[3] = Split.of(np.array(model.base[1])[large["shard"].to_numpy(np.int64)] + large["a"].to_numpy(np.int64), large["n"].to_numpy(np.int64), model.limit)
 
 
 def train(docs: DataFrame, text: str = "text", least: int = LEAST) -> Model:
@@ -370,31 +420,30 @@ def train(docs: DataFrame, text: str = "text", least: int = LEAST) -> Model:
     folder = f"{_local(scratch_dir(spark))}/ngrams-{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
     texts = docs.select(F.col(text).alias("text"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     words = texts.mapInPandas(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).persist()
     types, tokens, starts = words.agg(F.count("*"), F.sum("n"), F.max(F.when(F.col("h") == int(np.array([END], U).view(np.int64)[0]), F.col("n")))).first()
     shards = max(1, -(-types // SHARD))
-    model = Model(folder, [shards, 1, 1], [[0] * (shards + 1), [0, 0]], int(tokens or 0), int(types), least)
+    model = Model(folder, [shards, 1, 1], [[0] * (shards + 1), [0, 0]], int(tokens or 0), int(types), int(starts or 0), least)
 
     @F.pandas_udf("int")
     def placed(h: pd.Series) -> pd.Series:
         return pd.Series((h.to_numpy().view(U) % U(shards)).astype(np.int32))
 
     done = words.withColumn("shard", placed("h")).groupBy("shard").applyInPandas(lambda k, p: _write_words(k, p, folder), "shard int, size long, total long").collect()
+    frequent = words.where(F.col("n") > model.limit).toPandas()  # a million at most
     words.unpersist()
     sizes = {x["shard"]: x["size"] for x in done}
     if not types:
         model.shards = [0, 0, 0]
         return model
     model.base[0] = [0, *np.cumsum([sizes.get(s, 0) for s in range(shards)]).tolist()]
-    for level, count in ((2, _count_bigrams), (3, _count_trigrams)):
-        shared = spark.sparkContext.broadcast(model)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        counted = texts.mapInPandas(lambda it, c=count, s=shared: c(it, s), "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n"))
-        sizes = _level(counted, level, model, int(starts or 0))
-        if level == 2:
-            model.base[1] = [0, *np.cumsum(sizes).tolist()]
-    prepare(spark)
+    contexts, counts = model.words(frequent["h"].to_numpy(np.int64).view(U)), frequent["n"].to_numpy(np.int64)
+    if model.starts > model.limit:
+        contexts, counts = np.append(contexts, model.types), np.append(counts, model.starts)
+    model.split[2] = Split.of(contexts, counts, model.limit)
+    model.__dict__.pop("_maps", None)
+    for level in (2, 3):
+        _level(texts, level, model)
     return model
 
 
@@ -406,23 +455,11 @@ def evaluate(model: Model, texts: list[str | None]) -> pd.DataFrame:
         return pd.DataFrame({"n_tokens": n, "n_known": 0, "base_score": base, "score": base})
     r = _Read.of(model, texts)
     c = r.counts[r.back]
-    p1 = (r.counts + 0.5) / (model.tokens + 0.5 * (model.types + 1))
-    left = model.weights(1, np.where(r.counts >= model.least, r.known, -1))  # what each word as context leaves
-    before = np.concatenate([[0], r.back[:-1]])
-    weight = left[before]
-    weight[r.off[:-1]] = model.first_weight
-    number, share, place = r.bigrams(model)
-    p1 = p1[r.back]
-    p2 = np.append(share, 0.0)[place] + weight * p1
-    context = r.contexts(_token_numbers(number, place))
-    p3 = p2.copy()
-    has = np.flatnonzero(context >= 0)
-    rest = np.append(model.weights(2, number), 1.0)[place]  # what each bigram as context leaves
-    p3[has] = rest[has - 1] * p2[has]
-    sure = has[r.now[has] >= 0]
-    key, back = _runs(model.key(context[sure], r.now[sure]))
-    _, share = model.search(3, *model.unkey(key))
-    p3[sure] += share[back]
+    p1 = ((r.counts + 0.5) / (model.tokens + 0.5 * (model.types + 1)))[r.back]
+    number, share, left = r.search(model, 2, r.before)
+    p2 = share + left * p1
+    _, share, left = r.search(model, 3, r.contexts(number))
+    p3 = share + left * p2
     off = r.off
     add = lambda v: np.add.reduceat(v, off[:-1])  # noqa: E731  every text has its end token
     return pd.DataFrame({"n_tokens": np.diff(off), "n_known": add((c > 0).astype(np.int64)), "base_score": add(np.log10(p1)), "score": add(np.log10(np.maximum(p3, 1e-300)))})
@@ -443,6 +480,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_lm")
     kept = [c for c in docs.columns if c not in names]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     out = docs.select(*kept, scored(F.col(text)).alias("_lm"))
     return out.select(*kept, "_lm.n_tokens", "_lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "_lm.base_score", "_lm.score")
