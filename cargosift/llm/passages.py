@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, partitions, prepare, stored
+from .common import components, drop_stored, prepare, stored
 from .text import U, mix, powers, word_hashes
 
 SIZE = 40
@@ -64,11 +64,14 @@ def shared_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             owner, start, key = windows(pdf["text"].tolist(), size, gap)
             yield pd.DataFrame({"row": pdf["row"].to_numpy()[owner], "doc_id": pdf["doc_id"].to_numpy()[owner], "start": start, "key": key})
 
-    # Dealt out by key once; the counts and the join below both read that.
-    dealt = source.mapInPandas(cut, "row long, doc_id long, start int, key long").repartition(partitions(spark), "key")
-    again = dealt.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(F.struct("doc_id", "start", "row")).alias("lead")).where("low <> high").select("key", "lead")
+    each = source.mapInPandas(cut, "row long, doc_id long, start int, key long")
+    # Counts fold in each task before they are dealt out, and the join can split a window that very many documents hold.
+    again = each.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(F.struct("doc_id", "start", "row")).alias("lead")).where("low <> high")
+    again = stored(again.select("key", "lead"), "passages-k")
     first = (F.col("row") == F.col("lead.row")) & (F.col("start") == F.col("lead.start"))
-    return stored(dealt.join(again.hint("merge"), "key").select("row", "doc_id", "start", "key", first.alias("first")), "passages-w")
+    found = stored(each.join(again, "key").select("row", "doc_id", "start", "key", first.alias("first")), "passages-w")
+    drop_stored(again)
+    return found
 
 
 def spans(found: DataFrame, size: int = SIZE) -> DataFrame:
