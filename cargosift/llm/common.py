@@ -2,42 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 400
-
-
-def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a Python worker holds a few hundred texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+from cargosift.scratch import scratch_dir, stored
 
+__all__ = ["arrow_rows", "components", "drop_stored", "partitions", "prepare", "scratch_dir", "stored"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cargosift-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder; cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ARROW_ROWS = 400
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Removes a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches for the session, so that a Python worker holds a few hundred texts at a time; results are read with it too."""
+    spark.conf.set(_ROWS, str(ARROW_ROWS))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Other Arrow batches for what is written inside; the session's own come back."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Removes tables made by stored() that nothing reads any more."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if not files:
+            continue
         path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -51,6 +50,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star, two aggregations and joins a round, each round written to the
     shared folder. Nodes without an edge to another node do not appear; an empty input gives an empty result.
+    Rounds grow with the logarithm of a component's size; if max_rounds do not do, it raises.
     """
     spark = edges.sparkSession
     norm = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -71,5 +71,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == new:
             break
         mark = new
+    else:
+        raise RuntimeError(f"components are not done after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

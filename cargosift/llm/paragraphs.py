@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, prepare, stored
+from .common import arrow_rows, components, drop_stored, partitions, prepare, stored
 from .text import U, minima, sequence_keys, shingle_hashes, word_hashes
 
 SIZE = 5
@@ -116,11 +116,12 @@ def joined(opened: DataFrame, sets_of, threshold: float, block: int | None = Non
     side = lambda n: blocks.select("bucket", F.col("part").alias(f"p{n}"), F.col("chunk").alias(f"c{n}"), F.col("m").alias(f"m{n}"))
     pairs = side(1).where("p1 is null and size(m1) > 1").select("bucket", "c1", "m1", F.col("c1").alias("c2"), F.slice("m1", 1, 0).alias("m2"))
     more = side(1).join(side(2), "bucket").where("c1 < c2 and (p1 is null or p2 is null or p1 <> p2)").select("bucket", "c1", "m1", "c2", "m2")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     both = pairs.unionByName(more).repartition(2 * partitions(spark), "bucket", "c1", "c2")
-    links = stored(both.mapInPandas(lambda it: _verified(it, threshold), "a long, b long"), "paragraphs-l")
-    prepare(spark)
+    with arrow_rows(spark, batch):
+        links = stored(both.mapInPandas(lambda it: _verified(it, threshold), "a long, b long"), "paragraphs-l")
+    drop_stored(blocks, met, sets, near)
     comp = stored(components(links), "paragraphs-c")
+    drop_stored(links)
     return part, comp
 
 

@@ -1,9 +1,11 @@
 """SimHash fingerprints, and their self-join over a binary trie.
 
-Distinct fingerprints are cut into subtrees by their first bits and the subtrees into blocks of bounded
-size. Pairs of blocks whose prefixes differ in no more bits than the budget meet in one task, which walks
-both tries together, adds up differing bits and drops a pair of nodes once the budget is exceeded. A task
-reports a spanning forest of the links it finds, so rows grow with fingerprints, not with pairs.
+Fingerprints that differ in at most budget bits agree in one of budget + 1 pieces of their bits. Each is turned so that every
+piece leads once, and dealt out by the first bits of that piece: subtrees of a trie, as many as make blocks of bounded size.
+A task walks a block's trie against itself, adds up differing bits and drops a pair of nodes once the budget is exceeded. So
+each fingerprint travels budget + 1 times, however many there are, until whole pieces make subtrees larger than a block;
+then they are cut further down, and blocks meet whose prefixes differ in no more bits than the budget. A task reports a
+spanning forest of the links it finds, so rows grow with fingerprints, not with pairs.
 
 At a Jaccard similarity of 0.8 fingerprints differ in about ten bits, which no trie budget reaches. similar()
 therefore takes many small fingerprints of a text, its MinHash bands, and verifies by exact similarity.
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, prepare, stored
+from .common import arrow_rows, components, drop_stored, prepare, stored
 from .paragraphs import ROWS, bands, joined
 from .text import minima, sequence_keys, shingle_hashes, word_hashes
 
@@ -135,31 +137,41 @@ def links(prints: DataFrame, budget: int = 3) -> DataFrame:
     """Links (a, b) that join the distinct fingerprints (column fp, long) into their components."""
     spark = prints.sparkSession
     n = prints.count()
-    depth = min(20, max(2, math.ceil(math.log2(max(n, 1) / (BLOCK / 2)))) if n > BLOCK / 2 else 2)
-    prefix = F.shiftrightunsigned("fp", 64 - depth)
-    sizes = prints.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    salted = prints.withColumn("prefix", prefix).join(F.broadcast(sizes), "prefix")  # at most 2 ** depth rows
-    salt = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK).cast("long")).cast("int")
-    blocks = stored(salted.withColumn("salt", salt).groupBy("prefix", "salt").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "simhash-b")
-    masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
-    meets = blocks.select("prefix", "salt", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")) if len(masks) < 200 else blocks.select("prefix", "salt").join(F.broadcast(spark.createDataFrame([(m,) for m in masks], "mask long")))
-    meets = meets.select("prefix", "salt", F.col("prefix").bitwiseXOR(F.col("mask")).alias("p2")).where("p2 >= prefix")
-    other = blocks.select(F.col("prefix").alias("p2"), F.col("salt").alias("s2"))
-    pairs = meets.join(other, "p2").where("p2 > prefix or s2 >= salt")
-    filled = pairs.join(blocks, ["prefix", "salt"]).join(blocks.select(F.col("prefix").alias("p2"), F.col("salt").alias("s2"), F.col("fps").alias("fps2")), ["p2", "s2"])
-    filled = filled.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "prefix", "salt", "p2", "s2")
+    want = math.ceil(math.log2(n / (BLOCK / 2))) if n > BLOCK else 0
+    width = 64 // (budget + 1)
+    whole, below = min(want, width), min(max(0, want - width), 20)  # bits that a piece gives, and bits cut further down
+    depth, turns = whole + below, budget + 1 if want else 1
+    turned = lambda r: F.col("fp") if not r else F.expr(f"shiftleft(fp, {width * r}) | shiftrightunsigned(fp, {64 - width * r})")
+    each = prints.select(F.explode(F.array(*[F.struct(F.lit(r).alias("turn"), turned(r).alias("key")) for r in range(turns)])).alias("e")).select("e.*")
+    each = each.withColumn("prefix", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long"))
+    sizes = each.groupBy("turn", "prefix").agg(F.count("*").alias("n"))
+    salted = each.join(F.broadcast(sizes) if turns << depth <= 1 << 19 else sizes, ["turn", "prefix"])
+    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK).cast("long")).cast("int")
+    blocks = stored(salted.withColumn("salt", salt).groupBy("turn", "prefix", "salt", "n").agg(F.sort_array(F.collect_list("key")).alias("keys")), "simhash-b")
+    none = F.array().cast("array<long>")
+    filled = blocks.where((F.col("n") <= BLOCK) & F.lit(below == 0)).select("turn", "keys", none.alias("keys2"))
+    # Blocks of one subtree, and below whole pieces also of near subtrees, meet.
+    several = blocks.where((F.col("n") > BLOCK) | F.lit(below > 0)).select("turn", "prefix", "salt")
+    masks = spark.createDataFrame([(m,) for m in range(1 << below) if m.bit_count() <= budget], "mask long")
+    meets = several.join(F.broadcast(masks)).select("turn", "prefix", "salt", F.col("prefix").bitwiseXOR(F.col("mask")).alias("p2")).where("p2 >= prefix")  # at most 2 ** below masks
+    pairs = meets.join(several.select("turn", F.col("prefix").alias("p2"), F.col("salt").alias("s2")), ["turn", "p2"]).where("p2 > prefix or s2 >= salt")
+    other = blocks.select("turn", F.col("prefix").alias("p2"), F.col("salt").alias("s2"), F.col("keys").alias("keys2"))
+    same = (F.col("prefix") == F.col("p2")) & (F.col("salt") == F.col("s2"))
+    met = pairs.join(blocks.select("turn", "prefix", "salt", "keys"), ["turn", "prefix", "salt"]).join(other, ["turn", "p2", "s2"]).select("turn", "keys", F.when(same, none).otherwise(F.col("keys2")).alias("keys2"))
+    filled = filled.unionByName(met).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def walk(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                left, right = np.sort(np.asarray(r.fps, np.int64).view(np.uint64)), np.sort(np.asarray(r.fps2, np.int64).view(np.uint64))
-                same = r.prefix == r.p2 and r.salt == r.s2
-                got = np.array(forest(left, None if same else right, depth, budget), np.uint64).reshape(-1, 2).view(np.int64)
-                yield pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    found = stored(filled.select("prefix", "salt", "p2", "s2", "fps", "fps2").mapInPandas(walk, "a long, b long"), "simhash-l")
-    prepare(spark)
+                left, right = (np.sort(np.asarray(k, np.int64).view(np.uint64)) for k in (r.keys, r.keys2))
+                got = np.array(forest(left, right if len(right) else None, depth, budget), np.uint64).reshape(-1, 2)
+                back = np.uint64(width * r.turn)
+                got = got >> back | got << np.uint64(64) - back if r.turn else got
+                yield pd.DataFrame({"a": got[:, 0].view(np.int64), "b": got[:, 1].view(np.int64)})
+
+    with arrow_rows(spark, 16):
+        found = stored(filled.mapInPandas(walk, "a long, b long"), "simhash-l")
+    drop_stored(blocks)
     return found
 
 

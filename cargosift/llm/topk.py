@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, stored
+from .common import arrow_rows, drop_stored, partitions, prepare, stored
 
 _BLOCK = "dim int, blk long, max_norm double, ids binary, vecs binary, axes binary"
 
@@ -120,37 +120,38 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1
     query = take(queries)
     for dim in [r.dim for r in query.select("dim").distinct().collect() if r.dim not in rot]:
         rot[dim] = np.eye(dim)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    cb = stored(blocks(cand, rot, block), "topk-c")
-    qb = blocks(query, rot, query_block).select("dim", F.col("blk").alias("q_blk"), F.col("max_norm").alias("q_norm"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("axes").alias("q_axes"))
-    qb = stored(qb, "topk-q")
-    out = "query_id long, vec_id long, score long"
-    first = cb.groupBy("dim").agg(F.min("blk").alias("blk"))
-    seed = qb.join(cb.join(first, ["dim", "blk"]), "dim").mapInPandas(lambda it: _score(it, k, head, out), out)
-    seed = stored(seed, "topk-s")
-    kth = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-
-    def lows(batches):
-        for pdf in batches:
-            got = []
-            for r in pdf.to_dict("records"):
-                known = {int(x["query_id"]): x["kth"] for x in (r.pop("known") if r["known"] is not None else []) if x["kth"] is not None}
-                qi = np.frombuffer(r["q_ids"], np.int64)
-                low = np.array([known.get(int(x), -np.inf) for x in qi], np.float64)
-                norm = np.linalg.norm(np.frombuffer(r["q_axes"], np.float64).reshape(len(qi), -1), axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    need = np.where(np.isfinite(low) & (low > 0), low / np.maximum(norm, 1e-300), -np.inf)
-                got.append(r | {"low": low.tobytes(), "need": float(need.min()) * (1 - 1e-9)})
-            yield pd.DataFrame(got, columns=["dim", "q_blk", "q_ids", "q_vecs", "q_axes", "low", "need"])
-
-    owner = qb.mapInPandas(_owners, "dim int, q_blk long, query_id long")
-    known = owner.join(kth, "query_id").groupBy("dim", "q_blk").agg(F.collect_list(F.struct("query_id", "kth")).alias("known"))  # at most query_block entries
-    armed = qb.drop("q_norm").join(known, ["dim", "q_blk"], "left").mapInPandas(lows, "dim int, q_blk long, q_ids binary, q_vecs binary, q_axes binary, low binary, need double")
-    armed = stored(armed, "topk-a")
-    later = cb.join(first, ["dim", "blk"], "left_anti")
-    meets = armed.select("dim", "q_blk", "need").join(later.select("dim", "blk", "max_norm"), "dim").where("max_norm >= need").select("dim", "q_blk", "blk")
-    pairs = meets.join(armed, ["dim", "q_blk"]).join(later, ["dim", "blk"]).repartition(4 * partitions(spark), "q_blk", "blk")
-    rest = pairs.mapInPandas(lambda it: _score(it, k, head, out), out)
+    with arrow_rows(spark, 4):
+        cb = stored(blocks(cand, rot, block), "topk-c")
+        qb = blocks(query, rot, query_block).select("dim", F.col("blk").alias("q_blk"), F.col("max_norm").alias("q_norm"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("axes").alias("q_axes"))
+        qb = stored(qb, "topk-q")
+        out = "query_id long, vec_id long, score long"
+        first = cb.groupBy("dim").agg(F.min("blk").alias("blk"))
+        seed = qb.join(cb.join(first, ["dim", "blk"]), "dim").mapInPandas(lambda it: _score(it, k, head, out), out)
+        seed = stored(seed, "topk-s")
+        kth = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+
+        def lows(batches):
+            for pdf in batches:
+                got = []
+                for r in pdf.to_dict("records"):
+                    known = {int(x["query_id"]): x["kth"] for x in (r.pop("known") if r["known"] is not None else []) if x["kth"] is not None}
+                    qi = np.frombuffer(r["q_ids"], np.int64)
+                    low = np.array([known.get(int(x), -np.inf) for x in qi], np.float64)
+                    norm = np.linalg.norm(np.frombuffer(r["q_axes"], np.float64).reshape(len(qi), -1), axis=1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        need = np.where(np.isfinite(low) & (low > 0), low / np.maximum(norm, 1e-300), -np.inf)
+                    got.append(r | {"low": low.tobytes(), "need": float(need.min()) * (1 - 1e-9)})
+                yield pd.DataFrame(got, columns=["dim", "q_blk", "q_ids", "q_vecs", "q_axes", "low", "need"])
+
+        owner = qb.mapInPandas(_owners, "dim int, q_blk long, query_id long")
+        known = owner.join(kth, "query_id").groupBy("dim", "q_blk").agg(F.collect_list(F.struct("query_id", "kth")).alias("known"))  # at most query_block entries
+        armed = qb.drop("q_norm").join(known, ["dim", "q_blk"], "left").mapInPandas(lows, "dim int, q_blk long, q_ids binary, q_vecs binary, q_axes binary, low binary, need double")
+        armed = stored(armed, "topk-a")
+        later = cb.join(first, ["dim", "blk"], "left_anti")
+        meets = armed.select("dim", "q_blk", "need").join(later.select("dim", "blk", "max_norm"), "dim").where("max_norm >= need").select("dim", "q_blk", "blk")
+        pairs = meets.join(armed, ["dim", "q_blk"]).join(later, ["dim", "blk"]).repartition(4 * partitions(spark), "q_blk", "blk")
+        rest = stored(pairs.mapInPandas(lambda it: _score(it, k, head, out), out), "topk-r")
+        drop_stored(cb, qb, armed)
     every = seed.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

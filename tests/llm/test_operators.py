@@ -736,3 +736,45 @@ def test_windows_are_guaranteed():
         a, b = (" ".join([*prose(rng, rng.randint(0, 40), "xyz").split(), *run, *prose(rng, rng.randint(0, 40), "xyz").split()]) for _ in range(2))
         owner, start, key = passages.windows([a, None, b, "short"])
         assert set(key[owner == 0]) & set(key[owner == 2]) and not (owner % 2).any()
+
+
+@pytest.mark.parametrize("block", [512, 64, 8])
+def test_simhash_blocks(spark, monkeypatch, block):
+    """Turned pieces, subtrees below them and salted blocks give the components of all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    keys = {int(x) for x in rng.integers(0, 2**64, 300, dtype=np.uint64)} | {(0xABCD << 48) | int(x) for x in rng.integers(0, 2**12, 60)}
+    for x in list(keys)[:120]:
+        for _ in range(4):
+            y = x
+            for b in rng.integers(0, 64, rng.integers(1, 5)):
+                y ^= 1 << int(b)
+            keys.add(y)
+    if block == 8:
+        monkeypatch.setattr(simhash, "BLOCK", 1)  # subtrees below whole pieces need more fingerprints than a test has
+        monkeypatch.setattr(simhash.math, "log2", lambda x, own=math.log2: own(x) + 9)
+    k = sorted(keys)
+    want, got = Sets(), Sets()
+    for a, b in itertools.combinations(k, 2):
+        if (a ^ b).bit_count() <= 3:
+            want.join(a, b)
+    found = simhash.links(spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in k], "fp long"))
+    pairs = [(r.a % 2**64, r.b % 2**64) for r in found.collect()]
+    assert all((a ^ b).bit_count() > 0 and a in keys and b in keys for a, b in pairs)
+    for a, b in pairs:
+        got.join(a, b)
+    assert [want.find(x) for x in k] == [got.find(x) for x in k]
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    chain = spark.range(400).selectExpr("id a", "id + 1 b")
+    with pytest.raises(RuntimeError):
+        components(chain, max_rounds=1)
+    assert components(chain).where("component <> 0").count() == 0
+
+
+def test_session_batches_come_back(spark):
+    from cargosift.llm.common import ARROW_ROWS
+
+    topk.top_k(*[spark.createDataFrame([(1, [0.1, 0.2])], "vec_id long, embedding array<float>")] * 2).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(ARROW_ROWS)
