@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, drop_stored, stored
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,7 +134,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_ed
     per = places.groupBy("k").agg(F.min(where).alias("first"), F.count("*").alias("n_copies"))
     named = per.join(comp.withColumnRenamed("node", "k"), "k", "left").join(degree, "k", "left").withColumn("class", F.coalesce("component", "k"))
     whole = named.groupBy("class").agg(F.min("first").alias("lead"), F.sum("n_copies").alias("n")).where("n > 1")
-    known = named.join(whole, "class").select("k", "lead", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Written, so that the join to all places knows its size, and can split a line that very many of them hold.
+    known = stored(named.join(whole, "class").select("k", "lead", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "lines-k")
+    drop_stored(links, comp)
     out = places.join(known, "k")
     first = (F.col("row") == F.col("lead.row")) & (F.col("line_no") == F.col("lead.line_no"))
     return out.select("doc_id", "row", "line_no", F.col("lead.doc_id").alias("class_doc_id"), F.col("lead.line_no").alias("class_line_no"), "n_copies", "n_links", (~first).alias("removed"))

@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def remainder(n: int, id_col: str = "doc_id"):
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+    """crc32 of the id as text, modulo n; -1 for null, so that a row without id is learned from and not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(-1))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

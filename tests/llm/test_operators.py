@@ -778,3 +778,40 @@ def test_session_batches_come_back(spark):
 
     topk.top_k(*[spark.createDataFrame([(1, [0.1, 0.2])], "vec_id long, embedding array<float>")] * 2).count()
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(ARROW_ROWS)
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Rows without id that hold an item go, rows of one id fall apart by text, columns of any name stay, empty tables do."""
+    import corpus_pipeline
+
+    rng = random.Random(37)
+    item = prose(rng, 30)
+    rows = [(i, prose(rng, 60), "en", "s", 1) for i in range(12)] + [(None, prose(rng, 10) + "\n" + item, "en", "s", 1), (3, item + "\n" + prose(rng, 9), "en", "s", 1), (None, None, None, None, None), (20, "", None, None, 0), (21, LONG, None, None, 5)]
+    clash = {"score": "mine", "predicted": "p", "evidence": "e", "row": "r", "key": "k", "k": "k", "line": "l", "fp": "f", "component": "c", "start": "s"}
+    for name, own in (("full", rows), ("empty", [])):
+        folder = tmp_path / name
+        docs = spark.createDataFrame(own, DOC).withColumns({c: F.lit(v) for c, v in clash.items()})
+        docs.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(12)] if own else [], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(1, item)] if own else [], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        kept = corpus_pipeline.drop_benchmark(spark, docs, str(folder))
+        assert kept.columns == docs.columns and kept.count() == max(0, len(own) - 2)
+        assert kept.where("doc_id = 3").count() == bool(own)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, str(folder))
+            assert got.columns == docs.columns and all(r[c] == v for r in got.collect() for c, v in clash.items())
+        got = corpus_pipeline.run(spark, str(folder))
+        assert set(docs.columns) <= set(got.columns) and got.where("n_pieces is null").count() == 0
+        assert bool(got.count()) == bool(own) and got.where("doc_id is null and text is not null").count() == 0
+
+
+def test_null_ids_are_training_rows(spark, tmp_path):
+    """held_out is false where the id is null, and those rows are learned from."""
+    rows = [(None, "one two three", "en", "s", 1), (1, "one two four", "en", "s", 1), (4, "uno dos tres", "es", "s", 1)]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 1), (4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query in (queries.op1_langid, queries.op2_toxicity, queries.op5_ngrams):
+        got = {r.doc_id: r.held_out for r in query(spark, str(tmp_path)).collect()}
+        assert got[None] is False and None not in got.values()
+    tokens = sum(len(t.split()) + 1 for d, t, *_ in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1)
+    assert queries.op5_ngrams(spark, str(tmp_path)).first().train_tokens == tokens
