@@ -19,6 +19,7 @@ import json
 import os
 import struct
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,9 +32,10 @@ from .eliasfano import EliasFano
 from .text import U, mix, word_hashes
 
 END = int(mix(np.array([1], U))[0])  # the end token among word hashes
-SHARD = 1 << 20  # tokens for each shard
-PART = SHARD // 8  # tokens of a context from which it is split
-TEXTS = 1000  # read at once
+SHARD = 1 << 21  # tokens for each shard
+PART = SHARD // 16  # tokens of a context from which it is split
+TEXTS = 2000  # read at once,
+CHARACTERS = 1 << 23  # or as many as first come to so many
 DISCOUNT = 0.75
 LEAST = 2
 _LOWEST = -7.0
@@ -67,7 +69,7 @@ def _save(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def _load(path: str) -> dict[str, np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))  # plain arrays over the map
     end = int(np.flatnonzero(raw[: 1 << 16] == 10)[0]) + 1
     return {k: raw[end + at : end + at + n * np.dtype(kind).itemsize].view(kind) for k, (at, kind, n) in json.loads(bytes(raw[:end])).items()}
 
@@ -201,9 +203,13 @@ class Model:
 
 def _by(owner: np.ndarray):
     """Each owner and its places in rising order."""
-    order = np.argsort(owner, kind="stable")
-    found, first = np.unique(owner[order], return_index=True)
-    yield from zip(found.tolist(), np.split(order, first[1:]), strict=False)
+    if not len(owner):
+        return
+    order = np.argsort(owner.astype(np.int16) if abs(owner).max() < 1 << 15 else owner, kind="stable")
+    own = owner[order]
+    edge = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(own[a]), order[a:b]
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,11 +266,12 @@ class _Read:
     counts: np.ndarray
 
     @classmethod
-    def of(cls, model: Model, texts: list[str | None]) -> _Read:
+    def of(cls, model: Model, texts: list[str | None], counted: bool = True) -> _Read:
+        """counted: also the counts of words, else only whether they are known."""
         h, off = _tokens(texts)
         own, back = _runs(h)
         known = model.words(own)
-        counts = model.counts(1, known)
+        counts = model.counts(1, known) if counted else (known >= 0).astype(np.int64)
         number = np.where(counts >= model.least, known, -1)  # rarer words are in no kept bigram
         now = number[back]
         before = np.concatenate([[0], now[:-1]]) if len(now) else now
@@ -321,13 +328,16 @@ def _packed(model: Model, level: int, keys: np.ndarray, n: np.ndarray) -> pd.Dat
 
 
 def _gathered(batches):
-    """Lists of about TEXTS texts."""
+    """Lists of texts, from column text of frames or as they are: about TEXTS, or CHARACTERS."""
     held: list[str | None] = []
-    for pdf in batches:
-        held += pdf["text"].tolist()
-        if len(held) >= TEXTS:
-            yield held
-            held = []
+    size = 0
+    for batch in batches:
+        for t in batch["text"] if isinstance(batch, pd.DataFrame) else batch:
+            held.append(t if isinstance(t, str) else None)
+            size += len(held[-1] or "")
+            if len(held) >= TEXTS or size >= CHARACTERS:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
@@ -335,7 +345,7 @@ def _gathered(batches):
 def _count_level(level: int, batches, shared):
     model, tally = shared.value, _Tally()
     for texts in _gathered(batches):
-        r = _Read.of(model, texts)
+        r = _Read.of(model, texts, model.least > 1)
         context = r.before
         if level == 3:
             number = r.search(model, 2, r.before)[0]
@@ -475,8 +485,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<n_tokens:long,n_known:long,base_score:double,score:double>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        return evaluate(shared.value, [t if isinstance(t, str) else None for t in texts])
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in _gathered(batches):
+            yield evaluate(shared.value, texts)
 
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_lm")
     kept = [c for c in docs.columns if c not in names]
