@@ -143,6 +143,109 @@ HS_CHAPTERS = dict(
 98 Special classification provisions
 99 Temporary legislation""".splitlines()
 )
+# What each chapter covers, the text that is embedded for it.
+HS_DESCRIPTIONS = dict(
+    line.split(" ", 1)
+    for line in """\
+01 Live animals including cattle, sheep, horses, pigs, poultry, and other livestock
+02 Fresh, chilled or frozen meat and edible offal of cattle, pigs, poultry, sheep
+03 Fish, crustaceans, molluscs, aquatic invertebrates — fresh, frozen, or processed seafood
+04 Milk, cream, butter, cheese, yoghurt, eggs, natural honey, edible animal products
+05 Human hair, bones, shells, coral, ivory, feathers — products of animal origin not elsewhere classified
+06 Live trees, plants, bulbs, roots, cut flowers, ornamental foliage
+07 Edible vegetables, roots, tubers — fresh, chilled, or frozen
+08 Edible fruits and nuts, peel of citrus fruits or melons
+09 Coffee, tea, maté, mate, spices including pepper, cinnamon, cloves, nutmeg
+10 Wheat, rice, barley, oats, maize, sorghum and other cereal grains
+11 Flour, groats, meal, malt, starches, wheat gluten, inulin
+12 Oil seeds, oleaginous fruits, industrial or medicinal plants, straw, fodder
+13 Lac, natural gums, resins, balsams, vegetable saps and extracts
+14 Bamboo, rattan, vegetable materials used for plaiting, stuffing, or padding
+15 Edible and inedible animal or vegetable fats, oils, waxes — soybean oil, palm oil, tallow
+16 Preparations of meat, fish, crustaceans — sausages, canned meat, prepared seafood
+17 Cane sugar, beet sugar, molasses, sugar confectionery, chocolate-free candies
+18 Cocoa beans, cocoa paste, cocoa butter, chocolate, chocolate confectionery
+19 Pasta, bread, pastry, cakes, biscuits, breakfast cereals, prepared foods of flour
+20 Jams, jellies, marmalades, fruit juices, canned or preserved vegetables and fruit
+21 Coffee extracts, sauces, soups, broths, ice cream, yeast, food preparations
+22 Water, mineral water, beer, wine, spirits, vinegar, alcoholic and non-alcoholic drinks
+23 Residues and waste from food industries, prepared animal feed, oil-cake, bran
+24 Unmanufactured tobacco, cigars, cigarettes, tobacco products, vaping products
+25 Salt, sulphur, earths and stone, plastering materials, lime, cement
+26 Metal ores, slag, ash — iron ore, copper ore, aluminium ore, uranium ore, radioactive ores
+27 Petroleum, crude oil, natural gas, coal, coke, petroleum waxes, mineral fuels
+28 Inorganic chemicals, rare earth compounds, isotopes, radioactive elements, uranium, plutonium
+29 Organic chemicals, hydrocarbons, alcohols, ethers, amines, antibiotics precursors
+30 Medicaments, vaccines, blood products, bandages, dental cements, pharmaceutical products
+31 Mineral or chemical fertilizers — nitrogenous, phosphatic, potassic
+32 Tanning extracts, dyes, pigments, paints, varnishes, printing inks
+33 Essential oils, perfumes, cosmetics, toiletries, soaps, shampoos
+34 Soap, detergents, washing preparations, lubricants, waxes, polishes, candles
+35 Casein, albumins, gelatin, peptones, dextrins, starches, glues, enzymes
+36 Explosives, propellant powders, fuses, detonators, fireworks, matches, pyrotechnic articles
+37 Photographic or cinematographic film, plates, paper, chemical preparations
+38 Insecticides, herbicides, disinfectants, lubricants, catalysts, miscellaneous chemicals
+39 Polymers, plastics in primary forms, plastic sheets, tubes, articles of plastic
+40 Natural rubber, synthetic rubber, vulcanised rubber, tyres, rubber articles
+41 Raw hides, skins, tanned or dressed leather, fur skins
+42 Handbags, suitcases, saddlery, harness, travel goods, articles of leather
+43 Raw furskins, tanned furskins, articles of fur, artificial fur
+44 Fuel wood, lumber, plywood, wood chips, wood articles, charcoal
+45 Natural cork, agglomerated cork, articles of cork
+46 Plaited materials, basketware, wickerwork
+47 Wood pulp, paper pulp, recovered paper or paperboard
+48 Paper, paperboard, articles of paper — newsprint, kraft paper, cardboard boxes
+49 Printed books, newspapers, pictures, maps, music scores, printed matter
+50 Silk, silk yarn, silk fabrics, silkworm cocoons
+51 Wool, fine or coarse animal hair, horsehair yarn and woven fabric
+52 Raw cotton, cotton yarn, cotton fabrics
+53 Flax, jute, hemp, ramie, paper yarn and woven fabrics
+54 Synthetic and artificial filament yarn, woven fabrics of man-made filaments
+55 Synthetic staple fibres, woven fabrics of man-made staple fibres
+56 Wadding, felt, nonwovens, special yarns, twine, cordage, ropes, cables
+57 Carpets, rugs, woven floor coverings, knotted or tufted carpets
+58 Terry towelling, gauze, tapestries, lace, embroidery, trimmings
+59 Impregnated, coated, covered or laminated textile fabrics, conveyor belts, hose
+60 Knitted or crocheted fabrics of textile materials
+61 Knitted or crocheted articles of apparel and clothing accessories — T-shirts, sweaters, underwear
+62 Woven articles of apparel — suits, shirts, trousers, dresses, coats
+63 Bed linen, blankets, curtains, tents, worn clothing, rags, textile articles
+64 Shoes, boots, sandals, sports footwear, parts of footwear, gaiters
+65 Hats, caps, headgear and parts thereof
+66 Umbrellas, sun umbrellas, walking sticks, riding-crops, whips
+67 Prepared feathers, articles of feathers, artificial flowers, articles of human hair
+68 Articles of stone, plaster, cement, asbestos, mica, building materials
+69 Bricks, tiles, sanitary ware, porcelain, ceramic tableware, refractory goods
+70 Glass in primary forms, glass fibres, glass containers, glassware, optical glass
+71 Pearls, precious stones, diamonds, gold, silver, platinum, jewellery, coins
+72 Pig iron, ingots, flat-rolled products, bars, rods, wires of iron or steel
+73 Tubes, pipes, nails, screws, springs, structures, containers of iron or steel
+74 Copper, unwrought and wrought, refined copper, copper articles
+75 Nickel, unwrought and wrought, nickel alloys, nickel articles
+76 Aluminium, unwrought and wrought, aluminium alloys, foil, articles of aluminium
+78 Lead, unwrought and wrought, lead articles
+79 Zinc, unwrought and wrought, zinc articles
+80 Tin, unwrought and wrought, tin articles
+81 Tungsten, molybdenum, tantalum, titanium, zirconium, cobalt, and other base metals
+82 Tools, cutlery, spoons, forks, knives, hand tools, saw blades
+83 Locks, keys, hinges, safes, fittings, mountings, bells, statuettes of base metal
+84 Nuclear reactors, boilers, machinery, mechanical appliances, turbines, engines, pumps, computers
+85 Electrical machinery, electrical equipment, motors, generators, batteries, telephones, integrated circuits, semiconductors, encryption equipment
+86 Railway locomotives, rolling stock, tramway vehicles, track fixtures, signalling equipment
+87 Motor vehicles, tractors, motorcycles, bicycles, trailers, vehicle parts
+88 Aircraft, spacecraft, helicopters, balloons, aircraft parts, satellites, launch vehicles
+89 Cruise ships, cargo ships, warships, yachts, fishing vessels, floating structures
+90 Optical instruments, cameras, microscopes, medical and surgical instruments, measuring and checking instruments, lasers, thermal imaging
+91 Clocks, watches, clock movements, watch parts, time of day recording apparatus
+92 Pianos, string instruments, wind instruments, electronic musical instruments
+93 Firearms, weapons, ammunition, military weapons, parts and accessories of weapons
+94 Furniture, mattresses, lamps, lighting fittings, illuminated signs, prefabricated buildings
+95 Toys, games, sports equipment, fishing rods, playing cards, festival articles
+96 Brooms, brushes, pens, pencils, buttons, zippers, vacuum flasks, miscellaneous articles
+97 Paintings, drawings, sculpture, collections, antiques over 100 years old
+98 Special classification provisions (country-specific)
+99 Temporary modifications of import duties (country-specific)""".splitlines()
+)
 # The sample country-risk, taxonomy, denied-party and tier settings.
 COUNTRIES = [
     dict(zip(("country_code", "country_name", "overall_risk", "overall_score", "sanctions_status", "fatf_status", "transshipment_hub", "sanctioned_neighbors"), row, strict=True))

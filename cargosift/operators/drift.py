@@ -87,3 +87,57 @@ def report(base: DataFrame, current: DataFrame, value: str, label: str, deltas:
 
 def significant(psi_confidence: Column, label_psi: Column, shift: Column) -> Column:
     return (psi_confidence >= 0.25) | (label_psi >= 0.25) | (shift >= 0.3)
+
+
+def baseline(decisions: DataFrame, confidence: str = "classification.confidence", label: str = "classification.label", hits: str = "taxonomy_hits", vec: str | None = None, bins: int = 10) -> DataFrame:
+    """One row (sample_size, edges, counts, labels, hit_rates, centroid): what later decisions are held against.
+
+    The confidences' inner quantile edges and the count in each bin stand for the confidences, so that the row stays small;
+    rows without classification count for hit rates alone. Without vectors centroid is null.
+    """
+    rows = decisions.select(F.col(confidence).alias("value"), F.col(label).alias("label"))
+    inner = edges(rows, "value", bins)
+    counted = rows.where("value is not null").join(F.broadcast(inner)).groupBy(bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.count("*").alias("n"))  # one row of edges
+    every = decisions.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counted, "bin", "left")
+    counts = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("counts"))
+    labels = rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("labels"))
+    rates = hit_rates(decisions, hits).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group_id", "rate")))).alias("hit_rates"))
+    out = decisions.agg(F.count("*").alias("sample_size"))
+    for one in (inner, counts, labels, rates):
+        out = out.join(F.broadcast(one))  # one row each
+    if vec is None:
+        return out.withColumn("centroid", F.lit(None).cast("array<double>"))
+    mean = decisions.select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return out.join(F.broadcast(mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centroid"))))
+
+
+def against(base: DataFrame, current: DataFrame) -> DataFrame:
+    """report() of two baselines, the second of current decisions counted with the first's edges (see rebinned())."""
+    def index(left: Column, right: Column, keys: Column) -> Column:
+        total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+        at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0).cast("long"))
+        tb, tc = total(F.map_values(left)), total(F.map_values(right))
+        terms = F.transform(keys, lambda k: psi_term(_share(at(left, k), tb), _share(at(right, k), tc)))
+        return F.when((tb > 0) & (tc > 0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+
+    b, c = base.select(F.struct("*").alias("b")), current.select(F.struct("*").alias("c"))
+    both = b.join(F.broadcast(c))  # one row each
+    numbered = lambda side: F.map_from_arrays(F.sequence(F.lit(1), F.size(f"{side}.counts")), F.col(f"{side}.counts"))
+    labels = F.array_union(F.map_keys("b.labels"), F.map_keys("c.labels"))
+    groups = F.array_union(F.map_keys("b.hit_rates"), F.map_keys("c.hit_rates"))
+    rate = lambda side, g: F.coalesce(F.try_element_at(F.col(f"{side}.hit_rates"), g), F.lit(0.0))
+    shift = F.coalesce(F.sqrt(F.aggregate(F.zip_with("b.centroid", "c.centroid", lambda x, y: (y - x) * (y - x)), F.lit(0.0), lambda a, x: a + x)), F.lit(0.0))
+    out = both.select(
+        index(numbered("b"), numbered("c"), F.sequence(F.lit(1), F.size("b.counts"))).alias("psi_confidence"), index(F.col("b.labels"), F.col("c.labels"), labels).alias("label_psi"),
+        shift.alias("centroid_shift"), F.map_from_arrays(groups, F.transform(groups, lambda g: rate("c", g) - rate("b", g))).alias("hit_rate_deltas"),
+    )
+    return out.withColumn("significant", significant(F.col("psi_confidence"), F.col("label_psi"), F.col("centroid_shift")))
+
+
+def rebinned(base: DataFrame, decisions: DataFrame, confidence: str = "classification.confidence", **kw) -> DataFrame:
+    """baseline() of decisions with the counts of another baseline's bins, for against()."""
+    own = baseline(decisions, confidence, **kw)
+    cells = decisions.select(F.col(confidence).alias("value")).where("value is not null").join(F.broadcast(base.select("edges"))).groupBy(bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.count("*").alias("n"))
+    at = cells.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("cells"))
+    joined = own.join(F.broadcast(at)).withColumn("counts", F.transform(F.sequence(F.lit(0), F.size("counts") - 1), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0).cast("long"))))
+    return joined.drop("cells", "edges").join(F.broadcast(base.select("edges"))).select(*own.columns)

@@ -128,6 +128,24 @@ def save_baseline(spark: SparkSession, path: str, name: str, sample_size: int, s
     row.write.mode("append").parquet(path)
 
 
+def save_summary(spark: SparkSession, path: str, name: str, summary: DataFrame) -> None:
+    """Appends the one row of drift.baseline() under a name, as JSON."""
+    row = summary.select(F.col("sample_size").cast("int").alias("n"), F.to_json(F.struct("*")).alias("j")).first()
+    save_baseline(spark, path, name, row.n, row.j)
+
+
+def load_summary(rows: DataFrame, name: str) -> DataFrame:
+    """The newest baseline saved under a name, as drift.baseline() made it; no row if there is none."""
+    kind = "sample_size long, edges array<double>, counts array<long>, labels map<string,long>, hit_rates map<string,double>, centroid array<double>"
+    return latest_baselines(rows.where(F.col("name") == name)).select(F.from_json("summary", kind).alias("s")).select("s.*")
+
+
+def append_feedback(rows: DataFrame, table: str = "screening_feedback") -> None:
+    """Appends feedback rows to the table of create_tables(), columns by name."""
+    spark = rows.sparkSession
+    rows.select(*spark.table(table).columns).write.insertInto(table)
+
+
 def training_rows(log: DataFrame, text: str = "description", decision: str = "final_decision", id_col: str = "shipment_id") -> DataFrame:
     """Rows (text, label, label_name, shipment_id) of mapped decisions."""
     ids = F.create_map(*[F.lit(x) for kv in LABEL_IDS.items() for x in kv])
@@ -169,6 +187,20 @@ def train_text_classifier(rows: DataFrame, features: int = 1 << 14, iterations:
     return Pipeline(stages=stages).fit(rows.where("text is not null and label is not null").withColumn("label", F.col("label").cast("double")))
 
 
+def save_text_classifier(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_text_classifier(spark: SparkSession, path: str):
+    """A model that save_text_classifier() wrote; raises FileNotFoundError where there is none."""
+    from pyspark.ml import PipelineModel
+
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        raise FileNotFoundError(f"no trained model at {path}; train one, or classify by logits or a scorer")
+    return PipelineModel.load(path)
+
+
 def class_metrics(rows: DataFrame, label: str = "label", prediction: str = "prediction", classes: int = 3) -> DataFrame:
     """Rows (class, precision, recall, f1, support); a share of nothing is 0."""
     every = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargosift import schemas
-from cargosift.config import DUAL_USE_CONCEPTS, HS_CHAPTERS, Screening
+from cargosift.config import DUAL_USE_CONCEPTS, HS_CHAPTERS, HYPOTHESES, Screening
 from cargosift.functions import expressions as E
 from cargosift.scratch import stored
 
 Embedder = Callable[[Column], Column]
+Scorer = Callable[[Column, Column], Column]  # of premise and hypothesis: a score, or the three of contradiction, neutral and entailment
 
 
 def hashing_embedder(dim: int = 64) -> Embedder:
@@ -98,6 +99,7 @@ def semantic_signals(vec: Column, groups: list[dict], phrase_vectors: np.ndarray
                 "hs_predictions": [{"chapter": codes[j], "title": titles[j], "similarity": float(c[i, j])} for j in top],
                 "declared_similarity": float(c[i, codes.index(own)]) if own in HS_CHAPTERS else None,
                 "dual_use": [{"concept": DUAL_USE_CONCEPTS[j], "similarity": float(d[i, j])} for j in near],
+                "coherence": float(c[i, top[0]]),  # of the description with the chapter nearest to it
             })
         return pd.DataFrame({"hits": hits, "ai": ai})
 
@@ -222,6 +224,19 @@ def classify(logits: Column) -> Column:
     return F.struct(F.element_at(F.array(*[F.lit(x) for x in ("allowed", "restricted", "needs_review")]), at.cast("int")).alias("label"), top.alias("confidence"))
 
 
+def word_overlap(premise: Column, hypothesis: Column) -> Column:
+    """Share of the hypothesis' distinct words, in lower case, that the premise has; a stand-in where no entailment model is at hand."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
+    own = words(hypothesis)
+    return F.size(F.array_intersect(own, words(premise))) / F.size(own)
+
+
+def hypothesis_scores(premise: Column, scorer: Scorer, triples: bool = False, hypotheses: tuple = HYPOTHESES) -> Column:
+    """Array of the scores of a text against each hypothesis; of scorers that give triples the entailment."""
+    scores = F.array(*[scorer(premise, F.lit(h)) for h in hypotheses])
+    return entailment(scores) if triples else scores
+
+
 def entailment(scores: Column) -> Column:
     """Score of each hypothesis from rows (contradiction, neutral, entailment): the third, of shorter rows the last."""
     return F.transform(scores, lambda r: F.coalesce(F.get(r, F.lit(2)), F.element_at(r, -1)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargosift import schemas
-from cargosift.config import DUAL_USE_CONCEPTS, HS_CHAPTERS, TAXONOMY, Screening
+from cargosift.config import DUAL_USE_CONCEPTS, HS_DESCRIPTIONS, TAXONOMY, Screening
 from cargosift.functions import expressions as E
 from cargosift.operators import decisions as D
 from cargosift.operators import matching as M
@@ -27,6 +27,8 @@ class Engine:
     parties: DataFrame | None = None
     countries: DataFrame | None = None
     embedder: M.Embedder | None = None
+    scorer: M.Scorer | None = None  # of hypotheses, used where rows bring no logits
+    scorer_triples: bool = False
 
     def with_taxonomy(self, groups: list[dict]) -> Engine:
         return replace(self, groups=tuple(readers.validate_taxonomy(groups)))
@@ -46,12 +48,12 @@ class Engine:
         return np.array([r.v for r in sorted(rows, key=lambda r: r.i)])
 
     def enrich(self, rows: DataFrame) -> DataFrame:
-        """Adds hits (keyword, then semantic), classification (if logits are there), matches, ai, places and risk."""
+        """Adds hits (keyword, then semantic), classification (if logits or a scorer are there), matches, ai, places and risk."""
         groups = list(self.groups)
         out = rows.withColumn("hits", M.keyword_hits(F.col("description"), groups))
         if self.embedder is not None:
             phrases = self._vectors([p for g in groups for p in g["semantic_phrases"]])
-            titles, concepts = self._vectors(list(HS_CHAPTERS.values())), self._vectors(list(DUAL_USE_CONCEPTS))
+            titles, concepts = self._vectors(list(HS_DESCRIPTIONS.values())), self._vectors(list(DUAL_USE_CONCEPTS))
             vec = rows["vec"] if "vec" in rows.columns else self.embedder(F.col("description"))
             out = out.withColumn("_v", vec).withColumn("_s", M.semantic_signals(F.col("_v"), groups, phrases, titles, concepts, E.hs_chapter(F.col("hs_code")), self.settings))
             known = F.transform("hits", lambda h: h["group_id"])
@@ -59,8 +61,14 @@ class Engine:
             out = out.withColumn("ai", F.col("_s.ai")).withColumn("hits", F.concat("hits", more)).drop("_v", "_s")
         else:
             out = out.withColumn("ai", F.lit(None).cast(schemas.AI))
-        own = M.classify(F.col("logits")) if "logits" in rows.columns else F.lit(None).cast("struct<label:string,confidence:double>")
-        out = M.party_matches(out.withColumn("classification", own), self._denied(), self.settings.fuzzy_match)
+        if "logits" in rows.columns:
+            own = M.classify(F.col("logits"))
+        elif self.scorer is not None:
+            out = out.withColumn("_logits", M.hypothesis_scores(F.col("description"), self.scorer, self.scorer_triples))
+            own = M.classify(F.col("_logits"))
+        else:
+            own = F.lit(None).cast("struct<label:string,confidence:double>")
+        out = M.party_matches(out.withColumn("classification", own).drop("_logits"), self._denied(), self.settings.fuzzy_match)
         return self._with_countries(out).withColumn("risk", D.legacy_risk(self.settings))
 
     def score_risk(self, rows: DataFrame) -> DataFrame:

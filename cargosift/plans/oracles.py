@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cargosift.config import COUNTRIES, COUNTRY_LEVELS, DUAL_USE_CHAPTERS, DUAL_USE_KEYWORDS, PARTIES, PROFILE_WEIGHTS, TIERS
+import re
+
+from cargosift.config import COUNTRIES, COUNTRY_LEVELS, DUAL_USE_CHAPTERS, DUAL_USE_KEYWORDS, HYPOTHESES, PARTIES, PROFILE_WEIGHTS, TIERS
 from cargosift.plans.bridge import DUCK_SQL
 
 _q = lambda s: "'" + str(s).replace("'", "''") + "'"
@@ -204,7 +206,22 @@ _cos = lambda a, b: f"({_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})))
 PAIRS = f"pairs AS (SELECT f.vec_id AS row_id, p.vec_id AS phrase_idx, p.label AS grp, {_cos('f.embedding', 'p.embedding')} AS sim FROM embeddings f, embeddings p WHERE f.vec_id >= 40 AND p.vec_id < 40)"
 _dist = lambda a, b: f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2)))"
 
+_hyp = lambda h: "[" + ", ".join(map(_q, dict.fromkeys(w for w in re.split("[^a-z0-9]+", h.lower()) if w))) + "]"
+_told = lambda h: f"len(list_filter({_hyp(h)}, lambda w: list_contains(said, w))) / CAST(len({_hyp(h)}) AS DOUBLE)"
+_METRICS = "WITH r AS (SELECT quality AS y, CASE WHEN doc_id % 5 = 0 THEN toxic ELSE quality END AS p FROM labels)"
+_GATED = "(SELECT coalesce(CAST(count(*) FILTER (WHERE y = 0 AND p = 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE p = 0), 0), 0) AS pr, coalesce(CAST(count(*) FILTER (WHERE y = 1 AND p = 1) AS DOUBLE) / nullif(count(*) FILTER (WHERE y = 1), 0), 0) AS re FROM r)"
+
 SQL: dict[str, str] = {
+    "op_J15_hypotheses": f"WITH {SHIP}, w AS (SELECT id, string_split_regex(lower(description), '[^a-z0-9]+') AS said FROM ship), s AS (SELECT id, {', '.join(f'exp({_told(h)}) AS e{i}' for i, h in enumerate(HYPOTHESES))} FROM w) SELECT id, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 'allowed' WHEN e1 >= e2 THEN 'restricted' ELSE 'needs_review' END AS label, round(greatest(e0, e1, e2) / (e0 + e1 + e2), 6) AS confidence FROM s",
+    "op_DR1_baseline": f"""{_ctes()}, q AS (SELECT list_transform(quantile_cont(conf, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9)) AS edges FROM wide),
+binned AS (SELECT len(list_filter(edges, lambda x: x <= round(conf, 9))) + 1 AS bin FROM wide, q)
+SELECT 'size' AS part, 'all' AS name, CAST(count(*) AS DOUBLE) AS value FROM ship
+UNION ALL SELECT 'edge', CAST(i AS VARCHAR), round(edges[i], 6) FROM q, range(1, 10) AS t(i)
+UNION ALL SELECT 'bin', CAST(i AS VARCHAR), CAST(count(bin) AS DOUBLE) FROM range(1, 11) AS t(i) LEFT JOIN binned ON bin = i GROUP BY i
+UNION ALL SELECT 'label', label, CAST(count(*) AS DOUBLE) FROM wide GROUP BY label
+UNION ALL SELECT 'rate', CASE g WHEN 'ak47' THEN 'military_and_dual_use' ELSE 'restricted_biology_and_wildlife' END, round(count(*) / CAST((SELECT count(*) FROM ship) AS DOUBLE), 6) FROM (SELECT unnest(hits) AS g FROM wide) GROUP BY g""",
+    "op_A14_gate": f"{_METRICS} SELECT pr >= 0.95 AND re >= 0.98 AS passed, array_to_string(list_filter([CASE WHEN pr < 0.95 THEN 'allow_precision' END, CASE WHEN re < 0.98 THEN 'restricted_recall' END], lambda x: x IS NOT NULL), ',') AS failures FROM {_GATED}",
+    "op_X1_stream_screen": BRANCH + " SELECT id, branch, action FROM acted",
     "op_S1_shipments": f"WITH {SHIP} SELECT id, description, origin_country, destination_country, consignee, shipper, declared_value, declared_currency, hs_code, weight_kg, array_to_string(transit_countries, ',') AS transit, country_of_manufacture, final_destination FROM ship",
     "op_S11_decision_counts": BRANCH + " SELECT action, count(*) AS n, CAST(sum(CASE WHEN branch = 1 THEN n_hits ELSE 0 END) AS BIGINT) AS hits FROM acted GROUP BY action",
     "op_A5_tier_by_destination": f"WITH {SHIP}, {LEGACY_CTE} SELECT destination_country, {_TIER('raw')} AS tier, count(*) AS n, round(avg(raw), 6) AS avg_raw FROM legacy GROUP BY ALL",

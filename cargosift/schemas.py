@@ -14,4 +14,4 @@ TAXONOMY = "group_id string, name string, risk_level string, allow_auto_clear bo
 PARTY = "name string, aliases array<string>, country string, list_name string"
 HIT = "struct<group_id:string,group_name:string,risk_level:string,matched_phrase:string,matched_keyword:string,similarity_score:double>"
 MATCH = "struct<matched_party:string,input_party:string,role:string,score:double,list_name:string,exact_match:boolean>"
-AI = "struct<hs_predictions:array<struct<chapter:string,title:string,similarity:double>>,declared_similarity:double,dual_use:array<struct<concept:string,similarity:double>>>"
+AI = "struct<hs_predictions:array<struct<chapter:string,title:string,similarity:double>>,declared_similarity:double,dual_use:array<struct<concept:string,similarity:double>>,coherence:double>"

@@ -32,10 +32,14 @@ def rolling_drift(events: DataFrame, baseline: DataFrame, value: str, sink: Call
 
 
 def apply_reviews(reviews: DataFrame, log_path: str, out_path: str, checkpoint: str):
-    """Sets arriving reviews on the feedback log, batch by batch; a batch number that ran before is written again in place."""
+    """Sets arriving reviews on the feedback log, batch by batch: each starts from the log that the one before left.
+
+    The last batch= folder of out_path holds the log with all reviews so far. A batch that ran before is written again in place.
+    """
     from cargosift.operators.learning import apply_feedback
 
     def each(batch: DataFrame, number: int) -> None:
-        apply_feedback(batch.sparkSession.read.parquet(log_path), batch).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        log = batch.sparkSession.read.parquet(log_path if number == 0 else f"{out_path}/batch={number - 1}")
+        apply_feedback(log, batch).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return reviews.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

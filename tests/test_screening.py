@@ -16,6 +16,7 @@ from cargosift.operators import drift, learning
 from cargosift.operators import matching as M
 from cargosift.plans.engine import Engine
 from cargosift.sources import readers
+from cargosift.streaming import streams
 
 BLANK = dict.fromkeys(schemas.SHIPMENT.names)
 
@@ -275,3 +276,115 @@ def test_stream_screens_as_batch_does(spark, sf_dir):
     got = sorted(tuple(r) for r in queries.x1_screen(spark, sf_dir).collect())
     want = sorted(tuple(r) for r in queries.QUERIES["op_RT1_router"](spark, sf_dir).collect())
     assert got == want and any(r[1] in (2, 4) for r in got)
+
+
+def decided(spark, n=12):
+    logits = F.array(*[F.when(F.length("id") % 3 == i, 5.0).otherwise(0.5 * i) for i in range(3)])
+    rows = ship(spark, **CLEAN)
+    for i in range(1, n):
+        rows = rows.unionByName(ship(spark, **CLEAN | {"id": "a" * (i + 1), "description": "carved ivory" if i % 4 == 0 else f"cotton shirts number {i}", "consignee": "Blockd Industries Ltd" if i % 5 == 0 else "Good Co"}))
+    return Engine(spark).screen(rows.withColumn("logits", logits))
+
+
+def test_decision_sinks_and_export(spark, tmp_path):
+    """JSON and CSV of decisions come back as written; labelled rows go to one JSON-lines folder a split."""
+    d = decided(spark)
+    want = {r.shipment_id: r for r in d.collect()}
+    readers.write_decisions(d, str(tmp_path / "json"))
+    got = {r.shipment_id: r for r in spark.read.json(str(tmp_path / "json")).collect()}
+    assert set(got) == set(want) and all(got[k].rationale == want[k].rationale and got[k].risk_profile.narrative == want[k].risk_profile.narrative for k in want)
+    readers.write_decisions(d, str(tmp_path / "csv"), "csv")
+    got = {r.shipment_id: r for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()}
+    assert list(got["a"].asDict()) == ["shipment_id", "action", "reason", "taxonomy_hits_count", "classification_label", "classification_confidence"]
+    assert all(got[k].action == want[k].action and int(got[k].taxonomy_hits_count) == len(want[k].taxonomy_hits) and got[k].classification_confidence == f"{want[k].classification.confidence:.4f}" for k in want)
+    with pytest.raises(ValueError):
+        readers.write_decisions(d, str(tmp_path / "xml"), "xml")
+    rows = learning.training_rows(learning.record(d))
+    counts = {r.split: r.n for r in learning.export(rows, str(tmp_path / "out"), test=0.25, val=0.25).collect()}
+    back = spark.read.json(str(tmp_path / "out"))
+    assert counts == {"test": 3, "val": 3, "train": 6} and back.count() == 12 and set(back.columns) == {"text", "label", "label_name", "shipment_id", "split"}
+
+
+def test_feedback_tables(spark):
+    """Tables are made once, rows are appended by name, and a review reaches them."""
+    learning.create_tables(spark, "fb_test_")
+    learning.create_tables(spark, "fb_test_")
+    log = learning.record(decided(spark, 4), snapshot=learning.input_snapshot(["shipment_id", "description"]))
+    learning.append_feedback(log, "fb_test_screening_feedback")
+    learning.append_feedback(log, "fb_test_screening_feedback")
+    table = spark.table("fb_test_screening_feedback")
+    assert table.count() == 8 and table.where("created_at is null or reviewer_id is not null").count() == 0
+    assert json.loads(table.where("shipment_id = 'aa'").first().input_snapshot) == {"shipment_id": "aa", "description": "cotton shirts number 1"}
+    spark.sql("DROP TABLE fb_test_screening_feedback")
+    spark.sql("DROP TABLE fb_test_drift_baselines")
+
+
+def test_drift_baseline(spark, tmp_path):
+    """A baseline saved and read again finds no drift in its own decisions, and the report's figures for others."""
+    rng = np.random.default_rng(3)
+    make = lambda conf, labels, hits: spark.createDataFrame([(("x", float(c)) if c is not None else None, [(h,)] if h else [], [float(c or 0), 1.0]) for c, h in zip(conf, hits)], "classification struct<label:string,confidence:double>, taxonomy_hits array<struct<group_id:string>>, v array<double>").withColumn("classification", F.when(F.col("classification").isNotNull(), F.struct(F.when(F.col("classification.confidence") < labels, "restricted").otherwise("allowed").alias("label"), F.col("classification.confidence").alias("confidence"))))
+    old = make([*rng.uniform(0.85, 0.95, 300), None], 0.87, ["g"] * 30 + [None] * 271)
+    new = make(rng.uniform(0.5, 0.9, 300), 0.6, ["h"] * 60 + [None] * 240)
+    base = drift.baseline(old, vec="v")
+    b = base.first()
+    assert b.sample_size == 301 and sum(b.counts) == 300 and sum(b.labels.values()) == 300 and b.hit_rates == {"g": pytest.approx(30 / 301)} and len(b.edges) == 9
+    learning.save_summary(spark, str(tmp_path / "b"), "old", base)
+    learning.save_summary(spark, str(tmp_path / "b"), "old", base)
+    saved = spark.read.parquet(str(tmp_path / "b"))
+    kept = learning.load_summary(saved, "old")
+    assert kept.first() == b and learning.load_summary(saved, "none").count() == 0
+    same = drift.against(kept, drift.rebinned(kept, old, vec="v")).first()
+    assert same.psi_confidence == pytest.approx(0) and same.label_psi == pytest.approx(0) and same.centroid_shift == pytest.approx(0) and not same.significant
+    got = drift.against(kept, drift.rebinned(kept, new, vec="v")).first()
+    flat = lambda d: d.select(F.col("classification.confidence").alias("c"), F.col("classification.label").alias("l"))
+    want = drift.report(flat(old), flat(new), "c", "l").first()
+    assert got.psi_confidence == pytest.approx(want.psi_confidence) and got.label_psi == pytest.approx(want.label_psi) and got.significant
+    assert got.centroid_shift == pytest.approx(drift.centroid_distance(old, new, "v").first().centroid_shift)
+    assert got.hit_rate_deltas == {"g": pytest.approx(-30 / 301), "h": pytest.approx(0.2)}
+    deltas = {r.group_id: r.large for r in drift.rate_deltas(drift.hit_rates(old, "taxonomy_hits"), drift.hit_rates(new, "taxonomy_hits")).collect()}
+    assert deltas == {"g": True, "h": True}
+
+
+def test_hypotheses_and_saved_models(spark, tmp_path):
+    """A scorer of text and hypothesis stands in for logits; triples give their entailment; a missing model raises."""
+    rows = ship(spark, description="this item is restricted or controlled").unionByName(ship(spark, id="b", description=None))
+    got = Engine(spark, scorer=M.word_overlap).enrich(rows).orderBy("id").collect()
+    assert got[0].classification.label == "restricted" and got[1].classification.confidence == pytest.approx(1 / 3) and "_logits" not in got[0].asDict()
+    triple = lambda p, h: F.array(F.lit(9.0), F.lit(0.0), F.when(h.contains("allowed"), 2.0).otherwise(0.0))
+    assert Engine(spark, scorer=triple, scorer_triples=True).enrich(rows).first().classification.label == "allowed"
+    with pytest.raises(FileNotFoundError):
+        learning.load_text_classifier(spark, str(tmp_path / "none"))
+    texts = spark.createDataFrame([("good cotton", 0), ("bad missile", 1), ("odd thing", 2)] * 5, "text string, label int")
+    model = learning.train_text_classifier(texts, features=64, iterations=5)
+    learning.save_text_classifier(model, str(tmp_path / "m"))
+    again = learning.load_text_classifier(spark, str(tmp_path / "m"))
+    assert [r.prediction for r in again.transform(texts).collect()] == [r.prediction for r in model.transform(texts).collect()]
+    ai = Engine(spark, embedder=M.hashing_embedder()).enrich(ship(spark, description="Wheat, rice, barley, oats, maize, sorghum and other cereal grains")).first().ai
+    assert ai.coherence == ai.hs_predictions[0].similarity and ai.hs_predictions[0].chapter == "10"
+
+
+def test_review_choice(spark):
+    rows = spark.createDataFrame([(i, [float(i == j) for j in range(5)], [0.5 + 0.1 * (i == 2), 0.5 - 0.1 * (i == 2)]) for i in range(5)], "vec_id long, v array<double>, p array<double>")
+    assert len({r.id for r in learning.select_for_review(rows, "v", "p", 3).collect()}) == 3
+    with pytest.raises(ValueError):
+        learning.select_for_review(rows.withColumn("v", F.when(F.col("vec_id") != 1, F.col("v"))), "v", "p", 2)
+
+
+def test_rolling_drift_and_reviews(spark, tmp_path):
+    """Every micro-batch is held against the baseline; reviews of all batches are in the last log."""
+    base = spark.range(100).selectExpr("id / 100 v")
+    for i in range(2):
+        spark.range(50).selectExpr(f"id / 100 + {i} v").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    seen = []
+    stream = spark.readStream.schema("v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    streams.rolling_drift(stream, base, "v", lambda df, n: seen.append((n, df.first().psi)), str(tmp_path / "c1")).awaitTermination()
+    assert sorted(n for n, _ in seen) == [0, 1] and max(p for _, p in seen) > 1
+    log = learning.record(decided(spark, 4))
+    log.write.parquet(str(tmp_path / "log"))
+    for i, k in enumerate(("a", "aa")):
+        spark.createDataFrame([(k, f"r{i}", "approve", None)], "shipment_id string, reviewer_id string, final_decision string, notes string").coalesce(1).write.parquet(str(tmp_path / f"rev/{i}"))
+    reviews = spark.readStream.schema("shipment_id string, reviewer_id string, final_decision string, notes string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rev/*"))
+    streams.apply_reviews(reviews, str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
+    last = max((tmp_path / "out").iterdir(), key=lambda x: int(x.name.split("=")[1]))
+    done = {r.shipment_id: r.reviewer_id for r in spark.read.parquet(str(last)).collect()}
+    assert done == {"a": done["a"], "aa": done["aa"], "aaa": None, "aaaa": None} and {done["a"], done["aa"]} == {"r0", "r1"}
