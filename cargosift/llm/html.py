@@ -36,13 +36,13 @@ IMPLIED = {
 P_SCOPE = frozenset("table td th caption button body html object template".split())
 END_SCOPE = {"li": {"ul", "ol", "menu"}, **dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot", "caption"), {"table"})}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"([a-z][\w-]*)?([.#][\w-]+)?\Z", re.I)
 _WS = re.compile(r"[ \t\n\r\f]+")
-ALIGN_MAX = 60
+ALIGN_MAX = 60  # longer cells are whole but widen no column: one paragraph in a layout table would pad all its rows
 
 
 class _Buffer:
@@ -94,25 +94,51 @@ class _Table:
     def __init__(self, prefix: str):
         self.rows, self.captions, self.prefix, self.ready = [], [], prefix, False
 
-    def lay_out(self) -> str:
-        widths: dict[int, int] = {}
+    def grid(self) -> list[list[tuple[int, str, int]]]:
+        """Cells (column, text, columns) of each row; a cell of several rows leaves an empty one in those below."""
+        out: list[list[tuple[int, str, int]]] = []
+        below: dict[int, tuple[int, int]] = {}  # first column: columns, rows still to come
         for row in self.rows:
-            at = 0
-            for text, span in row:
-                if span == 1 and len(text) <= ALIGN_MAX and "\n" not in text:
+            cells, at = [], 0
+            own = iter(row)
+            following: dict[int, tuple[int, int]] = {}
+            while True:
+                if at in below:
+                    wide, left = below.pop(at)
+                    cells.append((at, "", wide))
+                    if left > 1:
+                        following[at] = (wide, left - 1)
+                    at += wide
+                    continue
+                cell = next(own, None)
+                if cell is None:
+                    if not below:
+                        break
+                    at = min(below)  # columns between have no cell
+                    continue
+                text, wide, deep = cell
+                below = {k: v for k, v in below.items() if k >= at + wide or k < at}
+                cells.append((at, text, wide))
+                if deep > 1:
+                    following[at] = (wide, deep - 1)
+                at += wide
+            below = following
+            out.append(cells)
+        return out
+
+    def lay_out(self) -> str:
+        grid, widths = self.grid(), {}
+        for cells in grid:
+            for at, text, wide in cells:
+                if wide == 1 and len(text) <= ALIGN_MAX and "\n" not in text:
                     widths[at] = max(widths.get(at, 0), len(text))
-                at += span
         lines = []
-        for row in self.rows:
-            at, cells = 0, []
-            for text, span in row:
-                width = sum(widths.get(at + i, 0) for i in range(min(span, 64))) + 3 * (min(span, 64) - 1)
-                cells.append((text, width))
-                at += span
-            if any("\n" in t for t, _ in cells):  # cells of several lines follow one another
-                lines.append("\n".join(t for t, _ in cells if t))
+        for cells in grid:
+            if any("\n" in t for _, t, _ in cells):  # cells of several lines follow one another
+                lines.append("\n".join(t for _, t, _ in cells if t))
             else:
-                lines.append(" | ".join(t.ljust(w) for t, w in cells).rstrip())
+                widest = lambda at, wide: sum(widths.get(at + i, 0) for i in range(wide)) + 3 * (wide - 1)
+                lines.append(" | ".join(t.ljust(widest(at, wide)) for at, t, wide in cells).rstrip())
         return "\n".join([*self.captions, *(x for x in lines if x.strip(" |"))])
 
 
@@ -135,6 +161,7 @@ def render(page: str | None) -> str:
     lists: list[list] = []
     rules: list[tuple[str, str]] = []
     hidden = pre = 0
+    opened: dict[str, int] = {}  # elements on the stack by name
 
     def say(s: str) -> None:
         if hidden or not s or (stack and stack[-1][2] == "shut"):
@@ -147,6 +174,7 @@ def render(page: str | None) -> str:
     def pop() -> None:
         nonlocal hidden, pre
         name, hid, kept = stack.pop()
+        opened[name] -= 1
         hidden -= hid
         if hidden or hid:
             return
@@ -158,7 +186,7 @@ def render(page: str | None) -> str:
                 else:
                     if not tables[-1].rows:
                         tables[-1].rows.append([])
-                    tables[-1].rows[-1].append((text, kept))
+                    tables[-1].rows[-1].append((text, *kept))
         elif name == "table" and tables:
             done = tables.pop()
             if text := done.lay_out():
@@ -180,6 +208,8 @@ def render(page: str | None) -> str:
             out[-1].brk(2 if name in WIDE and not ((name in ("ul", "ol") and lists) or (name == "table" and tables)) else 1)
 
     def end(names: set, scope) -> None:
+        if not any(opened.get(n) for n in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 while len(stack) > i:
@@ -202,7 +232,7 @@ def render(page: str | None) -> str:
             continue
         name = m["name"].lower()
         if m["end"]:
-            if name == "p" and not any(x[0] == "p" for x in stack):
+            if name == "p" and not opened.get("p"):
                 out[-1].brk(2)
             elif name == "br":
                 out[-1].newline()
@@ -274,12 +304,13 @@ def render(page: str | None) -> str:
             elif name == "tr" and tables:
                 tables[-1].rows.append([])
             elif name in ("td", "th", "caption") and tables:
-                span = attrs.get("colspan", "1")
-                kept = max(1, min(int(span), 1000)) if span.isdigit() and len(span) < 6 else 1
+                number = lambda name, most: max(1, min(int(v), most)) if (v := attrs.get(name, "1")).isascii() and v.isdigit() and len(v) < 7 else 1
+                kept = (number("colspan", 1000), number("rowspan", 65534))
                 out.append(_Buffer())
             elif name == "details" and "open" not in attrs:
                 kept = "shut"
         stack.append((name, bool(hid), kept))
+        opened[name] = opened.get(name, 0) + 1
     while stack:
         pop()
     return out[0].value().strip("\n").strip()
@@ -290,7 +321,8 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
 
     Null and empty pages give an empty text. Hidden are elements that browsers do not draw, the hidden
     attribute, inline styles and simple style rules (tag, .class, #id) that set display:none or
-    visibility:hidden, shut details and dialogs. Every other text is kept, whatever its element.
+    visibility:hidden, shut details and dialogs. Every other text is kept, whatever its element. Table cells stand in
+    columns, also under cells of several rows; a cell of over ALIGN_MAX characters is whole but does not widen its column.
     """
     prepare(pages.sparkSession)
     seen = F.pandas_udf(lambda s: pd.Series([render(x) for x in s], dtype=object), "string")

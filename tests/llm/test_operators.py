@@ -815,3 +815,73 @@ def test_null_ids_are_training_rows(spark, tmp_path):
         assert got[None] is False and None not in got.values()
     tokens = sum(len(t.split()) + 1 for d, t, *_ in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1)
     assert queries.op5_ngrams(spark, str(tmp_path)).first().train_tokens == tokens
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<table><tr><td rowspan=2>A<td>b<td>c<tr><td>dd<td>e<tr><td>f<td>g<td>h</table>", "A | b  | c\n  | dd | e\nf | g  | h"),
+        ("<table><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>c</table>", "wide one | x\na | b | c"), ("<table><tr><td>" + "y" * 61 + "<td>b<tr><td>a<td>c</table>", "y" * 61 + " | b\na | c"),
+        ("<p title=\"a > b\">one</p>two", "one\n\ntwo"), ("<a href=x\">one</a> \"two\"", "one \"two\""), ("one<a href=\"x>two</a>", "one"), ("a<b title='", "a"),
+    ],
+)
+def test_html_spans_and_quotes(page, text):
+    assert html.render(page) == text
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        assert html.render("<div>" * n + "x" + "<section>y" * n).count("y") == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_html_tables_against_a_plain_grid():
+    """Random tables without spans: the columns of every line start where the widest cells before them end."""
+    rng = random.Random(38)
+    for _ in range(100):
+        rows = [[prose(rng, rng.randint(1, 3)) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(rng.choice(["<td>", "<th>"]) + c + rng.choice(["", "</td>"]) for c in r) for r in rows) + "</table>"
+        wide = [max(len(r[i]) for r in rows if len(r) > i) for i in range(max(map(len, rows)))]
+        want = ["".join(c.ljust(wide[i]) + " | " for i, c in enumerate(r))[:-3].rstrip() for r in rows]
+        assert html.render(page) == "\n".join(want)
+
+
+def test_language_against_plain_sets(spark):
+    """Filters, popcounts and the decision against sets of trigrams by language; a filter may only say too much, and rarely."""
+    from cargosift.llm import langid
+
+    rng = random.Random(39)
+    alphabet = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "éçñабв"}
+    rows = [(i, prose(rng, rng.randint(1, 60), alphabet[lang]), lang) for i in range(240) for lang in [sorted(alphabet)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    f = langid.learn(docs.where("doc_id < 180"))
+
+    def grams(t):
+        s = "".join(c if c.isalpha() else " " for c in "".join(t.lower()))
+        s = re.sub(" +", " ", s + "  ")
+        return [s[i : i + 3] for i in range(len(s) - 2) if s[i + 1] != " "]
+
+    counts = {lang: Counter(g for i, t, own in rows if i < 180 and own == lang for g in grams(t)) for lang in alphabet}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    best = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    held = {lang: {g for g, x in r.items() if x >= 2e-5 and x >= 0.5 * best[g]} for lang, r in rate.items()}
+    assert f.langs == sorted(alphabet)
+    texts = [t for i, t, _ in rows if i >= 180]
+    total, hits = langid.popcounts(texts, f)
+    for k, t in enumerate(texts):
+        own = grams(t)
+        assert total[k] == len(own)
+        for i, lang in enumerate(f.langs):
+            plain = sum(g in held[lang] for g in own)
+            assert plain <= hits[k, i] <= plain + max(2, 0.02 * len(own))
+    got = {r.doc_id: r for r in langid.predict(docs.where("doc_id >= 180"), f).collect()}
+    for i, t, _ in rows[180:]:
+        own = grams(t)
+        plain = [sum(g in held[lang] for g in own) for lang in f.langs]
+        if sorted(plain)[-1] > sorted(plain)[-2] + 2:
+            assert got[i].lang_pred == f.langs[plain.index(max(plain))] and got[i].score == pytest.approx(max(plain) / sum(plain), abs=0.05)
