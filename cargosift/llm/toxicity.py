@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +106,7 @@ class Postings:
 class Index:
     """Postings of examples in block order, labels, and the most frequent terms' table and greatest weights by block."""
 
-    vocab: dict[str, int]
+    names: pa.Array | None  # the terms in order of their numbers; where texts are read, hashes stand for them
     idf: np.ndarray
     bearing: np.ndarray  # of each term on the label, see relevance()
     weights: Postings
@@ -131,7 +133,14 @@ class Index:
         self._reader = Reader(self.hashes)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"vocab": {}}  # texts are read by hash
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"names": None}
+
+    @property
+    def vocab(self) -> dict[str, int]:
+        """Numbers of the terms, where the index was made."""
+        if not hasattr(self, "_vocab"):
+            self._vocab = {t: i for i, t in enumerate(self.names.to_pylist() if self.names is not None else ())}
+        return self._vocab
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of one text, of length 1 over the terms that some example holds."""
@@ -234,13 +243,14 @@ def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.nd
     return FLOOR + (1 - FLOOR) * np.maximum(0, 1 - CHANCE / np.maximum(total, 1e-9))
 
 
-def built(vocab: dict[str, int], hashes: np.ndarray, df: np.ndarray, size: np.ndarray, term: np.ndarray, counts: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> Index:
+def built(names: pa.Array, hashes: np.ndarray, df: np.ndarray, size: np.ndarray, term: np.ndarray, counts: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> Index:
     """The index of examples with size terms each, one after another; df by term, the last the number of documents."""
-    owner, n1 = np.repeat(np.arange(len(size)), size), int(y.sum())
-    with_1 = np.bincount(term, y[owner], len(vocab))
+    owner, n1 = np.repeat(np.arange(len(size), dtype=np.int32), size), int(y.sum())
+    with_1 = np.bincount(term[y[owner] > 0], minlength=len(names)).astype(np.float64)
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
-    bearing = relevance(with_1, np.bincount(term, minlength=len(vocab)) - with_1, n1, len(y) - n1)
-    value = np.log(counts.astype(np.float64))
+    bearing = relevance(with_1, np.bincount(term, minlength=len(names)) - with_1, n1, len(y) - n1)
+    value = counts.astype(np.float64)
+    np.log(value, out=value)
     value += 1
     value *= (idf * bearing)[term]
     value /= np.sqrt(np.bincount(owner, value * value, len(size)))[owner]
@@ -252,9 +262,10 @@ def built(vocab: dict[str, int], hashes: np.ndarray, df: np.ndarray, size: np.nd
     bare = y[size == 0].tolist()
     prior = n1 / max(len(y), 1)
     place = np.repeat(np.arange(len(full), dtype=np.int32), size[full])
-    take = np.repeat(off[full] - np.append(0, np.cumsum(size[full]))[:-1], size[full]) + np.arange(len(place))
+    take = np.repeat((off[full] - np.append(0, np.cumsum(size[full]))[:-1]).astype(np.int32), size[full])
+    take += np.arange(len(place), dtype=np.int32)
     weights = Postings(term[take], place, value[take], len(idf), len(full))
-    return Index(vocab, idf, bearing, weights, y[full].astype(np.float64), ids[full], prior, (sum(bare) + prior) / (len(bare) + 1), k, hashes)
+    return Index(names, idf, bearing, weights, y[full].astype(np.float64), ids[full], prior, (sum(bare) + prior) / (len(bare) + 1), k, hashes)
 
 
 def _dealt(texts: pd.Series):
@@ -283,12 +294,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
         return pd.Series([list(terms(x)) for x in texts], dtype=object)
 
     if rows.isEmpty():
-        return Index({}, np.zeros(0), np.zeros(0), Postings(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k, np.zeros(0, U))
-    found = rows.select(F.explode(held("text")).alias("t")).distinct().toArrow()["t"].to_pylist()  # terms of the bounded examples
-    found.sort()
-    hashes = term_hashes(found)
-    vocab = dict(zip(found, range(len(found)), strict=True))
-    del found
+        return Index(None, np.zeros(0), np.zeros(0), Postings(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k, np.zeros(0, U))
+    names = rows.select(F.explode(held("text")).alias("t")).distinct().toArrow()["t"].combine_chunks()  # terms of the bounded examples
+    names = names.take(pc.sort_indices(names))
+    hashes = np.concatenate([np.zeros(0, U), *(term_hashes(names[a : a + (1 << 15)].to_pylist()) for a in range(0, len(names), 1 << 15))])
     words = spark.sparkContext.broadcast(hashes)
 
     def seen(batches):
@@ -301,7 +310,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
         yield pd.DataFrame({"i": np.append(at, -1), "n": np.append(df[at], n)})
 
     counted = docs.select("text").mapInPandas(seen, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # of all documents
-    df = np.zeros(len(vocab) + 1, np.int64)
+    df = np.zeros(len(names) + 1, np.int64)
     df[counted["i"].to_numpy()] = counted["n"].to_numpy()  # the last is the number of documents
     @F.pandas_udf("struct<i:array<int>,n:array<int>>")
     def kept(texts: pd.Series) -> pd.DataFrame:
@@ -319,7 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
     size, term = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
     counts = got["n"].combine_chunks().flatten().to_numpy()
     del got
-    index = built(vocab, hashes, df, size, term, counts, y, ids, k)
+    index = built(names, hashes, df, size, term, counts, y, ids, k)
     del size, term, counts
     words.unpersist()
     if len(index.labels):
