@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, lines, ngrams, paragraphs, passages, pieces, simhash, topk, toxicity
+from . import conversations, decontam, html, langid, lines, ngrams, paragraphs, passages, pieces, simhash, topk, toxicity
+from .common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,14 +72,81 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
 
 
-QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op5_ngrams": op5_ngrams, "op6_pieces": op6_pieces, "op7_paragraphs": op7_paragraphs, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_html": op10_html}
+def damaged(turns: DataFrame) -> DataFrame:
+    """conversations after the damage that the check sum of `conv_id:turn` names; nulls of any column count as one space there, in role and in text."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    text = F.when(hit == 1, F.lit("")).when(hit == 2, F.regexp_replace(spaced("text"), "[.!?]", "")).otherwise(spaced("text"))
+    rows = turns.where(hit != 0).select("conv_id", "turn", F.when(hit == 4, F.lit("user")).otherwise(spaced("role")).alias("role"), text.alias("text"), F.explode(F.when(hit == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    bad = damaged(turns)
+    plans = stored(conversations.audits(bad), "conversations")
+    every = turns.select("conv_id").distinct()
+    whole = conversations.digests(bad, plans).withColumnRenamed("conv", "id")
+    found = every.join(plans, F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(whole, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(name) for c, name in (("gap", "gaps"), *((c, c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")))]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op5_ngrams": op5_ngrams, "op6_pieces": op6_pieces, "op7_paragraphs": op7_paragraphs, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_html": op10_html, "op11_conversations": op11_conversations}
 
 _SHINGLES = r"""
 SELECT {key} AS id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s, len(w) AS n
 FROM (SELECT {key}, regexp_extract_all(lower(text), '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+') AS w FROM {table}) WHERE len(w) > 0"""
 
+_CRC = """
+list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({key}, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))"""
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"
+
+# Carries the repaired turns along with the cost and the edits; grammar states are nothing (0), system (1), user (2), assistant (3).
+_REPAIR = r"""
+WITH RECURSIVE crc AS (SELECT __TABLE__ AS tab),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(__CRC__, 4294967295) % 20 AS hit FROM conversations, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h JOIN (VALUES (1), (2)) copies(n) ON n = 1 OR hit = 3 WHERE hit <> 0),
+n AS (
+  SELECT *, row_number() OVER w AS k, substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER w AS prev
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (
+  SELECT conv_id, turn, k, role, text, ini, prev, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+           WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd'
+           WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault
+  FROM n),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS size
+  FROM f GROUP BY conv_id),
+ins(s, t, e, said) AS (VALUES (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']),
+  (2, 3, 'I', ['assistant:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+edits(s, t, e, ini, price, role) AS (VALUES (0, 1, 'K', 's', 0, NULL), (0, 2, 'K', 'u', 0, NULL), (1, 2, 'K', 'u', 0, NULL), (3, 2, 'K', 'u', 0, NULL), (2, 3, 'K', 'a', 0, NULL),
+  (0, 2, 'R', NULL, 3, 'user'), (1, 2, 'R', NULL, 3, 'user'), (3, 2, 'R', NULL, 3, 'user'), (2, 3, 'R', NULL, 3, 'assistant'),
+  (0, 0, 'D', NULL, 4, NULL), (1, 1, 'D', NULL, 4, NULL), (2, 2, 'D', NULL, 4, NULL), (3, 3, 'D', NULL, 4, NULL)),
+p AS (
+  SELECT g.conv_id, 0::BIGINT AS k, ins.t AS s, {'c': (3 * length(ins.e))::BIGINT, 'a': ins.e, 'said': ins.said} AS b FROM g, ins WHERE ins.s = 0
+  UNION ALL
+  SELECT f.conv_id, f.k, ins.t, min({'c': (p.b.c + x.price + CASE WHEN f.fault = 't' AND x.e <> 'D' THEN 3 ELSE 0 END + 3 * length(ins.e))::BIGINT, 'a': p.b.a || x.e || ins.e,
+    'said': list_concat(p.b.said, CASE WHEN x.e = 'D' THEN []::VARCHAR[] ELSE [coalesce(x.role, f.role) || ':' || f.text] END, ins.said)})
+  FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = p.k + 1
+  JOIN edits x ON x.s = p.s AND (x.e = 'D' OR f.fault NOT IN ('b', 'd')) AND (x.ini IS NULL OR x.ini = f.ini)
+  JOIN ins ON ins.s = x.t
+  GROUP BY f.conv_id, f.k, ins.t),
+done AS (SELECT p.conv_id, min(p.b) AS b FROM p JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.size = p.k WHERE p.s IN (0, 3) GROUP BY p.conv_id)
+SELECT o.conv_id, coalesce(g.gaps, 0) AS gaps, coalesce(g.blank, 0) AS blank, coalesce(g.duplicate, 0) AS duplicate, coalesce(g.truncated, 0) AS truncated,
+  coalesce(g.illegal, 0) AS illegal, coalesce(done.b.c, 0) AS cost, coalesce(done.b.a, '') AS audit, sha256(coalesce(array_to_string(done.b.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id
+""".replace("__TABLE__", _CRC_TABLE).replace("__CRC__", _CRC.format(key="concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))"))
+
 ORACLES = {
+    "op11_conversations": _REPAIR,
     "op4_decontam": f"""
 WITH d AS (SELECT DISTINCT id, s FROM ({_SHINGLES.format(key="doc_id", table="documents")})),
 i AS (SELECT DISTINCT id, s FROM ({_SHINGLES.format(key="item_id", table="benchmark")})),
