@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, html, langid, lines, ngrams, paragraphs, passages, pieces, simhash, topk, toxicity
+from . import audit, conversations, decontam, exact, html, langid, lines, ngrams, paragraphs, passages, pieces, simhash, topk, toxicity
 from .common import stored
 
 
@@ -92,7 +92,20 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op5_ngrams": op5_ngrams, "op6_pieces": op6_pieces, "op7_paragraphs": op7_paragraphs, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_html": op10_html, "op11_conversations": op11_conversations}
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = exact.ExactIndex(spark, exact.buckets_for(docs))
+    index.insert(docs)
+    return index.groups().select(F.col("doc").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters, marks = list("ABCDE"), ["good", "toxic"]
+    rows = audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.orders(audit.edges(rows, filters, marks), filters, marks)
+
+
+QUERIES = {"op1_langid": op1_langid, "op4_decontam": op4_decontam, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op5_ngrams": op5_ngrams, "op6_pieces": op6_pieces, "op7_paragraphs": op7_paragraphs, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_html": op10_html, "op11_conversations": op11_conversations, "op12_exact": op12_exact, "op13_audit": op13_audit}
 
 _SHINGLES = r"""
 SELECT {key} AS id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -146,6 +159,36 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON g.conv_id IS
 """.replace("__TABLE__", _CRC_TABLE).replace("__CRC__", _CRC.format(key="concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))"))
 
 ORACLES = {
+    "op12_exact": """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d""",
+    "op13_audit": r"""
+WITH RECURSIVE o AS (SELECT '' AS s UNION ALL SELECT s || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(s, f)),
+w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         coalesce(min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id, false) AS e
+  FROM documents),
+d AS (
+  SELECT part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic
+  FROM w),
+h AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY part, fails),
+steps AS (SELECT s AS filter_order, k::INTEGER AS step, s[k:k] AS f, s[1:k - 1] AS earlier FROM o, range(1, 6) r(k) WHERE length(s) = 5),
+r AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN translate(fails, earlier || f, '') = fails THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN translate(fails, earlier, '') = fails AND contains(fails, f) THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN translate(fails, earlier, '') <> fails AND contains(fails, f) THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN translate(fails, earlier, '') = fails AND contains(fails, f) THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN translate(fails, earlier, '') = fails AND contains(fails, f) THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM h, steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r""",
     "op11_conversations": _REPAIR,
     "op4_decontam": f"""
 WITH d AS (SELECT DISTINCT id, s FROM ({_SHINGLES.format(key="doc_id", table="documents")})),
