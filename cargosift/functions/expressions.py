@@ -12,7 +12,7 @@ from cargosift.config import COUNTRY_LEVELS, SEVERITIES
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def present(c: Column) -> Column:
@@ -28,15 +28,8 @@ def signal(name, when: Column, value, weight, evidence) -> Column:
 
 
 def signals(*each: Column) -> Column:
-    return F.array_compact(F.array(*each))
-
-
-def combine(found: Column) -> Column:
-    """Weighted mean of signal values, at most 1; 0 without weight."""
-    zero = F.lit(0.0)
-    num = F.aggregate(found, zero, lambda a, s: a + s["value"] * s["weight"])
-    den = F.aggregate(found, zero, lambda a, s: a + F.greatest(s["weight"], F.lit(0.0)))
-    return F.when(den > 0, F.least(num / den, F.lit(1.0))).otherwise(0.0)
+    """The structs that are not null, in order; no higher-order function, so that it stays in generated code."""
+    return F.concat(*[F.when(x.isNotNull(), F.array(x)).otherwise(F.slice(F.array(x), 1, 0)) for x in each])
 
 
 def severity(score: Column) -> Column:
@@ -72,12 +65,12 @@ def normal_name(c: Column) -> Column:
 
 
 def hs_clean(c: Column) -> Column:
-    return F.regexp_replace(strip(c), r"\.", "")
+    return F.replace(strip(c), F.lit("."), F.lit(""))
 
 
 def hs_chapter(c: Column) -> Column:
     """First two digits of a code without points and spaces; null if they are not digits."""
-    own = F.regexp_replace(hs_clean(c), " ", "")
+    own = F.replace(hs_clean(c), F.lit(" "), F.lit(""))
     return F.when(own.rlike(r"^[0-9]{2}"), F.substring(own, 1, 2))
 
 

@@ -45,13 +45,9 @@ def legacy_raw(settings: Screening) -> Column:
 
 
 def legacy_risk(settings: Screening) -> Column:
-    """Struct (score, raw_score, signals): tier 1 to 5 of the capped weighted sum."""
-
-    def done(x: Column) -> Column:
-        raw = F.least(F.aggregate(x, _lit(0.0), lambda a, s: a + s["weight"] * s["value"]), _lit(1.0))
-        return F.struct(E.tier_of(raw).alias("score"), raw.alias("raw_score"), x.alias("signals"))
-
-    return F.element_at(F.transform(F.array(legacy_signals(settings)), done), 1)
+    """Struct (score, raw_score, signals): tier 1 to 5 of the capped weighted sum, which needs none of the signals' texts."""
+    raw = legacy_raw(settings)
+    return F.struct(E.tier_of(raw).alias("score"), raw.alias("raw_score"), legacy_signals(settings).alias("signals"))
 
 
 def flags(hits: Column, matches: Column) -> Column:
@@ -74,20 +70,20 @@ def profile(rows: DataFrame, settings: Screening, assessors: dict | None = None)
     """Adds risk_profile: the dimensions, flags, overall score and severity, advice and narrative."""
     chosen = assessors or ASSESSORS
     out = assess(rows, settings, chosen)
-    dims = F.array(*[F.col(f"_d_{n}") for n in chosen])
     weights = {n: float(settings.dimension_weights.get(n, 1.0)) for n in chosen}
-    total = sum((F.col(f"_d_{n}")["score"] * w for n, w in weights.items()), _lit(0.0))
+    total = sum((F.col(f"_v_{n}") * w for n, w in weights.items()), _lit(0.0))
     whole = sum(weights.values())
     score = F.round(F.least(total / whole if whole else _lit(0.0), _lit(1.0)), 4)
-    out = out.withColumn("_dims", dims).withColumn("_flags", flags(F.col("hits"), F.col("matches"))).withColumn("_score", score)
-    top = F.array_max(F.concat(F.transform("_dims", lambda d: E.rank(d["severity"])), F.transform("_flags", lambda f: E.rank(f["severity"]))))
-    out = out.withColumn("_sev", E.severity_of(top))
+    # Severity and advice come from the levels, so that signals and texts are made only where they are read.
+    out = out.withColumn("_flags", flags(F.col("hits"), F.col("matches"))).withColumn("_score", score)
+    top = F.greatest(_lit(0), F.coalesce(F.array_max(F.transform("_flags", lambda f: E.rank(f["severity"]))), _lit(0)), *[E.rank(F.col(f"_l_{n}")) for n in chosen])
+    out = out.withColumn("_sev", E.severity_of(top)).withColumn("_dims", F.array(*[F.col(f"_d_{n}") for n in chosen]))
     sev = F.col("_sev")
-    doubt = E.rank(F.element_at(F.filter("_dims", lambda d: d["dimension"] == "model_uncertainty"), 1)["severity"]) >= 3 if "model_uncertainty" in chosen else _lit(False)
+    doubt = E.rank(F.col("_l_model_uncertainty")) >= 3 if "model_uncertainty" in chosen else _lit(False)
     action = F.when(sev == "critical", "block").when(sev.isin("high", "medium"), "manual_review").when(doubt, "manual_review").otherwise("approve")
     sure = F.when(sev == "critical", 0.90).when(sev == "high", 0.75).when(sev == "medium", 0.60).when(doubt, 0.55).when(sev == "none", 0.90).otherwise(0.80)
     own = F.struct(F.col("id").alias("shipment_id"), sev.alias("overall_severity"), F.col("_score").alias("overall_score"), F.col("_dims").alias("dimensions"), F.col("_flags").alias("flags"), narrative(F.col("_dims"), F.col("_flags"), sev).alias("narrative"), action.alias("advisory_action"), sure.alias("advisory_confidence"))
-    return out.withColumn("risk_profile", own).drop("_dims", "_flags", "_score", "_sev", *[f"_d_{n}" for n in chosen])
+    return out.withColumn("risk_profile", own).drop("_dims", "_flags", "_score", "_sev", *[f"_{x}_{n}" for n in chosen for x in "dvl"])
 
 
 def dimension(profile_column: Column, name: str) -> Column:

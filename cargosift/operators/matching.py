@@ -50,7 +50,7 @@ def keyword_hits(description: Column, groups: list[dict]) -> Column:
             hits.append(F.when(first.isNotNull(), F.struct(F.lit(g["group_id"]).alias("group_id"), F.lit(g["name"]).alias("group_name"), F.lit(g["risk_level"]).alias("risk_level"), F.lit(None).cast("string").alias("matched_phrase"), first.alias("matched_keyword"), F.lit(None).cast("double").alias("similarity_score"))))
     if not hits:
         return F.array().cast(f"array<{schemas.HIT}>")
-    return F.array_compact(F.array(*hits)).cast(f"array<{schemas.HIT}>")
+    return E.signals(*hits).cast(f"array<{schemas.HIT}>")
 
 
 def semantic_pairs(facts: DataFrame, phrases: DataFrame, thresholds: dict[str, float], taken: DataFrame | None = None) -> DataFrame:
