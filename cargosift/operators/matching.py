@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from cargosift import schemas
 from cargosift.config import DUAL_USE_CONCEPTS, HS_CHAPTERS, HYPOTHESES, Screening
 from cargosift.functions import expressions as E
-from cargosift.scratch import stored
 
 Embedder = Callable[[Column], Column]
 Scorer = Callable[[Column, Column], Column]  # of premise and hypothesis: a score, or the three of contradiction, neutral and entailment
@@ -133,87 +132,152 @@ def token_set_similarity(a: str, b: str) -> float:
     return max([ratio(s, t)] + ([ratio(common, s), ratio(common, t)] if both else []))
 
 
-LISTED = 20_000  # names of a denied-party list up to which its grams (some 30 short rows a name) are broadcast
+LISTED = 20_000  # names of a denied-party list that one index holds; longer lists are cut into so many
+KNOWN = 100_000  # names whose match a Python worker remembers
 
 
-def _grams(key: Column, threshold: float, listed: bool) -> Column:
-    """Struct (size, repeats, grams) of a normal name; candidates() says what the grams are for.
+class NameIndex:
+    """The names of a list by letter pairs and words, to find every one whose token-set similarity reaches a threshold.
 
-    size counts the characters of the distinct words with one space between, repeats the letter pairs that come again. Grams: p
-    and each letter pair of the words between spaces, l and w and a word, e and the whole name.
+    A similarity of t comes from one of two things. Either the spaced words of both names, of S characters together, have
+    an indel ratio of t: then all but (1 - t) S characters are matched, each of those parts at most one neighbouring
+    pair, (1.5 t - 1) S - 1 letter pairs are shared (or a letter, where that is none), and t S / 2 characters are in both.
+    Or the words in common, with their spaces, cover t / (2 - t) of one name. Both are counted over the places of a name's
+    pairs and words, all names of the list at once, so that only names that pass are compared.
     """
-    gain, cover = 1.5 * threshold - 1, threshold / (2 - threshold)
-
-    def of_words(words: Column) -> Column:
-        text = F.array_join(words, " ")
-        pairs = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)))))
-        short = F.lit(True) if gain <= 0 else F.length(text) <= 1 / gain
-        letters = F.when(short, F.split(text, "")).otherwise(F.array().cast("array<string>"))
-        upto = lambda i: F.aggregate(F.slice(words, 1, i + 1), F.lit(-1), lambda n, w: n + F.length(w) + 1)
-        leading = F.filter(words, lambda w, i: upto(i) >= cover * F.length(text) - 1e-9)
-        tagged = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
-        own, other = (words, leading) if listed else (leading, words)
-        grams = F.array_distinct(F.concat(tagged("p", pairs), tagged("p", letters), tagged("l", own), tagged("w", other), F.array(F.concat(F.lit("e"), key))))
-        return F.struct(F.length(text).alias("size"), (F.size(pairs) - F.size(F.array_distinct(pairs))).alias("repeats"), grams.alias("grams"))
-
-    words = F.array_sort(F.array_distinct(F.filter(F.split(key, " "), lambda w: w != "")), lambda x, y: F.when(F.length(x) != F.length(y), F.length(x) - F.length(y)).when(x < y, -1).when(x > y, 1).otherwise(0))
-    return F.element_at(F.transform(F.array(words), of_words), 1)
-
-
-def candidates(names: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (key, ord, other, exact) that hold every pair of token-set similarity threshold or more: one join on grams.
-
-    names (key), listed (ord, key), all distinct. A similarity of t comes from one of two things. Either the spaced words
-    of both names, of S characters together, have an indel ratio of t: then all but (1 - t) S characters are matched, each of
-    those parts at most one neighbouring pair, and (1.5 t - 1) S - 1 letter pairs are shared (or a letter, where that is
-    none). Or the words in common cover t / (2 - t) of one name: then they hold one of its longest words, those without
-    which the rest is too short for that.
+
+    def __init__(self, names: list[str], threshold: float):
+        self.names, self.t = names, threshold
+        self.gain, self.cover = 1.5 * threshold - 1, threshold / (2 - threshold)
+        own = [self.parts(n) for n in names]
+        self.size = np.array([p[0] for p in own], np.int64)
+        self.repeats = np.array([p[1] for p in own], np.int64)
+        self.letters = np.stack([p[4] for p in own]) if own else np.zeros((0, 64), np.int16)
+        pairs: dict[str, list[int]] = {}
+        words: dict[str, list[int]] = {}
+        for i, p in enumerate(own):
+            for of, grams in ((pairs, p[2]), (words, p[3])):
+                for g in grams:
+                    of.setdefault(g, []).append(i)
+        self.pairs, self.words = ({g: np.array(at, np.int64) for g, at in of.items()} for of in (pairs, words))
+
+    def parts(self, name: str) -> tuple:
+        """(size, repeated pairs, pairs, words, counts of characters) of a normal name's distinct words."""
+        words = {w for w in name.split(" ") if w}
+        text = " ".join(words)
+        every = [f" {w} "[i : i + 2] for w in words for i in range(len(w) + 1)]
+        pairs = set(every)
+        if self.gain <= 0 or len(text) <= 1 / self.gain:
+            pairs |= set(text)
+        letters = np.bincount(np.array([ord(c) % 64 for c in text], np.int64), minlength=64).astype(np.int16)  # folded: counts in common can only grow
+        return len(text), len(every) - len(set(every)), pairs, words, letters
+
+    def _least(self, size, other, repeats):
+        """Pairs that names of two sizes must share."""
+        return np.maximum(np.ceil(self.gain * (size + other) - 1 - 1e-9) - repeats, 1)
+
+    def near(self, name: str) -> np.ndarray:
+        """Places of all names that may reach the threshold, in order."""
+        n, (size, repeats, pairs, words, letters) = len(self.names), self.parts(name)
+        lists = [self.pairs[p] for p in pairs if p in self.pairs]
+        found = np.zeros(0, np.int64)
+        if lists:
+            count = np.bincount(np.concatenate(lists), minlength=n)
+            some = np.flatnonzero(count >= self._least(size, np.ceil(size * self.cover - 1e-9), repeats))  # with the shortest name that may match
+            total = size + self.size[some]
+            ok = (count[some] >= self._least(size, self.size[some], np.minimum(repeats, self.repeats[some]))) & (2 * np.minimum(size, self.size[some]) >= self.t * total - 1e-9)
+            some, total = some[ok], total[ok]
+            found = some[2 * np.minimum(self.letters[some], letters).sum(axis=1) >= self.t * total - 1e-9]
+        shared = [(self.words[w], len(w) + 1) for w in words if w in self.words]
+        if shared:
+            common = np.bincount(np.concatenate([at for at, _ in shared]), np.repeat([k for _, k in shared], [len(at) for at, _ in shared]), n) - 1
+            found = np.union1d(found, np.flatnonzero((common > 0) & (common >= self.cover * np.minimum(size, self.size) - 1e-9)))
+        return found
+
+    def best(self, name: str) -> tuple[int, float] | None:
+        """(place, score) of the most similar name that reaches the threshold, the first of equals; None without one."""
+        best = None
+        for i in self.near(name).tolist():
+            score = token_set_similarity(name, self.names[i])
+            if score >= self.t and (best is None or score > best[1]):
+                best = (i, score)
+        return best
+
+
+_indexes: dict[tuple, tuple[NameIndex, dict, dict]] = {}  # of this Python worker
+
+
+def name_matcher(listed: list[tuple], threshold: float):
+    """A column function from normal names to struct (ord, score, exact_match) of their match on a list (ord, key) of at most LISTED rows, else null.
+
+    Of equal keys the last is the exact match, of equal scores the first name. A worker compares a name once, as long as it remembers it.
     """
-    cut = lambda df, name, is_listed, tag: df.withColumn("_g", _grams(F.col(name), threshold, is_listed)).select(*df.columns, F.col("_g.size").alias(f"{tag}size"), F.col("_g.repeats").alias(f"{tag}repeats"), F.explode("_g.grams").alias("gram"))
-    left, right = cut(names.select("key"), "key", False, ""), cut(listed.select("ord", F.col("key").alias("other")), "other", True, "o_")
-    if listed.count() <= LISTED:
-        right = F.broadcast(right)
-    kind = F.substring("gram", 1, 1)
-    met = left.join(right, "gram").groupBy("key", "ord", "other", "size", "repeats", "o_size", "o_repeats").agg(F.count_if(kind == "p").alias("pairs"), F.count_if(kind.isin("l", "w")).alias("words"), (F.count_if(kind == "e") > 0).alias("exact"))
-    total = F.col("size") + F.col("o_size")
-    need = F.greatest(F.ceil((1.5 * threshold - 1) * total - 1 - 1e-9) - F.least("repeats", "o_repeats"), F.lit(1))
-    alike = (F.col("pairs") >= need) & (2 * F.least("size", "o_size") >= threshold * total - 1e-9)
-    return met.where(F.col("exact") | (F.col("words") > 0) | alike).select("key", "ord", "other", "exact")
+    token = (hash(tuple(listed)), len(listed), threshold)
+
+    def matched(keys: pd.Series) -> pd.DataFrame:
+        if token not in _indexes:
+            if len(_indexes) > 8:
+                _indexes.clear()
+            _indexes[token] = NameIndex([k for _, k in listed], threshold), {k: o for o, k in listed}, {}
+        index, exact, known = _indexes[token]
+        if len(known) > KNOWN:
+            known.clear()
+        for key in keys.unique().tolist():
+            if key and key not in known:
+                best = (exact[key], 1.0) if key in exact else index.best(key)
+                known[key] = None if best is None else (best[0] if key in exact else listed[best[0]][0], best[1], key in exact)
+        rows = [known.get(k) or (None, None, None) for k in keys.tolist()]
+        return pd.DataFrame(rows, columns=["ord", "score", "exact_match"]).astype({"ord": "Int64", "score": "float64", "exact_match": "boolean"})
+
+    return F.pandas_udf(matched, "struct<ord:bigint,score:double,exact_match:boolean>").asNondeterministic()  # filters on a match stay above it
+
+
+def _blocks(denied: DataFrame) -> list[list[tuple]]:
+    """The list (ord, key) in order, in pieces of LISTED names; it is a configured table, read piece by piece."""
+    rows = denied.select(F.col("ord").cast("long").alias("ord"), "key").where("key <> ''")
+    n = rows.count()
+    if n <= LISTED:
+        return [sorted((r.ord, r.key) for r in rows.collect())]
+    pieces = -(-2 * n // LISTED)  # by hash, with room for uneven ones
+    return [sorted((r.ord, r.key) for r in rows.where(F.pmod(F.xxhash64("ord"), F.lit(pieces)) == i).collect()) for i in range(pieces)]
+
+
+def _matched(rows: DataFrame, keys: dict[str, Column], denied: DataFrame, threshold: float) -> DataFrame:
+    """Adds struct columns (ord, score, exact_match, matched_party, list_name) by name, of the best match of each key over all pieces of the list; fields are null without one."""
+    blocks = _blocks(denied)
+    udfs = [name_matcher(b, threshold) for b in blocks]
+    out = rows.withColumns({f"_m_{n}_{i}": udf(key) for n, key in keys.items() for i, udf in enumerate(udfs)})
+    rank = lambda m: F.struct(m["exact_match"].alias("exact"), m["score"].alias("score"), F.when(m["exact_match"], m["ord"]).otherwise(-m["ord"]).alias("place"))
+    parties = denied.select(F.col("ord").cast("long").alias("_ord"), "matched_party", "list_name")
+    parties = F.broadcast(parties) if len(blocks) == 1 else parties
+    for n in keys:
+        each = [F.when(m["ord"].isNotNull(), rank(m)) for m in (F.col(f"_m_{n}_{i}") for i in range(len(udfs)))]
+        out = out.withColumn(f"_m_{n}", F.greatest(*each) if len(each) > 1 else each[0]).drop(*[f"_m_{n}_{i}" for i in range(len(udfs))])
+        own = parties.select(F.col("_ord").alias(f"_o_{n}"), F.col("matched_party").alias(f"_p_{n}"), F.col("list_name").alias(f"_l_{n}"))
+        out = out.join(own, F.abs(F.col(f"_m_{n}.place")) == F.col(f"_o_{n}"), "left")
+        out = out.withColumn(n, F.struct(F.col(f"_o_{n}").alias("ord"), F.col(f"_m_{n}.score").alias("score"), F.col(f"_m_{n}.exact").alias("exact_match"), F.col(f"_p_{n}").alias("matched_party"), F.col(f"_l_{n}").alias("list_name"))).drop(f"_m_{n}", f"_o_{n}", f"_p_{n}", f"_l_{n}")
+    return out
 
 
 def match_names(names: DataFrame, denied: DataFrame, threshold: float = 0.80) -> DataFrame:
     """For distinct normal names (key): (key, matched_party, list_name, score, exact_match), exact first, then the best fuzzy one.
 
-    denied (ord, matched_party, key, list_name) is the configured list, broadcast up to LISTED names and joined by
-    shuffle beyond. Of equal exact keys the last holds, of equal fuzzy scores the first. Names without a match are
-    left out. Names are compared where candidates() pairs them, each pair once.
+    denied (ord, matched_party, key, list_name) is the configured list. Of equal exact keys the last holds, of equal fuzzy
+    scores the first. Names without a match are left out. Each name meets an index of the list, or of every LISTED names of it, in
+    its own task: nothing is shuffled, and only names that NameIndex.near gives are compared.
     """
-    def compared(keys: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([token_set_similarity(a, b) for a, b in zip(keys, others, strict=True)], dtype=float)
-
-    scored = F.pandas_udf(compared, "double").asNondeterministic()  # a filter on the score then stays above the joins
-    near = candidates(names, denied, threshold).withColumn("score", scored("key", "other")).where(F.col("exact") | (F.col("score") >= threshold))
-    place = F.when(F.col("exact"), F.col("ord")).otherwise(-F.col("ord"))
-    best = near.groupBy("key").agg(F.max(F.struct("exact", "score", place.alias("place"))).alias("b")).select("key", "b.score", F.col("b.exact").alias("exact_match"), F.abs("b.place").alias("ord"))
-    parties = denied.select("ord", "matched_party", "list_name")
-    return best.join(parties, "ord").select("key", "matched_party", "list_name", "score", "exact_match")
+    return _matched(names.select("key"), {"m": F.col("key")}, denied, threshold).where("m.ord is not null").select("key", "m.matched_party", "m.list_name", "m.score", "m.exact_match")
 
 
 def party_matches(rows: DataFrame, denied: DataFrame, threshold: float = 0.80) -> DataFrame:
     """Adds matches (consignee first, then shipper); empty and null names make none.
 
-    Each distinct name is compared once, now; the matched names are written to the shared folder, so that their joins to the
-    rows know how large they are and broadcast them only if small.
+    Rows stay where they are: their names are matched in their own task against the list, whose parties are broadcast if one index holds it.
     """
-    keys = [E.normal_name(F.col(c)) for c in ("consignee", "shipper")]
-    raw = rows.select(F.explode(F.array("consignee", "shipper")).alias("name")).distinct()
-    names = raw.select(E.normal_name(F.col("name")).alias("key")).where("key <> ''").distinct()
-    found = stored(match_names(names, denied, threshold).select("key", F.struct("matched_party", "list_name", "score", "exact_match").alias("m")), "parties")
-    out = rows.withColumn("_k0", F.when(keys[0] != "", keys[0])).withColumn("_k1", F.when(keys[1] != "", keys[1]))
-    for i in range(2):
-        out = out.join(found.select(F.col("key").alias(f"_k{i}"), F.col("m").alias(f"_m{i}")), f"_k{i}", "left")
-    one = lambda i, role: F.when(F.col(f"_m{i}").isNotNull(), F.struct(F.col(f"_m{i}.matched_party").alias("matched_party"), F.col(role).alias("input_party"), F.lit(role).alias("role"), F.col(f"_m{i}.score").alias("score"), F.col(f"_m{i}.list_name").alias("list_name"), F.col(f"_m{i}.exact_match").alias("exact_match")))
-    return out.withColumn("matches", F.array_compact(F.array(one(0, "consignee"), one(1, "shipper"))).cast(f"array<{schemas.MATCH}>")).drop("_k0", "_k1", "_m0", "_m1")
+    roles = ("consignee", "shipper")
+    out = _matched(rows, {f"_party_{r}": E.normal_name(F.col(r)) for r in roles}, denied, threshold)
+    one = lambda m, role: F.when(m["ord"].isNotNull(), F.struct(m["matched_party"].alias("matched_party"), F.col(role).alias("input_party"), F.lit(role).alias("role"), m["score"].alias("score"), m["list_name"].alias("list_name"), m["exact_match"].alias("exact_match")))
+    return out.withColumn("matches", E.signals(*[one(F.col(f"_party_{r}"), r) for r in roles]).cast(f"array<{schemas.MATCH}>")).drop(*[f"_party_{r}" for r in roles])
 
 
 def classify(logits: Column) -> Column:

@@ -136,9 +136,9 @@ def plain_similarity(a, b):
     return max([ratio(s, t)] + ([ratio(common, s), ratio(common, t)] if both else []))
 
 
-@pytest.mark.parametrize("threshold,listed", [(0.8, 20_000), (0.6, 20_000), (0.9, 0)])
+@pytest.mark.parametrize("threshold,listed", [(0.8, 20_000), (0.6, 20_000), (0.9, 25)])
 def test_names_against_every_pair(spark, monkeypatch, threshold, listed):
-    """The gram join loses no pair that comparing all names with the whole list finds."""
+    """The index loses no match that comparing all names with the whole list finds, in one piece or in several."""
     monkeypatch.setattr(M, "LISTED", listed)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdé1") for _ in range(rng.randint(1, 7)))
@@ -168,6 +168,25 @@ def test_names_against_every_pair(spark, monkeypatch, threshold, listed):
     assert got == want and sum(not e for _, e, _ in want.values()) > 50
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.92])
+def test_index_gives_every_match_and_few_others(threshold):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("bdklmnrst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)] + ["a", "x1"]
+    name = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 4)))
+    listed = [name() for _ in range(600)]
+    names = [name() for _ in range(60)] + ["".join(rng.choice([c, c, c, c, "", "q"]) for c in rng.choice(listed)) for _ in range(60)] + ["", "a", "aa aa aa"]
+    index = M.NameIndex(listed, threshold)
+    compared = matches = 0
+    for n in names:
+        got = set(index.near(n).tolist())
+        want = {i for i, k in enumerate(listed) if M.token_set_similarity(n, k) >= threshold}
+        assert want <= got
+        compared, matches = compared + len(got), matches + len(want)
+        score, first = max(((M.token_set_similarity(n, listed[i]), -i) for i in want), default=(0, 0))
+        assert index.best(n) == ((-first, score) if want else None)
+    assert threshold < 0.7 or compared < 10 * matches
+
+
 def test_decision_without_classifier_or_description(spark):
     got = Engine(spark).screen(ship(spark, **CLEAN | {"description": None})).first()
     assert got.reason == "Uncertain: no AI classification" and 'Shipment a ("") was screened' in got.rationale and got.rationale.endswith("Reason: Uncertain: no AI classification")
