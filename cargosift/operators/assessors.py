@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cargosift.config import DUAL_USE_CHAPTERS, DUAL_USE_KEYWORDS, HS_CHAPTERS, Screening
 from cargosift.functions import expressions as E
+from cargosift.scratch import compiled
 
 _col, _lit, _cat = F.col, F.lit, F.concat
 
@@ -94,15 +95,18 @@ def _signals_of(each: Each) -> Callable[[Column], Column]:
 
 def _found(parts: list[Slot | First | Each]) -> Column:
     """The array of the signals that hold, in order."""
-    none = F.array().cast("array<struct<name:string,value:double,weight:double,evidence:string>>")
-    out = []
-    for p in parts:
-        if isinstance(p, Each):
+    out: list[Column] = []
+    fixed: list[Column] = []
+    for p in [*parts, None]:
+        if not isinstance(p, Each) and p is not None:
+            fixed.append(F.coalesce(*[s.signal() for s in _group(p)]))
+            continue
+        if fixed:
+            out.append(E.signals(*fixed))
+            fixed = []
+        if p is not None:
             out.append(F.array_compact(F.flatten(F.transform(p.items, _signals_of(p)))))
-        else:
-            one = F.coalesce(*[s.signal() for s in _group(p)])
-            out.append(F.when(one.isNotNull(), F.array(one)).otherwise(none))
-    return F.concat(*out)
+    return F.concat(*out) if len(out) > 1 else out[0]
 
 
 def assess(rows: DataFrame, settings: Screening, chosen: Mapping[str, Assessor]) -> DataFrame:
@@ -111,6 +115,7 @@ def assess(rows: DataFrame, settings: Screening, chosen: Mapping[str, Assessor])
     Every fixed signal is two numbers, its weight (null where it does not hold) and value times weight, and scores and levels are made of
     these alone in generated code. Names and evidence are in the arrays of the dimensions, which Spark leaves out where nobody asks for them.
     """
+    compiled(rows.sparkSession)
     made = {n: f(settings) for n, f in chosen.items()}
     parts = {n: a for n, a in made.items() if isinstance(a, Assessment)}
     fixed = [(f"{n}_{i}", _group(g)) for n, a in parts.items() for i, g in enumerate(a.parts) if not isinstance(g, Each)]

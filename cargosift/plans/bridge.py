@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cargosift.scratch import spread
+
 CODES = ("US", "CA", "GB", "DE", "SG", "HK", "AE", "PA", "TR", "RU", "IR", "KP", "SY", "CU", "MM", "VE", "PK", "CN", "BY", "XX", "YY", "ZZ", "AA", "BB", "CC")
 
 # One text for both engines; {code:...} is replaced by each engine's list access.
@@ -48,5 +50,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shipments of a table folder, with logits (three numbers) and the slice key k."""
     names = ("lineitem", "orders", "customer", "supplier", "part")
     frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    wanted = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    frames["lineitem"] = spread(frames["lineitem"].select(*wanted))
     rows = spark.sql(SPARK_SQL.replace("FROM lineitem", "FROM {lineitem}").replace("JOIN orders", "JOIN {orders}").replace("JOIN customer", "JOIN {customer}").replace("JOIN supplier", "JOIN {supplier}").replace("JOIN part ON", "JOIN {part} ON"), **frames)
     return rows.selectExpr("*", "array(l0, l1, l2) AS logits").drop("l0", "l1", "l2")

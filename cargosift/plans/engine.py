@@ -14,6 +14,7 @@ from cargosift.functions import expressions as E
 from cargosift.operators import decisions as D
 from cargosift.operators import matching as M
 from cargosift.operators.assessors import with_places
+from cargosift.scratch import compiled
 from cargosift.sources import readers
 
 
@@ -30,6 +31,9 @@ class Engine:
     scorer: M.Scorer | None = None  # of hypotheses, used where rows bring no logits
     scorer_triples: bool = False
 
+    def __post_init__(self) -> None:
+        compiled(self.spark)
+
     def with_taxonomy(self, groups: list[dict]) -> Engine:
         return replace(self, groups=tuple(readers.validate_taxonomy(groups)))
 

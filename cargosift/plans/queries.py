@@ -17,7 +17,7 @@ from cargosift.operators import matching as M
 from cargosift.operators.assessors import ASSESSORS, ESSENTIAL, assess, route
 from cargosift.plans import bridge
 from cargosift.plans.engine import Engine
-from cargosift.scratch import new_path
+from cargosift.scratch import compiled, new_path
 from cargosift.sources import readers
 from cargosift.streaming import streams
 
@@ -34,7 +34,11 @@ def _six(name: str) -> Column:
 
 
 def _ship(f):
-    return lambda spark, d: f(bridge.shipments(spark, d))
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        compiled(spark)
+        return f(bridge.shipments(spark, d))
+
+    return query
 
 
 def s1_shipments(ship: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tables written to the shared folder that the cluster names in spark.checkpoint.dir."""
+"""Session settings, and tables written to the shared folder that the cluster names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
@@ -20,6 +20,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def compiled(spark: SparkSession) -> None:
+    """Has Spark run long expressions as several methods: those of over 8000 bytes of code stay interpreted in the JVM for good."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores: inputs of a few files or row groups are dealt out, larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
