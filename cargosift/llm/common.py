@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cargosift.scratch import scratch_dir, stored
 
-__all__ = ["arrow_rows", "components", "drop_stored", "partitions", "prepare", "scratch_dir", "stored"]
+__all__ = ["arrow_rows", "components", "drop_stored", "fresh", "partitions", "prepare", "scratch_dir", "stored"]
 
 ARROW_ROWS = 400
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -41,6 +41,14 @@ def drop_stored(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

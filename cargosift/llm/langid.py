@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import fresh, prepare
 from .text import U, mix
 
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -166,5 +166,6 @@ def predict(docs: DataFrame, f: Filters, text: str = "text") -> DataFrame:
             out.append((own.langs[best[i]], float(score[i])) if letters else ("und", 0.0))
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_lang")]
-    return docs.select(*kept, judged(F.col(text)).alias("_lang")).select(*kept, F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = fresh(docs, "_lang")
+    return docs.select(*kept, judged(F.col(text)).alias(own)).select(*kept, F.col(f"{own}.lang").alias("lang_pred"), F.col(f"{own}.score").alias("score"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, stored
+from .common import components, drop_stored, fresh, stored
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,9 +143,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_ed
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_edits: int = 2, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
-    """docs with repeated lines cut from their texts; every row stays, with its other columns as they were."""
-    gone = repeated(docs, id_col, text, max_edits, min_chars, short_copies).where("removed").groupBy("row").agg(F.collect_set("line_no").alias("_gone"))
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text)))
-    joined = keyed.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))).select(*docs.columns)
+    """docs with repeated lines cut from their texts; every row stays, with its other columns, of any name, as they were.
+
+    Null texts stay null and texts without a repeat as they are, also empty ones; of repeated rows of one id and text each loses the same lines.
+    """
+    row, cut = fresh(docs, "_row"), fresh(docs, "_gone")
+    gone = repeated(docs, id_col, text, max_edits, min_chars, short_copies).where("removed").groupBy("row").agg(F.collect_set("line_no").alias(cut))
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text)))
+    joined = keyed.join(gone.withColumnRenamed("row", row), row, "left")
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(cut), i))
+    return joined.withColumn(text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))).select(*docs.columns)

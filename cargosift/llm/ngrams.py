@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch_dir
+from .common import fresh, prepare, scratch_dir
 from .eliasfano import EliasFano
 from .text import U, mix, word_hashes
 
@@ -489,7 +489,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in _gathered(batches):
             yield evaluate(shared.value, texts)
 
-    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_lm")
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    own = fresh(docs, "_lm")
     kept = [c for c in docs.columns if c not in names]
-    out = docs.select(*kept, scored(F.col(text)).alias("_lm"))
-    return out.select(*kept, "_lm.n_tokens", "_lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "_lm.base_score", "_lm.score")
+    out = docs.select(*kept, scored(F.col(text)).alias(own))
+    return out.select(*kept, f"{own}.n_tokens", f"{own}.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), f"{own}.base_score", f"{own}.score")

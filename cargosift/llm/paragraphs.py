@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, drop_stored, partitions, prepare, stored
+from .common import arrow_rows, components, drop_stored, fresh, partitions, prepare, stored
 from .text import U, minima, sequence_keys, shingle_hashes, word_hashes
 
 SIZE = 5
@@ -172,8 +172,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, min_words: int = 10) -> DataFrame:
-    """docs with repeated paragraphs cut from their texts; every row stays, with its other columns as they were."""
-    gone = repeated(docs, id_col, text, threshold, min_words).where("removed").groupBy("row").agg(F.collect_set(F.col("paragraph").cast("int")).alias("_gone"))
-    joined = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text))).join(gone.withColumnRenamed("row", "_row"), "_row", "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    """docs with repeated paragraphs cut from their texts; every row stays, with its other columns, of any name, as they were.
+
+    Null texts stay null, texts without a repeat as they are; of repeated rows of one id and text each loses the same paragraphs.
+    """
+    row, cut = fresh(docs, "_row"), fresh(docs, "_gone")
+    gone = repeated(docs, id_col, text, threshold, min_words).where("removed").groupBy("row").agg(F.collect_set(F.col("paragraph").cast("int")).alias(cut))
+    joined = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text))).join(gone.withColumnRenamed("row", row), row, "left")
+    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(cut), i))
+    return joined.withColumn(text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, prepare, stored
+from .common import components, drop_stored, fresh, prepare, stored
 from .text import U, mix, powers, word_hashes
 
 SIZE = 40
@@ -106,10 +106,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """docs without the words of shared windows that came before in order of (doc_id, start); other columns stay as they were.
 
     Each cut run goes with the marks and white space up to the next word. The first place of every window stays, save for words of
-    it that another window had earlier.
+    it that another window had earlier. Null texts stay null, texts without shared windows as they are; repeated rows of one id and text lose the same words.
     """
+    row, at_cut = fresh(docs, "_row"), fresh(docs, "_cuts")
     cuts = spans(shared_windows(docs, id_col, text, size, gap).where(~F.col("first")), size)
-    cuts = cuts.groupBy("row").agg(F.collect_list(F.struct("start", "n_words")).alias("_cuts"))  # of one text
+    cuts = cuts.groupBy("row").agg(F.collect_list(F.struct("start", "n_words")).alias(at_cut))  # of one text
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, each: pd.Series) -> pd.Series:
@@ -122,5 +123,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text))).join(cuts.withColumnRenamed("row", "_row"), "_row", "left")
-    return joined.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_cuts")))).select(*docs.columns)
+    joined = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text))).join(cuts.withColumnRenamed("row", row), row, "left")
+    return joined.withColumn(text, F.when(F.col(at_cut).isNull(), F.col(text)).otherwise(cut(F.col(text), F.col(at_cut)))).select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, prepare, stored
+from .common import drop_stored, fresh, prepare, stored
 from .text import STEM as STEM_MARK
 from .text import Slots, U, mix, word_and_stem_hashes, word_hashes
 
@@ -371,6 +371,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
                 why.append([{"doc_id": a, "cosine": b, "label": z} for a, b, z in zip(d, c, y, strict=False) if b > 0])
         return pd.DataFrame({"score": np.concatenate(scores) if scores else [], "evidence": why})
 
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "evidence", "_tox")]
-    out = docs.select(*kept, judged(F.col(text)).alias("_tox"))
-    return out.select(*kept, F.col("_tox.score").alias("score"), (F.col("_tox.score") >= 0.5).cast("int").alias("predicted"), F.col("_tox.evidence").alias("evidence"))
+    kept = [c for c in docs.columns if c not in ("score", "predicted", "evidence")]
+    own = fresh(docs, "_tox")
+    out = docs.select(*kept, judged(F.col(text)).alias(own))
+    return out.select(*kept, F.col(f"{own}.score").alias("score"), (F.col(f"{own}.score") >= 0.5).cast("int").alias("predicted"), F.col(f"{own}.evidence").alias("evidence"))

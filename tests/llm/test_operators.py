@@ -885,3 +885,13 @@ def test_language_against_plain_sets(spark):
         plain = [sum(g in held[lang] for g in own) for lang in f.langs]
         if sorted(plain)[-1] > sorted(plain)[-2] + 2:
             assert got[i].lang_pred == f.langs[plain.index(max(plain))] and got[i].score == pytest.approx(max(plain) / sum(plain), abs=0.05)
+
+
+def test_columns_of_the_operators_own_names_stay(spark):
+    text = "a line that comes twice in this table for sure\nand one that does not, as it ends in {}"
+    rows = spark.createDataFrame([(n, text.format(n), "en") for n in range(3)], "doc_id long, text string, lang string").withColumns({c: F.lit(c) for c in ("_row", "_gone", "_cuts", "_lang", "_tox", "_lm", "_cut", "_row_")})
+    filters = langid.learn(rows.select("text", "lang"))
+    index = toxicity.learn(rows, spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int"))
+    model = ngrams.train(rows, least=1)
+    for out in (lines.without_repeats(rows), paragraphs.without_repeats(rows, min_words=5), passages.without_repeats(rows), langid.predict(rows, filters), toxicity.score(rows, index), ngrams.score(rows, model), pieces.encode(rows)):
+        assert out.count() == 3 and out.where("_row <> '_row' or _gone <> '_gone' or _cuts <> '_cuts' or _lang <> '_lang' or _tox <> '_tox' or _lm <> '_lm' or _cut <> '_cut' or _row_ <> '_row_'").count() == 0
