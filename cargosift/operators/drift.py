@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cargosift.operators.quantiles import quantiles
+
 EPS = 1e-6
 
 
@@ -17,9 +19,13 @@ def psi_term(expected: Column, actual: Column) -> Column:
 
 
 def edges(base: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """One row: the bins - 1 inner quantile edges (linear interpolation), rounded to nine places."""
-    at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    return base.agg(F.transform(F.percentile(F.col(value), at), lambda e: F.round(e, 9)).alias("edges"))
+    """One row: the bins - 1 inner quantile edges (linear interpolation), rounded to nine places; null without values.
+
+    Exact, found by counting ranges (see quantiles) when this is called.
+    """
+    found = quantiles(base, value, [i / bins for i in range(1, bins)])
+    at = F.lit(None).cast("array<double>") if found is None else F.array(*[F.lit(float(x)) for x in found])
+    return base.sparkSession.range(1).select(F.transform(at, lambda e: F.round(e, 9)).alias("edges"))
 
 
 def bin_of(value: Column, inner: Column) -> Column:
@@ -27,6 +33,14 @@ def bin_of(value: Column, inner: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e <= F.round(value, 9)))
 
 
+def binned(rows: DataFrame, value: str, inner: list[float], bins: int = 10) -> DataFrame:
+    """Rows (bin, n) of every bin between given edges, nulls left out."""
+    at = F.array(*[F.lit(e) for e in inner]).cast("array<double>")
+    counted = rows.where(F.col(value).isNotNull()).groupBy(bin_of(F.col(value), at).alias("bin")).agg(F.count("*").alias("k"))
+    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counted, "bin", "left").select("bin", F.coalesce("k", F.lit(0)).alias("n"))
+
+
 def histogram(base: DataFrame, current: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Rows (bin, n_base, n_current) for every bin of the baseline's quantiles."""
     rows = base.select(value, F.lit(1).alias("b")).unionByName(current.select(value, F.lit(0).alias("b"))).where(F.col(value).isNotNull())
@@ -35,11 +49,11 @@ def histogram(base: DataFrame, current: DataFrame, value: str, bins: int = 10) -
     return every.join(counted, "bin", "left").select("bin", F.coalesce("n_base", F.lit(0)).alias("n_base"), F.coalesce("n_current", F.lit(0)).alias("n_current"))
 
 
-def psi(counts: DataFrame) -> DataFrame:
-    """One row (psi) from rows (n_base, n_current): population stability index, 0 if either side is empty."""
+def psi(counts: DataFrame, labels: bool = False) -> DataFrame:
+    """One row (psi) from rows (n_base, n_current): population stability index, 0 if either side is empty; of labels an empty side has the least share of each."""
     totals = counts.agg(F.sum("n_base").cast("double").alias("tb"), F.sum("n_current").cast("double").alias("tc"))
     e, a = _share(F.col("n_base"), F.col("tb")), _share(F.col("n_current"), F.col("tc"))
-    return counts.join(F.broadcast(totals)).agg(F.when((F.max("tb") > 0) & (F.max("tc") > 0), F.sum(psi_term(e, a))).otherwise(0.0).alias("psi"))
+    return counts.join(F.broadcast(totals)).agg(F.coalesce(F.when(F.lit(labels) | ((F.max("tb") > 0) & (F.max("tc") > 0)), F.sum(psi_term(e, a))), F.lit(0.0)).alias("psi"))
 
 
 def categorical(base: DataFrame, current: DataFrame, label: str) -> DataFrame:
@@ -72,7 +86,7 @@ def report(base: DataFrame, current: DataFrame, value: str, label: str, deltas:
     """One row (psi_confidence, label_psi, centroid_shift, hit_rate_deltas, significant, summary)."""
     spark = base.sparkSession
     out = psi(histogram(base, current, value)).withColumnRenamed("psi", "psi_confidence")
-    out = out.join(F.broadcast(psi(categorical(base, current, label)).withColumnRenamed("psi", "label_psi")))
+    out = out.join(F.broadcast(psi(categorical(base, current, label), labels=True).withColumnRenamed("psi", "label_psi")))
     out = out.join(F.broadcast(shift if shift is not None else spark.range(1).select(F.lit(0.0).alias("centroid_shift"))))
     rates = deltas.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group_id", "delta")))).alias("hit_rate_deltas")) if deltas is not None else spark.range(1).select(F.create_map().cast("map<string,double>").alias("hit_rate_deltas"))
     out = out.join(F.broadcast(rates))
@@ -113,12 +127,12 @@ def baseline(decisions: DataFrame, confidence: str = "classification.confidence"
 
 def against(base: DataFrame, current: DataFrame) -> DataFrame:
     """report() of two baselines, the second of current decisions counted with the first's edges (see rebinned())."""
-    def index(left: Column, right: Column, keys: Column) -> Column:
+    def index(left: Column, right: Column, keys: Column, of_labels: bool = False) -> Column:
         total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
         at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0).cast("long"))
         tb, tc = total(F.map_values(left)), total(F.map_values(right))
         terms = F.transform(keys, lambda k: psi_term(_share(at(left, k), tb), _share(at(right, k), tc)))
-        return F.when((tb > 0) & (tc > 0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+        return F.when(F.lit(of_labels) | ((tb > 0) & (tc > 0)), F.coalesce(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))).otherwise(0.0)
 
     b, c = base.select(F.struct("*").alias("b")), current.select(F.struct("*").alias("c"))
     both = b.join(F.broadcast(c))  # one row each
@@ -128,7 +142,7 @@ def against(base: DataFrame, current: DataFrame) -> DataFrame:
     rate = lambda side, g: F.coalesce(F.try_element_at(F.col(f"{side}.hit_rates"), g), F.lit(0.0))
     shift = F.coalesce(F.sqrt(F.aggregate(F.zip_with("b.centroid", "c.centroid", lambda x, y: (y - x) * (y - x)), F.lit(0.0), lambda a, x: a + x)), F.lit(0.0))
     out = both.select(
-        index(numbered("b"), numbered("c"), F.sequence(F.lit(1), F.size("b.counts"))).alias("psi_confidence"), index(F.col("b.labels"), F.col("c.labels"), labels).alias("label_psi"),
+        index(numbered("b"), numbered("c"), F.sequence(F.lit(1), F.size("b.counts"))).alias("psi_confidence"), index(F.col("b.labels"), F.col("c.labels"), labels, True).alias("label_psi"),
         shift.alias("centroid_shift"), F.map_from_arrays(groups, F.transform(groups, lambda g: rate("c", g) - rate("b", g))).alias("hit_rate_deltas"),
     )
     return out.withColumn("significant", significant(F.col("psi_confidence"), F.col("label_psi"), F.col("centroid_shift")))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cargosift.scratch import spread
 
 CODES = ("US", "CA", "GB", "DE", "SG", "HK", "AE", "PA", "TR", "RU", "IR", "KP", "SY", "CU", "MM", "VE", "PK", "CN", "BY", "XX", "YY", "ZZ", "AA", "BB", "CC")
+CELLS = ("severe", " Very High ", "moderate", "minimal", "high", "odd", "1", "yes", "2", "55", "-3", "full", "partial", "blacklist", "enhanced monitoring", "ok", "x")
 
 # One text for both engines; {code:...} is replaced by each engine's list access.
 _SHIPMENTS = """

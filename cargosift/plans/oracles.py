@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from cargosift.config import COUNTRIES, COUNTRY_LEVELS, DUAL_USE_CHAPTERS, DUAL_USE_KEYWORDS, HYPOTHESES, PARTIES, PROFILE_WEIGHTS, TIERS
+from cargosift.plans import bridge
 from cargosift.plans.bridge import DUCK_SQL
 
 _q = lambda s: "'" + str(s).replace("'", "''") + "'"
@@ -232,7 +233,7 @@ UNION ALL SELECT 'rate', CASE g WHEN 'ak47' THEN 'military_and_dual_use' ELSE 'r
     "op_F3_hs_fields": _ctes() + f" SELECT hs_code, chapter, coalesce(regexp_full_match({clean('hs_code')}, '[0-9]{{4,}}'), false) AS well_formed, {_PREFIX} AS prefix, CAST(count(*) AS BIGINT) AS n FROM wide GROUP BY ALL",
     "op_F14_dual_use_words": _ctes() + " SELECT id, array_to_string(words, ',') AS words FROM wide WHERE len(words) > 0",
     "op_F1_names": f"WITH {SHIP} SELECT consignee, {name_of('consignee')} AS name, count(*) AS n FROM ship GROUP BY ALL",
-    "op_F26_country_facts": f"WITH {COUNTRY_CTE}, {FACTS_CTE} SELECT code AS country_code, sanctioned AS is_sanctioned, listed AS is_fatf_listed, high AS is_high_risk, CAST(near AS INTEGER) AS n_near FROM facts",
+    "op_F26_country_facts": f"WITH {COUNTRY_CTE}, {FACTS_CTE} SELECT s_suppkey, code AS country_code, sanctioned AS is_sanctioned, listed AS is_fatf_listed, high AS is_high_risk, CAST(near AS INTEGER) AS n_near FROM supplier JOIN facts ON code = ([{', '.join(repr(c) for c in bridge.CODES)}])[CAST(s_nationkey % {len(bridge.CODES)} AS INTEGER) + 1]",
     "op_T1_keyword_hits": _ctes() + " SELECT id, array_to_string(hits, ',') AS keywords FROM wide WHERE len(hits) > 0",
     "op_A6_hit_rates": _ctes() + " SELECT CASE g WHEN 'ak47' THEN 'military_and_dual_use' ELSE 'restricted_biology_and_wildlife' END AS group_id, round(count(*) / CAST((SELECT count(*) FROM ship) AS DOUBLE), 9) AS rate FROM (SELECT unnest(hits) AS g FROM wide) GROUP BY g",
     "op_C1_classify": _ctes() + " SELECT id, label, round(conf, 6) AS confidence FROM wide",
@@ -263,9 +264,18 @@ UNION ALL SELECT 'rate', CASE g WHEN 'ak47' THEN 'military_and_dual_use' ELSE 'r
     "op_FB5_baselines": "WITH r AS (SELECT event_type AS name, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT name, event_id FROM r WHERE n = 1",
     "op_TR1_split_sizes": "WITH n AS (SELECT count(*) AS n FROM documents) SELECT 'test' AS split, CAST(floor(n * 0.1) AS BIGINT) AS n FROM n UNION ALL SELECT 'val', CAST(floor(n * 0.1) AS BIGINT) FROM n UNION ALL SELECT 'train', n - 2 * CAST(floor(n * 0.1) AS BIGINT) FROM n",
     "op_A13_class_metrics": "WITH r AS (SELECT quality AS y, CASE WHEN doc_id % 5 = 0 THEN toxic ELSE quality END AS p FROM labels), c AS (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS class), t AS (SELECT class, CAST(count(*) FILTER (WHERE y = class AND p = class) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE p = class) AS DOUBLE) AS pp, count(*) FILTER (WHERE y = class) AS support FROM c, r GROUP BY class), m AS (SELECT class, CASE WHEN pp > 0 THEN tp / pp ELSE 0 END AS pr, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS re, support FROM t) SELECT class, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, support FROM m",
+    "op_X3_rolling_drift": f"""WITH b AS (SELECT value FROM events WHERE {_BASE} AND value IS NOT NULL),
+e AS (SELECT list_transform(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9)) AS edges FROM b),
+nb AS (SELECT len(list_filter(edges, lambda x: x <= round(value, 9))) AS bin, count(*) AS n FROM b, e GROUP BY ALL),
+w AS (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS window_start, len(list_filter(edges, lambda x: x <= round(value, 9))) AS bin FROM events, e, range(0, 7) r(k) WHERE NOT ({_BASE}) AND value IS NOT NULL),
+nw AS (SELECT window_start, bin, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT window_start, sum(n) AS n FROM nw GROUP BY ALL),
+s AS (SELECT t.window_start, t.n, greatest(coalesce(nb.n, 0) / (SELECT CAST(sum(n) AS DOUBLE) FROM nb), 1e-6) AS e, greatest(coalesce(nw.n, 0) / CAST(t.n AS DOUBLE), 1e-6) AS a
+  FROM t CROSS JOIN range(0, 10) g(bin) LEFT JOIN nb ON nb.bin = g.bin LEFT JOIN nw ON nw.window_start = t.window_start AND nw.bin = g.bin)
+SELECT window_start, CAST(n AS BIGINT) AS n, round(sum((a - e) * ln(a / e)), 6) AS psi FROM s GROUP BY window_start, n""",
+    "op_X4_review_stream": "WITH l AS (SELECT event_id, event_type, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, lpad(CAST(event_id AS VARCHAR), 12, '0') DESC) AS n FROM events) SELECT event_id, CASE WHEN user_id % 3 = 0 AND n = 1 THEN 'r3' WHEN user_id % 6 = 0 AND n = 2 THEN 'r6' END AS reviewer_id, CASE WHEN (user_id % 3 = 0 AND n = 1) OR (user_id % 6 = 0 AND n = 2) THEN 'block' ELSE event_type END AS final_decision FROM l",
     "op_X2_window_counts": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "op_F21_parsers": """WITH v(cell) AS (VALUES ('severe'), (' Very High '), ('moderate'), ('minimal'), ('high'), ('odd'), ('1'), ('yes'), ('2'), ('55'), ('-3'), ('full'), ('partial'), ('blacklist'), ('enhanced monitoring'), ('ok'), ('x'))
-SELECT cell, CASE WHEN lower(trim(cell)) IN ('severe', 'very high', 'critical') THEN 'critical' WHEN lower(trim(cell)) = 'high' THEN 'high' WHEN lower(trim(cell)) IN ('moderate', 'medium') THEN 'medium' WHEN lower(trim(cell)) IN ('minimal', 'very low', 'low') THEN 'low' ELSE 'unknown' END AS level,
+    "op_F21_parsers": f"""WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 18 = 17 THEN CAST(p_size AS VARCHAR) ELSE ([{", ".join(repr(c) for c in bridge.CELLS)}])[CAST(p_partkey % 18 AS INTEGER) + 1] END AS cell FROM part)
+SELECT p_partkey, cell, CASE WHEN lower(trim(cell)) IN ('severe', 'very high', 'critical') THEN 'critical' WHEN lower(trim(cell)) = 'high' THEN 'high' WHEN lower(trim(cell)) IN ('moderate', 'medium') THEN 'medium' WHEN lower(trim(cell)) IN ('minimal', 'very low', 'low') THEN 'low' ELSE 'unknown' END AS level,
  lower(trim(cell)) IN ('1', 'true', 'yes', 'y', 't') AS flag, least(greatest(CASE WHEN coalesce(TRY_CAST(cell AS DOUBLE), 0) > 1 THEN TRY_CAST(cell AS DOUBLE) / 100 ELSE coalesce(TRY_CAST(cell AS DOUBLE), 0) END, 0.0), 1.0) AS share,
  CASE WHEN lower(trim(cell)) IN ('comprehensive', 'sanctioned', 'full', 'total') THEN 'comprehensive' WHEN lower(trim(cell)) IN ('sectoral', 'partial', 'sector') THEN 'sectoral' ELSE 'none' END AS sanctions,
  CASE WHEN lower(trim(cell)) IN ('black', 'blacklist', 'increased monitoring') THEN 'black' WHEN lower(trim(cell)) IN ('grey', 'greylist', 'enhanced monitoring') THEN 'grey' WHEN lower(trim(cell)) IN ('compliant', 'clear', 'ok', '') THEN 'compliant' ELSE 'unknown' END AS fatf FROM v""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +14,7 @@ from cargosift.operators import decisions as D
 from cargosift.operators import drift, learning
 from cargosift.operators import matching as M
 from cargosift.operators.assessors import ASSESSORS, ESSENTIAL, assess, route
+from cargosift.operators.feedback import FeedbackLog
 from cargosift.plans import bridge
 from cargosift.plans.engine import Engine
 from cargosift.scratch import compiled, new_path
@@ -83,7 +83,11 @@ def f1_names(ship: DataFrame) -> DataFrame:
 
 
 def f26_facts(spark: SparkSession, d: str) -> DataFrame:
-    return readers.country_risk(spark).select("country_code", "is_sanctioned", "is_fatf_listed", "is_high_risk", F.size("near_sanctioned").alias("n_near"))
+    """The facts of every supplier's country, by one broadcast join on the code."""
+    codes = F.array(*[F.lit(c) for c in bridge.CODES])
+    own = _table(spark, d, "supplier").select("s_suppkey", F.get(codes, (F.col("s_nationkey") % len(bridge.CODES)).cast("int")).alias("country_code"))
+    facts = readers.country_risk(spark).select("country_code", "is_sanctioned", "is_fatf_listed", "is_high_risk", F.size("near_sanctioned").alias("n_near"))
+    return own.join(F.broadcast(facts), "country_code")
 
 
 def _hits(ship: DataFrame) -> DataFrame:
@@ -229,7 +233,7 @@ def j13_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a10_psi(spark: SparkSession, d: str) -> DataFrame:
-    return drift.psi(j13_labels(spark, d)).select(F.round("psi", 9).alias("psi"))
+    return drift.psi(j13_labels(spark, d), labels=True).select(F.round("psi", 9).alias("psi"))
 
 
 def a11_centroid(spark: SparkSession, d: str) -> DataFrame:
@@ -336,15 +340,45 @@ def a14_gate(spark: SparkSession, d: str) -> DataFrame:
     return g.select("passed", F.array_join("failures", ",").alias("failures"))
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))  # a pattern that the one table matches
+
+
 def x2_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Daily counts of an event stream, written out batch by batch and read back."""
-    path = f"{d}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"x2_{uuid.uuid4().hex}"
-    q = streams.action_counts(events, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Daily counts of an event stream, each batch's whole counts written to a folder, the last read back."""
+    out = new_path(spark, "stream")
+    streams.to_folder(streams.action_counts(_event_stream(spark, d), "ts", "event_type"), out, new_path(spark, "stream")).awaitTermination()
+    rows = spark.read.schema("window_start timestamp, event_type string, n long, batch long").parquet(out)
+    last = rows.agg(F.max("batch").alias("last"))  # one row
+    return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).select("window_start", "event_type", "n")
+
+
+def x3_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """Drift of the values of sliding weeks against the days before, from streamed counts by the baseline's bins."""
+    base = _sides(spark, d)[0]
+    inner = [float(e) for e in drift.edges(base, "value").first().edges]
+    counts = [r.n for r in drift.binned(base, "value", inner).orderBy("bin").collect()]  # a row a bin
+    out = new_path(spark, "stream")
+    events = _event_stream(spark, d).where(F.col("ts") >= BASE_END)
+    streams.to_folder(streams.rolling_counts(events, inner, "value"), out, new_path(spark, "stream"), "update").awaitTermination()
+    rows = spark.read.schema("window_start timestamp, bin int, n long, batch long").parquet(out)
+    return streams.rolling_psi(rows, counts).select("window_start", "n", _six("psi"))
+
+
+def x4_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds of streamed reviews on the feedback log, each a delta; read merged after a compaction between them."""
+    log = FeedbackLog(spark, new_path(spark, "feedback"))
+    log.create(_log(spark, d))
+    src, checkpoint = new_path(spark, "stream"), new_path(spark, "stream")
+    for every in (3, 6):
+        shipments = _log(spark, d).where(F.col("shipment_id") % every == 0).select("shipment_id").distinct()
+        shipments.select("shipment_id", F.lit(f"r{every}").alias("reviewer_id"), F.lit("block").alias("final_decision"), F.lit(None).cast("string").alias("notes")).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+        streams.apply_reviews(stream, log, checkpoint).awaitTermination()
+        if every == 3:
+            log.compact()
+    return log.read().select("event_id", "reviewer_id", "final_decision")
 
 
 def x1_screen(spark: SparkSession, d: str) -> DataFrame:
@@ -362,9 +396,12 @@ def x1_screen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f21_parsers(spark: SparkSession, d: str) -> DataFrame:
-    cells = ["severe", " Very High ", "moderate", "minimal", "high", "odd", "1", "yes", "2", "55", "-3", "full", "partial", "blacklist", "enhanced monitoring", "ok", "x"]
+    """Vendor cells that the parts' numbers and sizes spell, read by every parser."""
+    cells = F.array(*[F.lit(c) for c in bridge.CELLS])
+    c = F.when(F.col("p_partkey") % 18 == 17, F.col("p_size").cast("string")).otherwise(F.get(cells, (F.col("p_partkey") % 18).cast("int")))
+    rows = _table(spark, d, "part").select("p_partkey", c.alias("cell"))
     c = F.col("cell")
-    return spark.createDataFrame([(x,) for x in cells], "cell string").select("cell", E.parse_level(c).alias("level"), E.parse_bool(c).alias("flag"), E.parse_share(c).alias("share"), E.parse_sanctions(c).alias("sanctions"), E.parse_fatf(c).alias("fatf"))
+    return rows.select("p_partkey", "cell", E.parse_level(c).alias("level"), E.parse_bool(c).alias("flag"), E.parse_share(c).alias("share"), E.parse_sanctions(c).alias("sanctions"), E.parse_fatf(c).alias("fatf"))
 
 
 QUERIES = {
@@ -378,5 +415,5 @@ QUERIES = {
     "op_AI1_top_chapters": ai1_chapters, "op_AI2_declared": ai2_declared, "op_AI3_dual_use": ai3_dual_use, "op_AI4_signals": _ship(ai4_signals), "op_T2_semantic_hits": t2_semantic,
     "op_A7_quantile_edges": a7_edges, "op_A8_histogram": a8_histogram, "op_A9_psi": a9_psi, "op_A10_label_psi": a10_psi, "op_A11_centroid": a11_centroid, "op_J13_label_counts": j13_labels, "op_DR2_drift_report": dr2_report,
     "op_AL1_margin": _ship(al1_informativeness), "op_AL4_diverse": al4_diverse, "op_TR1_split_sizes": tr1_split, "op_TR2_train": tr2_trained, "op_A13_class_metrics": a13_metrics, "op_A14_gate": a14_gate,
-    "op_X1_stream_screen": x1_screen, "op_X2_window_counts": x2_windows,
+    "op_X1_stream_screen": x1_screen, "op_X2_window_counts": x2_windows, "op_X3_rolling_drift": x3_rolling, "op_X4_review_stream": x4_reviews,
 }

@@ -15,16 +15,24 @@ from cargosift.functions import expressions as E
 
 
 def shipments(spark: SparkSession, path: str, full_columns: bool = False) -> DataFrame:
-    """Shipments of a .json file (a list, or an object with a list named shipments) or a .csv file.
+    """Shipments of a .json file (a list, or an object with a list named shipments) or a .csv file; suffixes of any case.
 
-    CSV files give id (or shipment_id) and description alone unless full_columns is set; other suffixes raise.
+    An object without shipments raises, and so do items without id or description, when they are read. CSV files give id (or shipment_id)
+    and description alone unless full_columns is set; other suffixes raise.
     """
-    if path.endswith(".json"):
-        wrapped = spark.read.schema(f"shipments array<{schemas.SHIPMENT.simpleString()}>").option("multiLine", True).json(path)
-        plain = spark.read.schema(schemas.SHIPMENT).option("multiLine", True).json(path)
-        inner = wrapped.where("shipments is not null").select(F.explode("shipments").alias("s")).select("s.*")
-        out = inner.unionByName(plain.where("id is not null or description is not null"))
-    elif path.endswith(".csv"):
+    kind = path.lower()
+    if kind.endswith(".json"):
+        head = spark.read.text(path).where("trim(value) <> ''").first()
+        if head is not None and head.value.strip().startswith("{"):
+            wrapped = spark.read.schema(f"shipments array<{schemas.SHIPMENT.simpleString()}>").option("multiLine", True).json(path)
+            if wrapped.where("shipments is null").limit(1).count():
+                raise ValueError("JSON must be a list or contain a 'shipments' key")
+            out = wrapped.select(F.explode("shipments").alias("s")).select("s.*")
+        else:
+            out = spark.read.schema(schemas.SHIPMENT).option("multiLine", True).json(path)
+        needed = lambda c: F.coalesce(c, F.raise_error(F.lit(f"a shipment has no {c}")).cast("string")).alias(c)
+        out = out.select(*[needed(c) if c in ("id", "description") else c for c in out.columns])
+    elif kind.endswith(".csv"):
         raw = spark.read.option("header", True).csv(path)
         ids = [F.col(c) for c in ("id", "shipment_id") if c in raw.columns]
         cols = {"id": F.coalesce(*ids, F.lit("")), "description": F.coalesce(F.col("description"), F.lit("")) if "description" in raw.columns else F.lit("")}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargosift.operators import drift
+from cargosift.operators.feedback import FeedbackLog
 
 
 def parquet_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -21,25 +22,44 @@ def action_counts(events: DataFrame, at: str = "ts", action: str = "action", win
     return events.withWatermark(at, late).groupBy(w.alias("w"), action).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), action, "n")
 
 
-def rolling_drift(events: DataFrame, baseline: DataFrame, value: str, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger_once: bool = True):
-    """PSI of every micro-batch against a static baseline, handed to the sink as one row (psi, batch)."""
+def to_folder(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete"):
+    """Writes what each micro-batch gives to a folder of its own; a batch that runs again replaces it."""
+    each = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def each(batch: DataFrame, number: int) -> None:
-        sink(drift.psi(drift.histogram(baseline, batch, value)).withColumn("batch", F.lit(number)), number)
 
-    writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if trigger_once else writer).start()
+def rolling_counts(events: DataFrame, edges: list[float], value: str, at: str = "ts", window: str = "7 days", slide: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Rows (window_start, bin, n) of sliding windows, as state that a watermark bounds: counts by bin of the baseline, no values."""
+    inner = F.array(*[F.lit(float(e)) for e in edges])
+    binned = events.where(F.col(value).isNotNull()).select(at, drift.bin_of(F.col(value), inner).alias("bin")).withWatermark(at, late)
+    return binned.groupBy(F.window(at, window, slide).alias("w"), "bin").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "bin", "n")
+
 
+def rolling_psi(counts: DataFrame, base: list[int]) -> DataFrame:
+    """Rows (window_start, n, psi) of the newest counts of every window and bin (window_start, bin, n, batch), as batches in update mode leave them, against a baseline's bins."""
+    newest = counts.groupBy("window_start", "bin").agg(F.max_by("n", "batch").alias("n"))
+    held = newest.groupBy("window_start").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sum("n").alias("n"))
+    total = float(sum(base))
+    share = lambda x: F.least(F.greatest(x, F.lit(drift.EPS)), F.lit(1.0))
+    terms = [drift.psi_term(share(F.lit(b / max(total, 1.0))), share(F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0)) / F.col("n"))) for i, b in enumerate(base)]
+    return held.select("window_start", "n", (sum(terms[1:], terms[0]) if total else F.lit(0.0)).alias("psi"))
 
-def apply_reviews(reviews: DataFrame, log_path: str, out_path: str, checkpoint: str):
-    """Sets arriving reviews on the feedback log, batch by batch: each starts from the log that the one before left.
 
-    The last batch= folder of out_path holds the log with all reviews so far. A batch that ran before is written again in place.
-    """
-    from cargosift.operators.learning import apply_feedback
+def rolling_drift(events: DataFrame, baseline: DataFrame, value: str, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger_once: bool = True, bins: int = 10):
+    """PSI of every micro-batch against a static baseline, handed to the sink as one row (psi, batch). The baseline is counted once."""
+    inner = drift.edges(baseline, value, bins)
+    at = [float(e) for e in inner.first().edges or []]
+    own = drift.binned(baseline, value, at, bins).withColumnRenamed("n", "n_base").collect()  # a row a bin
 
     def each(batch: DataFrame, number: int) -> None:
-        log = batch.sparkSession.read.parquet(log_path if number == 0 else f"{out_path}/batch={number - 1}")
-        apply_feedback(log, batch).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        base = batch.sparkSession.createDataFrame(own, "bin int, n_base long")
+        both = base.join(drift.binned(batch, value, at, bins).withColumnRenamed("n", "n_current"), "bin")
+        sink(drift.psi(both).withColumn("batch", F.lit(number)), number)
+
+    writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if trigger_once else writer).start()
+
 
-    return reviews.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def apply_reviews(reviews: DataFrame, log: FeedbackLog, checkpoint: str):
+    """Sets arriving reviews on a feedback log, each batch as a delta of its own; a batch that ran before changes nothing."""
+    return reviews.writeStream.foreachBatch(lambda batch, number: log.apply(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

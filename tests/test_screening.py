@@ -1,5 +1,6 @@
 """Cases of single operators on rows made by hand."""
 
+import datetime
 import json
 import math
 import random
@@ -14,6 +15,8 @@ from cargosift.functions import expressions as E
 from cargosift.operators import decisions as D
 from cargosift.operators import drift, learning
 from cargosift.operators import matching as M
+from cargosift.operators import quantiles as Q
+from cargosift.operators.feedback import FeedbackLog
 from cargosift.plans.engine import Engine
 from cargosift.sources import readers
 from cargosift.streaming import streams
@@ -398,12 +401,96 @@ def test_rolling_drift_and_reviews(spark, tmp_path):
     stream = spark.readStream.schema("v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     streams.rolling_drift(stream, base, "v", lambda df, n: seen.append((n, df.first().psi)), str(tmp_path / "c1")).awaitTermination()
     assert sorted(n for n, _ in seen) == [0, 1] and max(p for _, p in seen) > 1
-    log = learning.record(decided(spark, 4))
-    log.write.parquet(str(tmp_path / "log"))
+    log = FeedbackLog(spark, str(tmp_path / "log"))
+    log.create(learning.record(decided(spark, 4)))
     for i, k in enumerate(("a", "aa")):
         spark.createDataFrame([(k, f"r{i}", "approve", None)], "shipment_id string, reviewer_id string, final_decision string, notes string").coalesce(1).write.parquet(str(tmp_path / f"rev/{i}"))
     reviews = spark.readStream.schema("shipment_id string, reviewer_id string, final_decision string, notes string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rev/*"))
-    streams.apply_reviews(reviews, str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
-    last = max((tmp_path / "out").iterdir(), key=lambda x: int(x.name.split("=")[1]))
-    done = {r.shipment_id: r.reviewer_id for r in spark.read.parquet(str(last)).collect()}
+    streams.apply_reviews(reviews, log, str(tmp_path / "c2")).awaitTermination()
+    done = {r.shipment_id: r.reviewer_id for r in log.read().collect()}
     assert done == {"a": done["a"], "aa": done["aa"], "aaa": None, "aaaa": None} and {done["a"], done["aa"]} == {"r0", "r1"}
+
+
+LOG = "feedback_id string, shipment_id string, reviewer_id string, final_decision string, reviewer_notes string, created_at timestamp, reviewed_at timestamp, extra int"
+
+
+def test_feedback_deltas(spark, tmp_path):
+    """Each review lands on the newest open row; a replayed batch and a compaction change nothing; batches write their reviews alone."""
+    day = lambda n: datetime.datetime(2024, 1, n)
+    rows = [(f"f{n}", f"s{n % 3}", "old" if n == 5 else None, "allow", None, day(n + 1), day(9) if n == 5 else None, n) for n in range(9)]
+    log = FeedbackLog(spark, str(tmp_path / "log"))
+    log.create(spark.createDataFrame(rows, LOG))
+    review = lambda *xs: spark.createDataFrame([(s, r, "block", "n") for s, r in xs], "shipment_id string, reviewer_id string, final_decision string, notes string")
+    state = lambda: {r.feedback_id: (r.reviewer_id, r.final_decision, r.reviewed_at, r.extra) for r in log.read().collect()}
+    log.apply(review(("s0", "r1"), ("s0", "r2"), ("s9", "r1")), 0)
+    first = state()
+    assert {k: v[0] for k, v in first.items() if v[0]} == {"f6": "r2", "f5": "old"} and len(first) == 9 and first["f6"][1] == "block" and first["f1"] == (None, "allow", None, 1)
+    log.apply(review(("s1", "rx")), 0)
+    assert state() == first
+    log.apply(review(("s0", "r3"), ("s2", "r3")), 1)
+    second = state()
+    assert {k: v[0] for k, v in second.items() if v[0]} == {"f6": "r2", "f5": "old", "f3": "r3", "f8": "r3"}
+    assert spark.read.parquet(str(tmp_path / "log/reviews/batch=1")).count() == 2
+    log.compact()
+    assert state() == second
+    log.apply(review(("s1", "rx")), 1)
+    assert state() == second
+    log.apply(review(("s2", "r4"), ("s1", "r4")), 2)
+    assert {k for k, v in state().items() if v[0] == "r4"} == {"f2", "f7"}
+    log.apply(review(("none", "r")), 3)
+    assert len(state()) == 9
+
+
+@pytest.mark.parametrize("limit", [3, 40, 100_000])
+def test_quantiles_against_numpy(spark, monkeypatch, limit):
+    monkeypatch.setattr(Q, "LIMIT", limit)
+    rng = np.random.default_rng(limit)
+    for values in (rng.normal(size=500), rng.integers(0, 4, 300).astype(float), np.full(50, 0.9), np.concatenate([np.zeros(200), rng.pareto(1, 100) * 1e9, [-np.inf, np.inf, 5e-324]]), np.array([2.5]), rng.uniform(size=11)):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        at = [i / 10 for i in range(1, 10)]
+        assert Q.quantiles(rows, "v", at) == pytest.approx(np.quantile(values, at).tolist(), rel=1e-12)
+    assert Q.quantiles(rows.limit(0), "v", [0.5]) is None
+    assert drift.edges(rows.limit(0), "v").first().edges is None
+
+
+def test_label_psi_of_an_empty_side(spark):
+    """An empty side of labels has the least share of each, so that the index is large; numbers give zero."""
+    counts = lambda *xs: spark.createDataFrame(xs, "label string, n_base long, n_current long")
+    want = sum((a - 1e-6) * math.log(a / 1e-6) for a in (0.25, 0.75))
+    assert drift.psi(counts(("x", 0, 1), ("y", 0, 3)), labels=True).first().psi == pytest.approx(want)
+    assert drift.psi(counts(("x", 1, 0), ("y", 3, 0)), labels=True).first().psi == pytest.approx(want)
+    assert drift.psi(counts(("x", 0, 1))).first().psi == 0.0 and drift.psi(counts(("x", 0, 1)).limit(0), labels=True).first().psi == 0.0
+
+
+def test_rolling_windows_are_replayed(spark, tmp_path):
+    """Counts of sliding windows over several batches give the index of each window's values."""
+    rng = np.random.default_rng(3)
+    day = lambda n: datetime.datetime(2024, 2, 1) + datetime.timedelta(days=int(n), hours=5)
+    base = rng.uniform(size=300)
+    rows = [(day(n // 20), float(v)) for n, v in enumerate(rng.uniform(0, 1.4, 100))]
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], "ts timestamp, v double").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    frame = spark.createDataFrame([(float(v),) for v in base], "v double")
+    inner = [float(e) for e in drift.edges(frame, "v").first().edges]
+    counts = [r.n for r in drift.binned(frame, "v", inner).orderBy("bin").collect()]
+    stream = spark.readStream.schema("ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    streams.to_folder(streams.rolling_counts(stream, inner, "v", window="3 days", late="30 days"), str(tmp_path / "out"), str(tmp_path / "c"), "update").awaitTermination()
+    got = {r.window_start: (r.n, r.psi) for r in streams.rolling_psi(spark.read.schema("window_start timestamp, bin int, n long, batch long").parquet(str(tmp_path / "out")), counts).collect()}
+    assert len(got) == 7
+    for start, (n, psi) in got.items():
+        own = [v for t, v in rows if start <= t < start + datetime.timedelta(days=3)]
+        share = lambda xs: np.clip(np.bincount([sum(e <= round(x, 9) for e in inner) for x in xs], minlength=10) / len(xs), 1e-6, 1)
+        e, a = share(base), share(own)
+        assert n == len(own) and psi == pytest.approx(float(((a - e) * np.log(a / e)).sum()))
+
+
+def test_json_shapes(spark, tmp_path):
+    write = lambda name, text: (tmp_path / name).write_text(text) and str(tmp_path / name)
+    item = '{"id": "1", "description": "d", "transit_countries": null}'
+    for name, text in (("a.JSON", f"[{item}]"), ("b.json", '\n {"shipments": [' + item + "]}"), ("c.CSV", "id,description\n1,d\n")):
+        assert [(r.id, r.description) for r in readers.shipments(spark, write(name, text)).collect()] == [("1", "d")]
+    with pytest.raises(ValueError):
+        readers.shipments(spark, write("d.json", item))
+    with pytest.raises(Exception, match="no description"):
+        readers.shipments(spark, write("e.json", '[{"id": "1"}]')).collect()
+    assert readers.shipments(spark, write("f.json", '{"shipments": []}')).count() == 0
