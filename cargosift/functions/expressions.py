@@ -91,6 +91,11 @@ def keyword_set(text: Column, keywords: Iterable[str]) -> Column:
     """Sorted distinct lower-case keywords that occur in the text as whole words."""
     import re
 
+    from cargosift.functions import keywords as many
+
+    keywords = list(keywords)
+    if len(keywords) > many.CHAINED:
+        return many.whole_words(text, keywords)
     pattern = r"(?i)\b(" + "|".join(re.escape(k) for k in keywords if k) + r")\b"
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower)))
 

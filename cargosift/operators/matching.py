@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cargosift import schemas
 from cargosift.config import DUAL_USE_CONCEPTS, HS_CHAPTERS, HYPOTHESES, Screening
 from cargosift.functions import expressions as E
+from cargosift.functions import keywords
 
 Embedder = Callable[[Column], Column]
 Scorer = Callable[[Column, Column], Column]  # of premise and hypothesis: a score, or the three of contradiction, neutral and entailment
@@ -41,6 +42,8 @@ def hashing_embedder(dim: int = 64) -> Embedder:
 def keyword_hits(description: Column, groups: list[dict]) -> Column:
     """One hit for each group, in order, whose first hard keyword contained in the lower-case description is named."""
     low = F.lower(F.coalesce(description, F.lit("")))
+    if sum(len(g["hard_keywords"]) for g in groups) > keywords.CHAINED:
+        return keywords.first_of_groups(low, groups, schemas.HIT)
     hits = []
     for g in groups:
         words = [k.lower() for k in g["hard_keywords"] if k]

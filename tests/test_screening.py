@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cargosift import schemas
 from cargosift.config import Screening
 from cargosift.functions import expressions as E
+from cargosift.functions import keywords as K
 from cargosift.operators import decisions as D
 from cargosift.operators import drift, learning
 from cargosift.operators import matching as M
@@ -494,3 +495,21 @@ def test_json_shapes(spark, tmp_path):
     with pytest.raises(Exception, match="no description"):
         readers.shipments(spark, write("e.json", '[{"id": "1"}]')).collect()
     assert readers.shipments(spark, write("f.json", '{"shipments": []}')).count() == 0
+
+
+def test_many_keywords_like_few(spark, monkeypatch):
+    """The automaton gives what testing keywords one by one gives, and takes 50,000 of them."""
+    rng = random.Random(2)
+    piece = lambda: "".join(rng.choice("abAB1_-é ") for _ in range(rng.randint(1, 4)))
+    texts = [None, "", *("".join(piece() for _ in range(rng.randint(1, 12))) for _ in range(150))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    groups = [{"group_id": f"g{i}", "name": f"n{i}", "risk_level": "high", "hard_keywords": [piece() for _ in range(3)] + [""]} for i in range(8)]
+    words = [w for w in dict.fromkeys(piece().strip("-é ") for _ in range(20)) if w]
+    ask = lambda: [tuple(r) for r in rows.select("id", M.keyword_hits(F.col("t"), groups).alias("h"), E.keyword_set(F.col("t"), words).alias("w")).orderBy("id").collect()]
+    one_by_one = ask()
+    monkeypatch.setattr(K, "CHAINED", 0)
+    assert ask() == one_by_one and sum(len(h) for _, h, _ in one_by_one) > 100 and sum(len(w or ()) for _, _, w in one_by_one) > 50
+    monkeypatch.undo()
+    long = [{"group_id": "g", "name": "n", "risk_level": "low", "hard_keywords": [f"keyword {n} of" for n in range(50_000)]}]
+    got = spark.createDataFrame([("a keyword 49999 of many and Keyword 7 Of few",)], "t string").select(M.keyword_hits(F.col("t"), long).alias("h")).first().h
+    assert [h.matched_keyword for h in got] == ["keyword 7 of"]
