@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cargosift.functions import expressions as E
 from cargosift.operators.matching import best_match
+from cargosift.scratch import drop_stored, stored
 
 LABEL_IDS = {"approve": 0, "block": 1, "manual_review": 2}
 
@@ -22,26 +25,60 @@ def informativeness(rows: DataFrame, probabilities: str, margin_weight: float =
     return out.withColumn("informativeness", margin_weight * part("margin", "_mm") + entropy_weight * part("entropy", "_me")).drop("_mm", "_me")
 
 
-def diverse(rows: DataFrame, vec: str, weight: str, budget: int, id_col: str = "vec_id", cut_every: int = 8) -> DataFrame:
+POOL = 512  # rows whose vectors the driver holds while it picks
+
+
+def _distances(v: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.square(v - point).cumsum(axis=1)[:, -1])  # added up in order, wherever it is computed
+
+
+def diverse(rows: DataFrame, vec: str, weight: str, budget: int, id_col: str = "vec_id", pool: int = POOL) -> DataFrame:
     """Greedy core set: the row of greatest weight, then again and again the row of greatest weight times distance to those chosen.
 
-    Rows (id, pick). Ties go to the smaller id. One distributed pass a pick; every cut_every picks the
-    distances are written out so that the lineage stays short.
+    Rows (id, pick). Ties go to the smaller id; rows without vector or weight take no part. Distances only shrink as rows are chosen, so
+    scores of a pass bound all later ones: from the pool of best rows the driver picks exactly, as long as the best of them beats what the
+    best row outside had in the last pass. Then one pass brings all distances up to date; one pass serves many picks.
     """
     spark = rows.sparkSession
-    own = rows.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), F.col(weight).cast("double").alias("w"), F.lit(float("inf")).alias("d"), F.lit(False).alias("chosen"))
     picks: list[int] = []
-    for i in range(max(0, budget)):
-        score = F.col("w") if i == 0 else F.col("w") * F.col("d")
-        best = own.where(~F.col("chosen")).select(F.struct(score.alias("s"), (-F.col("id")).alias("n"), F.col("v")).alias("b")).orderBy(F.desc("b.s"), F.desc("b.n")).limit(1).collect()
-        if not best:
+    own = stored(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(weight).cast("double").alias("w"), F.lit(float("inf")).alias("d")).where("id is not null and v is not null and w is not null"), "core-set")
+    while len(picks) < budget:
+        begun = bool(picks)
+        score = F.col("w") * F.col("d") if begun else F.col("w")
+        top = own.select(score.alias("s"), "id").orderBy(F.desc("s"), "id").limit(pool + 1).collect()
+        if not top:
             break
-        found = best[0].b
-        picks.append(-found.n)
-        point = F.array(*[F.lit(float(x)) for x in found.v])
-        own = own.select("id", "v", "w", F.least("d", E.l2_distance(F.col("v"), point)).alias("d"), (F.col("chosen") | (F.col("id") == -found.n)).alias("chosen"))
-        if (i + 1) % cut_every == 0 and i + 1 < budget:
-            own = own.checkpoint() if spark.sparkContext.getCheckpointDir() else own.cache()
+        rest = (-top[pool].s, top[pool].id) if len(top) > pool else None
+        near = own.where(F.col("id").isin([t.id for t in top[:pool]])).collect()
+        ids, w, d = np.array([r.id for r in near]), np.array([r.w for r in near]), np.array([r.d for r in near])
+        v = np.array([r.v for r in near], np.float64)
+        new: list[np.ndarray] = []
+        while len(picks) < budget and len(ids):
+            scores = w * d if begun else w
+            at = min(range(len(ids)), key=lambda i: (-scores[i], ids[i]))
+            if rest is not None and new and (-scores[at], ids[at]) >= rest:
+                break
+            picks.append(int(ids[at]))
+            new.append(v[at])
+            d = np.minimum(d, _distances(v, v[at]))
+            left = ids != ids[at]
+            ids, w, d, v = ids[left], w[left], d[left], v[left]
+            if not begun:
+                break  # from now on distances count
+        points = np.array(new)
+
+        def least(vs: pd.Series, ds: pd.Series) -> pd.Series:
+            out = ds.to_numpy(copy=True)
+            rows = np.stack(vs.to_numpy()) if len(vs) else np.zeros((0, 1))
+            for p in points:
+                out = np.minimum(out, _distances(rows, p))
+            return pd.Series(out)
+
+        if len(picks) < budget:
+            after = own.where(~F.col("id").isin(picks[-len(new) :])).select("id", "v", "w", F.pandas_udf(least, "double")("v", "d").alias("d"))
+            before, own = own, stored(after, "core-set")
+            drop_stored(before)
+    drop_stored(own)
     return spark.createDataFrame([(p, i + 1) for i, p in enumerate(picks)], "id long, pick int")
 
 

@@ -40,3 +40,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Removes tables made by stored() that nothing reads any more."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if not files:
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

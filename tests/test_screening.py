@@ -513,3 +513,21 @@ def test_many_keywords_like_few(spark, monkeypatch):
     long = [{"group_id": "g", "name": "n", "risk_level": "low", "hard_keywords": [f"keyword {n} of" for n in range(50_000)]}]
     got = spark.createDataFrame([("a keyword 49999 of many and Keyword 7 Of few",)], "t string").select(M.keyword_hits(F.col("t"), long).alias("h")).first().h
     assert [h.matched_keyword for h in got] == ["keyword 7 of"]
+
+
+def test_core_set_like_the_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(160, 3)), 1)
+    v[100:110] = v[0]
+    w = np.round(rng.uniform(0, 2, 160), 1)
+    w[150:] = 0
+    rows = spark.createDataFrame([(i, v[i].tolist(), float(w[i])) for i in range(160)] + [(200, None, 9.0), (201, [1.0, 1.0, 1.0], None)], "vec_id long, v array<double>, w double")
+    picks, d = [], np.full(160, np.inf)
+    while len(picks) < 40:
+        score = w * d if picks else w.copy()
+        best = min((i for i in range(160) if i not in picks), key=lambda i: (-score[i], i))
+        picks.append(best)
+        d = np.minimum(d, np.sqrt(np.square(v - v[best]).cumsum(axis=1)[:, -1]))
+    for pool in (7, 500):
+        assert [r.id for r in learning.diverse(rows, "v", "w", 40, pool=pool).orderBy("pick").collect()] == picks
+    assert learning.diverse(rows.limit(0), "v", "w", 3).count() == 0 and learning.diverse(rows, "v", "w", 500).count() == 160
