@@ -132,13 +132,13 @@ def apply_feedback(log: DataFrame, reviews: DataFrame, id_col: str = "shipment_i
     A review of a shipment without such a row changes nothing; of several reviews of one shipment the last by
     reviewer_id holds.
     """
-    w = Window.partitionBy(id_col).orderBy(F.col("reviewer_id").isNotNull(), F.desc(at), F.desc("feedback_id"))
-    newest = log.withColumn("_n", F.row_number().over(w))
-    one = reviews.groupBy("shipment_id").agg(F.max_by(F.struct("reviewer_id", "final_decision", "notes"), "reviewer_id").alias("_r"))
-    joined = newest.join(one, newest[id_col] == one["shipment_id"], "left").drop(one["shipment_id"])
-    hit = (F.col("_n") == 1) & F.col("reviewer_id").isNull() & F.col("_r").isNotNull()
-    keep = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old))
-    return joined.withColumns({"final_decision": keep("_r.final_decision", "final_decision"), "reviewer_notes": keep("_r.notes", "reviewer_notes"), "reviewed_at": F.when(hit, F.current_timestamp()).otherwise(F.col("reviewed_at")), "reviewer_id": keep("_r.reviewer_id", "reviewer_id")}).drop("_n", "_r").select(*log.columns)
+    one = reviews.groupBy("shipment_id").agg(F.max_by(F.struct("reviewer_id", "final_decision", "notes"), "reviewer_id").alias("_r")).withColumnRenamed("shipment_id", "_s")
+    w = Window.partitionBy("_s").orderBy(F.desc("_at"), F.desc("_f"))
+    open_rows = log.where("reviewer_id is null").select(F.col(id_col).alias("_s"), F.col(at).alias("_at"), F.col("feedback_id").alias("_f"))  # of the reviewed shipments alone, before they are ranked
+    mine = open_rows.join(one, "_s").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("_f", "_r")
+    joined = log.join(mine, log["feedback_id"] == mine["_f"], "left")
+    keep = lambda new, old: F.when(F.col("_r").isNotNull(), F.col(new)).otherwise(F.col(old))
+    return joined.withColumns({"final_decision": keep("_r.final_decision", "final_decision"), "reviewer_notes": keep("_r.notes", "reviewer_notes"), "reviewed_at": F.when(F.col("_r").isNotNull(), F.current_timestamp()).otherwise(F.col("reviewed_at")), "reviewer_id": keep("_r.reviewer_id", "reviewer_id")}).select(*log.columns)
 
 
 def disagreement_page(log: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:

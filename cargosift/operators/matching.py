@@ -55,14 +55,19 @@ def keyword_hits(description: Column, groups: list[dict]) -> Column:
     return E.signals(*hits).cast(f"array<{schemas.HIT}>")
 
 
+PHRASES = 10_000  # configured phrases that every row may be held against
+
+
 def semantic_pairs(facts: DataFrame, phrases: DataFrame, thresholds: dict[str, float], taken: DataFrame | None = None) -> DataFrame:
     """Best phrase of each group for each fact row: (row_id, group_id, phrase_idx, phrase, similarity) at or above its level's threshold.
 
-    facts (row_id, vec), phrases (group_id, risk_level, phrase_idx, phrase, vec): a configured table. taken
+    facts (row_id, vec), phrases (group_id, risk_level, phrase_idx, phrase, vec): a configured table, of more than PHRASES rows an error. taken
     (row_id, group_id) holds pairs that need no phrase. Ties go to the first phrase.
     """
     level = F.coalesce(*[F.when(F.col("risk_level") == k, F.lit(v)) for k, v in thresholds.items()], F.lit(1.1))
-    pairs = facts.join(F.broadcast(phrases.withColumnRenamed("vec", "pvec")))  # configured phrases, tens of rows
+    if phrases.limit(PHRASES + 1).count() > PHRASES:
+        raise ValueError(f"more than {PHRASES} phrases")
+    pairs = facts.join(F.broadcast(phrases.withColumnRenamed("vec", "pvec")))
     if taken is not None:
         pairs = pairs.join(taken, ["row_id", "group_id"], "left_anti")
     scored = pairs.select("row_id", "group_id", "risk_level", "phrase_idx", "phrase", E.cosine(F.col("vec"), F.col("pvec")).alias("similarity"))
