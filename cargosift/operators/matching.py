@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cargosift import schemas
 from cargosift.config import DUAL_USE_CONCEPTS, HS_CHAPTERS, HYPOTHESES, Screening
@@ -303,8 +306,43 @@ def word_overlap(premise: Column, hypothesis: Column) -> Column:
     return F.size(F.array_intersect(own, words(premise))) / F.size(own)
 
 
-def hypothesis_scores(premise: Column, scorer: Scorer, triples: bool = False, hypotheses: tuple = HYPOTHESES) -> Column:
+Predictor = Callable[[list[str], tuple[str, ...]], np.ndarray]  # of texts and hypotheses: a score each, or the three of contradiction, neutral and entailment
+
+
+@dataclass(frozen=True)
+class BatchScorer:
+    """A model that scores batches of texts against all hypotheses at once; load is called once in each Python worker and gives the predictor."""
+
+    load: Callable[[], Predictor]
+    batch_size: int = 64
+
+    def scores(self, premise: Column, hypotheses: tuple[str, ...], triples: bool = False) -> Column:
+        """Array of the score of each hypothesis; of a model that gives triples the entailment, the last of three. Null texts count as empty."""
+        load, shape = self.load, (len(hypotheses), 3) if triples else (len(hypotheses), 1)
+
+        def make():
+            model = load()
+
+            def predict(texts: np.ndarray) -> np.ndarray:
+                return np.asarray(model([str(t) for t in texts], hypotheses), np.float64).reshape(len(texts), *shape)[:, :, -1]
+
+            return predict
+
+        return predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=self.batch_size)(F.coalesce(premise, F.lit("")))
+
+
+def overlap_model() -> Predictor:
+    """word_overlap() for BatchScorer."""
+    import re
+
+    words = lambda t: {w for w in re.split("[^a-z0-9]+", t.lower()) if w}
+    return lambda texts, hypotheses: np.array([[len(words(h) & own) / len(words(h)) for h in hypotheses] for own in map(words, texts)])
+
+
+def hypothesis_scores(premise: Column, scorer: Scorer | BatchScorer, triples: bool = False, hypotheses: tuple = HYPOTHESES) -> Column:
     """Array of the scores of a text against each hypothesis; of scorers that give triples the entailment."""
+    if isinstance(scorer, BatchScorer):
+        return scorer.scores(premise, tuple(hypotheses), triples)
     scores = F.array(*[scorer(premise, F.lit(h)) for h in hypotheses])
     return entailment(scores) if triples else scores
 

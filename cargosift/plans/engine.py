@@ -28,7 +28,7 @@ class Engine:
     parties: DataFrame | None = None
     countries: DataFrame | None = None
     embedder: M.Embedder | None = None
-    scorer: M.Scorer | None = None  # of hypotheses, used where rows bring no logits
+    scorer: M.Scorer | M.BatchScorer | None = None  # of hypotheses, used where rows bring no logits
     scorer_triples: bool = False
 
     def __post_init__(self) -> None:

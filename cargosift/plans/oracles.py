@@ -280,3 +280,5 @@ SELECT p_partkey, cell, CASE WHEN lower(trim(cell)) IN ('severe', 'very high', '
  CASE WHEN lower(trim(cell)) IN ('comprehensive', 'sanctioned', 'full', 'total') THEN 'comprehensive' WHEN lower(trim(cell)) IN ('sectoral', 'partial', 'sector') THEN 'sectoral' ELSE 'none' END AS sanctions,
  CASE WHEN lower(trim(cell)) IN ('black', 'blacklist', 'increased monitoring') THEN 'black' WHEN lower(trim(cell)) IN ('grey', 'greylist', 'enhanced monitoring') THEN 'grey' WHEN lower(trim(cell)) IN ('compliant', 'clear', 'ok', '') THEN 'compliant' ELSE 'unknown' END AS fatf FROM v""",
 }
+SQL["op_W11_batch_scores"] = SQL["op_J15_hypotheses"]
+

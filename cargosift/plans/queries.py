@@ -176,6 +176,12 @@ def j15_hypotheses(ship: DataFrame) -> DataFrame:
     return rows.select("id", "classification.label", F.round("classification.confidence", 6).alias("confidence"))
 
 
+def w11_batches(ship: DataFrame) -> DataFrame:
+    """The same by a model that is loaded once a worker and given batches of descriptions."""
+    rows = Engine(ship.sparkSession, scorer=M.BatchScorer(M.overlap_model, 256)).enrich(ship.drop("logits"))
+    return rows.select("id", "classification.label", F.round("classification.confidence", 6).alias("confidence"))
+
+
 def dr1_baseline(ship: DataFrame) -> DataFrame:
     """The baseline of keyword hits and classified shipments, one row for each of its numbers."""
     decisions = _hits(ship).withColumn("classification", M.classify(F.col("logits")))
@@ -407,7 +413,7 @@ def f21_parsers(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op_S1_shipments": _ship(s1_shipments), "op_S11_decision_counts": _ship(s11_counts), "op_A5_tier_by_destination": _ship(a5_tiers), "op_A2_legacy_raw": _ship(lambda s: _raw(s).select("id", _six("raw"))),
     "op_R1_legacy_risk": _ship(r1_legacy), "op_A19_missing_fields": _ship(a19_missing), "op_F9_round_value": _ship(f9_round), "op_F3_hs_fields": _ship(f3_hs), "op_F14_dual_use_words": _ship(f14_words),
-    "op_F1_names": _ship(f1_names), "op_F26_country_facts": f26_facts, "op_F21_parsers": f21_parsers, "op_T1_keyword_hits": _ship(t1_keywords), "op_A6_hit_rates": _ship(a6_rates), "op_C1_classify": _ship(c1_classify), "op_J15_hypotheses": _ship(j15_hypotheses), "op_DR1_baseline": _ship(dr1_baseline),
+    "op_F1_names": _ship(f1_names), "op_F26_country_facts": f26_facts, "op_F21_parsers": f21_parsers, "op_T1_keyword_hits": _ship(t1_keywords), "op_A6_hit_rates": _ship(a6_rates), "op_C1_classify": _ship(c1_classify), "op_J15_hypotheses": _ship(j15_hypotheses), "op_W11_batch_scores": _ship(w11_batches), "op_DR1_baseline": _ship(dr1_baseline),
     "op_J6_party_matches": _ship(j6_parties), "op_J2_country_lookup": _ship(j2_lookup), "op_J3_route_legs": _ship(j3_legs),
     **{f"op_D{i}_{n}": _ship(partial(dimension, n)) for i, n in enumerate(DIMENSIONS, 1)},
     "op_PR1_profile": _ship(pr1_profile), "op_PR4_narrative": _ship(pr4_narrative), "op_RT1_router": _ship(rt1_router), "op_RA1_rationale": _ship(ra1_rationale), "op_RA2_rationale": _ship(ra2_rationale), "op_LG1_disagreements": _ship(lg1_disagreements),

@@ -531,3 +531,19 @@ def test_core_set_like_the_plain_loop(spark):
     for pool in (7, 500):
         assert [r.id for r in learning.diverse(rows, "v", "w", 40, pool=pool).orderBy("pick").collect()] == picks
     assert learning.diverse(rows.limit(0), "v", "w", 3).count() == 0 and learning.diverse(rows, "v", "w", 500).count() == 160
+
+
+def test_batch_scorer(spark):
+    """Batches and triples give what the scorer of single pairs gives."""
+    texts = [None, "", "prohibited weapons and restricted goods", "Ordinary goods, allowed; they need review!"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    one = M.hypothesis_scores(F.col("t"), M.word_overlap)
+    many = M.hypothesis_scores(F.col("t"), M.BatchScorer(M.overlap_model, 2))
+
+    def tripled():
+        model = M.overlap_model()
+        return lambda ts, hs: np.stack([np.zeros((len(ts), len(hs))), np.ones((len(ts), len(hs))), model(ts, hs)], axis=2)
+
+    three = M.hypothesis_scores(F.col("t"), M.BatchScorer(tripled), triples=True)
+    for r in rows.select(one.alias("a"), many.alias("b"), three.alias("c")).collect():
+        assert r.a == pytest.approx(r.b) and r.a == pytest.approx(r.c) and len(r.a) == 3
