@@ -243,6 +243,8 @@ UNION ALL SELECT 'rate', CASE g WHEN 'ak47' THEN 'military_and_dual_use' ELSE 'r
     **{f"op_D{i}_{n}": dimension(n) for i, n in enumerate(SIGNALS, 1)},
     "op_PR1_profile": PROFILE,
     "op_RT1_router": BRANCH + " SELECT id, branch, action FROM acted",
+    "op_S11_decision_csv": BRANCH + " SELECT id AS shipment_id, action, CAST(CASE WHEN branch = 1 THEN n_hits ELSE 0 END AS INTEGER) AS taxonomy_hits_count, label AS classification_label, round(conf, 4) AS confidence, true AS reasoned FROM acted",
+    "op_S17_log": BRANCH + " SELECT 'WARNING' AS level, 'screening_disagreement' AS event, id AS shipment_id, label AS ai_action, round(conf, 6) AS ai_confidence FROM acted WHERE n_hits > 0 AND label = 'allowed'",
     "op_LG1_disagreements": BRANCH + " SELECT id AS shipment_id, label AS ai_action, round(conf, 6) AS ai_confidence FROM acted WHERE n_hits > 0 AND label = 'allowed'",
     "op_FB1_record": BRANCH + " SELECT id AS shipment_id, label AS ai_decision, CAST(CAST(conf AS DECIMAL(4, 3)) AS DOUBLE) AS ai_confidence, branch = 1 AS taxonomy_hit, action AS final_decision FROM acted",
     "op_AL1_margin": f"WITH {SHIP}, p AS (SELECT id, list_reverse_sort([{', '.join(_P)}]) AS s, [{', '.join(_P)}] AS p FROM ship), m AS (SELECT id, 1 - (s[1] - s[2]) AS margin, -list_sum(list_transform(p, lambda x: least(greatest(x, 1e-12), 1.0) * ln(least(greatest(x, 1e-12), 1.0)))) AS entropy FROM p) SELECT id, round(margin, 6) AS margin, round(entropy, 6) AS entropy, round(0.5 * margin / (SELECT max(margin) FROM m) + 0.5 * entropy / (SELECT max(entropy) FROM m), 6) AS informativeness FROM m",

@@ -160,6 +160,22 @@ def s11_counts(ship: DataFrame) -> DataFrame:
     return _routed(ship).groupBy("action").agg(F.count("*").alias("n"), F.sum(F.when(F.col("branch") == 1, F.size("hits")).otherwise(0)).alias("hits"))
 
 
+def s11_csv(ship: DataFrame) -> DataFrame:
+    """Decisions written as CSV and read back."""
+    path = new_path(ship.sparkSession, "decisions")
+    readers.write_decisions(Engine(ship.sparkSession).screen(ship, with_profile=False), path, "csv")
+    rows = ship.sparkSession.read.option("header", True).option("escape", '"').schema("shipment_id string, action string, reason string, taxonomy_hits_count int, classification_label string, classification_confidence double").csv(path)
+    return rows.select("shipment_id", "action", "taxonomy_hits_count", "classification_label", F.col("classification_confidence").alias("confidence"), F.col("reason").isNotNull().alias("reasoned"))
+
+
+def s17_log(ship: DataFrame) -> DataFrame:
+    """Disagreements written as a log of JSON lines and read back."""
+    spark, path = ship.sparkSession, new_path(ship.sparkSession, "log")
+    rows = _routed(ship).withColumnsRenamed({"id": "shipment_id", "hits": "all_hits"})
+    readers.write_log(D.disagreements(rows), path)
+    return spark.read.schema("level string, event string, shipment_id string, ai_action string, ai_confidence double").json(path).select("level", "event", "shipment_id", "ai_action", _six("ai_confidence"))
+
+
 def lg1_disagreements(ship: DataFrame) -> DataFrame:
     rows = _routed(ship).withColumnsRenamed({"id": "shipment_id", "hits": "all_hits"})
     return D.disagreements(rows).select("shipment_id", "ai_action", F.round("ai_confidence", 6).alias("ai_confidence"))
@@ -416,7 +432,7 @@ QUERIES = {
     "op_F1_names": _ship(f1_names), "op_F26_country_facts": f26_facts, "op_F21_parsers": f21_parsers, "op_T1_keyword_hits": _ship(t1_keywords), "op_A6_hit_rates": _ship(a6_rates), "op_C1_classify": _ship(c1_classify), "op_J15_hypotheses": _ship(j15_hypotheses), "op_W11_batch_scores": _ship(w11_batches), "op_DR1_baseline": _ship(dr1_baseline),
     "op_J6_party_matches": _ship(j6_parties), "op_J2_country_lookup": _ship(j2_lookup), "op_J3_route_legs": _ship(j3_legs),
     **{f"op_D{i}_{n}": _ship(partial(dimension, n)) for i, n in enumerate(DIMENSIONS, 1)},
-    "op_PR1_profile": _ship(pr1_profile), "op_PR4_narrative": _ship(pr4_narrative), "op_RT1_router": _ship(rt1_router), "op_RA1_rationale": _ship(ra1_rationale), "op_RA2_rationale": _ship(ra2_rationale), "op_LG1_disagreements": _ship(lg1_disagreements),
+    "op_PR1_profile": _ship(pr1_profile), "op_PR4_narrative": _ship(pr4_narrative), "op_RT1_router": _ship(rt1_router), "op_RA1_rationale": _ship(ra1_rationale), "op_RA2_rationale": _ship(ra2_rationale), "op_LG1_disagreements": _ship(lg1_disagreements), "op_S11_decision_csv": _ship(s11_csv), "op_S17_log": _ship(s17_log),
     "op_FB1_record": _ship(fb1_record), "op_FB2_reviewed": fb2_reviewed, "op_FB3_disagreements": fb3_page, "op_FB4_labelled": fb4_labelled, "op_FB5_baselines": fb5_baselines,
     "op_AI1_top_chapters": ai1_chapters, "op_AI2_declared": ai2_declared, "op_AI3_dual_use": ai3_dual_use, "op_AI4_signals": _ship(ai4_signals), "op_T2_semantic_hits": t2_semantic,
     "op_A7_quantile_edges": a7_edges, "op_A8_histogram": a8_histogram, "op_A9_psi": a9_psi, "op_A10_label_psi": a10_psi, "op_A11_centroid": a11_centroid, "op_J13_label_counts": j13_labels, "op_DR2_drift_report": dr2_report,

@@ -6,7 +6,7 @@ import json
 import os
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cargosift import schemas
@@ -76,6 +76,15 @@ def taxonomy(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "group_idx int, " + schemas.TAXONOMY)
 
 
+def phrases(groups: DataFrame) -> DataFrame:
+    """Rows (phrase_idx, phrase, group_idx, group_id, risk_level) of the groups of taxonomy(), numbered over all groups in order.
+
+    A phrase's group is the row of its number, a group's phrases are the rows of its group_idx, and counts are counts of rows. A configured table.
+    """
+    rows = groups.select("group_idx", "group_id", "risk_level", F.posexplode("semantic_phrases").alias("_p", "phrase"))
+    return rows.select((F.row_number().over(Window.orderBy("group_idx", "_p")) - 1).alias("phrase_idx"), "phrase", "group_idx", "group_id", "risk_level")
+
+
 def write_taxonomy(groups: list[dict], path: str) -> None:
     """Replaces a taxonomy file after validation."""
     checked = validate_taxonomy(groups)
@@ -171,6 +180,15 @@ def write_decisions(decisions: DataFrame, path: str, form: str = "json") -> None
     if form == "json":
         decisions.write.mode("overwrite").json(path)
     elif form == "csv":
-        decision_csv(decisions).write.mode("overwrite").option("header", True).csv(path)
+        decision_csv(decisions).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
         raise ValueError(f"decisions are written as json or csv, not {form}")
+
+
+def write_log(events: DataFrame, path: str, logger: str = "cargosift.screening") -> None:
+    """Appends disagreements (see decisions.disagreements) as a log of JSON lines, warnings with their fields."""
+    own = F.struct(
+        F.current_timestamp().cast("string").alias("timestamp"), F.lit("WARNING").alias("level"), F.lit(logger).alias("logger"), F.lit("Screening disagreement detected").alias("message"), F.lit("screening_disagreement").alias("event"),
+        "shipment_id", "taxonomy_action", "ai_action", "ai_confidence", F.col("description").alias("description_preview"),
+    )
+    events.select(F.to_json(own).alias("value")).write.mode("append").text(path)

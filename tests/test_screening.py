@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargosift import schemas
-from cargosift.config import Screening
+from cargosift.config import TAXONOMY, Screening
 from cargosift.functions import expressions as E
 from cargosift.functions import keywords as K
 from cargosift.operators import decisions as D
@@ -547,3 +547,10 @@ def test_batch_scorer(spark):
     three = M.hypothesis_scores(F.col("t"), M.BatchScorer(tripled), triples=True)
     for r in rows.select(one.alias("a"), many.alias("b"), three.alias("c")).collect():
         assert r.a == pytest.approx(r.b) and r.a == pytest.approx(r.c) and len(r.a) == 3
+
+
+def test_phrases_of_groups(spark):
+    groups = readers.taxonomy(spark)
+    rows = readers.phrases(groups).orderBy("phrase_idx").collect()
+    assert [r.phrase for r in rows] == [p for g in TAXONOMY for p in g["semantic_phrases"]] and [r.phrase_idx for r in rows] == list(range(len(rows)))
+    assert all(TAXONOMY[r.group_idx]["group_id"] == r.group_id for r in rows)
