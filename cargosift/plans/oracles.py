@@ -244,6 +244,8 @@ UNION ALL SELECT 'rate', CASE g WHEN 'ak47' THEN 'military_and_dual_use' ELSE 'r
     "op_PR1_profile": PROFILE,
     "op_RT1_router": BRANCH + " SELECT id, branch, action FROM acted",
     "op_S11_decision_csv": BRANCH + " SELECT id AS shipment_id, action, CAST(CASE WHEN branch = 1 THEN n_hits ELSE 0 END AS INTEGER) AS taxonomy_hits_count, label AS classification_label, round(conf, 4) AS confidence, true AS reasoned FROM acted",
+    "op_S10_decision_json": BRANCH + " SELECT id AS shipment_id, action, CAST(CASE WHEN branch = 1 THEN n_hits ELSE 0 END AS INTEGER) AS taxonomy_hits_count, label AS classification_label, round(conf, 4) AS confidence FROM acted",
+    "op_S12_split_files": "WITH n AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.1) AS BIGINT) AS tenth FROM documents JOIN labels USING (doc_id)) SELECT split, CASE split WHEN 'train' THEN n - 2 * tenth ELSE tenth END AS n FROM n, (VALUES ('train'), ('val'), ('test')) AS s(split)",
     "op_S17_log": BRANCH + " SELECT 'WARNING' AS level, 'screening_disagreement' AS event, id AS shipment_id, label AS ai_action, round(conf, 6) AS ai_confidence FROM acted WHERE n_hits > 0 AND label = 'allowed'",
     "op_LG1_disagreements": BRANCH + " SELECT id AS shipment_id, label AS ai_action, round(conf, 6) AS ai_confidence FROM acted WHERE n_hits > 0 AND label = 'allowed'",
     "op_FB1_record": BRANCH + " SELECT id AS shipment_id, label AS ai_decision, CAST(CAST(conf AS DECIMAL(4, 3)) AS DOUBLE) AS ai_confidence, branch = 1 AS taxonomy_hit, action AS final_decision FROM acted",
@@ -283,4 +285,4 @@ SELECT p_partkey, cell, CASE WHEN lower(trim(cell)) IN ('severe', 'very high', '
  CASE WHEN lower(trim(cell)) IN ('black', 'blacklist', 'increased monitoring') THEN 'black' WHEN lower(trim(cell)) IN ('grey', 'greylist', 'enhanced monitoring') THEN 'grey' WHEN lower(trim(cell)) IN ('compliant', 'clear', 'ok', '') THEN 'compliant' ELSE 'unknown' END AS fatf FROM v""",
 }
 SQL["op_W11_batch_scores"] = SQL["op_J15_hypotheses"]
-
+SQL |= {k: SQL["op_S1_shipments"] for k in ("op_S1_json_source", "op_S2_csv_source")}

@@ -18,7 +18,7 @@ from cargosift.operators.feedback import FeedbackLog
 from cargosift.plans import bridge
 from cargosift.plans.engine import Engine
 from cargosift.scratch import compiled, new_path
-from cargosift.sources import readers
+from cargosift.sources import readers, registered
 from cargosift.streaming import streams
 
 S = Screening()
@@ -168,6 +168,43 @@ def s11_csv(ship: DataFrame) -> DataFrame:
     return rows.select("shipment_id", "action", "taxonomy_hits_count", "classification_label", F.col("classification_confidence").alias("confidence"), F.col("reason").isNotNull().alias("reasoned"))
 
 
+def _as_shipments(ship: DataFrame) -> DataFrame:
+    return ship.select(*[F.col(f.name) if f.name in ship.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.SHIPMENT])
+
+
+def s1_json(ship: DataFrame) -> DataFrame:
+    """Shipments written as JSON lines by the registered sink and read back, in pieces, by the registered source."""
+    path = new_path(ship.sparkSession, "shipments")
+    registered.write_records(_as_shipments(ship), path)
+    return s1_shipments(registered.read_shipments(ship.sparkSession, path, splitBytes=str(1 << 20)))
+
+
+def s2_csv(ship: DataFrame) -> DataFrame:
+    """Shipments written as CSV under the vendor's name of the id and read back; stops are one cell, cut at bars."""
+    path = new_path(ship.sparkSession, "shipments")
+    flat = _as_shipments(ship).drop("metadata").withColumn("transit_countries", F.array_join("transit_countries", "|")).withColumnRenamed("id", "shipment_id")
+    registered.write_records(flat, path, "csv")
+    return s1_shipments(registered.read_shipments(ship.sparkSession, path))
+
+
+def s10_json(ship: DataFrame) -> DataFrame:
+    """Whole decisions, hits and classification nested, written as JSON lines by the registered sink and read back."""
+    spark, path = ship.sparkSession, new_path(ship.sparkSession, "decisions")
+    registered.write_records(Engine(spark).screen(ship, with_profile=False).select("shipment_id", "action", "taxonomy_hits", "classification"), path)
+    rows = spark.read.schema(f"shipment_id string, action string, taxonomy_hits array<{schemas.HIT}>, classification struct<label:string,confidence:double>").json(path)
+    return rows.select("shipment_id", "action", F.size("taxonomy_hits").alias("taxonomy_hits_count"), F.col("classification.label").alias("classification_label"), F.round("classification.confidence", 4).alias("confidence"))
+
+
+def s12_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents written as JSON lines, a folder a split, by the registered sink; counted as read back."""
+    path = new_path(spark, "splits")
+    rows = learning.split_rows(_table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality"), "doc_id")
+    for split in ("train", "val", "test"):
+        registered.write_records(rows.where(F.col("split") == split).drop("split"), f"{path}/split={split}")
+    back = spark.read.schema("doc_id long, text string, quality int, split string").json(path)
+    return back.groupBy("split").agg(F.count("*").alias("n"))
+
+
 def s17_log(ship: DataFrame) -> DataFrame:
     """Disagreements written as a log of JSON lines and read back."""
     spark, path = ship.sparkSession, new_path(ship.sparkSession, "log")
@@ -433,6 +470,7 @@ QUERIES = {
     "op_J6_party_matches": _ship(j6_parties), "op_J2_country_lookup": _ship(j2_lookup), "op_J3_route_legs": _ship(j3_legs),
     **{f"op_D{i}_{n}": _ship(partial(dimension, n)) for i, n in enumerate(DIMENSIONS, 1)},
     "op_PR1_profile": _ship(pr1_profile), "op_PR4_narrative": _ship(pr4_narrative), "op_RT1_router": _ship(rt1_router), "op_RA1_rationale": _ship(ra1_rationale), "op_RA2_rationale": _ship(ra2_rationale), "op_LG1_disagreements": _ship(lg1_disagreements), "op_S11_decision_csv": _ship(s11_csv), "op_S17_log": _ship(s17_log),
+    "op_S1_json_source": _ship(s1_json), "op_S2_csv_source": _ship(s2_csv), "op_S10_decision_json": _ship(s10_json), "op_S12_split_files": s12_splits,
     "op_FB1_record": _ship(fb1_record), "op_FB2_reviewed": fb2_reviewed, "op_FB3_disagreements": fb3_page, "op_FB4_labelled": fb4_labelled, "op_FB5_baselines": fb5_baselines,
     "op_AI1_top_chapters": ai1_chapters, "op_AI2_declared": ai2_declared, "op_AI3_dual_use": ai3_dual_use, "op_AI4_signals": _ship(ai4_signals), "op_T2_semantic_hits": t2_semantic,
     "op_A7_quantile_edges": a7_edges, "op_A8_histogram": a8_histogram, "op_A9_psi": a9_psi, "op_A10_label_psi": a10_psi, "op_A11_centroid": a11_centroid, "op_J13_label_counts": j13_labels, "op_DR2_drift_report": dr2_report,
