@@ -280,15 +280,26 @@ def match_names(names: DataFrame, denied: DataFrame, threshold: float = 0.80) ->
     return _matched(names.select("key"), {"m": F.col("key")}, denied, threshold).where("m.ord is not null").select("key", "m.matched_party", "m.list_name", "m.score", "m.exact_match")
 
 
+ROLES = ("consignee", "shipper")
+
+
+def name_matches(names: DataFrame, denied: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """match_names() with every name (key): ord and the other columns are null where there is no match."""
+    return _matched(names.select("key"), {"m": F.col("key")}, denied, threshold).select("key", "m.ord", "m.score", "m.exact_match", "m.matched_party", "m.list_name")
+
+
+def with_matches(rows: DataFrame) -> DataFrame:
+    """Makes matches (consignee first, then shipper) of the structs _party_consignee and _party_shipper, which go."""
+    one = lambda m, role: F.when(m["ord"].isNotNull(), F.struct(m["matched_party"].alias("matched_party"), F.col(role).alias("input_party"), F.lit(role).alias("role"), m["score"].alias("score"), m["list_name"].alias("list_name"), m["exact_match"].alias("exact_match")))
+    return rows.withColumn("matches", E.signals(*[one(F.col(f"_party_{r}"), r) for r in ROLES]).cast(f"array<{schemas.MATCH}>")).drop(*[f"_party_{r}" for r in ROLES])
+
+
 def party_matches(rows: DataFrame, denied: DataFrame, threshold: float = 0.80) -> DataFrame:
     """Adds matches (consignee first, then shipper); empty and null names make none.
 
     Rows stay where they are: their names are matched in their own task against the list, whose parties are broadcast if one index holds it.
     """
-    roles = ("consignee", "shipper")
-    out = _matched(rows, {f"_party_{r}": E.normal_name(F.col(r)) for r in roles}, denied, threshold)
-    one = lambda m, role: F.when(m["ord"].isNotNull(), F.struct(m["matched_party"].alias("matched_party"), F.col(role).alias("input_party"), F.lit(role).alias("role"), m["score"].alias("score"), m["list_name"].alias("list_name"), m["exact_match"].alias("exact_match")))
-    return out.withColumn("matches", E.signals(*[one(F.col(f"_party_{r}"), r) for r in roles]).cast(f"array<{schemas.MATCH}>")).drop(*[f"_party_{r}" for r in roles])
+    return with_matches(_matched(rows, {f"_party_{r}": E.normal_name(F.col(r)) for r in ROLES}, denied, threshold))
 
 
 def classify(logits: Column) -> Column:

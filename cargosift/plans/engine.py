@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -30,6 +31,7 @@ class Engine:
     embedder: M.Embedder | None = None
     scorer: M.Scorer | M.BatchScorer | None = None  # of hypotheses, used where rows bring no logits
     scorer_triples: bool = False
+    matcher: Callable[[DataFrame], DataFrame] | None = None  # adds matches from names that were compared before, as streams.KnownNames does
 
     def __post_init__(self) -> None:
         compiled(self.spark)
@@ -72,7 +74,7 @@ class Engine:
             own = M.classify(F.col("_logits"))
         else:
             own = F.lit(None).cast("struct<label:string,confidence:double>")
-        out = M.party_matches(out.withColumn("classification", own).drop("_logits"), self._denied(), self.settings.fuzzy_match)
+        out = self.resolve_parties(out.withColumn("classification", own).drop("_logits"))
         return self._with_countries(out).withColumn("risk", D.legacy_risk(self.settings))
 
     def score_risk(self, rows: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ class Engine:
         return D.profile(self.enrich(rows), self.settings)
 
     def resolve_parties(self, rows: DataFrame) -> DataFrame:
-        return M.party_matches(rows, self._denied(), self.settings.fuzzy_match)
+        return self.matcher(rows) if self.matcher is not None else M.party_matches(rows, self._denied(), self.settings.fuzzy_match)
 
     def screen(self, rows: DataFrame, with_profile: bool = True) -> DataFrame:
         """Decisions: one row for each shipment; taxonomy_hits is empty unless a hit decided."""

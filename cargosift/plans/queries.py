@@ -123,8 +123,8 @@ def j3_legs(ship: DataFrame) -> DataFrame:
     return legs.join(F.broadcast(table), F.upper(E.strip(F.col("leg.code"))) == F.col("code")).groupBy(F.col("leg.role").alias("role"), "code").agg(F.count("*").alias("n"))
 
 
-def _enriched(ship: DataFrame) -> DataFrame:
-    return Engine(ship.sparkSession).enrich(ship)
+def _enriched(ship: DataFrame, matcher=None) -> DataFrame:
+    return Engine(ship.sparkSession, matcher=matcher).enrich(ship)
 
 
 def dimension(name: str, ship: DataFrame) -> DataFrame:
@@ -146,8 +146,8 @@ def pr1_profile(ship: DataFrame) -> DataFrame:
     return p.select("id", "overall_severity", "overall_score", F.size("flags").alias("n_flags"), "advisory_action", "advisory_confidence")
 
 
-def _routed(ship: DataFrame) -> DataFrame:
-    wide = _enriched(ship)
+def _routed(ship: DataFrame, matcher=None) -> DataFrame:
+    wide = _enriched(ship, matcher)
     branch, action, reason = D.routed(S)
     return wide.withColumn("branch", branch).withColumn("action", action).withColumn("reason", reason)
 
@@ -441,16 +441,14 @@ def x4_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x1_screen(spark: SparkSession, d: str) -> DataFrame:
-    """Shipments screened as a stream: every micro-batch with the batch code, parties included, each batch written in place."""
+    """Shipments screened as a stream: every micro-batch with the batch code, parties included, each batch written in place; a name is compared once in all batches."""
     src, out = new_path(spark, "stream"), new_path(spark, "stream")
     bridge.shipments(spark, d).write.parquet(src)
     stream = streams.parquet_stream(spark, src, spark.read.parquet(src).schema, 8)
-
-    def each(batch: DataFrame, number: int) -> None:
-        rt1_router(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    denied = readers.denied_parties(spark)
+    known = streams.KnownNames(spark, new_path(spark, "names"), S.fuzzy_match)
+    screened = lambda batch, matcher: _routed(batch, matcher).select("id", "branch", "action")
+    streams.screen(stream, known, denied, screened, out, new_path(spark, "stream")).awaitTermination()
     return spark.read.schema("id string, branch int, action string").parquet(f"{out}/batch=*")
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargosift.functions import expressions as E
 from cargosift.operators import drift
+from cargosift.operators import matching as M
 from cargosift.operators.feedback import FeedbackLog
 
 
@@ -63,3 +66,87 @@ def rolling_drift(events: DataFrame, baseline: DataFrame, value: str, sink: Call
 def apply_reviews(reviews: DataFrame, log: FeedbackLog, checkpoint: str):
     """Sets arriving reviews on a feedback log, each batch as a delta of its own; a batch that ran before changes nothing."""
     return reviews.writeStream.foreachBatch(lambda batch, number: log.apply(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@dataclass(frozen=True)
+class KnownNames:
+    """A folder of names that were compared with a denied-party list: list=V/batch=N holds those that batch N was the first to bring, each with its match or none.
+
+    V is a digest of the list and the threshold, so another version of the list begins without names. A batch compares its new names alone,
+    and one that runs again gives the same rows. compact() makes one part of all; what holds the names grows with the distinct ones.
+    """
+
+    spark: SparkSession
+    path: str
+    threshold: float = 0.80
+
+    def _list(self, denied: DataFrame) -> str:
+        """The digest of a list, whatever the order of its rows."""
+        row = F.xxhash64("ord", "key", "matched_party", "list_name").cast("decimal(38,0)")
+        told = denied.agg(F.count("*").alias("n"), F.sum(row).alias("s"), F.bit_xor(row.cast("long")).alias("x")).first()
+        return f"{told.n}_{told.s}_{told.x}_{self.threshold}".replace("-", "m").replace(".", "_")
+
+    def _parts(self, version: str) -> list[tuple[int, int, str]]:
+        """(last batch, first batch, path) of the finished parts that hold all names, without those that a larger part covers."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/list={version}")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [s.getPath().getParent() for s in fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(root, "*/_SUCCESS")) or []]
+        spans = sorted(((*map(int, p.getName().split("=")[1].split("-")[::-1]), p.toString()) for p in found), key=lambda x: (x[1], -x[0]))
+        out: list[tuple[int, int, str]] = []
+        for last, first, path in spans:
+            if not out or last > out[-1][0]:
+                out.append((last, first, path))
+        return out
+
+    def _known(self, version: str, before: int | None = None) -> DataFrame:
+        paths = [p for last, _, p in self._parts(version) if before is None or last < before]
+        schema = "key string, ord long, score double, exact_match boolean, matched_party string, list_name string"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def learn(self, rows: DataFrame, denied: DataFrame, batch: int) -> tuple[str, int]:
+        """Compares the names of rows that no batch before has brought; gives the list's version and how many they were."""
+        version = self._list(denied)
+        if any(first <= batch <= last for last, first, _ in self._parts(version)):
+            return version, 0
+        names = rows.select(F.explode(F.array(*[E.normal_name(F.col(r)) for r in M.ROLES])).alias("key")).where("key <> ''").distinct()
+        new = names.join(self._known(version, batch).select("key"), "key", "left_anti")
+        out = f"{self.path}/list={version}/batch={batch}-{batch}"
+        M.name_matches(new, denied, self.threshold).write.mode("overwrite").parquet(out)
+        return version, self.spark.read.parquet(out).count()
+
+    def matches(self, rows: DataFrame, version: str) -> DataFrame:
+        """Adds matches to rows whose names are all known, as matching.party_matches does."""
+        known = self._known(version).where("ord is not null")  # of most names there is nothing to tell
+        out = rows
+        for r in M.ROLES:
+            mine = known.select(F.col("key").alias(f"_k_{r}"), F.struct("ord", "score", "exact_match", "matched_party", "list_name").alias(f"_party_{r}"))
+            out = out.join(mine, E.normal_name(F.col(r)) == F.col(f"_k_{r}"), "left").drop(f"_k_{r}")
+        return M.with_matches(out)
+
+    def expire(self, denied: DataFrame) -> None:
+        """Removes the names that were compared with other versions of the list."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for s in fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(root, "list=*")) or []:
+            if s.getPath().getName() != f"list={self._list(denied)}":
+                fs.delete(s.getPath(), True)
+
+    def compact(self, denied: DataFrame) -> None:
+        """One part of all finished ones; the older stay for readers that began before."""
+        version = self._list(denied)
+        parts = self._parts(version)
+        if len(parts) > 1:
+            self._known(version).write.mode("overwrite").parquet(f"{self.path}/list={version}/batch={parts[0][1]}-{parts[-1][0]}")
+
+
+def screen(stream: DataFrame, known: KnownNames, denied: DataFrame, screened: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame], path: str, checkpoint: str):
+    """Screens micro-batches into a folder for each; one that runs again replaces it.
+
+    screened gets a batch and the function that adds its matches from the names compared so far (an Engine's matcher), and gives the rows to write.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        version, _ = known.learn(batch, denied, number)
+        screened(batch, lambda rows: known.matches(rows, version)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
