@@ -1,9 +1,9 @@
-"""Language of texts by letter trigrams in bit-sliced Bloom filters.
+"""Language of texts by letter n-grams in bit-sliced Bloom filters.
 
-Every language has a Bloom filter of its typical trigrams, all of one size. The filters are stored by
-position: the word at a position has one bit for each language, so the words at a trigram's positions,
-combined with AND, name every language whose filter holds it. Counts by language, less the false positives
-expected from each filter's fill, decide.
+Every language has a Bloom filter of its n-grams, all of one size. The filters are stored by position: the
+word at a position has one bit for each language, so the words at an n-gram's positions, combined with AND,
+name every language that holds it. Counts by language, less the false positives expected from each filter's
+fill, decide. Pairs of letters tell languages of large alphabets apart, runs of four those of one alphabet.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, prepare
@@ -29,29 +29,50 @@ def _letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def trigrams(texts: list[str | None]):
-    """Yields (keys, place of each key's text) for runs of texts; long texts come in several runs.
+ORDERS = (2, 4)
 
-    Letters in lower case; all else counts as one space between words. Trigrams with a space in the middle
-    are left out.
+
+def _keys(codes: np.ndarray, order: int) -> np.ndarray:
+    """A hash of each run of order code points."""
+    m = len(codes) - order + 1
+    key = np.full(m, order, U)
+    for j in range(order):
+        key = mix(key) ^ codes[j : j + m]
+    return key
+
+
+def grams(texts: list[str | None]):
+    """Yields (keys, place of each key's text) for runs of texts and each order; long texts come in several runs.
+
+    Letters in lower case; all else counts as one space between words. Runs with a space inside are left out.
     """
-    table = _letter_table()
+    table, more = _letter_table(), max(ORDERS) - 1
     at = 0
-    pieces = [(i, t[a : a + _CHUNK + 2]) for i, t in enumerate(texts) if t for a in range(0, len(t), _CHUNK)]
+    pieces = [(i, t[a : a + _CHUNK + more], a + _CHUNK < len(t)) for i, t in enumerate(texts) if t for a in range(0, len(t), _CHUNK)]
     while at < len(pieces):
         end, size = at, 0
         while end < len(pieces) and (end == at or size + len(pieces[end][1]) < _CHUNK):
             size += len(pieces[end][1]) + 2
             end += 1
-        low = [t.lower() for _, t in pieces[at:end]]
+        low = [t.lower() for _, t, _ in pieces[at:end]]
         codes = np.frombuffer(("  ".join(low) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.array([i for i, _ in pieces[at:end]]), [len(t) + 2 for t in low])
+        owner = np.repeat(np.array([i for i, _, _ in pieces[at:end]]), [len(t) + 2 for t in low])
+        # Of a piece that another follows only the runs that begin before the next one count.
+        ends = np.cumsum([0] + [len(t) + 2 for t in low])
+        begins = np.ones(len(codes), bool)
+        for (_, _, followed), start in zip(pieces[at:end], ends[:-1], strict=True):
+            if followed:
+                begins[start + _CHUNK : start + _CHUNK + more + 2] = False
         codes = np.where(table[codes], codes, 32)
         keep = (codes != 32) | (np.concatenate([[0], codes[:-1]]) != 32)
-        codes, owner = codes[keep].astype(U), owner[keep]
-        if len(codes) > 2:
-            good = (codes[1:-1] != 32) & (owner[2:] == owner[:-2])
-            yield ((codes[:-2] << U(42)) | (codes[1:-1] << U(21)) | codes[2:])[good], owner[:-2][good]
+        codes, owner, begins = codes[keep].astype(U), owner[keep], begins[keep]
+        for order in ORDERS:
+            m = len(codes) - order + 1
+            if m > 0:
+                good = (owner[order - 1 :] == owner[:m]) & begins[:m]
+                for j in range(1, order - 1):
+                    good &= codes[j : j + m] != 32
+                yield _keys(codes, order)[good], owner[:m][good]
         at = end
 
 
@@ -69,7 +90,7 @@ def _counts(batches):
 
     for pdf in batches:
         for lang, part in pdf.groupby("lang"):
-            for keys, _ in trigrams(part["text"].tolist()):
+            for keys, _ in grams(part["text"].tolist()):
                 held.setdefault(lang, []).append(np.unique(keys, return_counts=True))
             if len(held.get(lang, ())) > 64:
                 held[lang] = [merge(held[lang])]
@@ -86,12 +107,12 @@ class Filters:
     default: int  # place of the most frequent language
 
 
-def learn(docs: DataFrame, slots: int = 1 << 18, least_rate: float = 2e-5, least_share: float = 0.5) -> Filters:
+def learn(docs: DataFrame, least_rate: float = 1e-5, bits: int = 32) -> Filters:
     """Builds the filters from columns text and lang of all rows with both.
 
-    A trigram is typical of a language if it makes up least_rate of the language's trigrams, and its rate is
-    at least least_share of that in any other language; so a filter holds at most 1 / least_rate trigrams.
-    The driver receives the filters alone, slots words. Without learnable rows there is no language.
+    A language holds an n-gram that makes up least_rate of all its n-grams, whatever the others hold, so 1 / least_rate of them at most. Filters have
+    bits slots for each n-gram of the language that holds most of them, up to a power of two. The driver receives the filters alone.
+    Without learnable rows there is no language.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -101,11 +122,12 @@ def learn(docs: DataFrame, slots: int = 1 << 18, least_rate: float = 2e-5, least
     langs = sorted(sizes)
     if not langs:
         counted.unpersist()
-        return Filters([], np.zeros((slots, 1), np.int64), np.zeros(0), 0)
+        return Filters([], np.zeros((1, 1), np.int64), np.zeros(0), 0)
     size = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(sizes[lang]))])
-    rated = counted.withColumn("rate", F.col("n") / size[F.col("lang")])
-    best = F.max("rate").over(Window.partitionBy("gram"))
-    typical = rated.withColumn("best", best).where((F.col("rate") >= least_rate) & (F.col("rate") >= least_share * F.col("best")))
+    held = counted.where(F.col("n") >= least_rate * size[F.col("lang")])
+    slots = 1 << 16
+    while slots < bits * max(r["count"] for r in held.groupBy("lang").count().collect()):
+        slots *= 2
     place = {lang: i for i, lang in enumerate(langs)}
 
     def slotted(batches):
@@ -114,7 +136,7 @@ def learn(docs: DataFrame, slots: int = 1 << 18, least_rate: float = 2e-5, least
             for pos in positions(pdf["gram"].to_numpy(np.int64).astype(U), slots):
                 yield pd.DataFrame({"pos": pos, "word": lang // 63, "bits": np.int64(1) << (lang % 63)})
 
-    rows = typical.select("lang", "gram").mapInPandas(slotted, "pos long, word long, bits long").groupBy("pos", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = held.select("lang", "gram").mapInPandas(slotted, "pos long, word long, bits long").groupBy("pos", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
     counted.unpersist()
     masks = np.zeros((slots, len(langs) // 63 + 1), np.int64)
     masks[rows["pos"], rows["word"]] = rows["bits"]
@@ -123,9 +145,9 @@ def learn(docs: DataFrame, slots: int = 1 << 18, least_rate: float = 2e-5, least
 
 
 def popcounts(texts: list[str | None], f: Filters) -> tuple[np.ndarray, np.ndarray]:
-    """Trigrams in all, and trigrams by language whose filter holds them, of each text."""
+    """N-grams in all, and n-grams by language whose filter holds them, of each text."""
     total, hits = np.zeros(len(texts)), np.zeros((len(texts), len(f.langs)))
-    for keys, owner in trigrams(texts):
+    for keys, owner in grams(texts):
         found = None
         for pos in positions(keys, len(f.masks)):
             found = f.masks[pos] if found is None else found & f.masks[pos]
@@ -140,7 +162,7 @@ def predict(docs: DataFrame, f: Filters, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1, the language's share of the corrected counts), replacing such columns.
 
     Null texts and texts without a letter are 'und' with score 0, as is every text if no language was
-    learned. A text whose trigrams are all unknown gets the most frequent language and score 0; ties go to
+    learned. A text whose n-grams are all unknown gets the most frequent language and score 0; ties go to
     the language first in order.
     """
     spark = docs.sparkSession
