@@ -196,11 +196,11 @@ def s10_json(ship: DataFrame) -> DataFrame:
 
 
 def s12_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled documents written as JSON lines, a folder a split, by the registered sink; counted as read back."""
+    """Labelled documents written as JSON lines, a folder a split, in one pass by the registered sink; counted as read back. Ids alone are put in order."""
     path = new_path(spark, "splits")
-    rows = learning.split_rows(_table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality"), "doc_id")
-    for split in ("train", "val", "test"):
-        registered.write_records(rows.where(F.col("split") == split).drop("split"), f"{path}/split={split}")
+    docs = _table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = learning.split_rows(_table(spark, d, "labels").select("doc_id", "quality").join(docs.select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    registered.write_records(docs.join(ids.select("doc_id", "quality", "split"), "doc_id"), path, partition="split")
     back = spark.read.schema("doc_id long, text string, quality int, split string").json(path)
     return back.groupBy("split").agg(F.count("*").alias("n"))
 
