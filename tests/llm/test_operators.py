@@ -130,6 +130,36 @@ def test_topk(spark):
     assert topk.top_k(empty, empty).count() == 0 and topk.top_k(df, empty).count() == 0
 
 
+def test_topk_travels_in_packs(spark, monkeypatch):
+    """Query blocks come to a candidate block in packs, vectors in the smallest integers; large numbers, several packs and tiles give the same rows."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 8)).round(3)
+    seen = {}
+
+    def kept(df, name, own=topk.stored):
+        seen[name] = own(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(topk, "stored", kept)
+    monkeypatch.setattr(topk, "drop_stored", lambda *tables: None)
+    for scale, width in ((1024, 2), (1 << 20, 4)):
+        whole = np.floor(v * scale).astype(np.int64)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        for pack, tile in ((1 << 21, 2048), (128, 100)):
+            monkeypatch.setattr(topk, "PACK", pack)
+            monkeypatch.setattr(topk, "TILE", tile)
+            got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df.where("vec_id % 100 = 0"), df, scale=scale, query_block=8).collect()}
+            assert len(got) == 300
+            for q in range(0, 3000, 100):
+                s = whole @ whole[q]
+                best = sorted((-int(s[i]), i) for i in range(3000) if i != q)[:10]
+                assert [got[q, k + 1] for k in range(10)] == [(i, -n) for n, i in best]
+            parts = seen["topk-a"].count()
+            assert parts == 1 if pack > 128 else parts > 1
+            assert all(len(r.vecs) == len(r.ids) // 8 * 8 * width for r in seen["topk-c"].collect())
+
+
+
 # 4 decontamination
 def brute_containment(docs, items):
     out = {}
