@@ -554,3 +554,13 @@ def test_phrases_of_groups(spark):
     rows = readers.phrases(groups).orderBy("phrase_idx").collect()
     assert [r.phrase for r in rows] == [p for g in TAXONOMY for p in g["semantic_phrases"]] and [r.phrase_idx for r in rows] == list(range(len(rows)))
     assert all(TAXONOMY[r.group_idx]["group_id"] == r.group_id for r in rows)
+
+
+def test_signals_are_compiled(spark):
+    """Lists of signals and hits hold no function that takes a lambda, which Spark would not compile, nor anything inside it."""
+    from cargosift.functions import expressions as E
+
+    rows = spark.createDataFrame([(1, "a drone", None), (2, None, "x"), (3, "none", "")], "id int, description string, code string")
+    made = rows.select("id", E.signals(E.signal("a", F.col("id") > 1, F.col("id"), 2.0, F.col("code")), E.signal("b", F.col("code") == "x", 1.0, 1.0, "e"), F.lit(None).cast("array<struct<name:string,value:double,weight:double,evidence:string>>")).alias("s"), M.keyword_hits(F.col("description"), [{"group_id": "g", "name": "n", "risk_level": "low", "hard_keywords": ["drone"], "semantic_phrases": []}]).alias("h"))
+    assert [([tuple(s) for s in r.s], [h.matched_keyword for h in r.h]) for r in made.orderBy("id").collect()] == [([], ["drone"]), ([("a", 2.0, 2.0, "x"), ("b", 1.0, 1.0, "e")], []), ([("a", 3.0, 2.0, "")], [])]
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
