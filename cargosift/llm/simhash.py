@@ -7,8 +7,8 @@ each fingerprint travels budget + 1 times, however many there are, until whole p
 then they are cut further down, and blocks meet whose prefixes differ in no more bits than the budget. A task reports a
 spanning forest of the links it finds, so rows grow with fingerprints, not with pairs.
 
-At a Jaccard similarity of 0.8 fingerprints differ in about ten bits, which no trie budget reaches. similar()
-therefore takes many small fingerprints of a text, its MinHash bands, and verifies by exact similarity.
+similar() verifies what the trie links by exact similarity. At a Jaccard similarity of 0.8 fingerprints differ in about
+ten bits, which no trie budget reaches; texts that far apart also meet by their MinHash bands.
 """
 
 from __future__ import annotations
@@ -199,8 +199,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget:
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
 
 
+def majorities(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Fingerprints of the hashes between each two offsets: 64 bits, each set if set in over half of them; zero for none."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        counts = np.zeros(64, np.int64)
+        for at in range(a, b, _RUN):
+            counts += np.unpackbits(h[at : min(b, at + _RUN)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * counts > b - a, bitorder="little").view("<u8")[0]
+    return out
+
+
 def _signed(batches, shingle, n_bands):
-    """Keys of the word sequences, zero without words, and one hash for each band."""
+    """Keys of the word sequences, zero without words, the fingerprint of the runs of words, and one hash for each band."""
     for pdf in batches:
         w, off = word_hashes([t if isinstance(t, str) else None for t in pdf["text"]], ascii_case=True)
         key = sequence_keys(w, off)
@@ -209,13 +220,13 @@ def _signed(batches, shingle, n_bands):
         found = np.zeros((len(key), n_bands), np.int64)
         if len(some):
             found[some] = minima(h, so[np.append(some, len(off) - 1)], n_bands, ROWS).view(np.int64)
-        yield pd.DataFrame({"row": pdf["row"].to_numpy(), "key": key.view(np.int64), "bands": list(found)})
+        yield pd.DataFrame({"row": pdf["row"].to_numpy(), "key": key.view(np.int64), "fp": majorities(h, so).view(np.int64), "bands": list(found)})
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, component_id, and columns keep) for every row of docs, by verified similarity.
 
-    Texts are linked if their sets of runs of shingle words (white space between, A-Z in lower case) have a
+    Texts meet if the trie links their fingerprints within budget bits, or in a MinHash band where they differ in more. They are linked if their sets of runs of shingle words (white space between, A-Z in lower case) have a
     Jaccard similarity of at least similarity; a pair just there is found with probability 0.9999. component_id
     is the smallest doc_id reachable. Texts without words are one component. Null ids as in groups().
     """
@@ -223,10 +234,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
     prepare(spark)
     n_bands = bands(similarity)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("row"), *[F.col(k).alias(f"_keep{i}") for i, k in enumerate(keep)])
-    signed = stored(source.select("row", "text").mapInPandas(lambda it: _signed(it, shingle, n_bands), "row long, key long, bands array<long>"), "simhash-p")
+    signed = stored(source.select("row", "text").mapInPandas(lambda it: _signed(it, shingle, n_bands), "row long, key long, fp long, bands array<long>"), "simhash-p")
     rows = signed.groupBy("row").agg(F.min("key").alias("key"))
-    distinct = signed.where("key <> 0").groupBy("key").agg(F.min_by("bands", "row").alias("bands"), F.min("row").alias("row"))
-    opened = distinct.select("key", F.explode("bands").alias("bucket"))
+    distinct = signed.where("key <> 0").groupBy("key").agg(F.min_by("bands", "row").alias("bands"), F.min_by("fp", "row").alias("fp"), F.min("row").alias("row"))
+    near = components(links(stored(distinct.select("fp").distinct(), "simhash-d"), budget)).withColumnRenamed("node", "fp")
+    linked = distinct.select("key", "fp").join(near, "fp").select("key", F.xxhash64(F.lit("simhash"), "component").alias("bucket"))
+    alone = distinct.select("key", F.xxhash64(F.lit("simhash"), "fp").alias("bucket")).join(linked.select("key"), "key", "left_anti")
+    opened = linked.unionByName(alone).unionByName(distinct.select("key", F.explode("bands").alias("bucket")))
 
     def shingled(batches):
         for pdf in batches:

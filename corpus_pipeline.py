@@ -31,6 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of each group that names it, of repeated rows one; rows without id stay. Five-word runs, similarity 0.8.
 
+    SimHash fingerprints linked by op9's trie bring texts together, MinHash bands those whose fingerprints differ in more bits; pairs are verified.
     Null texts and texts without a word are in no group.
     """
     row, key = F.xxhash64("doc_id", "text"), fresh(docs, "_row")

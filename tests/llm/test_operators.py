@@ -571,6 +571,27 @@ def test_pipeline_near_copies(spark, tmp_path):
     assert corpus_pipeline.drop_near_duplicates(spark, odd(spark), str(tmp_path)).count() == 4  # texts without words are one
 
 
+def test_pipeline_near_copies_by_trie(spark, tmp_path, monkeypatch):
+    """Without MinHash bands the trie alone brings copies together whose fingerprints differ in at most three bits; those below the similarity stay."""
+    import corpus_pipeline
+
+    rng = random.Random(47)
+    docs = []
+    for i in range(12):
+        w = prose(rng, 1500).split()
+        docs += [(i, " ".join(w)), (100 + i, " ".join([*w[:700], "changed", *w[701:]])), (200 + i, " ".join(w[:750]))]
+    w, off = word_hashes([t for _, t in docs], ascii_case=True)
+    h, so = shingle_hashes(w, off, 5)
+    prints = simhash.majorities(h, so)
+    assert all(int(prints[i]) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[so[i] : so[i + 1]]) > so[i + 1] - so[i]) for i in range(3))
+    fp = {d: int(x) for (d, _), x in zip(docs, prints, strict=True)}
+    gone = {100 + i for i in range(12) if (fp[i] ^ fp[100 + i]).bit_count() <= 3}
+    assert len(gone) > 6
+    monkeypatch.setattr(simhash, "bands", lambda similarity: 0)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert got == set(fp) - gone
+
+
 def test_language_model_keeps_all(spark, tmp_path):
     """op5 scores bigrams and trigrams that training holds once as the plain model does."""
     rng = random.Random(32)
