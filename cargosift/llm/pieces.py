@@ -315,6 +315,20 @@ def expand(option, lattice: Lattice) -> list[int]:
     return [i for part in (*parts, lattice._ids(seq[at:])[0].tolist()) for i in part]
 
 
+def swapped(ids: np.ndarray, seq: np.ndarray, swaps: list[dict], lattice: Lattice) -> list[np.ndarray]:
+    """The ids of a text's further segmentations, from those of its best one."""
+    if not swaps:
+        return []
+    start, out = np.append(0, np.cumsum(lattice.off[seq + 1] - lattice.off[seq])).tolist(), []
+    for swap in swaps:
+        parts, at = [], 0
+        for k in sorted(swap):
+            parts += [ids[at : start[k]], np.array(swap[k], np.int32)]
+            at = start[k + 1]
+        out.append(np.concatenate([*parts, ids[at:]]))
+    return out
+
+
 def _shared(spark: SparkSession, model: str):
     return spark.sparkContext.broadcast(Lattice(model))  # the size of the vocabulary
 
@@ -336,7 +350,7 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = 4, all_ids: bool =
         found = []
         for a in range(0, len(listed), 400):
             for ids, scores, seq, swaps in shared.value.cut(listed[a : a + 400], nbest):
-                whole = [ids.tolist(), *(expand((seq, swap), shared.value) for swap in swaps)] if all_ids else None
+                whole = [ids, *swapped(ids, seq, swaps, shared.value)] if all_ids else None
                 found.append((ids, scores[0], scores, whole))
         return pd.DataFrame(found, columns=["ids", "score", "scores", "all"])
 

@@ -41,10 +41,10 @@ def op5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes every text, decodes it again and keeps a digest: counts, scores and a hash of the ids."""
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Encodes every text to its n best segmentations, decodes the best again and keeps a digest: counts, scores, and hashes of the ids of the best and of all."""
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), all_ids=True)
     back = pieces.decode(coded)
-    return back.select("doc_id", "n_pieces", "piece_score", "nbest_scores", F.xxhash64("ids").alias("ids_hash"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same_text"))
+    return back.select("doc_id", "n_pieces", "piece_score", "nbest_scores", F.xxhash64("ids").alias("ids_hash"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same_text"), F.size("nbest_ids").alias("n_best"), F.xxhash64("nbest_ids").alias("nbest_hash"))
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,6 +290,19 @@ def test_pieces_query(spark, sf_dir):
     assert got.where("not same_text").count() == 0 and got.count() > 0
 
 
+def test_op6_makes_all_segmentations(spark, sf_dir):
+    """op6 makes the ids of every one of the n best segmentations, which the operator's own lattice gives too."""
+    got = queries.op6_pieces(spark, sf_dir)
+    assert got.where("n_best <> size(nbest_scores) or nbest_hash is null").count() == 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40)
+    coded = pieces.encode(docs, all_ids=True).orderBy("doc_id").collect()
+    lattice = pieces.Lattice()
+    want, own = lattice.encode([r.text for r in coded], 4)
+    assert [r.nbest_ids for r in coded] == [[pieces.expand(o, own) for _, o in options] for options in want]
+    assert all(lattice.decode(ids) == (r.text or "") for r in coded for ids in r.nbest_ids)
+
+
+
 # 7 paragraphs
 def test_paragraphs(spark):
     rng = random.Random(7)
