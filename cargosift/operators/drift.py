@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargosift.operators.quantiles import quantiles
+from cargosift.scratch import stored
 
 EPS = 1e-6
 
@@ -107,21 +108,24 @@ def baseline(decisions: DataFrame, confidence: str = "classification.confidence"
     """One row (sample_size, edges, counts, labels, hit_rates, centroid): what later decisions are held against.
 
     The confidences' inner quantile edges and the count in each bin stand for the confidences, so that the row stays small;
-    rows without classification count for hit rates alone. Without vectors centroid is null.
+    rows without classification count for hit rates alone. Without vectors centroid is null. Decisions are read once: a narrow table of
+    what counts is written to the shared folder, and every pass reads that.
     """
-    rows = decisions.select(F.col(confidence).alias("value"), F.col(label).alias("label"))
+    own = [F.col(confidence).alias("value"), F.col(label).alias("label"), F.transform(hits, lambda h: F.struct(h["group_id"].alias("group_id"))).alias("hits")]
+    decisions = stored(decisions.select(*own, *([] if vec is None else [F.col(vec).alias("vec")])), "baseline")
+    rows = decisions.select("value", "label")
     inner = edges(rows, "value", bins)
     counted = rows.where("value is not null").join(F.broadcast(inner)).groupBy(bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.count("*").alias("n"))  # one row of edges
     every = decisions.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counted, "bin", "left")
     counts = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("counts"))
     labels = rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("labels"))
-    rates = hit_rates(decisions, hits).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group_id", "rate")))).alias("hit_rates"))
+    rates = hit_rates(decisions, "hits").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group_id", "rate")))).alias("hit_rates"))
     out = decisions.agg(F.count("*").alias("sample_size"))
     for one in (inner, counts, labels, rates):
         out = out.join(F.broadcast(one))  # one row each
     if vec is None:
         return out.withColumn("centroid", F.lit(None).cast("array<double>"))
-    mean = decisions.select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    mean = decisions.select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return out.join(F.broadcast(mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centroid"))))
 
 
