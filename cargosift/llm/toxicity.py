@@ -75,11 +75,9 @@ class Reader:
 class Postings:
     """Weights of each term's examples, by term; postings[at] are the dense rows of terms."""
 
-    def __init__(self, term: np.ndarray, place: np.ndarray, value: np.ndarray, terms: int, examples: int):
-        """place in rising order."""
-        order = np.argsort(term, kind="stable")
-        self.start = np.append(0, np.cumsum(np.bincount(term, minlength=terms)))
-        self.place, self.value, self.examples = place[order].astype(np.int32), value[order], examples
+    def __init__(self, start: np.ndarray, place: np.ndarray, value: np.ndarray, examples: int):
+        """Places and weights by term, start where each term's begin, a number more than terms; place in rising order in each term."""
+        self.start, self.place, self.value, self.examples = start, place, value, examples
 
     def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the terms' postings, and how many each term has."""
@@ -243,29 +241,36 @@ def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.nd
     return FLOOR + (1 - FLOOR) * np.maximum(0, 1 - CHANCE / np.maximum(total, 1e-9))
 
 
-def built(names: pa.Array, hashes: np.ndarray, df: np.ndarray, size: np.ndarray, term: np.ndarray, counts: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> Index:
-    """The index of examples with size terms each, one after another; df by term, the last the number of documents."""
-    owner, n1 = np.repeat(np.arange(len(size), dtype=np.int32), size), int(y.sum())
-    with_1 = np.bincount(term[y[owner] > 0], minlength=len(names)).astype(np.float64)
+def built(names: pa.Array, hashes: np.ndarray, df: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray, k: int) -> Index:
+    """The index of examples, each the numbers of its terms and their counts; df by term, the last the number of documents.
+
+    Examples are weighed one by one and written to their postings, so that beside these nothing is as long as all postings.
+    """
+    n1, held, with_1 = int(y.sum()), np.zeros(len(names)), np.zeros(len(names))
+    for (term, _), label in zip(examples, y.tolist(), strict=True):
+        held[term] += 1
+        with_1[term] += label > 0
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
-    bearing = relevance(with_1, np.bincount(term, minlength=len(names)) - with_1, n1, len(y) - n1)
-    value = counts.astype(np.float64)
-    np.log(value, out=value)
-    value += 1
-    value *= (idf * bearing)[term]
-    value /= np.sqrt(np.bincount(owner, value * value, len(size)))[owner]
-    del owner
-    off = np.append(0, np.cumsum(size))
-    full = np.flatnonzero(size)
-    strongest = np.array([term[off[i] + np.argmax(value[off[i] : off[i + 1]])] for i in full], np.int64)
+    bearing = relevance(with_1, held - with_1, n1, len(y) - n1)
+    factor = idf * bearing
+
+    def weighed(i: int) -> np.ndarray:
+        term, counts = examples[i]
+        value = (np.log(counts.astype(np.float64)) + 1) * factor[term]
+        return value / np.sqrt(np.bincount(np.zeros(len(value), np.int64), value * value))
+
+    full = np.array([i for i, (term, _) in enumerate(examples) if len(term)], np.int64)
+    strongest = np.array([examples[i][0][np.argmax(weighed(i))] for i in full.tolist()], np.int64)
     full = full[np.lexsort((ids[full], y[full], strongest))]  # neighbours share their strongest term
-    bare = y[size == 0].tolist()
+    bare = [label for (term, _), label in zip(examples, y.tolist(), strict=True) if not len(term)]
     prior = n1 / max(len(y), 1)
-    place = np.repeat(np.arange(len(full), dtype=np.int32), size[full])
-    take = np.repeat((off[full] - np.append(0, np.cumsum(size[full]))[:-1]).astype(np.int32), size[full])
-    take += np.arange(len(place), dtype=np.int32)
-    weights = Postings(term[take], place, value[take], len(idf), len(full))
-    return Index(names, idf, bearing, weights, y[full].astype(np.float64), ids[full], prior, (sum(bare) + prior) / (len(bare) + 1), k, hashes)
+    start = np.append(0, np.cumsum(held.astype(np.int64)))
+    place, value, free = np.empty(start[-1], np.int32), np.empty(start[-1]), start[:-1].copy()
+    for i, e in enumerate(full.tolist()):
+        term = examples[e][0]
+        place[free[term]], value[free[term]] = i, weighed(e)
+        free[term] += 1
+    return Index(names, idf, bearing, Postings(start, place, value, len(full)), y[full].astype(np.float64), ids[full], prior, (sum(bare) + prior) / (len(bare) + 1), k, hashes)
 
 
 def _dealt(texts: pd.Series):
@@ -294,7 +299,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
         return pd.Series([list(terms(x)) for x in texts], dtype=object)
 
     if rows.isEmpty():
-        return Index(None, np.zeros(0), np.zeros(0), Postings(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k, np.zeros(0, U))
+        return Index(None, np.zeros(0), np.zeros(0), Postings(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), 0), np.zeros(0), np.zeros(0, np.int64), 0.0, 0.0, k, np.zeros(0, U))
     names = rows.select(F.explode(held("text")).alias("t")).distinct().toArrow()["t"].combine_chunks()  # terms of the bounded examples
     names = names.take(pc.sort_indices(names))
     hashes = np.concatenate([np.zeros(0, U), *(term_hashes(names[a : a + (1 << 15)].to_pylist()) for a in range(0, len(names), 1 << 15))])
@@ -309,9 +314,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
         at = np.flatnonzero(df)
         yield pd.DataFrame({"i": np.append(at, -1), "n": np.append(df[at], n)})
 
-    counted = docs.select("text").mapInPandas(seen, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # of all documents
+    counted = docs.select("text").mapInPandas(seen, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # of all documents
     df = np.zeros(len(names) + 1, np.int64)
-    df[counted["i"].to_numpy()] = counted["n"].to_numpy()  # the last is the number of documents
+    for part in counted.to_batches():
+        df[part["i"].to_numpy()] = part["n"].to_numpy()  # the last is the number of documents
+    del counted
+
     @F.pandas_udf("struct<i:array<int>,n:array<int>>")
     def kept(texts: pd.Series) -> pd.DataFrame:
         reader, i, n = Reader(words.value), [], []
@@ -324,13 +332,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
 
     got = rows.select("doc_id", "y", kept("text").alias("terms")).select("doc_id", "y", "terms.i", "terms.n").toArrow()  # the bounded examples
     y, ids = got["y"].to_numpy().astype(np.int64), got["doc_id"].to_numpy().astype(np.int64)
-    lists = got["i"].combine_chunks()
-    size, term = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
-    counts = got["n"].combine_chunks().flatten().to_numpy()
-    del got
-    index = built(names, hashes, df, size, term, counts, y, ids, k)
-    del size, term, counts
-    words.unpersist()
+    examples = []
+    for part in got.to_batches():  # as they lie, without a copy
+        edge = np.cumsum(part["i"].value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        examples += zip(*(np.split(part[c].flatten().to_numpy(), edge) for c in ("i", "n")), strict=True)
+    index = built(names, hashes, df, examples, y, ids, k)
+    del got, part, examples
+    pa.default_memory_pool().release_unused()
+    words.destroy()
     if len(index.labels):
         places = {int(d): i for i, d in enumerate(index.ids)}
         shared = spark.sparkContext.broadcast(index)
@@ -342,7 +351,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
             return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
         bins = rows.select("y", without_own("doc_id", "text").alias("v")).groupBy(F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).alias("b")).agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.avg("v").alias("v")).orderBy("v").collect()
-        shared.unpersist()
+        shared.destroy()  # the driver's copy too
         x, c = np.array([r.v for r in bins]), np.array([r.n for r in bins], float)
         index.steps = (x, _monotone(x, (np.array([float(r.y) for r in bins]) + index.prior) / (c + 1), c))
     drop_stored(rows)

@@ -663,6 +663,24 @@ def test_nearest_of_five_and_six_blocks(spark, n):
         assert ix.nearest(at, v)[0].tolist() == np.lexsort((np.arange(n), -cos))[:15].tolist()
 
 
+def test_toxicity_index_is_made_in_little_memory():
+    """Beside the postings nothing is held that is as long as they are; before, sorting them took several times their memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    each = [(np.sort(rng.choice(20_000, 400, replace=False)).astype(np.int32), rng.integers(1, 9, 400).astype(np.int32)) for _ in range(1500)]
+    y, df = rng.integers(0, 2, len(each)), np.append(rng.integers(1, 1500, 20_000), 1500)
+    tracemalloc.start()
+    ix = toxicity.built(range(20_000), np.zeros(20_000, np.uint64), df, each, y, np.arange(len(each)), 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ix.weights.value) == 600_000 and peak < 1.5 * (ix.weights.value.nbytes + ix.weights.place.nbytes)
+    for e in (0, 700, 1499):
+        i, (term, n) = int(np.flatnonzero(ix.ids == e)[0]), each[e]
+        v = (1 + np.log(n)) * (ix.idf * ix.bearing)[term]
+        assert np.allclose(ix.weights[term][:, i], v / np.linalg.norm(v), rtol=1e-12)
+
+
 def test_toxicity_uses_all_terms(spark):
     """Terms of one example alone find it, and term weights are of all documents, not of the labelled ones."""
     rng = random.Random(33)
