@@ -14,10 +14,12 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections.abc import Callable
 from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _P = U(0x9E3779B97F4A7C15)
 LONG = 40
-KNOWN = 1 << 17  # units in a worker's store before a batch, about 30 MB
+KNOWN = 1 << 18  # units in a worker's store before a batch, about 60 MB
 SEARCHED = 1 << 13  # units whose n best segmentations are kept
 BYTE_LOSS = 10.0
 GRID = 1 << 20
@@ -47,6 +49,26 @@ def runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def units_of(texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """All units of texts in order, as numbers of the distinct ones, these in order of first sight, and how many units come before each text and the end."""
+    try:
+        raw = [(" " + t).encode() if t else b"" for t in texts]
+    except UnicodeEncodeError:  # lone surrogates, which no text of a table holds
+        cuts = [_UNIT.findall(" " + t) if t else [] for t in texts]
+        seen = _Numbers()
+        codes = np.array([seen[u] for u in chain.from_iterable(cuts)], np.int64)
+        return codes, list(seen), np.append(0, np.cumsum([len(c) for c in cuts]))
+    joined, end = b"".join(raw), np.cumsum([len(r) for r in raw], dtype=np.int64)
+    data = np.frombuffer(joined, np.uint8)
+    space, feed = data == 32, data == 10
+    first = np.ones(len(data) + 1, bool)
+    first[1:-1] = feed[1:] | feed[:-1] | (space[1:] & ~space[:-1])
+    first[end] = True
+    at = np.flatnonzero(first)
+    coded = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(joined)).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.append(0, np.searchsorted(at, end))
+
+
 class Lattice:
     """Pieces with scores. A model whose scores are only merge ranks gets log probabilities by Zipf's law on rank."""
 
@@ -82,6 +104,9 @@ class Lattice:
         self.key_scores = np.array([score.get(i, -math.inf) for _, i in keys])
         self.slots = Slots(self.keys)
         self.decoded = {i: t.encode() for i, t in self.piece.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        known = [self.decoded.get(i, b"") for i in range(max(self.decoded, default=-1) + 1)]
+        self.spelled = pa.array(known + [b[1:] if b[:1] == b" " else b for b in known], pa.large_binary())  # then as they begin a text
+        self.is_known = np.array([len(b) > 0 for b in known], bool)
         self.nbest_of: dict[str, list] = {}
         self.forget()
 
@@ -252,10 +277,9 @@ class Lattice:
         """
         if len(self.place) > KNOWN:
             self._age()
-        cuts = [_UNIT.findall(" " + t) if t else [] for t in texts]
         known = len(self.place)
-        edge = np.append(0, np.cumsum([len(c) for c in cuts]))
-        number = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cuts)), np.int64, edge[-1])
+        codes, distinct, edge = units_of(texts)
+        number = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[codes]
         if len(self.place) > known:
             flat, size, score, margin = self.best_of(list(islice(self.place, known, None)))
             self.flat, self.off = np.concatenate([self.flat, flat]), np.concatenate([self.off, self.off[-1] + np.cumsum(size)])
@@ -264,32 +288,43 @@ class Lattice:
         ids, size = self._ids(number)
         ends = np.append(0, np.cumsum(size))[edge]
         totals, margins = np.append(0, np.cumsum(self.unit_score[number]))[edge], self.unit_margin[number]
-        for k, cut in enumerate(cuts):
+        for k in range(len(texts)):
             a, b = edge[k], edge[k + 1]
             total, scores, swaps = float(totals[k + 1] - totals[k]), [], []
             if n > 1 and b > a:
-                scores, swaps = self._others(cut, margins[a:b], n)
+                scores, swaps = self._others(lambda i, a=a: distinct[codes[a + i]], margins[a:b], n)
             yield ids[ends[k] : ends[k + 1]], [total, *(total - c for c in scores)], number[a:b], swaps
 
-    def _others(self, cut: list[str], margin: np.ndarray, n: int):
-        """Losses of the second to n-th best segmentations of a text, and their swaps."""
+    def _others(self, unit: Callable[[int], str], margin: np.ndarray, n: int):
+        """Losses of the second to n-th best segmentations of a text, and their swaps; unit gives the unit at a place.
+
+        A unit's margin is the loss of its second best, so the unit itself is searched only where that is among the n.
+        """
         near = np.flatnonzero(margin <= np.partition(margin, n - 2)[n - 2]) if len(margin) >= n else np.arange(len(margin))
         near = near[np.argsort(margin[near], kind="stable")[: n - 1]]
         near = near[np.isfinite(margin[near])].tolist()
-        options = [self.n_best(cut[i], n) for i in near]
-        loss = [[o[0][0] - s for s, _ in o] for o in options]
-        first = (0,) * len(options)
+        second, searched = margin[near].tolist(), {}
+
+        def options(i: int) -> list[tuple[float, list[int]]]:
+            if i not in searched:
+                searched[i] = self.n_best(unit(near[i]), n)
+            return searched[i]
+
+        loss = lambda i, k: (0.0, second[i])[k] if k < 2 else options(i)[0][0] - options(i)[k][0]
+        first = (0,) * len(near)
         heap, seen, picks = [(0.0, first)], {first}, []
-        while heap and len(picks) < n:
+        while heap:
             cost, pick = heapq.heappop(heap)
             picks.append((cost, pick))
+            if len(picks) == n:
+                break
             for i, k in enumerate(pick):
-                if k + 1 < len(options[i]):
+                if k == 0 or k + 1 < len(options(i)):
                     nxt = (*pick[:i], k + 1, *pick[i + 1 :])
                     if nxt not in seen:
                         seen.add(nxt)
-                        heapq.heappush(heap, (sum(x[j] for x, j in zip(loss, nxt, strict=True)), nxt))
-        return [c for c, _ in picks[1:]], [{near[i]: options[i][k][1] for i, k in enumerate(pick) if k} for _, pick in picks[1:]]
+                        heapq.heappush(heap, (sum(loss(j, c) for j, c in enumerate(nxt)), nxt))
+        return [c for c, _ in picks[1:]], [{near[i]: options(i)[k][1] for i, k in enumerate(pick) if k} for _, pick in picks[1:]]
 
     def encode(self, texts: list[str | None], n: int):
         """For each text its n best segmentations as (score, option), best first, and what expand() needs to read an option."""
@@ -302,6 +337,30 @@ class Lattice:
         text = b"".join([self.decoded.get(i, b"") for i in ids]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
+    def decode_all(self, lists: pa.Array) -> pa.Array:
+        """decode() of every list, null for null: the bytes of all pieces are taken at once, lists of no whole letters are read one by one."""
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        known = (ids >= 0) & (ids < len(self.is_known))
+        known[known] = self.is_known[ids[known]]
+        begin = np.append(0, np.cumsum(known))[np.append(0, np.cumsum(size))]
+        ids = ids[known].astype(np.int64)
+        ids[begin[:-1][begin[1:] > begin[:-1]]] += len(self.is_known)
+        spelled = self.spelled.take(pa.array(ids))
+        off, data = (np.frombuffer(b, t) for b, t in zip(spelled.buffers()[1:], (np.int64, np.uint8), strict=True)) if len(ids) else (np.zeros(1, np.int64), np.zeros(0, np.uint8))
+        at = off[: len(ids) + 1][begin]
+        data = data[: at[-1]]
+        try:
+            data.tobytes().decode()
+            whole = not (data[at[:-1][at[:-1] < at[1:]]] & 0xC0 == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        null = lists.is_null().to_numpy(zero_copy_only=False)
+        if not whole:
+            return pa.array([None if x is None else self.decode(x) for x in lists.to_pylist()], pa.string())
+        valid = pa.py_buffer(np.packbits(~null, bitorder="little"))
+        return pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(at), pa.py_buffer(data), valid, int(null.sum())).cast(pa.string())
+
 
 def expand(option, lattice: Lattice) -> list[int]:
     """The ids of one segmentation that encode() gave."""
@@ -333,6 +392,17 @@ def _shared(spark: SparkSession, model: str):
     return spark.sparkContext.broadcast(Lattice(model))  # the size of the vocabulary
 
 
+def _numbers(lists: list[np.ndarray], kind) -> pa.Array:
+    """Arrays of numbers as lists."""
+    off = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(lists, dtype=kind) if lists else np.zeros(0, kind)))
+
+
+def _lists(nested: list[list[np.ndarray]]) -> pa.Array:
+    off = np.append(0, np.cumsum([len(x) for x in nested])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), _numbers([x for own in nested for x in own], np.int32))
+
+
 def encode(docs: DataFrame, model: str = MODEL, nbest: int = 4, all_ids: bool = False, text: str = "text") -> DataFrame:
     """Adds ids (array<int>, the best segmentation), n_pieces, piece_score and nbest_scores (falling, up to nbest).
 
@@ -344,15 +414,14 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = 4, all_ids: bool =
     prepare(spark)
     shared = _shared(spark, model)
 
-    @F.pandas_udf("struct<ids:array<int>,score:double,scores:array<double>,all:array<array<int>>>")
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        listed = [t if isinstance(t, str) else None for t in texts]
-        found = []
-        for a in range(0, len(listed), 400):
-            for ids, scores, seq, swaps in shared.value.cut(listed[a : a + 400], nbest):
-                whole = [ids, *swapped(ids, seq, swaps, shared.value)] if all_ids else None
-                found.append((ids, scores[0], scores, whole))
-        return pd.DataFrame(found, columns=["ids", "score", "scores", "all"])
+    @F.arrow_udf("struct<ids:array<int>,score:double,scores:array<double>,all:array<array<int>>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        listed = texts.to_pylist()
+        found = [x for a in range(0, len(listed), 400) for x in shared.value.cut(listed[a : a + 400], nbest)]
+        ids, scores = [x[0] for x in found], [x[1] for x in found]
+        every = _lists([[i, *swapped(i, seq, swaps, shared.value)] for i, _, seq, swaps in found]) if all_ids else pa.nulls(len(found), pa.list_(pa.list_(pa.int32())))
+        parts = [_numbers(ids, np.int32), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), every]
+        return pa.StructArray.from_arrays(parts, ["ids", "score", "scores", "all"])
 
     kept = [c for c in docs.columns if c not in ("ids", "n_pieces", "piece_score", "nbest_scores", "nbest_ids")]
     own = fresh(docs, "_cut")
@@ -366,8 +435,8 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "d
     spark = rows.sparkSession
     shared = _shared(spark, model)
 
-    @F.pandas_udf("string")
-    def read(column: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else shared.value.decode(np.asarray(x).tolist()) for x in column], dtype=object)
+    @F.arrow_udf("string")
+    def read(column: pa.Array) -> pa.Array:
+        return shared.value.decode_all(column)
 
     return rows.withColumn(text, read(F.col(ids)))

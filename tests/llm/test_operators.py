@@ -302,6 +302,38 @@ def test_op6_makes_all_segmentations(spark, sf_dir):
     assert all(lattice.decode(ids) == (r.text or "") for r in coded for ids in r.nbest_ids)
 
 
+def test_pieces_of_a_batch_are_decoded_at_once():
+    """decode_all() gives what decode() gives: nulls, ids that are no piece, bytes of no letter, and spaces at the start."""
+    import pyarrow as pa
+
+    lat = pieces.Lattice()
+    best = lambda t: lat.encode([t], 1)[0][0][0][1]
+    whole = pa.array([best("two  words\n é 漢"), None, [], best(" led"), [-1, 10**9, None, *best("late")]], pa.list_(pa.int64()))
+    torn = pa.array([[lat.bytes[0xC3]], [lat.bytes[0xA9], 500], best("ok")], pa.list_(pa.int32()))
+    for lists in (whole, whole[2:], whole[:0], torn, torn[1:]):
+        assert lat.decode_all(lists).to_pylist() == [None if x is None else lat.decode(x) for x in lists.to_pylist()]
+    assert lat.decode_all(whole)[0].as_py() == "two  words\n é 漢"
+
+
+def test_units_are_cut_as_the_pattern_cuts_them():
+    texts = [None, "", "a b", "  a\n\n b ", "\n", "x" * 50, "é\u3000漢 \ud800 z", "tab\t and\r\n"]
+    for some in (texts, [t for t in texts if t is None or "\ud800" not in t], []):
+        codes, units, edge = pieces.units_of(some)
+        assert [[units[c] for c in codes[a:b]] for a, b in zip(edge, edge[1:])] == [pieces._UNIT.findall(" " + t) if t else [] for t in some]
+
+
+def test_only_units_among_the_n_best_are_searched():
+    """A unit's margin is the loss of its second best, so no unit is searched whose second best comes too late."""
+    lat, asked = pieces.Lattice(), []
+    own = lat.n_best
+    lat.n_best = lambda unit, n: asked.append(unit) or own(unit, n)
+    text = "the quick brown fox jumps over the lazy dog and others"
+    got, ids = lat.encode([text], 2)
+    assert len(got[0]) == 2 and len(set(asked)) == 1
+    asked.clear()
+    lat.encode([text], 4)
+    assert len(set(asked)) < 4 and all(lat.decode(pieces.expand(o, ids)) == text for _, o in got[0])
+
 
 # 7 paragraphs
 def test_paragraphs(spark):
