@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cargosift.functions import expressions as E
 from cargosift.operators import drift
 from cargosift.operators import matching as M
 from cargosift.plans import queries
@@ -51,3 +52,10 @@ def test_three_scores_as_any_number(spark):
         assert r.x.label == r.y.label and (r.x.confidence == r.y.confidence or r.x.confidence != r.x.confidence)
     short = spark.sql("SELECT CAST(NULL AS array<double>) AS a UNION ALL SELECT array(1.0D, 2.0D) UNION ALL SELECT array(1.0D, NULL, 2.0D)").select(M.classify(F.col("a")).alias("x")).collect()
     assert short[1].x.label == "restricted" and short[0].x.confidence is None and short[2].x.confidence is None
+
+
+def test_fixed_is_what_the_formatter_gives(spark):
+    odd = [0.0, -0.0, -1.5, float("nan"), float("inf"), 1e9, 0.0005, 0.9995, 0.9999, 0.0004, None, 1e-9, 999999999.9999, 2.675, 0.125]
+    rows = spark.createDataFrame([(x,) for x in odd + [i / 10_000 for i in range(20_000)] + [i * 977.123457 for i in range(2000)]], "x double")
+    for digits in (2, 3):
+        assert rows.where(~E.fixed(F.col("x"), digits).eqNullSafe(F.format_string(f"%.{digits}f", "x"))).count() == 0
