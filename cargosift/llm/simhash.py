@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, drop_stored, prepare, stored
+from .common import arrow_rows, components, drop_stored, partitions, prepare, stored
 from .paragraphs import ROWS, bands, joined
 from .text import minima, sequence_keys, shingle_hashes, word_hashes
 
@@ -150,15 +150,20 @@ def links(prints: DataFrame, budget: int = 3) -> DataFrame:
     blocks = stored(salted.withColumn("salt", salt).groupBy("turn", "prefix", "salt", "n").agg(F.sort_array(F.collect_list("key")).alias("keys")), "simhash-b")
     none = F.array().cast("array<long>")
     filled = blocks.where((F.col("n") <= BLOCK) & F.lit(below == 0)).select("turn", "keys", none.alias("keys2"))
-    # Blocks of one subtree, and below whole pieces also of near subtrees, meet.
-    several = blocks.where((F.col("n") > BLOCK) | F.lit(below > 0)).select("turn", "prefix", "salt")
-    masks = spark.createDataFrame([(m,) for m in range(1 << below) if m.bit_count() <= budget], "mask long")
-    meets = several.join(F.broadcast(masks)).select("turn", "prefix", "salt", F.col("prefix").bitwiseXOR(F.col("mask")).alias("p2")).where("p2 >= prefix")  # at most 2 ** below masks
-    pairs = meets.join(several.select("turn", F.col("prefix").alias("p2"), F.col("salt").alias("s2")), ["turn", "p2"]).where("p2 > prefix or s2 >= salt")
-    other = blocks.select("turn", F.col("prefix").alias("p2"), F.col("salt").alias("s2"), F.col("keys").alias("keys2"))
-    same = (F.col("prefix") == F.col("p2")) & (F.col("salt") == F.col("s2"))
-    met = pairs.join(blocks.select("turn", "prefix", "salt", "keys"), ["turn", "prefix", "salt"]).join(other, ["turn", "p2", "s2"]).select("turn", "keys", F.when(same, none).otherwise(F.col("keys2")).alias("keys2"))
-    filled = filled.unionByName(met).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = 4 * partitions(spark)
+    if not below and (blocks.agg(F.max("n")).first()[0] or 0) <= BLOCK:
+        tasks = min(tasks, max(partitions(spark), turns << depth))  # each subtree is one block
+    else:
+        # Blocks of one subtree, and below whole pieces also of near subtrees, meet.
+        several = blocks.where((F.col("n") > BLOCK) | F.lit(below > 0)).select("turn", "prefix", "salt")
+        masks = spark.createDataFrame([(m,) for m in range(1 << below) if m.bit_count() <= budget], "mask long")
+        meets = several.join(F.broadcast(masks)).select("turn", "prefix", "salt", F.col("prefix").bitwiseXOR(F.col("mask")).alias("p2")).where("p2 >= prefix")  # at most 2 ** below masks
+        pairs = meets.join(several.select("turn", F.col("prefix").alias("p2"), F.col("salt").alias("s2")), ["turn", "p2"]).where("p2 > prefix or s2 >= salt")
+        other = blocks.select("turn", F.col("prefix").alias("p2"), F.col("salt").alias("s2"), F.col("keys").alias("keys2"))
+        same = (F.col("prefix") == F.col("p2")) & (F.col("salt") == F.col("s2"))
+        met = pairs.join(blocks.select("turn", "prefix", "salt", "keys"), ["turn", "prefix", "salt"]).join(other, ["turn", "p2", "s2"]).select("turn", "keys", F.when(same, none).otherwise(F.col("keys2")).alias("keys2"))
+        filled = filled.unionByName(met)
+    filled = filled.repartition(tasks)
 
     def walk(batches):
         for pdf in batches:
@@ -236,11 +241,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("row"), *[F.col(k).alias(f"_keep{i}") for i, k in enumerate(keep)])
     signed = stored(source.select("row", "text").mapInPandas(lambda it: _signed(it, shingle, n_bands), "row long, key long, fp long, bands array<long>"), "simhash-p")
     rows = signed.groupBy("row").agg(F.min("key").alias("key"))
-    distinct = signed.where("key <> 0").groupBy("key").agg(F.min_by("bands", "row").alias("bands"), F.min_by("fp", "row").alias("fp"), F.min("row").alias("row"))
+    distinct = stored(signed.where("key <> 0").groupBy("key").agg(F.min_by("bands", "row").alias("bands"), F.min_by("fp", "row").alias("fp"), F.min("row").alias("row")), "simhash-u")
     near = components(links(stored(distinct.select("fp").distinct(), "simhash-d"), budget)).withColumnRenamed("node", "fp")
-    linked = distinct.select("key", "fp").join(near, "fp").select("key", F.xxhash64(F.lit("simhash"), "component").alias("bucket"))
-    alone = distinct.select("key", F.xxhash64(F.lit("simhash"), "fp").alias("bucket")).join(linked.select("key"), "key", "left_anti")
-    opened = linked.unionByName(alone).unionByName(distinct.select("key", F.explode("bands").alias("bucket")))
+    linked = distinct.select("key", "fp").join(near, "fp", "left").select("key", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
+    opened = linked.unionByName(distinct.select("key", F.explode("bands").alias("bucket")))
 
     def shingled(batches):
         for pdf in batches:
@@ -253,6 +257,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
         return source.select("row", "text").join(wanted, "row").select("key", "text").mapInPandas(shingled, "key long, shingles array<long>").dropDuplicates(["key"])
 
     part, comp = joined(opened, sets_of, similarity, block=32, batch=16)  # texts are longer than paragraphs
+    drop_stored(distinct)
     own = rows.join(part.withColumnRenamed("node", "key"), "key", "left").select("row", F.coalesce("component", "key").alias("part"))
     named = own.join(comp.withColumnRenamed("node", "part"), "part", "left").select("row", F.coalesce("component", "part").alias("component"))
     placed = stored(source.drop("text").join(named, "row"), "simhash-c")

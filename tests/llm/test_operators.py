@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -1038,3 +1039,29 @@ def test_columns_of_the_operators_own_names_stay(spark):
     model = ngrams.train(rows, least=1)
     for out in (lines.without_repeats(rows), paragraphs.without_repeats(rows, min_words=5), passages.without_repeats(rows), langid.predict(rows, filters), toxicity.score(rows, index), ngrams.score(rows, model), pieces.encode(rows)):
         assert out.count() == 3 and out.where("_row <> '_row' or _gone <> '_gone' or _cuts <> '_cuts' or _lang <> '_lang' or _tox <> '_tox' or _lm <> '_lm' or _cut <> '_cut' or _row_ <> '_row_'").count() == 0
+
+
+def jobs_of(spark, run):
+    """Result of run, and how many Spark jobs it took."""
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_end_by_what_their_writes_count(spark):
+    """Stars are done after one round that changes nothing, without a job that compares two rounds."""
+    stars = spark.createDataFrame([(10 * c, 10 * c + i) for c in range(5) for i in range(1, 4)], "a long, b long")
+    comp, jobs = jobs_of(spark, lambda: components(stars))
+    assert {r.node: r.component for r in comp.collect()} == {10 * c + i: 10 * c for c in range(5) for i in range(4)}
+    assert jobs <= 14, jobs
+
+
+def test_trie_joins_blocks_only_where_some_are_large(spark):
+    """Where each subtree is one block nothing is joined, and tasks are no more than subtrees or shuffle partitions."""
+    prints = spark.createDataFrame([(0,), (1,), (-1,)], "fp long")
+    found, jobs = jobs_of(spark, lambda: simhash.links(prints))
+    assert sorted({abs(r.a - r.b) for r in found.collect()}) == [1]
+    assert jobs <= 10, jobs
