@@ -210,10 +210,9 @@ def _labelled(none: Column | str, label: str):
 
 def tier(code: Column, settings: Screening) -> Column:
     """Configured tier of a country code, 0 if none; letters of any case, spaces count."""
-    out = _lit(0)
-    for v in sorted(set(settings.tiers.values())):
-        out = F.when(F.upper(code).isin(*[k for k, own in settings.tiers.items() if own == v]), v).otherwise(out)
-    return out
+    if not settings.tiers:
+        return _lit(0)
+    return F.coalesce(F.try_element_at(F.create_map(*[_lit(x) for pair in settings.tiers.items() for x in pair]), F.upper(code)), _lit(0))  # upper case is made once
 
 
 def goods(settings: Screening) -> Column:
